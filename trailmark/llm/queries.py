@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, langid, rules, warc
+from . import bpe, chat, jaccard, langid, privacy, rules, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,13 @@ SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to,
   NULL::VARCHAR AS damage
 FROM p JOIN f USING (h)"""
+
+
+@query
+def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digests(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(read(spark, sf_dir, "documents"))

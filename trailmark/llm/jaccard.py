@@ -45,6 +45,8 @@ CHUNK_CHARS, CHUNK_KEYS, KEYS_A_PARTITION = 8_000_000, 2_000_000, 1_000_000
 #: Up to so many ids (8 bytes each) are broadcast to select candidate texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 PARITY_WORDS = 8
+#: Keys are cut to so many bytes, which only makes a few more candidates; digests to so many bits, the next one being a flag in the shuffle.
+KEY_BYTES, DIGEST_BITS = 6, 56
 _U = np.uint64
 
 
@@ -162,6 +164,16 @@ def list_array(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, np.concatenate([*parts, np.empty(0, _U)]).view(np.int64))
 
 
+def packed(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.reshape(-1).view(np.int64)
+
+
 def sketches(docs: DataFrame, n: int, t: int) -> DataFrame:
     """(doc_id, n, d1, d2, p0..p7, keys): size, digest and parities of each text's set; keys at the first of equal sets in a task."""
 
@@ -169,7 +181,7 @@ def sketches(docs: DataFrame, n: int, t: int) -> DataFrame:
         memo, bands, seen = WordHashes(), Bands(t), set()
         for part, texts in rows_of(batches, CHUNK_CHARS):
             sets = [shingles(x, n, memo) for x in texts]
-            d1 = np.array([np.add.reduce(mix(s + _U(11))) for s in sets], _U)
+            d1 = np.array([np.add.reduce(mix(s + _U(11))) for s in sets], _U) & _U((1 << DIGEST_BITS) - 1)
             d2 = np.array([np.bitwise_xor.reduce(mix(s ^ _U(0x5851F42D4C957F2D))) + _U(len(s)) for s in sets], _U)
             parity = [np.packbits((np.bincount((mix(s ^ _U(77)) & _U(PARITY_WORDS * 64 - 1)).astype(np.int64), minlength=PARITY_WORDS * 64) & 1).astype(np.uint8)).view(np.int64) for s in sets]
             if len(seen) > 1_000_000:
@@ -181,16 +193,16 @@ def sketches(docs: DataFrame, n: int, t: int) -> DataFrame:
             keys = keys_of([s if f else s[:0] for s, f in zip(sets, fresh, strict=True)], bands)
             p = np.array(parity).reshape(-1, PARITY_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(PARITY_WORDS)], list_array(keys)],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(PARITY_WORDS)], pa.array([packed(k) for k in keys], pa.binary())],
                 ["doc_id", "n", "d1", "d2", *[f"p{i}" for i in range(PARITY_WORDS)], "keys"],
             )
 
-    schema = "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)) + ", keys array<long>"
+    schema = "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)) + ", keys binary"
     return id_and_text(docs).mapInArrow(run, schema)
 
 
 def pre_aggregated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, d1, center, more): of the rows of a key in a chunk the first (center null) stands for it; the others name it as center."""
+    """(key, d, center): of the rows of a key in a chunk the first (center null, flagged if there are more) stands for it; the others name it as center."""
 
     def grouped(key: np.ndarray, d1: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((d1, key))
@@ -200,28 +212,29 @@ def pre_aggregated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         head = np.r_[True, key[1:] != key[:-1]]
         first = d1[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
         more = head & np.r_[~head[1:], False]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(d1), pa.array(first, mask=head), pa.array(more)], ["key", "d1", "center", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(d1 | (more.astype(np.int64) << DIGEST_BITS)), pa.array(first, mask=head)], ["key", "d", "center"])
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     total = 0
     for batch in batches:
-        lists = batch.column("keys")
-        n = np.diff(lists.offsets.to_numpy())
-        held.append((lists.flatten().to_numpy(), np.repeat(batch.column("d1").to_numpy(), n)))
-        total += int(n.sum())
-        if total >= CHUNK_KEYS:
-            yield grouped(*map(np.concatenate, zip(*held, strict=True)))
-            held, total = [], 0
+        for d1, data in zip(batch.column("d1").to_pylist(), batch.column("keys"), strict=True):
+            keys = unpacked(data.as_buffer())
+            held.append((keys, np.full(len(keys), d1, np.int64)))
+            total += len(keys)
+            if total >= CHUNK_KEYS:
+                yield grouped(*map(np.concatenate, zip(*held, strict=True)))
+                held, total = [], 0
     if total:
         yield grouped(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, x, center) for the rows of keys that several sets have; a partition holds all heads of its keys, about a million."""
-    parts = [(b.column("key").to_numpy(), b.column("d1").to_numpy(), b.column("more").to_numpy(zero_copy_only=False)) for b in batches if len(b)]
+    parts = [(b.column("key").to_numpy(), b.column("d").to_numpy()) for b in batches if len(b)]
     if not parts:
         return
-    key, d1, more = map(np.concatenate, zip(*parts, strict=True))
+    key, d = map(np.concatenate, zip(*parts, strict=True))
+    more, d1 = d >> DIGEST_BITS != 0, d & ((1 << DIGEST_BITS) - 1)
     order = np.lexsort((d1, key))
     key, d1, more = key[order], d1[order], more[order]
     head = np.r_[True, key[1:] != key[:-1]]
@@ -269,11 +282,11 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
     classes = written(classes, "classes")
     reps = classes.where("rep is not null").drop("d2")
 
-    n_keys = table.agg(F.sum(F.size("keys"))).first()[0] or 0
+    n_keys = (table.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // KEY_BYTES
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_keys / KEYS_A_PARTITION))
-    rows = table.select("d1", "keys").where(F.size("keys") > 0).mapInArrow(pre_aggregated, "key long, d1 long, center long, more boolean")
-    heads = rows.where("center is null").select("key", "d1", "more").repartition(partitions, "key").mapInArrow(shared_keys, "key long, x long, center long")
-    shared = written(heads.unionByName(rows.where("center is not null").select("key", F.col("d1").alias("x"), "center")), "keys")
+    rows = table.select("d1", "keys").where(F.octet_length("keys") > 0).mapInArrow(pre_aggregated, "key long, d long, center long")
+    heads = rows.where("center is null").select("key", "d").repartition(partitions, "key").mapInArrow(shared_keys, "key long, x long, center long")
+    shared = written(heads.unionByName(rows.where("center is not null").select("key", F.col("d").alias("x"), "center")), "keys")
 
     def pairs_of(stars: DataFrame) -> DataFrame:
         stars = stars.where("c <> x").distinct()

@@ -1,0 +1 @@
+"""Queries over the domain views; importing this registers them."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,3 +30,11 @@ def build_session(master: str = "local[8]", partitions: int = 8, app: str = "tra
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One testbed table; only the columns a query uses are read from it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut in the folder of ``spark.checkpoint.dir``; only where none is set, as in tests, one is made."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="trailmark-"))
+    return df.checkpoint()

@@ -7,8 +7,8 @@ of ``GENERALISE`` or more is too much: the term is generalised to its shape ther
 ratio is evidence only where it rests on more than one passage, so copies of one text prove nothing: an entity counts
 from ``CONTEXTS`` different contexts on (the characters around it), and a pair from so many contexts too.
 
-Only documents that hold an entity with enough contexts are cut into terms, and only terms that qualify are
-counted over the corpus; all counts are combined before the shuffle, so a term or an entity that a third of the
+Only documents that hold an entity with enough contexts are cut into terms, and terms are counted over
+the whole corpus; all counts are combined before the shuffle, so a term or an entity that a third of the
 documents have is a single key of counts. No pairs of documents arise.
 
 Cases: null text is empty (no findings); repeated rows have equal results and count as documents each; rows that share a doc_id but not
@@ -94,7 +94,8 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     joint = written(joint.join(known.select("entity", "n_e"), "entity"), "joint")
     wanted = joint.select("term").distinct()
     text = F.coalesce(c("text").cast("string"), F.lit(""))
-    n_t = docs.select(F.explode(terms(text)).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    # Counted for all terms, as that combines within tasks; joined before, each mention in the corpus would be a row.
+    n_t = docs.select(F.explode(terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
     total = docs.agg(F.count("*").alias("n"))
     ratio = F.log2(c("n") * c("n_et") / (c("n_e") * c("n_t"))) / F.log2(c("n") / c("n_e"))
     rated = joint.join(n_t, "term").join(F.broadcast(total)).where("n > n_e").select("entity", "term", ratio.alias("ratio"))  # one row of total

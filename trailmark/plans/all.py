@@ -1,5 +1,5 @@
 """All query modules; importing this registers their queries."""
 
-from . import rows, scans_sinks
+from . import aggregates, joins, rows, scans_sinks, sequences, streams
 
-__all__ = ["rows", "scans_sinks"]
+__all__ = ["aggregates", "joins", "rows", "scans_sinks", "sequences", "streams"]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailmark.functions import columns as K
-from trailmark.operators.sequences import greedy_throttle
 
 from .scans_sinks import BRANCH, apps, in_branch_or_free
 from .views import Tables, op
@@ -351,9 +350,3 @@ def v4(t: Tables):
 @op("v7_rescale", "SELECT frame_num, box, x1 * 1.5 AS x1, y1 * 0.75 AS y1, x2 * 1.5 AS x2, y2 * 0.75 AS y2 FROM boxes")
 def v7(t: Tables):
     return t.boxes.select("frame_num", "box", *[(c(k) * s).alias(k) for k, s in (("x1", 1.5), ("y1", 0.75), ("x2", 1.5), ("y2", 0.75))])
-
-
-@op("sk12_positions_5hz", None)
-def sk12(t: Tables):
-    """Snapshots at most every 30 s per camera, as the writer's trigger makes them."""
-    return greedy_throttle(t.observations, "camera_id", "us", 30_000_000)

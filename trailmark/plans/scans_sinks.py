@@ -35,9 +35,9 @@ def sc2(t: Tables):
     return t.users.groupBy("full_name").agg(F.min("id").alias("id"))
 
 
-@op("sc3_cameras", "SELECT c.id, name, camera_type FROM cameras c JOIN branches b ON c.branch_id = b.id WHERE lower(code) = 'nation_2' AND (application = 'attendance' OR application LIKE '%\"attendance\"%')")
+@op("sc3_cameras", "SELECT c.id, name, camera_type FROM cameras c JOIN branches b ON c.branch_id = b.id WHERE lower(code) = 'nation_3' AND (application = 'attendance' OR application LIKE '%\"attendance\"%')")
 def sc3(t: Tables):
-    b = F.broadcast(t.branches.where(F.lower("code") == "nation_2").select(c("id").alias("branch_id")))
+    b = F.broadcast(t.branches.where(F.lower("code") == "nation_3").select(c("id").alias("branch_id")))
     return t.cameras.join(b, "branch_id").where(F.array_contains(apps(c("application")), "attendance")).select("id", "name", "camera_type")
 
 

@@ -165,6 +165,12 @@ def st3(t: Tables):
     return greedy_throttle(t.observations, "user_id", "us", 21_600_000_000)
 
 
+@op("sk12_snapshots", _fold("observations", "camera_id", 7200000000))
+def sk12(t: Tables):
+    """Snapshots at most every two hours per camera, as a writer's trigger makes them (the testbed is slow)."""
+    return greedy_throttle(t.observations, "camera_id", "us", 7_200_000_000)
+
+
 @op("st4_identity_throttle", _fold("observations WHERE event_type <> 'error'", "camera_id", 7200000000))
 def st4(t: Tables):
     """Claims across cameras: cancelled ones (here: errors) never count."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import registry
 from trailmark.operators.geometry import homographies, undistorted
+from trailmark.sources import messages
 from trailmark.streaming import twins
 
 from .views import Tables, op
@@ -83,3 +84,54 @@ def v5(t: Tables):
     x, y = (c("n") % 2 * 100).cast("double"), F.floor(c("n") / 2).cast("double") * 100
     points = points.select("camera_id", "n", x.alias("x"), y.alias("y"), (x * 2 + c("camera_id") + 10).alias("u"), (y * 3 + x * 0.5 - 5).alias("v"))
     return homographies(points).select("camera_id", "inliers", c("error").isNotNull().alias("failed"))
+
+
+@op("sc10_events", "SELECT event_type, count(*) AS n FROM observations WHERE event_type IN ('click', 'view') GROUP BY 1")
+def sc10(t: Tables):
+    """A listener's stream of JSON events, filtered by type."""
+    place = folder(t, "events")
+    t.observations.select("event_type", F.lit("1.0").alias("version"), F.to_json(F.struct("user_id")).alias("data")).write.json(place)
+    heard = messages.event_stream(t.spark, place, ["click", "view"])
+    return twins.run_to_table(heard, folder(t, "sc10"), folder(t, "sc10-state")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@op("sc11_images", "SELECT 2::BIGINT AS files, true AS sized")
+def sc11(t: Tables):
+    """Files by reference: paths and sizes, without reading what is in them."""
+    place = folder(t, "images")
+    t.branches.where("id < 8").repartition(2).select("code").write.text(place)
+    return messages.images(t.spark, place).where(c("path").contains("part-")).agg(F.count("*").alias("files"), (F.min("length") > 0).alias("sized"))
+
+
+@op("sc17_answers", "SELECT CAST(user_id AS VARCHAR) AS crop_id, arg_max(event_type, id) AS answer FROM observations WHERE id % 3 = 0 GROUP BY user_id")
+def sc17(t: Tables):
+    """Cached answers in JSON lines; those of another prompt are ignored, the last of a crop wins."""
+    place = folder(t, "answers")
+    rows = t.observations.select(c("user_id").cast("string").alias("crop_id"), F.when(c("id") % 3 == 0, "now").otherwise("old").alias("prompt_hash"), c("event_type").alias("answer"), c("id").alias("at"))
+    messages.export_json(rows, place)
+    return messages.answers(t.spark, place, "now")
+
+
+@op("st8_micro_batches", "SELECT 3::BIGINT AS batches, count(*) AS n FROM observations")
+def st8(t: Tables):
+    """The size of a micro-batch is bounded by files per trigger and comes out as a column."""
+    good, dead = folder(t, "st8"), folder(t, "st8-dead")
+    twins.consume(fed(t), good, dead, folder(t, "st8-state")).awaitTermination()
+    rows = t.spark.read.parquet(good).select("batch_id").unionAll(t.spark.read.parquet(dead).select("batch_id"))
+    return rows.agg(F.count_distinct("batch_id").alias("batches"), F.count("*").alias("n"))
+
+
+@op("st14_reload", "SELECT o.id, u.full_name FROM observations o JOIN users u ON u.id = o.user_id WHERE u.id % 2 = 0")
+def st14(t: Tables):
+    """The static side is read anew for every micro-batch; an empty (invalid) one is refused, and the last good one stays."""
+    people, out = folder(t, "people"), folder(t, "st14")
+    t.users.where("id % 2 = 0").select(c("id").alias("user_id"), "full_name").write.parquet(people)
+    good: dict = {}
+
+    def join(batch, batch_id: int) -> None:
+        now = t.spark.read.parquet(people)
+        good["people"] = now if now.limit(1).count() else good["people"]
+        batch.join(good["people"], "user_id").select("id", "full_name").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    fed(t).writeStream.foreachBatch(join).option("checkpointLocation", folder(t, "st14-state")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(out).select("id", "full_name")

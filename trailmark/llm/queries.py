@@ -116,3 +116,33 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(read(spark, sf_dir, "documents"))
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+_bits = " + ".join(f"CASE WHEN {failed} THEN {1 << i} ELSE 0 END" for i, failed in enumerate(rules.RULES.values()))
+ORACLES["op2_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+tri AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, unnest(list_transform(range(1, len(words) - 1), lambda k: array_to_string(words[k:k + 2], ' '))) AS w FROM d WHERE len(words) > 2),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM tri),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+rows AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+counted AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM rows WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    coalesce(n_lines, 0)::BIGINT AS n_lines, length(regexp_replace(text, '\\P{{L}}', '', 'g'))::BIGINT AS n_letters, length(regexp_replace(text, '[^\\p{{Lu}}\\p{{Lt}}]', '', 'g'))::BIGINT AS n_upper,
+    coalesce(list_max(list_transform(words, lambda w: length(w))), 0)::BIGINT AS max_word_chars
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN counted USING (doc_id)),
+l AS (SELECT *, ({_bits})::BIGINT AS fail_bits FROM m)
+SELECT *, fail_bits & {rules.mask(rules.BASE)} <> 0 AS base_failed, fail_bits & {rules.mask(rules.POLICIES[rules.CURRENT]) | rules.mask(rules.BASE)} = 0 AS kept, '{rules.CURRENT}' AS policy FROM l"""
+
+#: All pairs that share a shingle: for small tables.
+ORACLES["op5_ngram_jaccard"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(2, len(words) - 3)), lambda k: array_to_string(words[k:k + 4], ' '))) AS shingle FROM d WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+r AS (SELECT a AS id, a AS reach FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce((SELECT min(reach) FROM r WHERE r.id = d.doc_id), d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id"""

@@ -72,9 +72,8 @@ def measure(texts: list[str | None], memo: WordHashes) -> pd.DataFrame:
         code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = letters()[code]
         changed = np.frombuffer("".join(c if len(c := x.lower()) == 1 else x for x in t).encode("utf-32-le", "surrogatepass"), np.uint32) if not t.isascii() and len(t.lower()) != len(t) else np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        longest = max(map(len, words), default=0)
-        if longest > 1000:
-            longest = max(len(w.decode("utf-8", "surrogatepass")) for w in words)
+        longest = len(max(words, key=len).decode("utf-8", "surrogatepass")) if words else 0
+        longest = max([longest, *(len(w.decode("utf-8", "surrogatepass")) for w in {w for w in words if len(w) > longest})])
         rows.append((len(words), len(t) - sum(map(t.count, SPACE)), sum(map(t.count, SYMBOLS)), n_dup, 0, n_lines, int(letter.sum()), int((changed != code)[letter].sum()), longest))
     out = pd.DataFrame(rows, columns=MEASURES).astype(np.int64)
     out["n_repeat_words"] = repeated(hashes)

@@ -256,9 +256,10 @@ def may_link(a: str, b: str, t: int):
     return (low * 100 >= high * t) & (differ * (100 + t) <= (c(f"{a}.n") + c(f"{b}.n")) * (100 - t))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
-    """Those of the pairs (a, b) of representatives whose sets reach the similarity; their texts are read anew."""
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+def verified(pairs: DataFrame, docs: DataFrame, n: int, t: int, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Those of the pairs (a, b) of representatives whose sets reach the similarity, and all pairs tried; texts are read anew, pairs in ``tried`` are known."""
+    pairs = pairs.select("a", "b").distinct()
+    pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     few = ids.count() <= BROADCAST_IDS
     texts = id_and_text(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -271,7 +272,8 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
     sets = written(texts.mapInArrow(run, "id long, elements array<long>"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return written(both.where(common * (100 + t) >= (F.size("x") + F.size("y")) * t).select("a", "b"), "links")
+    links = written(both.where(common * (100 + t) >= (F.size("x") + F.size("y")) * t).select("a", "b"), "links")
+    return links, pairs if tried is None else pairs.unionByName(tried)
 
 
 def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFrame:
@@ -294,7 +296,7 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
         left = stars.join(one, F.col("c") == F.col("r.d1")).select("x", F.struct("r.*").alias("r"))
         return left.join(two, (F.col("x") == F.col("s.d1")) & may_link("r", "s", t)).select(F.least("r.rep", "s.rep").alias("a"), F.greatest("r.rep", "s.rep").alias("b")).where("a <> b")
 
-    links = verified(pairs_of(shared.select(F.col("center").alias("c"), "x")), docs, n, t)
+    links, tried = verified(pairs_of(shared.select(F.col("center").alias("c"), "x")), docs, n, t)
     labels = connected_components(links)
 
     def members(labels: DataFrame) -> DataFrame:
@@ -305,14 +307,15 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
         return rows.join(mixed, "key")
 
     again = members(labels)
-    links = links.unionByName(verified(pairs_of(again.select("c", "x")), docs, n, t))
+    more, tried = verified(pairs_of(again.select("c", "x")), docs, n, t, tried)
+    links = links.unionByName(more)
     labels = written(connected_components(links), "labels")
     rest = written(members(labels).select("key", "x", "label"), "rest")
     full = rest.join(reps.withColumnRenamed("d1", "x"), "x")
     left, right = full.alias("r"), full.alias("s")
     across = left.join(right, (F.col("r.key") == F.col("s.key")) & (F.col("r.rep") < F.col("s.rep")) & (F.col("r.label") != F.col("s.label")) & may_link("r", "s", t))
-    links = links.unionByName(verified(across.select(F.col("r.rep").alias("a"), F.col("s.rep").alias("b")), docs, n, t))
-    labels = connected_components(links)
+    more, _ = verified(across.select(F.col("r.rep").alias("a"), F.col("s.rep").alias("b")), docs, n, t, tried)
+    labels = connected_components(links.unionByName(more))
 
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
     out = table.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")

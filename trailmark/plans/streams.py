@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from trailmark.operators import registry
 from trailmark.operators.geometry import homographies, undistorted
+from trailmark.session import shared_folder
 from trailmark.sources import messages
 from trailmark.streaming import twins
 
@@ -18,8 +18,7 @@ c = F.col
 
 
 def folder(t: Tables, name: str) -> str:
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="trailmark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def fed(t: Tables, parts: int = 3):

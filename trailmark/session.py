@@ -32,9 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it is unset and all runs on one machine, as in tests, one is made."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("trailmark.shared.folder", None)
+    if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="trailmark-")
+        spark.conf.set("trailmark.shared.folder", folder)
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the folder of ``spark.checkpoint.dir``; only where none is set, as in tests, one is made."""
+    """``df`` with its lineage cut in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="trailmark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import shared_dir, written
+from trailmark.session import shared_folder
+
+from .shared import written
 
 ARCHIVE_BYTES, READ_BYTES = 256 << 20, 256 << 10
 #: Version line, and profile of revisits with an equal payload.
@@ -87,7 +89,7 @@ def planned(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes every row as a record and returns (archive, records, bytes), one row per archive."""
-    target = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    target = folder or f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

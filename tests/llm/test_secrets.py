@@ -48,6 +48,27 @@ def test_base_and_linked(spark):
             assert not added, (r.doc_id, added)
 
 
+def test_whole_weak_parts(spark):
+    """Values after '=', with padding, and of any length."""
+    long = RANDOM * 5
+    name = "bob." * 30 + "x"
+    url = "https://db.example.com/" + "path/" * 80
+    cases = [
+        (f"{KEY}\nAWS_SECRET_ACCESS_KEY={RANDOM}\n", "weak_secret", RANDOM),
+        (f"export AWS_ACCESS_KEY_ID={KEY}; export AWS_SECRET_ACCESS_KEY='{RANDOM}'", "weak_secret", RANDOM),
+        (f"?id={KEY}&sig={RANDOM}&x=1", "weak_secret", RANDOM),
+        (f"{KEY} {RANDOM}=", "weak_secret", RANDOM + "="),
+        (f"{KEY} KEY={RANDOM}==", "weak_secret", RANDOM + "=="),
+        (f"{KEY} {long} end", "weak_secret", long),
+        (f"user={name} {RANDOM}", "weak_id", name),
+        (f"{KEY} token=abcdefgh1 {url}", "endpoint", url),
+    ]
+    for r in secrets.digests(spark.createDataFrame([(i, x[0]) for i, x in enumerate(cases)], "doc_id long, text string")).collect():
+        text, kind, part = cases[r.doc_id]
+        stop = text.find(part) + len(part)
+        assert any(x.startswith(f"{kind}:") and x.endswith(f":{stop}") for x in r.spans.split(",")), (text, r.spans)
+
+
 def test_scopes_across_buckets(spark):
     """Existence in scope, against all pairs, at many distances."""
     rows = []

@@ -35,6 +35,15 @@ def test_items_and_reparameterised_items(spark):
     assert found == {0: ([], 0), 1: ([], 0), 2: ([2], 0), 3: ([1], 1), 4: ([], 0), 5: ([], 0), 6: ([3], 0), 7: ([], 0), 8: ([1, 2], 0), 9: ([], 0), None: ([], 0)}
 
 
+def test_each_pattern_of_a_template(spark):
+    """Items with equal templates whose slots repeat differently, and one without an id."""
+    form = "%s has %d apples in a basket and puts them beside the %d apples that %s left on the kitchen table"
+    items = [(1, "Now " + form % ("Tom", 5, 5, "Tom")), (2, "Now " + form % ("Anna", 3, 4, "Boris")), (3, "Then the old bridge over the quiet river was closed for the whole winter"), (None, "Then the old bridge over the quiet river was closed for the whole winter")]
+    docs = [(1, items[0][1]), (2, items[1][1]), (3, "Now " + form % ("Olga", 8, 9, "Igor")), (4, items[2][1])]
+    assert {r.doc_id: (r.items, r.n_reparameterised) for r in result(spark, docs, items)} == {1: ([1], 0), 2: ([2], 0), 3: ([2], 1), 4: ([3], 0)}
+    assert [r.contaminated for r in result(spark, docs[3:], items[3:])] == [True]
+
+
 def test_empty_tables(spark):
     assert result(spark, []) == []
     assert [r.contaminated for r in result(spark, [(1, "some text of a document")], [])] == [False]

@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose punctuation and case; numbers, units and names (capitalised words inside a sentence) become typed
-placeholders. What remains of an item is its template; items with equal templates stand together under the smallest item_id. Windows of
+placeholders. What remains of an item is its template; items with equal templates whose slots repeat alike (their pattern) stand together under the smallest item_id, and
+a document is held against each pattern. Windows of
 ``WINDOW`` template words, at least half of them literal, are hash-joined between documents and templates. Where
 a document's windows agree with a template's along one alignment, the values in the slots must agree too: each value of the
 item always stands for one value in the document. Then a question that only got other numbers or names is
@@ -114,8 +115,14 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, np.concatenate([*parts, np.empty(0, _U)]).view(np.int64))
 
 
+def pattern_of(value: np.ndarray, slot: np.ndarray) -> int:
+    """Which slots have equal values."""
+    _, first, each = np.unique(value[slot], return_index=True, return_inverse=True)
+    return xxhash.xxh3_64_intdigest(first[each].astype(np.int64).tobytes()) - 2**63
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """(template, item_id, n, at, h, wanted): the windows of each template, once; ``wanted`` are the item's slot values."""
+    """(template, pattern, item_id, n, at, h, wanted): the windows of each template and pattern, once; ``wanted`` are the slot values of its smallest item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = TemplateWords()
@@ -126,13 +133,14 @@ def item_windows(items: DataFrame) -> DataFrame:
                 if n:
                     whole = int(windows(template, len(template))[0].view(np.int64))
                     at, h, seen = window_rows(template, value, slot, n)
-                    out += zip([whole] * len(at), [item] * len(at), [n] * len(at), at.tolist(), h.view(np.int64).tolist(), [x.view(np.int64) for x in seen], strict=True)
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:5]] + [lists([x.view(_U) for x in columns[5]])], ["template", "item_id", "n", "at", "h", "wanted"])
+                    out += zip([whole] * len(at), [pattern_of(value, slot)] * len(at), [item] * len(at), [n] * len(at), at.tolist(), h.view(np.int64).tolist(), [x.view(np.int64) for x in seen], strict=True)
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:6]] + [lists([x.view(_U) for x in columns[6]])], ["template", "pattern", "item_id", "n", "at", "h", "wanted"])
 
     rows = items.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(run, "template long, item_id long, n long, at long, h long, wanted array<long>")
-    first = rows.groupBy("template", "at").agg(F.min("item_id").alias("item_id"), F.min_by("n", "item_id").alias("n"), F.min_by("h", "item_id").alias("h"), F.min_by("wanted", "item_id").alias("wanted"))
+    rows = rows.mapInArrow(run, "template long, pattern long, item_id long, n long, at long, h long, wanted array<long>")
+    one = F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "n", "h", "wanted")).alias("one")
+    first = rows.groupBy("template", "pattern", "at").agg(one).select("template", "pattern", "at", "one.item_id", "one.n", "one.h", "one.wanted")
     return written(first, "templates")
 
 
@@ -162,14 +170,16 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(np.concatenate(hashes).view(np.int64)), lists(seen)], ["doc_id", "place", "h", "seen"])
 
     found = id_and_text(docs.where("doc_id is not null")).mapInArrow(run, "doc_id long, place long, h long, seen array<long>")
-    hits = written(found.join(targets, "h").select("doc_id", "template", "item_id", "at", (c("place") - c("at")).alias("shift"), "wanted", "seen"), "hits")
-    slots = hits.select("doc_id", "template", "shift", F.explode(F.arrays_zip("wanted", "seen")).alias("s")).where("s.wanted <> 0 or s.seen <> 0")
-    per_value = slots.select("doc_id", "template", "shift", "s.wanted", "s.seen").groupBy("doc_id", "template", "shift", "wanted").agg(F.min("seen").alias("low"), F.max("seen").alias("high"))
-    alignment = per_value.groupBy("doc_id", "template", "shift").agg(F.bool_and(c("low") == c("high")).alias("consistent"), F.bool_and((c("low") == c("high")) & (c("low") == c("wanted"))).alias("same"))
-    judged = hits.join(alignment, ["doc_id", "template", "shift"], "left").where(F.coalesce("consistent", F.lit(True)))
-    n_windows = targets.groupBy("template").agg(F.count("*").alias("n_windows"))
-    covered = judged.groupBy("doc_id", "template").agg(F.min("item_id").alias("item_id"), F.count_distinct("at").alias("covered"), F.bool_and(F.coalesce("same", F.lit(True))).alias("exact"))
-    return covered.join(n_windows, "template").where(c("covered") >= COVERAGE * c("n_windows")).select("doc_id", "item_id", (c("covered") / c("n_windows")).alias("coverage"), "exact")
+    of = ["template", "pattern"]
+    hits = written(found.join(targets, "h").select("doc_id", *of, "item_id", "at", (c("place") - c("at")).alias("shift"), "wanted", "seen"), "hits")
+    slots = hits.select("doc_id", *of, "shift", F.explode(F.arrays_zip("wanted", "seen")).alias("s")).where("s.wanted <> 0 or s.seen <> 0")
+    per_value = slots.select("doc_id", *of, "shift", "s.wanted", "s.seen").groupBy("doc_id", *of, "shift", "wanted").agg(F.min("seen").alias("low"), F.max("seen").alias("high"))
+    alignment = per_value.groupBy("doc_id", *of, "shift").agg(F.bool_and(c("low") == c("high")).alias("consistent"), F.bool_and((c("low") == c("high")) & (c("low") == c("wanted"))).alias("same"))
+    judged = hits.join(alignment, ["doc_id", *of, "shift"], "left").where(F.coalesce("consistent", F.lit(True)))
+    n_windows = targets.groupBy(*of).agg(F.count("*").alias("n_windows"))
+    covered = judged.groupBy("doc_id", *of).agg(F.min("item_id").alias("item_id"), F.count_distinct("at").alias("covered"), F.bool_and(F.coalesce("same", F.lit(True))).alias("exact"))
+    enough = covered.join(n_windows, of).where(c("covered") >= COVERAGE * c("n_windows"))
+    return enough.groupBy("doc_id", "template").agg(F.min("item_id").alias("item_id"), F.max(c("covered") / c("n_windows")).alias("coverage"), F.bool_or("exact").alias("exact")).drop("template")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:

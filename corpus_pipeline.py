@@ -38,11 +38,27 @@ def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component; of rows that repeat it, one."""
-    found = written(jaccard.components(docs).where("doc_id is not null"), "components")
-    kept = without(docs, found.where("doc_id <> component_id"))
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Keeps the first document (by doc_id, null last, then key) of each component; of rows that repeat both doc_id and text, one.
+
+    Rows are known by a key of doc_id and text, so rows that share a doc_id, or have none, are documents of their own.
+    """
+    c = F.col
+    key = F.xxhash64(c("doc_id").cast("long"), c("text").cast("string"))
+    found = written(jaccard.components(docs.select(key.alias("doc_id"), "text")).select(c("doc_id").alias("_key"), "component_id"), "components")
+    linked = found.where("_key <> component_id").distinct()
+    members = linked.union(linked.select(c("component_id").alias("_key"), "component_id").distinct())
+    order = F.struct(c("doc_id").isNull().alias("none"), c("doc_id").alias("id"), c("_key").alias("key"))
+    ordered = written(docs.select("doc_id", key.alias("_key")).distinct().join(members, "_key").select("component_id", "_key", order.alias("order")), "members")
+    first = ordered.groupBy("component_id").agg(F.min("order").alias("first")).select(c("first.key").alias("_key"))
+    dropped = written(ordered.select("_key").join(first, "_key", "left_anti"), "dropped")
+    repeated = written(found.groupBy("_key").count().where("count > 1").select("_key"), "repeated")
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "_key", how)
+
+    kept = among(docs.withColumn("_key", key), dropped, "left_anti")
+    once = among(kept, repeated, "left_anti").unionByName(among(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return once.select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,16 @@ def test_clean_documents_stay(spark):
     assert corpus_pipeline.first_lines(spark, docs, "").count() == 3
     assert corpus_pipeline.one_of_each_group(spark, docs, "").count() == 3
     assert langid.FOLDS == 5
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Clean texts that share a doc_id or have none stay; near copies and repeated rows go, whatever their ids."""
+    text = {k: " ".join(f"{k}{i}word" for i in range(60)) for k in "abcdefg"}
+    rows = [(1, text["a"]), (1, text["b"]), (1, text["b"]), (2, text["c"]), (3, text["c"] + " end"), (None, text["d"]), (None, text["e"]), (None, text["e"] + " end"), (None, text["c"]), (4, text["f"])]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    want = [(1, text["a"]), (1, text["b"]), (2, text["c"]), (4, text["f"]), (None, text["d"]), "e"]
+    out = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == len(want) and set(want[:-1]) < set(got) and sum(i is None and t.startswith(text["e"]) for i, t in got) == 1
+    assert len(corpus_pipeline.one_of_each_group(spark, docs.where("doc_id is null"), "").collect()) == 3

@@ -44,6 +44,18 @@ def test_each_pattern_of_a_template(spark):
     assert [r.contaminated for r in result(spark, docs[3:], items[3:])] == [True]
 
 
+def test_names_that_begin_and_items_of_slots(spark):
+    """Renamed sentence starts, a heading or list before an item, and items that are mostly numbers and names."""
+    form = "%s bakes %d loaves of rye bread every morning before the sun comes up. %s sells half of these loaves at the market. %s gives 3 of them to the old miller. How many loaves are left over?"
+    items = [(1, form % ("Tom", 12, "Anna", "Tom")), (2, "Name the capital now"), (3, "What is 12 * 7 + 3?"), (4, "List Anna Boris Carla Denis Emil Fritz Gerda Hans Ida Jens Karl")]
+    docs = [
+        (1, "intro words " + form % ("Igor", 40, "Olga", "Igor")), (2, "intro words " + form % ("Igor", 40, "Olga", "Paul")), (3, "Some heading\n- Name the capital now"), (4, "so What is 12 * 7 + 3? thanks"),
+        (5, "so what is 12 * 7 + 4? thanks"), (6, items[3][1].lower() + " end"), (7, items[3][1].replace("Fritz", "Felix")), (8, items[0][1]), (9, "heading\n" + items[0][1]),
+    ]
+    got = {r.doc_id: (r.items, r.n_reparameterised) for r in result(spark, docs, items)}
+    assert got == {1: ([1], 1), 2: ([], 0), 3: ([2], 0), 4: ([3], 0), 5: ([], 0), 6: ([4], 0), 7: ([], 0), 8: ([1], 0), 9: ([1], 0)}
+
+
 def test_empty_tables(spark):
     assert result(spark, []) == []
     assert [r.contaminated for r in result(spark, [(1, "some text of a document")], [])] == [False]

@@ -9,11 +9,15 @@ item always stands for one value in the document. Then a question that only got
 caught, and a sentence that merely has the same shape is not. A document is contaminated by an item if consistent
 alignments cover ``COVERAGE`` of the template's windows.
 
+A capitalised word may be a name or not where a sentence (first reading: no name) or a line (first reading: a name) begins. Windows that
+hold such words stand in every combination of their readings. An alignment is judged by first readings alone, and by all; either may do.
+An item without a window that is half literal, but with a literal word, matches only as a whole, with its own values.
+
 Before the join a bitmap of fixed size (``BITMAP_BITS``, built from the templates' windows, no false negatives) lets tasks drop windows
 that no template has, so only windows that probably match are ever shuffled; they carry their slot values, and the text is read once.
 
-Cases: null or empty text has no windows (not contaminated); items of fewer words than a window count as one window; items whose windows
-are mostly placeholders match nothing; repeated rows have equal results; rows that share a doc_id share the result; null doc_id is never
+Cases: null or empty text has no windows (not contaminated); items of fewer words than a window count as one window; items without a
+literal word match nothing; repeated rows have equal results; rows that share a doc_id share the result; null doc_id is never
 contaminated; very long texts are scanned whole; other columns are ignored; without documents the result is empty, without items nothing is contaminated.
 """
 
@@ -43,6 +47,7 @@ MEASURED = re.compile(r"([$€£¥]?[+-]?\d[\d.,/]*)([A-Za-z]+)")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 KIND_OF = {w: NUMBER for w in NUMBERS.split()} | {w: UNIT for w in UNITS.split()}
 _U = np.uint64
+HOLDER, EXACT, READ_AT_ONCE = mix(np.arange(1, 6, dtype=_U)), _U(0x5DEECE66D), 100_000
 
 
 class TemplateWords(dict):
@@ -71,76 +76,143 @@ class TemplateWords(dict):
         self.ends.append(word.rstrip("\"')]*#$%&|<>")[-1:] in (".", "!", "?", ":"))
         return out
 
-    def templates(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each text: template hashes, values, and which words are slots."""
+    def templates(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text: template hashes, values, which words are slots, and which have another reading."""
         if len(self) > MEMO:
             self.clear()
             self.kind, self.value, self.ends = [], [], []
-        words = [(t or "").split() for t in texts]
+        words, firsts = [], []
+        for t in texts:
+            row: list[str] = []
+            first = []
+            for line in (t or "").splitlines():
+                first.append(len(row))
+                row += line.split()
+            words.append(row)
+            firsts.append(first)
         rows = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in words]
         kinds, values, ends = np.array(self.kind, np.int8), np.array(self.value, _U), np.array(self.ends, bool)
-        holder = mix(np.arange(1, 6, dtype=_U))
-        for at in rows:
+        for at, first in zip(rows, firsts, strict=True):
             kind = kinds[at]
             kept = kind != DROPPED
             begins = np.r_[True, ends[at][:-1]] if len(at) else np.empty(0, bool)
+            fresh = np.zeros(len(at) + 1, bool)
+            fresh[first] = True
+            # Dropped words do not keep the next one from beginning a sentence or line.
+            fresh = np.diff(np.cumsum(fresh[:-1] | begins)[kept], prepend=0) > 0
+            other = (kind == NAME)[kept] & fresh
             kind = np.where((kind == NAME) & begins, LITERAL, kind)[kept]
             value = values[at[kept]]
             slot = kind != LITERAL
-            yield np.where(slot, holder[kind], value), value, slot
+            yield np.where(slot, HOLDER[kind], value), value, slot, other
+
+
+def sums(flags: np.ndarray, n: int) -> np.ndarray:
+    """How many of each window of n."""
+    total = np.r_[0, np.cumsum(flags)]
+    return total[n:] - total[: len(total) - n]
+
+
+def window_rows(texts: list[tuple], n: int, bitmap: np.ndarray | None = None):
+    """(text, place, hash, slot values (0 at literals), first reading) of the windows of n words in ``templates`` of texts, as far as half literal and in the bitmap."""
+    count = [len(t[0]) for t in texts]
+    start = np.r_[0, np.cumsum(count)].astype(np.int64)
+    if start[-1] < n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U), np.empty((0, n), _U), np.empty(0, bool)
+    template, value, slot, other = (np.concatenate([t[i] for t in texts]) for i in range(4))
+    of = np.repeat(np.arange(len(texts)), count)
+    whole = of[: len(of) - n + 1] == of[n - 1 :]
+    at, h, seen = [], [], []
+
+    def keep(rows: np.ndarray, hashes: np.ndarray, slots: np.ndarray) -> None:
+        ok = 2 * slots.sum(1) <= n
+        at.append(rows[ok])
+        h.append(hashes[ok])
+        seen.append(np.where(slots[ok], view(value, n)[rows[ok]], _U(0)))
 
+    every = windows(template, n)
+    rows = np.flatnonzero(whole & (2 * sums(slot, n) <= n) & in_bitmap(every, bitmap))
+    keep(rows, every[rows], view(slot, n)[rows])
+    first = len(rows)
+    also, places = np.where(whole, sums(other, n), 0), np.flatnonzero(other)
+    before = np.r_[0, np.cumsum(other)]
+    for k in np.unique(also[also > 0]).tolist():
+        found = np.flatnonzero(also == k)
+        for rows in np.split(found, np.arange(READ_AT_ONCE, len(found), READ_AT_ONCE)):
+            where = places[before[rows][:, None] + np.arange(k)] - rows[:, None]
+            for mask in range(1, 1 << k):
+                turned = where[:, [i for i in range(k) if mask >> i & 1]]
+                slots, words = view(slot, n)[rows], view(template, n)[rows]
+                flip = ~np.take_along_axis(slots, turned, 1)
+                np.put_along_axis(slots, turned, flip, 1)
+                np.put_along_axis(words, turned, np.where(flip, HOLDER[NAME], np.take_along_axis(view(value, n)[rows], turned, 1)), 1)
+                hashes = row_hashes(words)
+                ok = in_bitmap(hashes, bitmap)
+                keep(rows[ok], hashes[ok], slots[ok])
+    at = np.concatenate(at)
+    return of[at], at - start[of[at]], np.concatenate(h), np.concatenate(seen), np.arange(len(at)) < first
 
-def eligible(slot: np.ndarray, n: int) -> np.ndarray:
-    """Windows of n words of which at least half are literal."""
-    total = np.r_[0, np.cumsum(~slot)]
-    return 2 * (total[n:] - total[: len(total) - n]) >= n
 
+def exact_rows(texts: list[tuple], n: int, bitmap: np.ndarray | None = None):
+    """As ``window_rows``: the windows of n words with their values, as they stand."""
+    own = [(mix(value ^ EXACT), value, np.zeros(len(value), bool), np.zeros(len(value), bool)) for _, value, _, _ in texts]
+    return window_rows(own, n, bitmap)
 
-def window_rows(template: np.ndarray, value: np.ndarray, slot: np.ndarray, n: int, bitmap: np.ndarray | None = None):
-    """Places, hashes and slot values (0 at literals) of the windows of n words, as far as eligible and in the bitmap."""
-    if len(template) < n:
-        return np.empty(0, np.int64), np.empty(0, _U), []
-    h = windows(template, n)
-    ok = eligible(slot, n)
-    if bitmap is not None:
-        bit = h & _U(BITMAP_BITS - 1)
-        ok &= (bitmap[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) != 0
-    at = np.flatnonzero(ok)
-    seen = np.where(slot, value, _U(0))
-    return at, h[at], [seen[i : i + n] for i in at]
 
+def view(a: np.ndarray, n: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(a, n)
 
-def lists(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, np.concatenate([*parts, np.empty(0, _U)]).view(np.int64))
 
+def row_hashes(words: np.ndarray) -> np.ndarray:
+    """``windows`` of each row as a whole."""
+    n = words.shape[1]
+    out = np.full(len(words), _U(n))
+    for i in range(n):
+        out = mix(out * _U(0x9E3779B97F4A7C15) + words[:, i])
+    return out
 
-def pattern_of(value: np.ndarray, slot: np.ndarray) -> int:
-    """Which slots have equal values."""
-    _, first, each = np.unique(value[slot], return_index=True, return_inverse=True)
-    return xxhash.xxh3_64_intdigest(first[each].astype(np.int64).tobytes()) - 2**63
+
+def in_bitmap(h: np.ndarray, bitmap: np.ndarray | None) -> np.ndarray:
+    if bitmap is None:
+        return np.ones(len(h), bool)
+    bit = h & _U(BITMAP_BITS - 1)
+    return (bitmap[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) != 0
+
+
+def pattern_of(value: np.ndarray, slot: np.ndarray, other: np.ndarray) -> int:
+    """Which words that can be slots have equal values."""
+    _, first, each = np.unique(value[slot | other], return_index=True, return_inverse=True)
+    return xxhash.xxh3_64_intdigest(first[each].astype(np.int64).tobytes() + other.tobytes()) - 2**63
+
+
+ITEM_COLUMNS = ["template", "pattern", "item_id", "n", "at", "h", "plain", "wanted", "whole"]
+ITEM_SCHEMA = pa.schema([*[(x, pa.int64()) for x in ITEM_COLUMNS[:6]], ("plain", pa.bool_()), ("wanted", pa.list_(pa.int64())), ("whole", pa.bool_())])
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(template, pattern, item_id, n, at, h, wanted): the windows of each template and pattern, once; ``wanted`` are the slot values of its smallest item."""
+    """(template, pattern, item_id, n, at, h, plain, whole, wanted): the windows of each template and pattern, once (``plain``: first reading; ``whole``: as they stand); ``wanted`` are the slot values of its smallest item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = TemplateWords()
         for part, texts in rows_of(batches, CHUNK_CHARS):
             out: list[tuple] = []
-            for item, (template, value, slot) in zip(part.column("doc_id").to_pylist(), words.templates(texts), strict=True):
+            for item, one in zip(part.column("doc_id").to_pylist(), words.templates(texts), strict=True):
+                template, value, slot, other = one
                 n = min(WINDOW, len(template))
                 if n:
-                    whole = int(windows(template, len(template))[0].view(np.int64))
-                    at, h, seen = window_rows(template, value, slot, n)
-                    out += zip([whole] * len(at), [pattern_of(value, slot)] * len(at), [item] * len(at), [n] * len(at), at.tolist(), h.view(np.int64).tolist(), [x.view(np.int64) for x in seen], strict=True)
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:6]] + [lists([x.view(_U) for x in columns[6]])], ["template", "pattern", "item_id", "n", "at", "h", "wanted"])
+                    key, pattern = int(windows(template, len(template))[0].view(np.int64)), pattern_of(value, slot, other)
+                    _, at, h, seen, plain = window_rows([one], n)
+                    as_is = not plain.any() and not slot.all()
+                    if as_is:
+                        _, at, h, seen, plain = exact_rows([one], n)
+                        key = int(windows(value, len(value))[0].view(np.int64))
+                    out += [(key, pattern, item, n, *x, as_is) for x in zip(at.tolist(), h.view(np.int64).tolist(), plain.tolist(), seen.view(np.int64).tolist(), strict=True)]
+            yield pa.RecordBatch.from_pylist([dict(zip(ITEM_COLUMNS, x, strict=True)) for x in out], schema=ITEM_SCHEMA)
 
     rows = items.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(run, "template long, pattern long, item_id long, n long, at long, h long, wanted array<long>")
-    one = F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "n", "h", "wanted")).alias("one")
-    first = rows.groupBy("template", "pattern", "at").agg(one).select("template", "pattern", "at", "one.item_id", "one.n", "one.h", "one.wanted")
+    rows = rows.mapInArrow(run, "template long, pattern long, item_id long, n long, at long, h long, plain boolean, wanted array<long>, whole boolean")
+    one = F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "n", "plain", "whole", "wanted")).alias("one")
+    first = rows.groupBy("template", "pattern", "at", "h").agg(one).select("template", "pattern", "at", "h", "one.item_id", "one.n", "one.plain", "one.whole", "one.wanted")
     return written(first, "templates")
 
 
@@ -148,7 +220,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, exact): the items that contaminate a document; exact if every slot has the item's own value."""
     c = F.col
     targets = item_windows(items)
-    sizes = [r.n for r in targets.select("n").distinct().collect()]  # WINDOW numbers at most
+    sizes = [(r.n, r.whole) for r in targets.select("n", "whole").distinct().collect()]  # 2 * WINDOW rows at most
     bit = c("h").bitwiseAND(F.lit(BITMAP_BITS - 1))
     bits = targets.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast((h & 63) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
@@ -159,26 +231,24 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known = TemplateWords(), shared.value.view(_U)
         for part, texts in rows_of(batches, CHUNK_CHARS):
-            ids, places, hashes, seen = [], [], [np.empty(0, _U)], []
-            for doc, (template, value, slot) in zip(part.column("doc_id").to_pylist(), words.templates(texts), strict=True):
-                for n in sizes:
-                    at, h, found = window_rows(template, value, slot, n, known)
-                    ids += [doc] * len(at)
-                    places += at.tolist()
-                    hashes.append(h)
-                    seen += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(np.concatenate(hashes).view(np.int64)), lists(seen)], ["doc_id", "place", "h", "seen"])
-
-    found = id_and_text(docs.where("doc_id is not null")).mapInArrow(run, "doc_id long, place long, h long, seen array<long>")
-    of = ["template", "pattern"]
-    hits = written(found.join(targets, "h").select("doc_id", *of, "item_id", "at", (c("place") - c("at")).alias("shift"), "wanted", "seen"), "hits")
+            ids, each = np.array(part.column("doc_id").to_pylist(), np.int64), list(words.templates(texts))
+            for n, whole in sizes:
+                of, place, h, seen, plain = (exact_rows if whole else window_rows)(each, n, known)
+                values = pa.ListArray.from_arrays(np.arange(0, (len(of) + 1) * n, n, dtype=np.int32), seen.ravel().view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(place), pa.array(h.view(np.int64)), values, pa.array(plain)], ["doc_id", "place", "h", "seen", "first"])
+
+    found = id_and_text(docs.where("doc_id is not null")).mapInArrow(run, "doc_id long, place long, h long, seen array<long>, first boolean")
+    of = ["template", "pattern", "level"]
+    level = F.explode(F.when(c("plain") & c("first"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("level")
+    hits = written(found.join(targets, "h").select("doc_id", "template", "pattern", level, "whole", "item_id", "at", (c("place") - c("at")).alias("shift"), "wanted", "seen"), "hits")
     slots = hits.select("doc_id", *of, "shift", F.explode(F.arrays_zip("wanted", "seen")).alias("s")).where("s.wanted <> 0 or s.seen <> 0")
     per_value = slots.select("doc_id", *of, "shift", "s.wanted", "s.seen").groupBy("doc_id", *of, "shift", "wanted").agg(F.min("seen").alias("low"), F.max("seen").alias("high"))
     alignment = per_value.groupBy("doc_id", *of, "shift").agg(F.bool_and(c("low") == c("high")).alias("consistent"), F.bool_and((c("low") == c("high")) & (c("low") == c("wanted"))).alias("same"))
     judged = hits.join(alignment, ["doc_id", *of, "shift"], "left").where(F.coalesce("consistent", F.lit(True)))
-    n_windows = targets.groupBy(*of).agg(F.count("*").alias("n_windows"))
-    covered = judged.groupBy("doc_id", *of).agg(F.min("item_id").alias("item_id"), F.count_distinct("at").alias("covered"), F.bool_and(F.coalesce("same", F.lit(True))).alias("exact"))
-    enough = covered.join(n_windows, of).where(c("covered") >= COVERAGE * c("n_windows"))
+    levels = F.explode(F.when(c("plain"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("level")
+    n_windows = targets.select("template", "pattern", "at", levels).groupBy(*of).agg(F.count_distinct("at").alias("n_windows"))
+    covered = judged.groupBy("doc_id", *of).agg(F.min("item_id").alias("item_id"), F.bool_or("whole").alias("whole"), F.count_distinct("at").alias("covered"), F.bool_and(F.coalesce("same", F.lit(True))).alias("exact"))
+    enough = covered.join(n_windows, of).where(c("covered") >= F.when(c("whole"), 1).otherwise(COVERAGE) * c("n_windows"))
     return enough.groupBy("doc_id", "template").agg(F.min("item_id").alias("item_id"), F.max(c("covered") / c("n_windows")).alias("coverage"), F.bool_or("exact").alias("exact")).drop("template")
 
 

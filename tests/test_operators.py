@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.functions import columns as K
-from trailmark.operators import geometry, matching, sequences
-from trailmark.sources import messages
+from trailmark.operators import geometry, graph, matching, sequences, throttle
+from trailmark.sources import messages, tables
 
 
 def values(df, *names):
@@ -22,7 +22,7 @@ def test_transition_guard_follows_ids_not_times(spark):
 def test_greedy_throttle_counts_from_what_was_emitted(spark):
     rows = [(1, 0), (1, 150), (1, 250), (1, 440), (1, 450), (1, 2000), (1, 2000), (2, 5)]
     df = spark.createDataFrame(rows, "k long, us long")
-    assert values(sequences.greedy_throttle(df, "k", "us", 200), "k", "us") == [(1, 0), (1, 250), (1, 450), (1, 2000), (2, 5)]
+    assert values(throttle.greedy_throttle(df, "k", "us", 200), "k", "us") == [(1, 0), (1, 250), (1, 450), (1, 2000), (2, 5)]
 
 
 @pytest.mark.parametrize(
@@ -41,7 +41,68 @@ def test_send_once_and_null_tracks(spark):
 
 def test_connected_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
-    assert values(sequences.connected(df), "id", "root") == [(i, 0) for i in range(31)] + [(100, 100), (101, 100)]
+    assert values(graph.connected_components(df), "node", "root") == [(i, 0) for i in range(31)] + [(100, 100), (101, 100)]
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_greedy_throttle_over_blocks(spark, block):
+    """Dense, sparse and empty blocks, ties, negative times, null keys, against a plain fold."""
+    r = np.random.default_rng(3)
+    rows = [(int(k), int(t)) for k, n, top in ((1, 3000, 9000), (2, 60, 100_000), (3, 1, 5)) for t in r.integers(-top, top, n) for k in [k]] + [(1, 7), (1, 7), (None, 3), (4, None)]
+    want = []
+    for k in (1, 2, 3):
+        last = None
+        for t in sorted(t for key, t in rows if key == k):
+            if last is None or t - last >= 100:
+                want.append((k, t))
+                last = t
+    df = spark.createDataFrame(rows, "k long, us long")
+    assert values(throttle.greedy_throttle(df, "k", "us", 100, block), "k", "us") == sorted(want)
+    assert throttle.greedy_throttle(df.where("k > 9"), "k", "us", 100).count() == 0
+
+
+def test_greedy_throttle_of_one_dense_key(spark):
+    rows = spark.range(1_000_000).select(F.lit("a").alias("k"), (F.col("id") * 10).alias("us"))
+    got = throttle.greedy_throttle(rows, "k", "us", 1000)
+    assert got.agg(F.count("*"), F.min("us"), F.max("us")).first()[:] == (10_000, 0, 9_999_000)
+
+
+def test_stored_table(spark, tmp_path):
+    table = tables.StoredTable(spark, f"file://{tmp_path}/t", "k long, v string, at long")
+    rows = lambda *x: spark.createDataFrame(list(x), table.schema)
+    assert table.read().count() == 0 and table.delete(rows((1, "a", 1)).select("k")) == 0
+    table.append(rows((1, "a", 1), (2, "b", 1)))
+    table.append(rows((3, "c", 1)))
+    table.upsert(rows((1, "z", 2), (2, "old", 0), (4, "d", 1)), ["k"], "at")
+    assert values(table.read(), "k", "v") == [(1, "z"), (2, "b"), (3, "c"), (4, "d")]
+    table.insert_ignore(rows((1, "no", 9), (5, "f", 2), (5, "e", 1)), ["k"], "at")
+    assert values(table.read(), "k", "v") == [(1, "z"), (2, "b"), (3, "c"), (4, "d"), (5, "e")]
+    assert table.delete(rows((1, "", 0), (3, "", 0), (9, "", 0)).select("k")) == 2
+    assert values(table.read(), "k") == [(2,), (4,), (5,)]
+
+
+def test_commands(spark):
+    raw = [('{"id": 1, "user_id": 2, "event_type": "a", "stream": "s"}',), ('{"id": 1, "user_id": 2, "event',), ('{"id": 3, "stream": "t"}',), ('{"id": 4}',), ("[]",), ("x" * 6000,), (None,)]
+    got = messages.commands(spark.createDataFrame(raw, "value string"), ["s"]).collect()
+    assert [x.error_type for x in got] == [None, "PARSE_ERROR", "UNKNOWN_STREAM", "UNKNOWN_STREAM", "PARSE_ERROR", "PARSE_ERROR", "PARSE_ERROR"]
+    assert got[0].user_id == 2 and len(got[5].raw) == 5000
+
+
+def test_refused_cameras():
+    k = [[800.0, 0, 320], [0, 800, 240], [0, 0, 1]]
+    for bad_k, bad_d in ((k, [0.1, float("nan"), 0, 0]), ([[float("inf"), 0, 1], *k[1:]], [0.0] * 4), (k[:2], [0.0] * 4), (k, [0.0] * 3)):
+        with pytest.raises(ValueError):
+            geometry.check_coefficients(bad_k, bad_d, False)
+
+
+def test_best_match_in_parts_without_itself(spark):
+    r = np.random.default_rng(1)
+    v = r.normal(size=(40, 5))
+    g = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    s = np.round(v @ v.T, 9) - np.diag([1e9] * 40)
+    for most in (3, 100):
+        got = matching.best_match(g, g, 7, most, but_itself=True)
+        assert values(got, "query_id", "gallery_id") == [(i, int(s[i].argmax())) for i in range(40)]
 
 
 def test_best_match_ties_and_blocks(spark):

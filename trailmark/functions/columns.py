@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, where nested functions of arrays would evaluate it at each mention."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 
@@ -30,7 +35,7 @@ def redact_credentials(url: Column) -> Column:
 
 
 def valid_slug(s: Column) -> Column:
-    return s.rlike("^[a-z0-9_]+$") & (F.char_length(s) <= 63)
+    return s.rlike(r"\A[a-z0-9_]+\z") & (F.char_length(s) <= 63)
 
 
 def foot_point(x1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
@@ -44,6 +49,16 @@ def project(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
     return F.when(w == 0, 0.0).otherwise(row(1) / F.nullif(w, F.lit(0.0))), F.when(w == 0, 0.0).otherwise(row(2) / F.nullif(w, F.lit(0.0)))
 
 
+def distorted(x: Column, y: Column, k: list[list[float]], d: list[float]) -> tuple[Column, Column]:
+    """Where a pinhole camera with radial and tangential distortion (k1, k2, p1, p2, k3) shows an ideal place."""
+    u, v = (x - k[0][2]) / k[0][0], (y - k[1][2]) / k[1][1]
+    r2 = u * u + v * v
+    radial = 1 + r2 * (d[0] + r2 * (d[1] + r2 * d[4]))
+    a = u * radial + 2 * d[2] * u * v + d[3] * (r2 + 2 * u * u)
+    b = v * radial + d[2] * (r2 + 2 * v * v) + 2 * d[3] * u * v
+    return a * k[0][0] + k[0][2], b * k[1][1] + k[1][2]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -54,15 +69,14 @@ def l2_norm(a: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """Zero vectors stay zero."""
-    n = l2_norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))
+    return let(l2_norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double"))))
 
 
 #: Schemes, hosts and domains that a fetch may or may not reach.
 SCHEMES = ["https", "http", "gs"]
 BLOCKED_HOSTS = ["localhost", "metadata.google.internal", "metadata.google.com", "169.254.169.254", "metadata"]
 ALLOWED_DOMAINS = ["storage.googleapis.com", "storage.cloud.google.com"]
-#: IPv4 networks that are never fetched from, as (first octets, prefix length).
+#: IPv4 networks that are never fetched from, as address/prefix length.
 BLOCKED_NETWORKS = ["127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "100.64.0.0/10", "0.0.0.0/8", "224.0.0.0/4", "240.0.0.0/4"]
 
 
@@ -81,20 +95,29 @@ def url_verdict(url: Column) -> Column:
     """Why a URL may not be fetched, or ``ok``; checks in the order scheme, host, blocked host, address, domain."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
-    ipv4 = host.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    blocked = reduce(lambda a, b: a | b, [in_network(F.when(ipv4, ipv4_number(host)), n) for n in BLOCKED_NETWORKS])
-    allowed = reduce(lambda a, b: a | b, [(host == d) | host.endswith("." + d) for d in ALLOWED_DOMAINS])
-    ipv6_blocked = host.rlike(r"^\[(::1|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)\]$")
+
+    def address(number: Column) -> Column:
+        blocked = reduce(lambda a, b: a | b, [in_network(number, n) for n in BLOCKED_NETWORKS])
+        return F.when(blocked, "blocked range").otherwise("ok")
+
+    def of_host(h: Column) -> Column:
+        ipv4 = h.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
+        allowed = reduce(lambda a, b: a | b, [(h == d) | h.endswith("." + d) for d in ALLOWED_DOMAINS])
+        ipv6_blocked = h.rlike(r"^\[(::1|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)\]$")
+        return (
+            F.when(h == "", "no host")
+            .when(h.isin(BLOCKED_HOSTS), "blocked host")
+            .when(ipv4, let(ipv4_number(h), address))
+            .when(h.startswith("["), F.when(ipv6_blocked, "blocked range").otherwise("ok"))
+            .when(allowed, "ok")
+            .otherwise("domain not allowed")
+        )
+
     return (
         F.when(url.isNull() | (url == ""), "empty")
         .when(url.startswith("gs://"), F.when(url.rlike("^gs://[^/]+(/.*)?$"), "ok").otherwise("invalid bucket url"))
         .when(~scheme.isin(SCHEMES), "blocked scheme")
-        .when(host == "", "no host")
-        .when(host.isin(BLOCKED_HOSTS), "blocked host")
-        .when(ipv4, F.when(blocked, "blocked range").otherwise("ok"))
-        .when(host.startswith("["), F.when(ipv6_blocked, "blocked range").otherwise("ok"))
-        .when(allowed, "ok")
-        .otherwise("domain not allowed")
+        .otherwise(let(host, of_host))
     )
 
 

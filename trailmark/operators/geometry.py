@@ -13,6 +13,8 @@ def check_coefficients(k: list[list[float]], d: list[float], fisheye: bool) -> N
         raise ValueError("the camera matrix is 3x3")
     if len(d) not in ((4,) if fisheye else (4, 5, 8, 12, 14)):
         raise ValueError(f"{len(d)} distortion coefficients")
+    if not (np.isfinite(np.asarray(k, float)).all() and np.isfinite(np.asarray(d, float)).all()):
+        raise ValueError("camera matrix and coefficients are finite numbers")
 
 
 def undistort_points(x: np.ndarray, y: np.ndarray, k: np.ndarray, d: np.ndarray, fisheye: bool, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:

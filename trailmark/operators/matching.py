@@ -9,21 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Gallery vectors of a block: what a task holds at once besides a batch of queries.
-BLOCK = 20_000
+#: Gallery vectors of a block, and queries of a part: what a task holds at once.
+BLOCK, QUERIES = 20_000, 50_000
 
 
-def best_match(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(query_id, gallery_id, similarity): the gallery vector with the largest dot product; the smallest id wins ties.
+def best_match(queries: DataFrame, gallery: DataFrame, block: int = BLOCK, most: int = QUERIES, but_itself: bool = False) -> DataFrame:
+    """(query_id, gallery_id, similarity): the gallery vector with the largest dot product; the smallest id wins ties. ``but_itself``: never one of the query's own id.
 
-    The gallery is cut into blocks of bounded size; every query visits every block, a block's products are one matrix
-    product, and only the best of a block leaves the task. So nothing grows with the gallery but the number of blocks.
+    The gallery is cut into blocks and the queries into parts of bounded size; every part visits every block, their products
+    are one matrix product, and only the best of a block leaves the task. So nothing grows with gallery or queries but the
+    number of tasks. Small galleries are dealt to several tasks too.
     """
     n = max(1, math.ceil(gallery.count() / block))
+    parts = max(1, math.ceil(queries.count() / most), 64 // n)
     g = gallery.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), F.col("id").alias("gallery_id"), F.col("embedding").alias("g"))
-    spread = max(1, 64 // n)  # few blocks: the queries of a block are dealt to several tasks, each with its copy of the block
-    g = g.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    q = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"), F.pmod(F.hash("id"), F.lit(spread)).alias("part"), F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    g = g.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block")
+    q = queries.select(every, F.pmod(F.hash("id"), F.lit(parts)).alias("part"), F.col("id").alias("query_id"), F.col("embedding").alias("q"))
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -35,12 +37,13 @@ def best_match(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -> Da
             part = left.iloc[low : low + 1000]
             s = np.stack(part["q"].to_numpy()).astype(float) @ m.T
             s = np.round(s, 9)
+            if but_itself:
+                s[part["query_id"].to_numpy()[:, None] == right["gallery_id"].to_numpy()[None, :]] = -np.inf
             at = s.argmax(1)
             out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy(), "gallery_id": right["gallery_id"].to_numpy()[at], "similarity": s[np.arange(len(part)), at]}))
         return pd.concat(out)
 
     each = q.groupBy("block", "part").cogroup(g.groupBy("block", "part")).applyInPandas(match, "query_id long, gallery_id long, similarity double")
+    each = each.where(F.col("similarity") > float("-inf"))
     best = each.groupBy("query_id").agg(F.max_by(F.struct("gallery_id", "similarity"), F.struct("similarity", -F.col("gallery_id"))).alias("b"))
     return best.select("query_id", "b.gallery_id", "b.similarity")
-
-

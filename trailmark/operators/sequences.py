@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trailmark.session import cut
 
 
 def transition_guard(rows: DataFrame, key: str = "user_id", state: str = "status", order: str = "id") -> DataFrame:
@@ -22,19 +21,6 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return best.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def greedy_throttle(rows: DataFrame, key: str, us: str, cooldown_us: int) -> DataFrame:
-    """(key, us) of what is emitted: a row passes if the last *emitted* one is at least ``cooldown_us`` before. Not a lag: a fold in order."""
-    # After a gap of a cooldown or more a row always passes, so each island between such gaps is folded by itself.
-    w = Window.partitionBy(key).orderBy(us)
-    gap = F.coalesce((F.col(us) - F.lag(us).over(w) >= cooldown_us).cast("int"), F.lit(1))
-    islands = rows.where(F.col(key).isNotNull()).select(key, us).withColumn("_gap", gap).withColumn("_island", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    times = F.sort_array(F.collect_list(us))
-    last = lambda acc: F.element_at(acc, -1)
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - last(acc) >= cooldown_us), F.concat(acc, F.array(x))).otherwise(acc)
-    kept = F.aggregate(times, F.array().cast("array<bigint>"), step)
-    return islands.groupBy(key, "_island").agg(kept.alias("_kept")).select(key, F.explode("_kept").alias(us))
-
-
 def send_once(rows: DataFrame, keys: list[str], order: str, unless_null: str) -> DataFrame:
     """The first row of each key; rows without ``unless_null`` always pass."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
@@ -60,17 +46,3 @@ def sessions(rows: DataFrame, key: str, us: str, gap_us: int) -> DataFrame:
     new = F.coalesce((F.col(us) - F.lag(us).over(w) >= gap_us).cast("int"), F.lit(1))
     marked = rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "session").agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.count("*").alias("n"))
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """(id, root): smallest id reachable over (a, b) links; min-label rounds, each grouped and combined before its shuffle, lineage cut by checkpoint."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        new = labels.join(near, "id").select("id", F.least("root", "near").alias("low"), F.col("root").alias("old"))
-        further = labels.select(F.col("id").alias("low"), F.col("root").alias("further"))
-        moved = cut(new.join(further, "low").select("id", F.least("low", "further").alias("root"), "old"))
-        if not moved.where("root <> old").limit(1).count():
-            return moved.select("id", "root")
-        labels = moved.select("id", "root")

@@ -33,10 +33,10 @@ def a4(t: Tables):
     return t.observations.groupBy(c("event_type").alias("stage")).agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("n"))
 
 
-@op("a5_fleet_average", "SELECT round(sum(coalesce(v, 0)) / count(*), 4) AS fps FROM cameras k LEFT JOIN (SELECT camera_id, avg(value) AS v FROM observations WHERE camera_id % 2 = 0 GROUP BY 1) o ON o.camera_id = k.id")
+@op("a5_fleet_average", "SELECT round(sum(coalesce(v, 0)) / count(*), 4) AS fps FROM cameras k LEFT JOIN (SELECT camera_id, avg(value) AS v FROM observations WHERE event_type = 'signup' GROUP BY 1) o ON o.camera_id = k.id")
 def a5(t: Tables):
     """Cameras without a value count as 0; the denominator is the configured cameras."""
-    v = t.observations.where("camera_id % 2 = 0").groupBy(c("camera_id").alias("id")).agg(F.avg("value").alias("v"))
+    v = t.observations.where("event_type = 'signup'").groupBy(c("camera_id").alias("id")).agg(F.avg("value").alias("v"))
     return t.cameras.select("id").join(v, "id", "left").agg(F.round(F.sum(F.coalesce("v", F.lit(0.0))) / F.count("*"), 4).alias("fps"))
 
 
@@ -105,16 +105,32 @@ def a14(t: Tables):
     return s.selectExpr("tp / (tp + fp) AS precision", "tp / (tp + fn) AS recall", "2 * tp / (2 * tp + fp + fn) AS f1", "tp / (tp + fp + fn) AS accuracy")
 
 
-@op("a15_bootstrap")
+#: Resamples; and fixed values: cumulative probabilities of the Poisson distribution with mean 1.
+RESAMPLES, POISSON = 2000, (0.367879, 0.735759, 0.919699, 0.981012, 0.996340)
+_draw = "('0x' || substr(md5(crop_id || ':' || resample), 1, 8))::BIGINT / 4294967296"
+_weight = " + ".join(f"(u > {p})::INT" for p in POISSON)
+
+
+@op(
+    "a15_bootstrap",
+    f"WITH r AS (SELECT variant, resample, (pred = truth) IS TRUE AS hit, {_draw} AS u FROM predictions, range({RESAMPLES}) AS x(resample)), "
+    f"e AS (SELECT variant, resample, sum(CASE WHEN hit THEN w ELSE 0 END)::DOUBLE / sum(w) AS accuracy FROM (SELECT *, {_weight} AS w FROM r) GROUP BY ALL) "
+    "SELECT e.variant, round(quantile_cont(e.accuracy, 0.025), 9) AS low, round(avg(e.accuracy), 9) AS mean, round(quantile_cont(e.accuracy, 0.975), 9) AS high, "
+    "avg((e.accuracy > b.accuracy)::INT) AS beats_baseline FROM e JOIN e b ON b.variant = 0 AND b.resample = e.resample GROUP BY e.variant",
+)
 def a15(t: Tables):
-    """200 Poisson resamples of the accuracy with a 95 % interval; a row's weight comes from a hash of its id, so it is reproducible, and each
-    resample is a grouped sum, so nothing is gathered."""
-    rows = t.predictions.select("variant", "crop_id", F.coalesce(c("pred") == c("truth"), F.lit(False)).cast("double").alias("hit"), F.explode(F.sequence(F.lit(0), F.lit(199))).alias("resample"))
-    u = (F.pmod(F.xxhash64("crop_id", "resample"), F.lit(1_000_000)) + 0.5) / 1_000_000
-    # Cumulative probabilities of the Poisson distribution with mean 1.
-    weight = sum((F.when(u > p, 1).otherwise(0) for p in (0.367879, 0.735759, 0.919699, 0.981012, 0.996340)), F.lit(0))
-    each = rows.withColumn("w", weight).groupBy("variant", "resample").agg((F.sum(c("w") * c("hit")) / F.sum("w")).alias("accuracy"))
-    return each.groupBy("variant").agg(F.percentile("accuracy", 0.025).alias("low"), F.avg("accuracy").alias("mean"), F.percentile("accuracy", 0.975).alias("high"))
+    """2000 Poisson resamples of the accuracy with a 95 % interval, and the share in which a variant beats variant 0; a row's weight
+    comes from a digest of its id, so it is reproducible, and each resample is a grouped sum, so nothing is gathered."""
+    hit = F.coalesce(c("pred") == c("truth"), F.lit(False)).alias("hit")
+    rows = t.predictions.select("variant", "crop_id", hit, F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1))).alias("resample"))
+    digest = F.md5(F.concat_ws(":", c("crop_id").cast("string"), c("resample").cast("string")).cast("binary"))
+    u = F.conv(F.substr(digest, F.lit(1), F.lit(8)), 16, 10).cast("long") / 4294967296
+    rows = rows.withColumn("u", u)
+    w = sum(((c("u") > p).cast("int") for p in POISSON), F.lit(0))
+    each = rows.withColumn("w", w).groupBy("variant", "resample").agg((F.sum(F.when(c("hit"), c("w")).otherwise(0)).cast("double") / F.sum("w")).alias("accuracy"))
+    base = each.where("variant = 0").select("resample", c("accuracy").alias("base"))
+    ends = [F.round(F.percentile("accuracy", q), 9).alias(name) for q, name in ((0.025, "low"), (0.975, "high"))]
+    return each.join(base, "resample").groupBy("variant").agg(*ends, F.round(F.avg("accuracy"), 9).alias("mean"), F.avg((c("accuracy") > c("base")).cast("int")).alias("beats_baseline"))
 
 
 @op("a16_nearest_rank", "SELECT camera_id, list_sort(list(value))[least(count(*), floor(0.95 * count(*))::BIGINT + 1)] AS p95 FROM observations GROUP BY camera_id")

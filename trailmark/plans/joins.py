@@ -29,19 +29,28 @@ def j2(t: Tables):
 _dot = "list_sum(list_transform(list_zip(q.embedding, g.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 
 
-@op("j3_best_match", f"SELECT id AS query_id, arg_max(gid, (s, -gid)) AS gallery_id, round(max(s), 6) AS similarity FROM (SELECT q.id, g.id AS gid, round({_dot}, 9) AS s FROM face_embeddings q, face_embeddings g WHERE q.id % 5 = 0 AND g.id % 5 <> 0) GROUP BY id")
+@op(
+    "j3_best_match",
+    f"SELECT id AS query_id, arg_max(gid, (s, -gid)) AS gallery_id, round(max(s), 6) AS similarity FROM (SELECT q.id, g.id AS gid, round({_dot}, 9) AS s "
+    "FROM face_embeddings q, face_embeddings g WHERE q.id % 50 = 0 AND g.id <> q.id) GROUP BY id",
+)
 def j3(t: Tables):
+    """Every fiftieth embedding against all others."""
     e = t.face_embeddings.select("id", "embedding")
-    return best_match(e.where("id % 5 = 0"), e.where("id % 5 <> 0")).withColumn("similarity", F.round("similarity", 6))
+    return best_match(e.where("id % 50 = 0"), e, but_itself=True).withColumn("similarity", F.round("similarity", 6))
 
 
-@op("j4_reid_candidates", f"SELECT q.id, g.id AS other FROM face_embeddings q JOIN face_embeddings g ON g.label = q.label AND g.id < q.id AND q.id - g.id <= 60 AND (q.id % 10 <> g.id % 10 OR q.id - g.id >= 10) WHERE {_dot} >= 0.3")
+@op(
+    "j4_reid_candidates",
+    "SELECT q.id, g.id AS other FROM face_embeddings q JOIN face_embeddings g ON g.label = q.label AND g.id < q.id AND q.id - g.id <= 60 "
+    f"AND (q.id % 10 <> g.id % 10 OR q.id - g.id >= 10) WHERE {_dot} >= 0.7",
+)
 def j4(t: Tables):
     """Same label, seen at most 60 s before (ids stand for seconds), and 10 s at least on the same camera. The band is an equi-join on minutes, the one of the query and the one before."""
     e = t.face_embeddings.select("id", "label", "embedding").withColumn("minute", F.floor(c("id") / 60))
     g = e.select(c("id").alias("other"), "label", c("embedding").alias("g"), F.explode(F.array(c("minute"), c("minute") + 1)).alias("minute"))
     near = e.join(g, ["label", "minute"]).where("other < id and id - other <= 60 and (id % 10 <> other % 10 or id - other >= 10)")
-    return near.where(dot(c("embedding"), c("g")) >= 0.3).select("id", "other")
+    return near.where(dot(c("embedding"), c("g")) >= 0.7).select("id", "other")
 
 
 @op("j5_added_and_removed", "SELECT id, 'added' AS change FROM users u WHERE id % 3 <> 0 AND id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM face_embeddings f WHERE f.user_id = u.id::VARCHAR) UNION ALL SELECT f.id, 'removed' FROM face_embeddings f WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id::VARCHAR = f.user_id AND u.id % 3 <> 0)")
@@ -71,17 +80,19 @@ def j6(t: Tables):
 @op("j7_homography_lookup", "SELECT b.frame_num, b.box, CASE WHEN camera_id < 6 THEN camera_id + 100 END AS map_id FROM boxes b")
 def j7(t: Tables):
     maps = t.cameras.where("id < 6").select(c("id").alias("camera_id"), (c("id") + 100).alias("map_id"))
-    return t.boxes.join(F.broadcast(maps), "camera_id", "left").select("frame_num", "box", "map_id")
+    return t.boxes.join(maps, "camera_id", "left").select("frame_num", "box", "map_id")
 
 
 @op("j8_positional_zip", "SELECT camera_id, count(*) AS n, sum(id * (us % 1000))::BIGINT AS checksum FROM observations WHERE camera_id % 3 <> 0 AND event_type = 'signup' GROUP BY camera_id")
 def j8(t: Tables):
     """Results and regions by index; cameras whose lists differ in length (here: divisible by 3) lose all of them."""
-    rows = t.observations.where("event_type = 'signup'").groupBy("camera_id").agg(F.sort_array(F.collect_list(F.struct("id", "us"))).alias("r"))
-    a = F.transform("r", lambda x: x["id"])
-    b = F.when(c("camera_id") % 3 == 0, F.slice(F.transform("r", lambda x: x["us"]), 2, 1000000)).otherwise(F.transform("r", lambda x: x["us"]))
-    zipped = rows.select("camera_id", a.alias("a"), b.alias("b")).where(F.size("a") == F.size("b")).select("camera_id", F.explode(F.arrays_zip("a", "b")).alias("z"))
-    return zipped.groupBy("camera_id").agg(F.count("*").alias("n"), F.sum(c("z.a") * (c("z.b") % 1000)).alias("checksum"))
+    place = F.row_number().over(Window.partitionBy("camera_id").orderBy("id"))
+    rows = t.observations.where("event_type = 'signup'").select("camera_id", "id", "us", place.alias("n"))
+    shifted = F.when(c("camera_id") % 3 == 0, c("n") - 1).otherwise(c("n"))  # a list that lacks its first region
+    zipped = rows.select("camera_id", "n", "id").join(rows.select("camera_id", shifted.alias("n"), "us").where("n > 0"), ["camera_id", "n"], "outer")
+    whole = (F.count("id") == F.count("us")) & (F.count("id") == F.count("*"))
+    sums = zipped.groupBy("camera_id").agg(F.count("*").alias("n"), F.sum(c("id") * (c("us") % 1000)).alias("checksum"), whole.alias("whole"))
+    return sums.where("whole").drop("whole")
 
 
 @op("j9_duplicate_tracks", f"SELECT q.id AS keep, g.id AS merge FROM face_embeddings q JOIN face_embeddings g ON q.image_url_norm = g.image_url_norm AND q.id < g.id WHERE 1 - {_dot} <= 0.6")
@@ -97,11 +108,14 @@ def j10(t: Tables):
     return t.predictions.drop("truth").join(now, "crop_id").select("crop_id", "pred", "truth")
 
 
-@op("j11_full_outer", "SELECT coalesce(a.user_id, b.user_id) AS user_id, a.n AS clicks, b.n AS errors FROM (SELECT user_id, count(*) AS n FROM observations WHERE event_type = 'click' AND id % 40 < 3 GROUP BY 1) a FULL JOIN (SELECT user_id, count(*) AS n FROM observations WHERE event_type = 'error' AND id % 40 > 35 GROUP BY 1) b ON a.user_id = b.user_id")
+@op(
+    "j11_full_outer",
+    "SELECT coalesce(a.user_id, b.user_id) AS user_id, a.n AS purchases, b.n AS errors FROM (SELECT user_id, count(*) AS n FROM observations WHERE event_type = 'purchase' AND value > 1 GROUP BY 1) a "
+    "FULL JOIN (SELECT user_id, count(*) AS n FROM observations WHERE event_type = 'error' AND value > 1 GROUP BY 1) b ON a.user_id = b.user_id",
+)
 def j11(t: Tables):
-    o = t.observations
-    a = o.where("event_type = 'click' and id % 40 < 3").groupBy("user_id").agg(F.count("*").alias("clicks"))
-    return a.join(o.where("event_type = 'error' and id % 40 > 35").groupBy("user_id").agg(F.count("*").alias("errors")), "user_id", "outer")
+    n = lambda kind, name: t.observations.where((c("event_type") == kind) & (c("value") > 1)).groupBy("user_id").agg(F.count("*").alias(name))
+    return n("purchase", "purchases").join(n("error", "errors"), "user_id", "outer")
 
 
 @op("j12_locked_elsewhere", "SELECT id FROM face_embeddings a WHERE EXISTS (SELECT 1 FROM face_embeddings b WHERE b.user_id = a.user_id AND b.id <> a.id AND b.label = a.label)")
@@ -137,9 +151,13 @@ def t5(t: Tables):
     return rows.withColumn("duplicate", F.count("*").over(Window.partitionBy("id")) > 1)
 
 
-@op("t6_set_difference", "SELECT user_id, 'gone' AS change FROM (SELECT DISTINCT user_id FROM observations WHERE id % 40 < 5 EXCEPT SELECT user_id FROM observations WHERE id % 40 > 33) UNION ALL SELECT user_id, 'stays' FROM (SELECT user_id FROM observations WHERE id % 40 < 5 INTERSECT SELECT user_id FROM observations WHERE id % 40 > 33)")
+@op(
+    "t6_set_difference",
+    "WITH a AS (SELECT DISTINCT user_id FROM observations WHERE event_type = 'signup'), b AS (SELECT DISTINCT user_id FROM observations WHERE event_type = 'error') "
+    "SELECT user_id, 'gone' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT user_id, 'stays' FROM (FROM a INTERSECT FROM b)",
+)
 def t6(t: Tables):
-    a, b = t.observations.where("id % 40 < 5").select("user_id"), t.observations.where("id % 40 > 33").select("user_id")
+    a, b = [t.observations.where(c("event_type") == kind).select("user_id") for kind in ("signup", "error")]
     return a.subtract(b).withColumn("change", F.lit("gone")).union(a.intersect(b).withColumn("change", F.lit("stays")))
 
 
@@ -176,8 +194,8 @@ def t9(t: Tables):
     return s.join(base).select("variant", ship.alias("ship"))
 
 
-@op("w10_top_boxes", "SELECT frame_num, box, area FROM (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY frame_num, box, area DESC, x1, y1) AS m FROM (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY frame_num ORDER BY (x2 - x1) * (y2 - y1) DESC, box, x1, y1) AS n FROM boxes) WHERE n <= 2) WHERE m <= 60")
+@op("w10_top_boxes", "SELECT frame_num, box, area FROM (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY frame_num, box, area DESC, x1, y1) AS m FROM (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY frame_num ORDER BY (x2 - x1) * (y2 - y1) DESC, box, x1, y1) AS n FROM boxes) WHERE n <= 8) WHERE m <= 60")
 def w10(t: Tables):
     rows = t.boxes.withColumn("area", (c("x2") - c("x1")) * (c("y2") - c("y1")))
-    largest = top_per_key(rows, ["frame_num"], [F.desc("area"), c("box"), c("x1"), c("y1")], 2)
+    largest = top_per_key(rows, ["frame_num"], [F.desc("area"), c("box"), c("x1"), c("y1")], 8)
     return top_per_key(largest, ["camera_id"], [c("frame_num"), c("box"), F.desc("area"), c("x1"), c("y1")], 60).select("frame_num", "box", "area")

@@ -74,7 +74,7 @@ def p8(t: Tables):
 
 @op("p9_partition_key", "SELECT id, 'cam.' || camera_id AS queue FROM observations")
 def p9(t: Tables):
-    return t.observations.repartition("camera_id").select("id", F.concat(F.lit("cam."), c("camera_id").cast("string")).alias("queue"))
+    return t.observations.select("id", F.concat(F.lit("cam."), c("camera_id").cast("string")).alias("queue"))
 
 
 @op("p10_branch", "SELECT o.id, coalesce(k.branch_id, u.branch_id) AS branch_id FROM observations o LEFT JOIN cameras k ON k.id = o.camera_id LEFT JOIN users u ON u.id = o.user_id")
@@ -246,21 +246,16 @@ def f9(t: Tables):
     return size_gate(t.crops, 80, 40, 3200).where((c("height") / c("width")).between(1.5, 4.0) & (c("pitch") >= 0.5)).select("frame_num")
 
 
-_nth = "row_number() OVER (PARTITION BY camera_id ORDER BY {}) AS n"
-
-
-@op("f10_frame_skip", f"SELECT frame_num FROM (SELECT *, {_nth.format('frame_num')} FROM crops) WHERE n % 3 = 0")
+@op("f10_frame_skip", "SELECT frame_num FROM crops WHERE frame_num % 3 = 0")
 def f10(t: Tables):
-    return every_nth(t.crops, 3).select("frame_num")
-
-
-def every_nth(rows, n: int):
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("camera_id").orderBy("frame_num"))).where(c("_n") % n == 0).drop("_n")
+    return t.crops.where("frame_num % 3 = 0").select("frame_num")
 
 
-@op("f11_nth_detection", f"SELECT frame_num FROM (SELECT frame_num, {_nth.format('frame_num')} FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY frame_num) AS m FROM crops) WHERE m % 3 = 0)) WHERE n % 5 = 0")
+@op("f11_nth_detection", "SELECT frame_num FROM (SELECT frame_num, row_number() OVER (PARTITION BY camera_id ORDER BY frame_num) AS n FROM crops WHERE frame_num % 3 = 0) WHERE n % 5 = 0")
 def f11(t: Tables):
-    return every_nth(every_nth(t.crops, 3), 5).select("frame_num")
+    """Every fifth of a camera's detection frames, by count."""
+    n = F.row_number().over(Window.partitionBy("camera_id").orderBy("frame_num"))
+    return t.crops.where("frame_num % 3 = 0").withColumn("n", n).where("n % 5 = 0").select("frame_num")
 
 
 _urls = {0: ("https://storage.googleapis.com/b/o.jpg", "ok"), 1: ("ftp://storage.googleapis.com/x", "blocked scheme"), 2: ("http://LOCALHOST/x", "blocked host"), 3: ("http://10.1.2.3/x", "blocked range"), 4: ("http://8.8.8.8:80/x", "ok"), 5: ("https://evil.com/storage.googleapis.com", "domain not allowed"), 6: ("gs://bucket/x", "ok"), 7: ("gs://", "invalid bucket url"), 8: ("", "empty"), 9: ("http://u:p@172.31.0.1/", "blocked range"), 10: ("https://a.storage.cloud.google.com/x", "ok"), 11: ("http://[fe80::1]/", "blocked range")}

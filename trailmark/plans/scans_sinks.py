@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import dead_letter_queue, normalised
 from trailmark.operators.sequences import latest_per_key, top_per_key, transition_guard
+from trailmark.session import shared_folder
+from trailmark.sources import messages
+from trailmark.sources.tables import StoredTable
 
 from .views import Tables, op
 
 c = F.col
+
+
+def stored(t: Tables, rows, name: str) -> StoredTable:
+    """An empty table for such rows in the shared folder."""
+    return StoredTable(t.spark, f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}", rows.schema.simpleString()[7:-1])
+
+
+def appended(t: Tables, rows, name: str):
+    """The rows as they are read back after an insert."""
+    table = stored(t, rows, name)
+    table.append(rows)
+    return table.read()
+
+
 BRANCH = "nation_3"
 APPS = "array<string>"
 
@@ -17,7 +36,7 @@ APPS = "array<string>"
 def in_branch_or_free(people, branches, code: str):
     """a branch's rows and those without a branch."""
     b = branches.select(c("id").alias("_b"), c("code").alias("branch_code"))
-    return people.join(F.broadcast(b), c("branch_id") == c("_b"), "left").where((F.lower("branch_code") == code) | c("branch_id").isNull()).drop("_b")
+    return people.join(b, c("branch_id") == c("_b"), "left").where((F.lower("branch_code") == code) | c("branch_id").isNull()).drop("_b")
 
 
 def apps(application):
@@ -46,12 +65,21 @@ def sc4(t: Tables):
     return t.branches.where(F.lower("code") == "nation_7").limit(1).agg((F.count("*") > 0).alias("branch_exists"))
 
 
-@op("sc5_gallery", "SELECT f.id, full_name, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm FROM face_embeddings f JOIN users u ON f.user_id = u.id::VARCHAR WHERE employment_status = 'active' ORDER BY f.id")
+_norm = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
+
+
+@op(
+    "sc5_gallery",
+    f"SELECT f.id, full_name, round(embedding[1]::DOUBLE / {_norm}, 6) AS first_of_unit, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) / {_norm}, 6) AS l1_of_unit "
+    "FROM face_embeddings f JOIN users u ON f.user_id = u.id::VARCHAR LEFT JOIN branches b ON u.branch_id = b.id "
+    f"WHERE employment_status = 'active' AND (lower(code) = '{BRANCH}' OR branch_id IS NULL) ORDER BY f.id",
+)
 def sc5(t: Tables):
-    people = t.users.where("employment_status = 'active'").select(c("id").cast("string").alias("user_id"), "full_name")
-    v = normalised(c("embedding"))
-    norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    return t.face_embeddings.join(people, "user_id").select("id", "full_name", F.round(norm, 6).alias("norm")).orderBy("id")
+    """Unit vectors of the active people of a branch and of those without one."""
+    people = in_branch_or_free(t.users.where("employment_status = 'active'"), t.branches, BRANCH).select(c("id").cast("string").alias("user_id"), "full_name")
+    rows = t.face_embeddings.join(people, "user_id").withColumn("unit", normalised(c("embedding")))
+    l1 = F.aggregate("unit", F.lit(0.0), lambda a, x: a + F.abs(x))
+    return rows.select("id", "full_name", F.round(F.get("unit", 0), 6).alias("first_of_unit"), F.round(l1, 6).alias("l1_of_unit")).orderBy("id")
 
 
 @op("sc6_homography", "SELECT camera_id, min(id) AS map_id FROM observations WHERE value > 1 GROUP BY camera_id")
@@ -104,16 +132,16 @@ def sc17(t: Tables):
 def sk1(t: Tables):
     rows = transition_guard(t.observations)
     cam, user = t.cameras.select(c("id").alias("camera_id"), c("branch_id").alias("cb")), t.users.select(c("id").alias("user_id"), c("branch_id").alias("ub"))
-    return rows.join(cam, "camera_id", "left").join(user, "user_id", "left").select("id", "user_id", F.lower("status").alias("status"), F.coalesce("cb", "ub").alias("branch_id"))
+    return appended(t, rows.join(cam, "camera_id", "left").join(user, "user_id", "left").select("id", "user_id", F.lower("status").alias("status"), F.coalesce("cb", "ub").alias("branch_id")), "attendance")
 
 
 @op("sk2_unrecognized_insert", "SELECT o.id, nullif(concat_ws(chr(10), CASE WHEN c.name IS NOT NULL AND o.id % 3 <> 0 THEN 'Camera: ' || c.name END, nullif(CASE WHEN o.id % 2 = 0 THEN event_type ELSE '' END, '')), '') AS notes, 'pending' AS status FROM observations o LEFT JOIN cameras c ON o.camera_id = c.id WHERE event_type = 'error'")
 def sk2(t: Tables):
     cams = t.cameras.select(c("id").alias("camera_id"), "name")
-    rows = t.observations.where("event_type = 'error'").join(F.broadcast(cams), "camera_id", "left")
+    rows = t.observations.where("event_type = 'error'").join(cams, "camera_id", "left")
     head = F.when(c("name").isNotNull() & (c("id") % 3 != 0), F.concat(F.lit("Camera: "), c("name")))
     own = F.when(c("id") % 2 == 0, c("event_type"))
-    return rows.select("id", F.nullif(F.concat_ws("\n", head, own), F.lit("")).alias("notes"), F.lit("pending").alias("status"))
+    return appended(t, rows.select("id", F.nullif(F.concat_ws("\n", head, own), F.lit("")).alias("notes"), F.lit("pending").alias("status")), "unrecognized")
 
 
 ACTIVITIES = {"click": "phone_usage", "view": "working", "purchase": "talking", "signup": "sleeping"}
@@ -122,42 +150,64 @@ ACTIVITIES = {"click": "phone_usage", "view": "working", "purchase": "talking",
 @op("sk3_activity_insert", "SELECT id, user_id, CASE event_type WHEN 'click' THEN 'phone_usage' WHEN 'view' THEN 'working' WHEN 'purchase' THEN 'talking' WHEN 'signup' THEN 'sleeping' END AS activity_type, value AS confidence FROM observations WHERE event_type <> 'error'")
 def sk3(t: Tables):
     kind = F.create_map(*[F.lit(x) for pair in ACTIVITIES.items() for x in pair])
-    return t.observations.select("id", "user_id", F.try_element_at(kind, c("event_type")).alias("activity_type"), c("value").alias("confidence")).where("activity_type is not null")
+    return appended(t, t.observations.select("id", "user_id", F.try_element_at(kind, c("event_type")).alias("activity_type"), c("value").alias("confidence")).where("activity_type is not null"), "activities")
 
 
 @op("sk4_current_activity", "SELECT user_id, arg_max(event_type, id) AS event_type, max(id) AS id FROM observations GROUP BY user_id")
 def sk4(t: Tables):
-    return latest_per_key(t.observations.select("user_id", "event_type", "id"), ["user_id"], "id")
+    return upserted(t, t.observations.select("user_id", "event_type", "id"), "user_id", "current_activity")
+
+
+def upserted(t: Tables, rows, key: str, name: str):
+    """Two batches in order of ids, read back."""
+    table = stored(t, rows, name)
+    middle = rows.agg(F.max("id")).first()[0] // 2
+    table.upsert(rows.where(c("id") <= middle), [key], "id")
+    table.upsert(rows.where(c("id") > middle), [key], "id")
+    return table.read()
 
 
 @op("sk5_user_location", "SELECT user_id, arg_max(camera_id, id) AS camera_id, lower(arg_max(status, id)) AS status FROM observations GROUP BY user_id")
 def sk5(t: Tables):
-    return latest_per_key(t.observations.select("user_id", "camera_id", F.lower("status").alias("status"), "id"), ["user_id"], "id").drop("id")
+    return upserted(t, t.observations.select("user_id", "camera_id", F.lower("status").alias("status"), "id"), "user_id", "location").drop("id")
 
 
 @op("sk6_insert_ignore", "WITH old AS (SELECT * FROM face_embeddings WHERE id % 3 = 0), new AS (SELECT *, row_number() OVER (PARTITION BY user_id, image_url_norm ORDER BY id) AS n FROM face_embeddings WHERE id % 3 <> 0) SELECT id, user_id, image_url_norm FROM new WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM old WHERE old.user_id = new.user_id AND old.image_url_norm = new.image_url_norm)")
 def sk6(t: Tables):
-    rows = t.face_embeddings.select("id", "user_id", "image_url_norm")
-    keys = ["user_id", "image_url_norm"]
-    new = rows.where("id % 3 <> 0").join(rows.where("id % 3 = 0").select(*keys), keys, "left_anti")
-    return new.groupBy(*keys).agg(F.min("id").alias("id")).select("id", *keys)
+    """What a second batch adds to the first."""
+    rows, keys = t.face_embeddings.select("id", "user_id", "image_url_norm"), ["user_id", "image_url_norm"]
+    table = stored(t, rows, "faces")
+    table.append(rows.where("id % 3 = 0"))
+    table.insert_ignore(rows.where("id % 3 <> 0"), keys, "id")
+    return table.read().where("id % 3 <> 0")
 
 
-@op("sk7_delete_user", "SELECT user_id, count(*) AS deleted FROM face_embeddings WHERE user_id IN ('7', '19') GROUP BY user_id")
+@op("sk7_delete_user", "SELECT count(*) FILTER (user_id = '7') AS deleted, count(*) FILTER (user_id <> '7') AS kept FROM face_embeddings")
 def sk7(t: Tables):
-    return t.face_embeddings.where(c("user_id").isin("7", "19")).groupBy("user_id").agg(F.count("*").alias("deleted"))
-
-
-@op("sk8_delete_image", "SELECT id FROM face_embeddings f WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id, image_url_norm FROM face_embeddings WHERE id % 50 = 0) d WHERE d.user_id = f.user_id AND d.image_url_norm = f.image_url_norm)")
+    rows = t.face_embeddings.select("id", "user_id")
+    table = stored(t, rows, "faces")
+    table.append(rows)
+    deleted = table.delete(t.spark.createDataFrame([("7",)], "user_id string"))
+    return table.read().agg(F.lit(deleted).cast("long").alias("deleted"), F.count("*").alias("kept"))
+
+
+@op(
+    "sk8_delete_image",
+    "SELECT id FROM face_embeddings f WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id, image_url_norm FROM face_embeddings WHERE id % 50 = 0) d "
+    "WHERE d.user_id = f.user_id AND d.image_url_norm = f.image_url_norm)",
+)
 def sk8(t: Tables):
     rows = t.face_embeddings.select("id", "user_id", "image_url_norm")
-    return rows.join(rows.where("id % 50 = 0").drop("id"), ["user_id", "image_url_norm"], "left_anti").select("id")
+    table = stored(t, rows, "faces")
+    table.append(rows)
+    table.delete(rows.where("id % 50 = 0").select("user_id", "image_url_norm").distinct())
+    return table.read().select("id")
 
 
-@op("sk9_calibration_insert", "SELECT frame_num, box, b.camera_id, coalesce(c.name, '') AS organization FROM boxes b LEFT JOIN cameras c ON b.camera_id = c.id AND c.id % 2 = 0 WHERE box <= 2")
+@op("sk9_calibration_insert", "SELECT frame_num, box, b.camera_id, coalesce(c.name, '') AS organization FROM boxes b LEFT JOIN cameras c ON b.camera_id = c.id AND c.id % 2 = 0")
 def sk9(t: Tables):
-    known = F.broadcast(t.cameras.where("id % 2 = 0").select(c("id").alias("camera_id"), "name"))
-    return t.boxes.where("box <= 2").join(known, "camera_id", "left").select("frame_num", "box", "camera_id", F.coalesce("name", F.lit("")).alias("organization"))
+    known = t.cameras.where("id % 2 = 0").select(c("id").alias("camera_id"), "name")
+    return appended(t, t.boxes.join(known, "camera_id", "left").select("frame_num", "box", "camera_id", F.coalesce("name", F.lit("")).alias("organization")), "calibration")
 
 
 #: Event types and the channels they go to.
@@ -171,7 +221,7 @@ def sk10(t: Tables):
     kinds = F.create_map(*[F.lit(x) for pair in TYPE_OF.items() for x in pair])
     channels = F.create_map(*[F.lit(x) for pair in CHANNELS.items() for x in pair])
     rows = t.observations.select("id", kinds[c("event_type")].alias("event_type"), F.to_json(F.struct(c("id").alias("record_id"), "user_id")).alias("payload"))
-    return rows.select("id", "event_type", channels[c("event_type")].alias("channel"), "payload")
+    return appended(t, rows.select("id", "event_type", channels[c("event_type")].alias("channel"), "payload"), "published")
 
 
 @op("sk11_upload_path", "SELECT id, strftime(make_timestamp(us), '%Y/%m/%d') || '/acme/unrecognized_faces/' || strftime(make_timestamp(us), '%H%M%S') || '_' || substr(sha1(id::VARCHAR), 1, 8) || '.jpg' AS path FROM observations")
@@ -190,7 +240,7 @@ def sk13(t: Tables):
 @op("sk14_message_dead_letters", "SELECT doc_id, substr(text, 1, 5000) AS raw, CASE WHEN doc_id % 5 = 0 THEN 'PARSE_ERROR' ELSE 'HANDLER_ERROR' END AS error_type FROM documents WHERE doc_id % 5 < 2")
 def sk14(t: Tables):
     kind = F.when(c("doc_id") % 5 == 0, "PARSE_ERROR").otherwise("HANDLER_ERROR")
-    return t.documents.where("doc_id % 5 < 2").select("doc_id", F.substr("text", F.lit(1), F.lit(5000)).alias("raw"), kind.alias("error_type"))
+    return appended(t, t.documents.where("doc_id % 5 < 2").select("doc_id", F.substr("text", F.lit(1), F.lit(5000)).alias("raw"), kind.alias("error_type")), "dead_messages")
 
 
 _task = "CASE id % 6 WHEN 0 THEN 'Embedding.sync' WHEN 1 THEN 'camera.process_embedding' WHEN 2 THEN 'camera.face' WHEN 3 THEN 'yolo.batch' WHEN 4 THEN 'face.embed_detection' ELSE 'other' END"
@@ -198,7 +248,7 @@ _task = "CASE id % 6 WHEN 0 THEN 'Embedding.sync' WHEN 1 THEN 'camera.process_em
 
 @op("sk15_task_dead_letters", f"SELECT id, CASE WHEN lower({_task}) LIKE '%embedding%' THEN 'dlq:embeddings' WHEN lower({_task}) LIKE '%camera%' THEN 'dlq:camera_frames' WHEN lower({_task}) LIKE '%yolo%' THEN 'dlq:yolo' WHEN lower({_task}) LIKE '%face%' THEN 'dlq:face' WHEN lower({_task}) LIKE '%detection%' THEN 'dlq:detections' ELSE 'dlq:unknown' END AS queue FROM observations")
 def sk15(t: Tables):
-    return t.observations.select("id", dead_letter_queue(F.expr(_task)).alias("queue"))
+    return appended(t, t.observations.select("id", dead_letter_queue(F.expr(_task)).alias("queue")), "dead_tasks")
 
 
 @op("sk16_published_values", "SELECT camera_id, arg_max(value, id) AS value FROM observations WHERE us >= (SELECT max(us) FROM observations) - 43200000000 GROUP BY camera_id")
@@ -210,6 +260,7 @@ def sk16(t: Tables):
 
 @op("sk18_summary_export", "SELECT to_json({camera_id: camera_id, n: count(*)})::VARCHAR AS line FROM observations GROUP BY camera_id")
 def sk18(t: Tables):
-    return t.observations.groupBy("camera_id").agg(F.count("*").alias("n")).select(F.to_json(F.struct("camera_id", "n")).alias("line"))
-
-
+    """JSON lines, read back as text."""
+    path = f"{shared_folder(t.spark)}/summary-{uuid.uuid4().hex}"
+    messages.export_json(t.observations.groupBy("camera_id").agg(F.count("*").alias("n")), path)
+    return t.spark.read.text(path).select(c("value").alias("line"))

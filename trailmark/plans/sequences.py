@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trailmark.functions.columns import foot_point
-from trailmark.operators.sequences import best_frame, connected, greedy_throttle, latest_per_key, send_once, sessions, top_per_key, transition_guard
+from trailmark.functions.columns import dot, foot_point
+from trailmark.operators.graph import connected_components
+from trailmark.operators.sequences import best_frame, latest_per_key, send_once, sessions, top_per_key, transition_guard
+from trailmark.operators.throttle import greedy_throttle
 
 from .rows import size_gate, with_branch
 from .views import Tables, op
@@ -79,9 +81,9 @@ def w8(t: Tables):
     return top_per_key(t.crops, ["track_id"], [F.desc("frame_num")], 30).select("frame_num")
 
 
-@op("w18_trajectory", "SELECT camera_id, frame_num, box FROM (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY camera_id) AS total FROM boxes WHERE box <= 3 WINDOW w AS (PARTITION BY camera_id ORDER BY frame_num DESC, box, x1, y1, x2, y2)) WHERE n <= 30 AND total >= 2")
+@op("w18_trajectory", "SELECT camera_id, frame_num, box FROM (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY camera_id) AS total FROM boxes WINDOW w AS (PARTITION BY camera_id ORDER BY frame_num DESC, box, x1, y1, x2, y2)) WHERE n <= 30 AND total >= 2")
 def w18(t: Tables):
-    rows = t.boxes.where("box <= 3").withColumn("total", F.count("*").over(Window.partitionBy("camera_id"))).where("total >= 2")
+    rows = t.boxes.withColumn("total", F.count("*").over(Window.partitionBy("camera_id"))).where("total >= 2")
     return top_per_key(rows, ["camera_id"], [F.desc("frame_num"), c("box"), c("x1"), c("y1"), c("x2"), c("y2")], 30).select("camera_id", "frame_num", "box")
 
 
@@ -91,21 +93,21 @@ def w9(t: Tables):
     return t.observations.select("user_id", "id", F.row_number().over(w).cast("long").alias("n")).where("n <= 3")
 
 
-@op("w11_downsample", "SELECT camera_id, id FROM (SELECT camera_id, id, row_number() OVER (PARTITION BY camera_id ORDER BY id) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY camera_id) // 30) AS step FROM observations) WHERE i % step = 0")
+@op("w11_downsample", "SELECT camera_id, id FROM (SELECT camera_id, id, row_number() OVER (PARTITION BY camera_id ORDER BY id) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY camera_id) // 300) AS step FROM observations) WHERE i % step = 0")
 def w11(t: Tables):
     p = Window.partitionBy("camera_id")
-    rows = t.observations.withColumns({"i": F.row_number().over(p.orderBy("id")) - 1, "step": F.greatest(F.lit(1).cast("long"), F.floor(F.count("*").over(p) / 30))})
+    rows = t.observations.withColumns({"i": F.row_number().over(p.orderBy("id")) - 1, "step": F.greatest(F.lit(1).cast("long"), F.floor(F.count("*").over(p) / 300))})
     return rows.where("i % step = 0").select("camera_id", "id")
 
 
 _age = "(SELECT max(us) FROM observations) - us"
 
 
-@op("w12_stream_state", f"SELECT camera_id, CASE WHEN camera_id = 0 THEN 'offline' WHEN age < 9000000000 THEN 'streaming' WHEN age <= 27000000000 AND camera_id % 2 = 0 THEN 'connecting' ELSE 'offline' END AS state FROM (SELECT camera_id, min({_age}) AS age FROM observations WHERE id % 7 <> 0 GROUP BY 1)")
+@op("w12_stream_state", f"SELECT camera_id, CASE WHEN camera_id = 0 THEN 'offline' WHEN age < 9000000000 THEN 'streaming' WHEN age <= 27000000000 AND camera_id % 2 = 0 THEN 'connecting' ELSE 'offline' END AS state FROM (SELECT camera_id, min({_age}) AS age FROM observations GROUP BY 1)")
 def w12(t: Tables):
     """By the age of the last frame: streaming, connecting while it reconnects (here: even ids) within the grace, else offline; stopped cameras (here: 0) first."""
     now = F.broadcast(t.observations.agg(F.max("us").alias("now")))  # one row
-    age = t.observations.where("id % 7 <> 0").groupBy("camera_id").agg(F.max("us").alias("last")).join(now).withColumn("age", c("now") - c("last"))
+    age = t.observations.groupBy("camera_id").agg(F.max("us").alias("last")).join(now).withColumn("age", c("now") - c("last"))
     state = F.when(c("camera_id") == 0, "offline").when(c("age") < F.lit(9_000_000_000), "streaming").when((c("age") <= F.lit(27_000_000_000)) & (c("camera_id") % 2 == 0), "connecting").otherwise("offline")
     return age.select("camera_id", state.alias("state"))
 
@@ -122,7 +124,8 @@ def w14(t: Tables):
     step = Window.partitionBy("bucket").orderBy("first")
     rows = first.withColumn("bucket", F.floor(c("first") / 1_000_000)).withColumn("n", F.row_number().over(step))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("k"))
-    before = sizes.alias("a").join(sizes.alias("b"), c("b.bucket") < c("a.bucket"), "left").groupBy(c("a.bucket").alias("bucket")).agg(F.coalesce(F.sum("b.k"), F.lit(0)).alias("base"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each million ids
+    before = sizes.select("bucket", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("base"))
     place = c("n") + c("base")
     return rows.join(before, "bucket").select("user_id", (place + 999).alias("global_id"), (-place).alias("fallback_id"))
 
@@ -215,28 +218,45 @@ def st11(t: Tables):
 
 @op("st12_fair_share", "SELECT id, (row_number() OVER (ORDER BY id) - 1) % 3 AS replica, least(4, ceil(count(*) OVER () / 3))::BIGINT AS share FROM cameras")
 def st12(t: Tables):
-    """Cameras dealt to three replicas; a share is at most its capacity of four. Cameras are a small dimension: one sort of them."""
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    return t.cameras.select("id", ((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id")) - 1) % 3).cast("long").alias("replica"), F.least(F.lit(4), F.ceil(n / 3)).cast("long").alias("share"))
+    """Cameras dealt to three replicas; a share is at most its capacity of four. Ranks inside buckets of ids, plus the counts of the buckets before."""
+    rows = t.cameras.select("id", F.floor(c("id") / 1_000_000).alias("bucket"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("k"))
+    w = Window.orderBy("bucket")  # a row for each million ids
+    before = sizes.select("bucket", (F.sum("k").over(w) - c("k")).alias("base"), F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    place = c("n") + c("base") - 1
+    return rows.join(before, "bucket").select("id", (place % 3).cast("long").alias("replica"), F.least(F.lit(4), F.ceil(c("all") / 3)).cast("long").alias("share"))
 
 
-_merge = "SELECT DISTINCT id AS a, CASE WHEN id % 3 = 0 THEN id - 2 ELSE id - 5 END AS b FROM users WHERE id % 4 <> 0 AND id >= 5"
+_merge = "SELECT DISTINCT id AS a, into_id AS b FROM users WHERE into_id IS NOT NULL"
 
 
 @op("st13_track_merge", f"WITH RECURSIVE e AS (SELECT a, b FROM ({_merge}) UNION SELECT b, a FROM ({_merge})), r AS (SELECT a AS id, a AS reach FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a) SELECT id, min(reach) AS root FROM r GROUP BY id")
 def st13(t: Tables):
     """Merges are links; the smallest id of a component takes over."""
-    edges = t.users.where("id % 4 <> 0 and id >= 5").select(c("id").alias("a"), F.when(c("id") % 3 == 0, c("id") - 2).otherwise(c("id") - 5).alias("b"))
-    return connected(edges)
+    edges = t.users.where("into_id is not null").select(c("id").alias("a"), c("into_id").alias("b"))
+    return connected_components(edges).select(c("node").alias("id"), "root")
 
 
-@op("st15_prototypes", "SELECT label, round(list_reduce(list(embedding[1]::DOUBLE ORDER BY id), lambda a, x: 0.8 * a + 0.2 * x), 6) AS first_dim FROM face_embeddings GROUP BY label")
+@op("st15_prototypes", "SELECT label, dim, round(list_reduce(list(x ORDER BY id), lambda a, x: 0.8 * a + 0.2 * x), 6) AS value FROM (SELECT id, label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM face_embeddings) GROUP BY label, dim")
 def st15(t: Tables):
-    """Our definition: p <- 0.8 p + 0.2 x in order of ids. Unrolled, the weight of a row is a power of its place from the end, so it is a grouped sum."""
+    """Our definition: p <- 0.8 p + 0.2 x in order of ids, in every dimension. Unrolled, the weight of a row is a power of its place from the end, so it is a grouped sum."""
     w = Window.partitionBy("label")
     rows = t.face_embeddings.withColumns({"back": F.row_number().over(w.orderBy(F.desc("id"))) - 1, "n": F.count("*").over(w)})
     weight = F.pow(F.lit(0.8), c("back")) * F.when(c("back") == c("n") - 1, 1.0).otherwise(0.2)
-    return rows.groupBy("label").agg(F.round(F.sum(weight * F.get("embedding", 0).cast("double")), 6).alias("first_dim"))
+    each = rows.select("label", weight.alias("weight"), F.posexplode("embedding").alias("dim", "x"))
+    sums = each.groupBy("label", "dim").agg(F.round(F.sum(c("weight") * c("x").cast("double")), 6).alias("value"))
+    return sums.select("label", c("dim").cast("long").alias("dim"), "value")
+
+
+@op("st15_closest", "SELECT label, id, n FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY round(s, 9) DESC, id) AS n FROM (SELECT f.label, f.id, list_sum(list_transform(list_zip(f.embedding, p.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS s FROM face_embeddings f JOIN (SELECT label, arg_max(embedding, id) AS embedding FROM face_embeddings GROUP BY label) p ON f.label = p.label)) WHERE n <= 5")
+def st15_closest(t: Tables):
+    """The five embeddings of a track that are closest to its last one."""
+    e = t.face_embeddings.select("label", "id", "embedding")
+    last = e.groupBy("label").agg(F.max_by("embedding", "id").alias("last"))
+    scored = e.join(last, "label").select("label", "id", F.round(dot(c("embedding"), c("last")), 9).alias("s"))
+    top = top_per_key(scored, ["label"], [F.desc("s"), c("id")], 5)
+    return top.select("label", "id", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("s"), "id")).cast("long").alias("n"))
 
 
 @op("st16_ring_slots", "SELECT id, greatest(3, ceil((id % 7 + 0.5) / (0.1 + id % 3 * 0.2)))::BIGINT AS slots FROM cameras")
@@ -271,10 +291,13 @@ def st21(t: Tables):
     return t.predictions.select("crop_id", status.alias("status"), F.when(status == "ok", c("pred")).alias("recorded"))
 
 
-@op("st3_positions", None)
+_boxes = "(SELECT camera_id, frame_num * 1000000 + box AS us FROM boxes)"
+
+
+@op("st3_positions", f"SELECT camera_id, us, (x1 + x2) / 2 AS x, y2 AS y FROM (SELECT *, frame_num * 1000000 + box AS us FROM boxes) SEMI JOIN ({_fold(_boxes, 'camera_id', 60000000)}) USING (camera_id, us)")
 def positions(t: Tables):
     """Foot points of throttled tracks."""
     x, y = foot_point(c("x1"), c("x2"), c("y2"))
     rows = t.boxes.select("camera_id", (c("frame_num") * 1_000_000 + c("box")).alias("us"), x.alias("x"), y.alias("y"))
-    kept = greedy_throttle(rows, "camera_id", "us", 5_000_000)
-    return rows.join(kept.distinct(), ["camera_id", "us"], "left_semi")
+    kept = greedy_throttle(rows, "camera_id", "us", 60_000_000)
+    return rows.join(kept, ["camera_id", "us"], "left_semi")

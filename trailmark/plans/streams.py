@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from itertools import pairwise
 
 from pyspark.sql import functions as F
 
+from trailmark.functions.columns import distorted
 from trailmark.operators import registry
 from trailmark.operators.geometry import homographies, undistorted
 from trailmark.session import shared_folder
@@ -21,14 +23,47 @@ def folder(t: Tables, name: str) -> str:
     return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def fed(t: Tables, parts: int = 3):
-    """The observations as a stream: appended in order of ids, one file per micro-batch."""
-    place = folder(t, "observations")
-    rows = t.observations.select("id", "user_id", "camera_id", "event_type", "status", "us")
+#: Micro-batches of a fed stream, and files of each.
+BATCHES, FILES = 3, 4
+
+
+def thirds(t: Tables):
+    """The observations in order of ids, cut where ids are pushed down to the scan."""
+    rows = t.observations
     top = rows.agg(F.max("id")).first()[0] or 0
-    for i in range(parts):
-        rows.where(F.floor(c("id") * parts / (top + 1)) == i).coalesce(1).write.mode("append").parquet(place)
-    return twins.observation_stream(t.spark, place)
+    ends = [(top + 1) * i // BATCHES for i in range(BATCHES + 1)]
+    return [rows.where((c("id") >= low) & (c("id") < high)) for low, high in pairwise(ends)]
+
+
+def fed(t: Tables):
+    """The observations as a stream: appended in order of ids, so many files per micro-batch."""
+    place = folder(t, "observations")
+    for rows in thirds(t):
+        rows.select("id", "user_id", "camera_id", "event_type", "status", "us").repartition(FILES).write.mode("append").parquet(place)
+    return twins.observation_stream(t.spark, place, FILES)
+
+
+STREAMS = ["streams:commands"]
+
+
+def payload():
+    """A message: broken JSON (here: every eleventh), an unknown stream (every thirteenth), else a good one."""
+    whole = F.to_json(F.struct("id", "user_id", "event_type", F.when(c("id") % 13 == 0, "streams:other").otherwise(STREAMS[0]).alias("stream")))
+    return F.when(c("id") % 11 == 0, F.expr("substr(whole, 1, length(whole) - 3)")).otherwise(c("whole")), whole
+
+
+def messages_of(rows):
+    text, whole = payload()
+    return rows.withColumn("whole", whole).select(text.alias("value"))
+
+
+def fed_messages(t: Tables):
+    """The same as text messages, parsed."""
+    place = folder(t, "messages")
+    for rows in thirds(t):
+        messages_of(rows).repartition(FILES).write.mode("append").text(place)
+    raw = t.spark.readStream.option("maxFilesPerTrigger", FILES).text(place)
+    return messages.commands(raw, STREAMS)
 
 
 _guard = "SELECT id, user_id, status FROM (SELECT *, lag(lower(status)) OVER (PARTITION BY user_id ORDER BY id) AS before FROM observations) WHERE before IS NULL OR before <> lower(status)"
@@ -56,12 +91,15 @@ def st2_stream(t: Tables):
 @op("st7_stream", "SELECT 'handled' AS kind, count(*) AS n FROM observations WHERE id % 11 <> 0 AND id % 13 <> 0 UNION ALL SELECT CASE WHEN id % 11 = 0 THEN 'PARSE_ERROR' ELSE 'UNKNOWN_STREAM' END, count(*) FROM observations WHERE id % 11 = 0 OR id % 13 = 0 GROUP BY 1")
 def st7_stream(t: Tables):
     good, dead = folder(t, "handled"), folder(t, "dead")
-    twins.consume(fed(t), good, dead, folder(t, "st7-state")).awaitTermination()
+    twins.consume(fed_messages(t), good, dead, folder(t, "st7-state")).awaitTermination()
     kinds = t.spark.read.parquet(good).select(F.lit("handled").alias("kind")).union(t.spark.read.parquet(dead).select("error_type"))
     return kinds.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@op("st10_stream")
+_sessions = registry.ORACLES["st10_lifecycle"]
+
+
+@op("st10_stream", f"SELECT user_id, n, first_us, last_us FROM ({_sessions}) WHERE last_us + 28800000000 < (SELECT max(epoch_us(ts)) - 1000000 FROM events)")
 def st10_stream(t: Tables):
     """Sessions that the watermark has closed; those still open at the end of the input stay state."""
     return twins.run_to_table(twins.lifecycles(fed(t), "8 hours"), folder(t, "st10"), folder(t, "st10-state"))
@@ -70,19 +108,25 @@ def st10_stream(t: Tables):
 K, D = [[800.0, 0.0, 320.0], [0.0, 810.0, 240.0], [0.0, 0.0, 1.0]], [-0.2, 0.05, 0.001, -0.0005, 0.01]
 
 
-@op("p24_undistort")
+@op("p24_undistort", "SELECT frame_num, box, round(x1, 3) AS x, round(y1, 3) AS y FROM boxes")
 def p24(t: Tables):
-    return undistorted(t.boxes.select("frame_num", "box", c("x1").alias("x"), c("y1").alias("y")), K, D)
+    """Places are distorted by the camera's model in closed form; undistorting them must give the places back."""
+    x, y = distorted(c("x1"), c("y1"), K, D)
+    found = undistorted(t.boxes.select("frame_num", "box", x.alias("x"), y.alias("y")), K, D)
+    return found.select("frame_num", "box", F.round("ux", 3).alias("x"), F.round("uy", 3).alias("y"))
 
 
-@op("v5_homography", "SELECT id AS camera_id, CASE WHEN id % 4 = 3 THEN 0 ELSE 4 END AS inliers, id % 4 = 3 AS failed FROM cameras")
+@op("v5_homography", "SELECT id AS camera_id, CASE id % 4 WHEN 3 THEN 0 WHEN 2 THEN 9 ELSE 4 END AS inliers, id % 4 = 3 AS failed, CASE WHEN id % 4 < 3 THEN id + 10.0 END AS shift FROM cameras")
 def v5(t: Tables):
-    """Four exact pairs per camera; every fourth camera has only three and fails."""
-    n = F.when(c("id") % 4 == 3, 3).otherwise(4)
-    points = t.cameras.select(c("id").alias("camera_id"), F.explode(F.sequence(F.lit(0), n - 1)).alias("n"))
-    x, y = (c("n") % 2 * 100).cast("double"), F.floor(c("n") / 2).cast("double") * 100
-    points = points.select("camera_id", "n", x.alias("x"), y.alias("y"), (x * 2 + c("camera_id") + 10).alias("u"), (y * 3 + x * 0.5 - 5).alias("v"))
-    return homographies(points).select("camera_id", "inliers", c("error").isNotNull().alias("failed"))
+    """Four exact pairs, or nine and two that are far off (every fourth camera), or three, with which a camera fails."""
+    n = F.element_at(F.array(F.lit(4), F.lit(4), F.lit(11), F.lit(3)), (c("id") % 4 + 1).cast("int"))
+    points = t.cameras.select(c("id").alias("camera_id"), F.explode(F.sequence(F.lit(0), n - 1)).alias("n"), (n == 11).alias("many"))
+    side = F.when(c("many"), 3).otherwise(2)
+    x, y = (c("n") % side * 100).cast("double"), F.floor(c("n") / side).cast("double") * 100
+    off = F.when(c("n") >= 9, 250.0).otherwise(0.0)
+    points = points.select("camera_id", "n", x.alias("x"), y.alias("y"), (x * 2 + c("camera_id") + 10 + off).alias("u"), (y * 3 + x * 0.5 - 5 - off).alias("v"))
+    shift = F.round(F.get("h", 2), 4)
+    return homographies(points).select("camera_id", "inliers", c("error").isNotNull().alias("failed"), shift.alias("shift"))
 
 
 @op("sc10_events", "SELECT event_type, count(*) AS n FROM observations WHERE event_type IN ('click', 'view') GROUP BY 1")
@@ -94,12 +138,13 @@ def sc10(t: Tables):
     return twins.run_to_table(heard, folder(t, "sc10"), folder(t, "sc10-state")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@op("sc11_images", "SELECT 2::BIGINT AS files, true AS sized")
+@op("sc11_images", "SELECT id, length(code)::BIGINT + 1 AS bytes FROM branches")
 def sc11(t: Tables):
     """Files by reference: paths and sizes, without reading what is in them."""
     place = folder(t, "images")
-    t.branches.where("id < 8").repartition(2).select("code").write.text(place)
-    return messages.images(t.spark, place).where(c("path").contains("part-")).agg(F.count("*").alias("files"), (F.min("length") > 0).alias("sized"))
+    t.branches.write.partitionBy("id").text(place)
+    found = messages.images(t.spark, place)
+    return found.select(F.regexp_extract("path", r"/id=(\d+)/", 1).cast("long").alias("id"), c("length").alias("bytes"))
 
 
 @op("sc17_answers", "SELECT CAST(user_id AS VARCHAR) AS crop_id, arg_max(event_type, id) AS answer FROM observations WHERE id % 3 = 0 GROUP BY user_id")
@@ -111,13 +156,13 @@ def sc17(t: Tables):
     return messages.answers(t.spark, place, "now")
 
 
-@op("st8_micro_batches", "SELECT 3::BIGINT AS batches, count(*) AS n FROM observations")
+@op("st8_micro_batches", "WITH m AS (SELECT max(id) + 1 AS top FROM observations) SELECT CASE WHEN id < top // 3 THEN 0 WHEN id < top * 2 // 3 THEN 1 ELSE 2 END::BIGINT AS batch_id, count(*) AS n FROM observations, m GROUP BY 1")
 def st8(t: Tables):
-    """The size of a micro-batch is bounded by files per trigger and comes out as a column."""
+    """A micro-batch is bounded by files per trigger; its rows are those that arrived together."""
     good, dead = folder(t, "st8"), folder(t, "st8-dead")
-    twins.consume(fed(t), good, dead, folder(t, "st8-state")).awaitTermination()
+    twins.consume(fed_messages(t), good, dead, folder(t, "st8-state")).awaitTermination()
     rows = t.spark.read.parquet(good).select("batch_id").unionAll(t.spark.read.parquet(dead).select("batch_id"))
-    return rows.agg(F.count_distinct("batch_id").alias("batches"), F.count("*").alias("n"))
+    return rows.groupBy(c("batch_id").cast("long").alias("batch_id")).agg(F.count("*").alias("n"))
 
 
 @op("st14_reload", "SELECT o.id, u.full_name FROM observations o JOIN users u ON u.id = o.user_id WHERE u.id % 2 = 0")

@@ -13,7 +13,7 @@ from trailmark.session import table
 #: View -> table, expressions that both engines read alike; a pair where they differ (Spark, DuckDB).
 VIEWS: dict[str, tuple[str, list[str | tuple[str, str]]]] = {
     "branches": ("nation", ["CAST(n_nationkey AS BIGINT) AS id", "CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE lower(n_name) END AS code"]),
-    "users": ("customer", ["c_custkey AS id", "c_name AS full_name", "CASE WHEN c_acctbal >= 0 THEN 'active' ELSE 'inactive' END AS employment_status", "CAST(nullif(c_nationkey % 7, 0) AS BIGINT) AS branch_id", "c_mktsegment AS team"]),
+    "users": ("customer", ["c_custkey AS id", "c_name AS full_name", "CASE WHEN c_acctbal >= 0 THEN 'active' ELSE 'inactive' END AS employment_status", "CAST(nullif(c_nationkey % 7, 0) AS BIGINT) AS branch_id", "c_mktsegment AS team", "CASE WHEN c_custkey < 5 OR c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN c_custkey - 2 ELSE c_custkey - 5 END AS into_id"]),
     "cameras": (
         "supplier",
         [

@@ -19,6 +19,22 @@ def command_stream(spark: SparkSession, servers: str, topic: str, batch: int = 1
     return spark.readStream.format("kafka").options(**options).load().select(F.col("key").cast("string"), F.col("value").cast("string"), "timestamp")
 
 
+COMMAND = "id long, user_id long, event_type string, stream string"
+#: Fixed value: the characters of a broken message that a dead letter keeps.
+RAW_CHARS = 5000
+
+
+def commands(raw: DataFrame, streams: list[str], schema: str = COMMAND) -> DataFrame:
+    """SC9, ST7: JSON messages (``value``) as columns of ``schema``, with ``raw`` and ``error_type``.
+
+    PARSE_ERROR where the text is no JSON object of that kind or lacks an id, UNKNOWN_STREAM where it names none of ``streams``, else null.
+    """
+    c = F.col
+    rows = raw.select("*", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("_m"))
+    error = F.when(c("_m.id").isNull(), "PARSE_ERROR").when(~F.coalesce(c("_m.stream"), F.lit("")).isin(streams), "UNKNOWN_STREAM")
+    return rows.select("_m.*", F.substr("value", F.lit(1), F.lit(RAW_CHARS)).alias("raw"), error.alias("error_type"))
+
+
 def frame_handles(spark: SparkSession, rate: int = 10) -> DataFrame:
     """SC8: a paced source with a monotone sequence, standing in for a camera."""
     return spark.readStream.format("rate").option("rowsPerSecond", rate).load().select(F.col("value").alias("seq"), F.col("timestamp").alias("ts"))

@@ -11,11 +11,13 @@ neighbourhoods: a segment of two or more elements then fails only by two differe
 which this is still too little are keyed by each element, which always suffices.
 
 Keys are pre-aggregated in the task that makes them, so a key has at most one row per chunk in the
-shuffle, however many near copies share it. Candidates are stars around one or two members of a key,
+shuffle, however many near copies share it. Candidates are stars around a member of each key,
 filtered by an exact bound (the parities of 512 hash buckets differ in at most H places) and
-verified on whole sets; connected components follow. Only keys that then still hold different
-components are compared across components, the bound being part of the join. So no link between
-different texts is lost, and no large group of linked texts is expanded into its pairs.
+verified on whole sets: first one center for each member, then the centers that this has not put
+into its component yet, then another center of the keys that still hold different components; after
+each step connected components follow. Keys that still hold different components are compared
+across components in chunks, the bound being part of the join. So no link between different texts
+is lost, and no large group of linked texts is expanded into its pairs.
 
 Cases: null or empty text is the empty set (n_shingles 0, its own component); fewer words than n make
 one shingle; equal sets share a class and are verified once; rows that repeat a doc_id are one node; rows
@@ -36,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, written
+from .shared import connected_components, discard, written
 from .words import WordHashes, hashed, mix, windows, words_of
 
 #: Words of a shingle; similarity in hundredths. Characters and keys that a task holds at once; keys of a shuffle partition.
@@ -45,6 +47,8 @@ CHUNK_CHARS, CHUNK_KEYS, KEYS_A_PARTITION = 8_000_000, 2_000_000, 1_000_000
 #: Up to so many ids (8 bytes each) are broadcast to select candidate texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 PARITY_WORDS = 8
+#: Rows of a key that a task compares with as many others where a key still holds different components.
+CHUNK_ROWS = 1000
 #: Keys are cut to so many bytes, which only makes a few more candidates; digests to so many bits, the next one being a flag in the shuffle.
 KEY_BYTES, DIGEST_BITS = 6, 56
 _U = np.uint64
@@ -256,29 +260,50 @@ def may_link(a: str, b: str, t: int):
     return (low * 100 >= high * t) & (differ * (100 + t) <= (c(f"{a}.n") + c(f"{b}.n")) * (100 - t))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, t: int, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Those of the pairs (a, b) of representatives whose sets reach the similarity, and all pairs tried; texts are read anew, pairs in ``tried`` are known."""
-    pairs = pairs.select("a", "b").distinct()
-    pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = id_and_text(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def verified(pairs: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
+    """Those of the pairs (a: a bucket's center, b: a member; both representatives) whose sets reach the similarity, as a table.
+
+    Texts are read anew, with the centers of each member beside them, so a member's set is made once, moves to its centers and
+    is never stored; only the sets of the centers move besides.
+    """
+    partners = pairs.groupBy(F.col("b").alias("doc_id")).agg(F.collect_set("a").alias("partners"))
+    centers = pairs.select(F.col("a").alias("doc_id")).distinct().withColumn("partners", F.array().cast("array<long>"))
+    few = pairs.count() <= BROADCAST_IDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for part, found in rows_of(batches, CHUNK_CHARS):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array([shingles(x, n, memo) for x in found])], ["id", "elements"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("partners"), list_array([shingles(x, n, memo) for x in found])], ["id", "partners", "elements"])
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        texts = id_and_text(docs).join(F.broadcast(ids) if few else ids, "doc_id")
+        return texts.mapInArrow(run, "id long, partners array<long>, elements array<long>")
 
-    sets = written(texts.mapInArrow(run, "id long, elements array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
+    members = sets_of(partners).select(F.explode("partners").alias("a"), F.col("id").alias("b"), F.col("elements").alias("y"))
+    both = members.join(sets_of(centers).select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
-    links = written(both.where(common * (100 + t) >= (F.size("x") + F.size("y")) * t).select("a", "b"), "links")
-    return links, pairs if tried is None else pairs.unionByName(tried)
+    return written(both.where(common * (100 + t) >= (F.size("x") + F.size("y")) * t).select("a", "b").distinct(), "links")
+
+
+def crossing(rest: DataFrame, reps: DataFrame, t: int) -> DataFrame:
+    """(a, b): the pairs of different labels within a key that pass the bounds. ``rest``: key, x, label.
+
+    The rows of a key are dealt into chunks of about ``CHUNK_ROWS`` and a task compares two chunks, so no task has more than so many of a key.
+    """
+    c = F.col
+    sized = rest.join(rest.groupBy("key").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")), "key")
+    full = sized.join(reps.withColumnRenamed("d1", "x"), "x").withColumn("own", F.pmod(F.xxhash64("x"), c("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), c("chunks") - 1))
+    left = full.withColumn("i", c("own")).withColumn("j", other).alias("r")
+    right = full.withColumn("j", c("own")).withColumn("i", other).alias("s")
+    same = reduce(lambda x, y: x & y, [c(f"r.{k}") == c(f"s.{k}") for k in ("key", "i", "j")])
+    pairs = left.join(right, same & (c("r.rep") < c("s.rep")) & (c("r.label") != c("s.label")) & may_link("r", "s", t))
+    return pairs.select(c("r.rep").alias("a"), c("s.rep").alias("b")).distinct()
 
 
 def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: components of the documents whose sets have Jaccard >= t/100."""
-    spark = docs.sparkSession
+    spark, c = docs.sparkSession, F.col
     table = written(sketches(docs, n, t), "sketches")
     classes = table.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in PARITIES])
     classes = written(classes, "classes")
@@ -288,35 +313,53 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_keys / KEYS_A_PARTITION))
     rows = table.select("d1", "keys").where(F.octet_length("keys") > 0).mapInArrow(pre_aggregated, "key long, d long, center long")
     heads = rows.where("center is null").select("key", "d").repartition(partitions, "key").mapInArrow(shared_keys, "key long, x long, center long")
-    shared = written(heads.unionByName(rows.where("center is not null").select("key", F.col("d").alias("x"), "center")), "keys")
+    shared = written(heads.unionByName(rows.where("center is not null").select("key", c("d").alias("x"), "center")), "keys")
+    slim = written(table.select("doc_id", "n", "d1", "d2"), "sizes")
+    discard(table)
 
-    def pairs_of(stars: DataFrame) -> DataFrame:
-        stars = stars.where("c <> x").distinct()
+    def candidates(stars: DataFrame) -> DataFrame:
+        """(a, b): the representatives of the pairs of digests (c, x) that pass the bounds."""
         one, two = reps.alias("r"), reps.alias("s")
-        left = stars.join(one, F.col("c") == F.col("r.d1")).select("x", F.struct("r.*").alias("r"))
-        return left.join(two, (F.col("x") == F.col("s.d1")) & may_link("r", "s", t)).select(F.least("r.rep", "s.rep").alias("a"), F.greatest("r.rep", "s.rep").alias("b")).where("a <> b")
-
-    links, tried = verified(pairs_of(shared.select(F.col("center").alias("c"), "x")), docs, n, t)
-    labels = connected_components(links)
-
-    def members(labels: DataFrame) -> DataFrame:
-        """Rows of the keys that still hold different components."""
-        named = reps.join(labels, reps["rep"] == labels["node"], "left").select(F.col("d1").alias("x"), F.coalesce("root", "rep").alias("label"))
-        rows = shared.select("key", "x").distinct().join(named, "x")
-        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("x").alias("c")).where("low < high").select("key", "c")
-        return rows.join(mixed, "key")
-
-    again = members(labels)
-    more, tried = verified(pairs_of(again.select("c", "x")), docs, n, t, tried)
-    links = links.unionByName(more)
-    labels = written(connected_components(links), "labels")
-    rest = written(members(labels).select("key", "x", "label"), "rest")
-    full = rest.join(reps.withColumnRenamed("d1", "x"), "x")
-    left, right = full.alias("r"), full.alias("s")
-    across = left.join(right, (F.col("r.key") == F.col("s.key")) & (F.col("r.rep") < F.col("s.rep")) & (F.col("r.label") != F.col("s.label")) & may_link("r", "s", t))
-    more, _ = verified(across.select(F.col("r.rep").alias("a"), F.col("s.rep").alias("b")), docs, n, t, tried)
-    labels = connected_components(links.unionByName(more))
-
-    of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
-    out = table.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        left = stars.join(one, c("c") == c("r.d1")).select("x", F.struct("r.*").alias("r"))
+        return left.join(two, (c("x") == c("s.d1")) & may_link("r", "s", t)).select(c("r.rep").alias("a"), c("s.rep").alias("b")).where("a <> b").distinct()
+
+    def named(labels: DataFrame) -> DataFrame:
+        return reps.select("d1", "rep").join(labels, c("rep") == c("node"), "left").select("d1", F.coalesce("root", "rep").alias("label"))
+
+    def apart(stars: DataFrame, labels: DataFrame) -> DataFrame:
+        """The stars whose ends are not of one component yet."""
+        names = written(named(labels), "names")
+        of_x = stars.join(names.select(c("d1").alias("x"), c("label").alias("lx")), "x")
+        return of_x.join(names.select(c("d1").alias("c"), c("label").alias("lc")), "c").where("lx <> lc").select("c", "x").distinct()
+
+    def mixed(labels: DataFrame) -> DataFrame:
+        """(key, x, label, c): rows of the keys that still hold different components, and the key's largest member."""
+        all_rows = shared.select("key", "x").distinct().join(named(labels).withColumnRenamed("d1", "x"), "x")
+        keys = all_rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("x").alias("c")).where("low < high").select("key", "c")
+        return all_rows.join(keys, "key")
+
+    tried = None
+
+    def grown(labels: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """The components with the links among ``pairs`` too; pairs tried before are left out."""
+        nonlocal tried
+        if tried is not None:
+            ends = [F.least("a", "b").alias("a1"), F.greatest("a", "b").alias("b1")]
+            pairs = pairs.select("a", "b", *ends).join(tried.select(*ends), ["a1", "b1"], "left_anti").select("a", "b")
+        pairs = written(pairs, "pairs")
+        links = verified(pairs, docs, n, t)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if labels is not None:
+            links = links.unionByName(labels.select(c("node").alias("a"), c("root").alias("b")))
+        return written(connected_components(links), "labels")
+
+    stars = shared.where("center <> x").select(c("center").alias("c"), "x")
+    labels = grown(None, candidates(stars.groupBy("x").agg(F.min("c").alias("c"))))  # one center for each member links most near copies
+    labels = grown(labels, candidates(apart(stars.distinct(), labels)))
+    labels = grown(labels, candidates(apart(mixed(labels).where("c <> x").select("c", "x").distinct(), labels)))
+    labels = grown(labels, crossing(written(mixed(labels).select("key", "x", "label"), "rest"), reps, t))
+
+    of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
+    some = slim.where("n > 0").join(of_class, ["d1", "d2"], "left").select("doc_id", "n", "component_id")
+    none = slim.where("n = 0").select("doc_id", "n", c("doc_id").alias("component_id"))  # else all empty texts would be one key
+    return some.unionByName(none).select("doc_id", c("n").alias("n_shingles"), "component_id")

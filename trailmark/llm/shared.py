@@ -1,52 +1,6 @@
 """Helpers of the operators: lineage cuts in the shared folder and connected components."""
 
-from __future__ import annotations
+from trailmark.operators.graph import connected_components
+from trailmark.session import discard, shared_folder, written
 
-import uuid
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from trailmark.session import shared_folder
-
-
-def written(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, keeps column pruning."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node of ``edges``: the smallest node that its links reach.
-
-    Alternating large-star and small-star contractions (Kiveris et al. 2014): each round is two
-    grouped minimums and joins on the node, so no component is ever gathered in one task, and the
-    number of rounds grows with the logarithm of the longest chain. Every round is written to the
-    shared folder. Loops and repeated links are dropped; an empty table gives an empty result.
-    """
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if large:
-            both = both.union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        else:
-            both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        pairs = both.join(low, "u")
-        if large:
-            pairs = pairs.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        else:
-            pairs = pairs.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return pairs.where("a <> b").distinct()
-
-    now = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "links")
-    before = None
-    while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state["n"] == 0 or (state["n"], state["h"]) == before:
-            break
-        before = (state["n"], state["h"])
-        now = written(star(star(now, True), False), "links")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+__all__ = ["connected_components", "discard", "shared_folder", "written"]

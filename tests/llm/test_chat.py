@@ -1,4 +1,6 @@
 import hashlib
+import random
+from collections import defaultdict
 from itertools import groupby
 
 from trailmark.llm import chat
@@ -48,9 +50,43 @@ def test_round_trip_and_tree(spark):
         assert r.position == length
         assert sorted(inside) == [i for a in r.attends for i in range(a.start, a.stop)]
         assert not any(c in r.segment[r.mask_start : r.mask_start + r.mask_chars] for c in chat.CONTROL)
+    for one in nodes.values():  # what follows a turn stands right after it
+        below = []
+        for r in order:
+            up = bytes(r.parent_id)
+            while up and up != bytes(one.node_id):
+                up = bytes(nodes[up].parent_id)
+            below += [r] if up else []
+        assert sorted(r.start for r in below) == [r.start for r in order if one.stop <= r.start][: len(below)]
     assert {(r.conv_id, r.turn): r.text for r in chat.read_back(packed).collect()}[-1, 1] == ODD
 
 
+def test_branching_at_every_depth(spark):
+    """Random trees: depth-first, without gaps; keys grow with branches only."""
+    r = random.Random(4)
+    rows = []
+    for conv in range(40):
+        rows += [(conv, i, "user" if i % 2 == 0 else "assistant", r.choice("ab") if i < 6 else "tail") for i in range(r.randint(1, 12))]
+    packed = chat.format_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    nodes = {bytes(x.node_id): x for x in packed.nodes.collect()}
+    children = defaultdict(list)
+    for x in nodes.values():
+        children[bytes(x.parent_id)].append(x)
+
+    def end(x):
+        at = x.stop
+        for child in sorted(children[bytes(x.node_id)], key=lambda y: y.start):
+            assert child.start == at
+            at = end(child)
+        return at
+
+    at = 0
+    for root in sorted(children[b""], key=lambda y: y.start):
+        assert root.start == at
+        at = end(root)
+    assert at == sum(x.n_chars for x in nodes.values())
+
+
 def test_empty(spark):
     packed = chat.format_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert packed.nodes.count() == 0 and chat.conversation_digests(packed).count() == 0

@@ -2,9 +2,10 @@
 
 A node is a turn after a given history: its id digests its parent's id, role and text, so conversations that
 share their first turns share those nodes, and grouping by id merges them, combined before the shuffle.
-Each node is formatted once. The nodes are sorted by path, which is depth-first order, and a distributed
-running sum (within range partitions, then over the partitions' totals) gives each its place in the packed
-stream. A token here is a code point. A node carries the position id of its first token (the length of its
+Each node is formatted once. A node belongs to the smallest conversation that has it, so a conversation's path
+is a few stretches of one owner each; a node's key names these stretches (17 bytes each) and its depth. The nodes
+are sorted by key, which is depth-first order, and a distributed running sum (within range partitions, then over
+the partitions' totals) gives each its place in the packed stream. A token here is a code point. A node carries the position id of its first token (the length of its
 history) and the intervals of the packed stream that its tokens attend to besides themselves: its
 ancestors, neighbouring intervals joined.
 
@@ -12,8 +13,8 @@ Template: ``<s>assistant\\n...</s>`` for the assistant, ``[INST]role\\n...[/INST
 a backslash is doubled and each control string gets one backslash after its first character; a line break in a
 role becomes ``<\\n>``. Runs of backslashes from texts are even, so this is undone without loss.
 
-Conversations stream through a task turn by turn, sorted; only running digests and the joined intervals are held, so a
-conversation with very many turns needs no more memory than its path (8 bytes a turn).
+Conversations stream through a task turn by turn, sorted; only running digests, one key and the joined intervals are held,
+and what a turn writes does not grow with the turns before it, but with the branches on its path.
 
 Cases: null text or role is empty; rows of a conversation are ordered by turn, then role, then text, so ties and repeated rows are
 separate turns in a fixed order; rows with null conv_id form one conversation; other columns are ignored; an empty table gives empty results.
@@ -22,6 +23,7 @@ separate turns in a fixed order; rows with null conv_id form one conversation; o
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,11 +31,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from .shared import written
 
 #: The control strings of the template.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
+#: Stands for a null conv_id.
+NO_ID = -(2**63)
 
 
 def escaped(text: Column) -> Column:
@@ -76,33 +81,59 @@ def format_tree(conversations: DataFrame) -> Packed:
     rows = rows.select("conv_id", "turn", "role", "text", F.concat("begin", "body", "end").alias("segment"), F.char_length("begin").alias("mask_start"), F.when(learn, F.char_length("body")).otherwise(F.lit(0)).alias("mask_chars"))
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, depth, position, node, path = object(), 0, 0, b"", b""
+        now, depth, position, node = object(), 0, 0, b""
         for batch in batches:
             out = []
             for conv, r, t, segment in zip(batch["conv_id"], batch["role"], batch["text"], batch["segment"], strict=True):
                 if not same(conv, now):
-                    now, depth, position, node, path = conv, 0, 0, b"", b""
+                    now, depth, position, node = conv, 0, 0, b""
                 parent = node
                 digest = hashlib.blake2b(parent, digest_size=16)
                 for part in (r.encode(), t.encode()):
                     digest.update(len(part).to_bytes(8, "big") + part)
                 node = digest.digest()
-                path += node[:8]
-                out.append((depth, node, parent, path, position, len(segment)))
+                out.append((depth, node, parent, position, len(segment)))
                 depth, position = depth + 1, position + len(segment)
             keep = batch[["conv_id", "segment", "mask_start", "mask_chars"]].reset_index(drop=True)
-            yield pd.concat([keep, pd.DataFrame(out, columns=["depth", "node_id", "parent_id", "path", "position", "n_chars"])], axis=1)
+            yield pd.concat([keep, pd.DataFrame(out, columns=["depth", "node_id", "parent_id", "position", "n_chars"])], axis=1)
 
-    schema = "conv_id long, segment string, mask_start int, mask_chars int, depth long, node_id binary, parent_id binary, path binary, position long, n_chars long"
+    schema = "conv_id long, segment string, mask_start int, mask_chars int, depth long, node_id binary, parent_id binary, position long, n_chars long"
     turns = written(by_conversation(rows, "turn", "role", "text").mapInPandas(chain, schema), "turns")
     links = turns.select("conv_id", "depth", "node_id")
-    first = ["parent_id", "depth", "path", "position", "n_chars", "segment", "mask_start", "mask_chars"]
-    nodes = written(turns.groupBy("node_id").agg(*[F.first(x).alias(x) for x in first], F.min(F.coalesce("conv_id", F.lit(-(2**63)))).alias("owner"), F.count("*").alias("n_conversations")), "nodes")
-    nodes = placed(nodes)
+    first = ["parent_id", "depth", "position", "n_chars", "segment", "mask_start", "mask_chars"]
+    owner = F.min(F.coalesce("conv_id", F.lit(NO_ID))).alias("owner")
+    nodes = written(turns.groupBy("node_id").agg(*[F.first(x).alias(x) for x in first], owner, F.count("*").alias("n_conversations")), "nodes")
+    nodes = placed(nodes, keyed(links, nodes))
     return Packed(nodes.join(attended(links, nodes), "node_id").drop("owner"), links)
 
 
-def placed(nodes: DataFrame) -> DataFrame:
+def keyed(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, key): keys in depth-first order. In each stretch what branches off before a turn comes before it, and after the turn that it continues."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, of, stretch = object(), None, b""
+        for batch in batches:
+            ids, keys = [], []
+            for conv, depth, node, owner in zip(batch["conv_id"], batch["depth"], batch["node_id"], batch["owner"], strict=True):
+                if conv != now:
+                    now, of, stretch = conv, None, b""
+                if owner != of:
+                    of, stretch = owner, stretch + struct.pack(">QBQ", depth, 0, owner - NO_ID)
+                if owner == conv:
+                    ids.append(node)
+                    keys.append(stretch + struct.pack(">QB", depth, 1))
+            yield pd.DataFrame({"node_id": ids, "key": keys})
+
+    return along(links, nodes.select("node_id", "owner")).mapInPandas(walk, "node_id binary, key binary")
+
+
+def along(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The conversations with columns of their nodes, turn by turn. A node has one row of its owner, as a path never repeats a node."""
+    known = F.coalesce("conv_id", F.lit(NO_ID)).alias("conv_id")
+    return by_conversation(links.select(known, "depth", "node_id").join(nodes, "node_id"), "depth")
+
+
+def placed(nodes: DataFrame, keys: DataFrame) -> DataFrame:
     """Adds ``start`` and ``stop``, a node's interval of the packed stream in depth-first order."""
 
     def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,11 +145,12 @@ def placed(nodes: DataFrame) -> DataFrame:
             total += int(batch["n_chars"].sum())
             yield pd.DataFrame({"node_id": batch["node_id"], "part": part, "local": local, "n_chars": batch["n_chars"]})
 
-    ordered = nodes.select("path", "node_id", "n_chars").repartitionByRange("path").sortWithinPartitions("path")
+    keys = written(keys.join(nodes.select("node_id", "n_chars"), "node_id"), "keys")  # a table, as finding the ranges reads it too
+    ordered = keys.repartitionByRange("key").sortWithinPartitions("key")
     local = written(ordered.mapInPandas(running, "node_id binary, part long, local long, n_chars long"), "places")
     totals = local.groupBy("part").agg(F.sum("n_chars").alias("total"))
     # One row for each partition of the sort: their number is that of shuffle partitions, whatever the input.
-    bases = totals.alias("a").join(F.broadcast(totals).alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.total"), F.lit(0)).alias("base"))
+    bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
     places = local.join(F.broadcast(bases), "part").select("node_id", (F.col("base") + F.col("local")).alias("start"), (F.col("base") + F.col("local") + F.col("n_chars")).alias("stop"))
     return written(nodes.join(places, "node_id"), "placed")
 
@@ -142,10 +174,7 @@ def attended(links: DataFrame, nodes: DataFrame) -> DataFrame:
                     held.append((start, stop))
             yield pd.DataFrame({"node_id": ids, "attends": out})
 
-    known = F.coalesce("conv_id", F.lit(-(2**63))).alias("conv_id")
-    rows = links.select(known, "depth", "node_id").join(nodes.select("node_id", "start", "stop", "owner"), "node_id")
-    # A node's rows of its owner: one, as a path never repeats a node.
-    return by_conversation(rows, "depth").mapInPandas(walk, "node_id binary, attends array<struct<start:long,stop:long>>")
+    return along(links, nodes.select("node_id", "start", "stop", "owner")).mapInPandas(walk, "node_id binary, attends array<struct<start:long,stop:long>>")
 
 
 def read_back(packed: Packed) -> DataFrame:

@@ -77,5 +77,26 @@ def test_disclosing_terms(spark):
     assert "<email>" in out[60] and "Nightowl" not in out[60] and "boss" not in out[60] and out[0] == texts[0]
 
 
+def test_signatures_of_different_texts(spark):
+    """A name in a fixed signature beside an address is evidence where the texts above differ; another far from it is none."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(40)]
+    for _ in range(6):
+        texts.append("Farthing " + " ".join(word() for _ in range(60)) + "\nwritten and signed by Nightowl, a.b@corp.example, all rights of the authors")
+    texts += ["Written by Copycat, c.d@corp.example"] * 6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in privacy.digests(df).collect():
+        text = texts[x.doc_id]
+        found = {text[int(a) : int(b)] for k, a, b in (s.split(":") for s in x.spans.split(",") if s) if k == "term"}
+        assert ("Nightowl" in found) == ("Nightowl" in text) and not found & {"Farthing", "Copycat"}, text
+
+
+def test_ids_shared_by_different_texts(spark):
+    rows = [(1, "a@b.cd"), (1, "nothing"), (None, "1.2.3.4"), (None, "a@b.cd and 1.2.3.4"), (None, None)]
+    got = privacy.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id or 0, x.n_email, x.n_ip) for x in got) == [(0, 0, 0), (0, 0, 1), (0, 1, 1), (1, 0, 0), (1, 1, 0)]
+
+
 def test_empty(spark):
     assert privacy.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -1,15 +1,16 @@
 """Personal data and information-theoretic sanitisation, in SQL functions only.
 
 Base findings are e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected entity.
-A term (a word beside it in a document) discloses an entity as far as it predicts it: with counts of documents over the
-whole corpus, PMI(e; t) = log2(N n(e,t) / (n(e) n(t))), against the entity's information IC(e) = log2(N / n(e)). A ratio
-of ``GENERALISE`` or more is too much: the term is generalised to its shape there, from ``REMOVE`` on it is removed. A
-ratio is evidence only where it rests on more than one passage, so copies of one text prove nothing: an entity counts
-from ``CONTEXTS`` different contexts on (the characters around it), and a pair from so many contexts too.
+A term (a word at most ``REACH`` characters beside it) discloses an entity as far as it predicts it: with counts of documents
+over the whole corpus, PMI(e; t) = log2(N n(e,t) / (n(e) n(t))), against the entity's information IC(e) = log2(N / n(e)). A
+ratio of ``GENERALISE`` or more is too much: the term is generalised to its shape in all documents that hold the entity, from
+``REMOVE`` on it is removed. A ratio is evidence only where it rests on more than one passage, so copies of one text prove
+nothing: an entity counts from ``CONTEXTS`` different passages on (the characters within reach), and a pair from so many too.
+Texts that only share a short line with the entity, as a signature, are different passages.
 
-Only documents that hold an entity with enough contexts are cut into terms, and terms are counted over
-the whole corpus; all counts are combined before the shuffle, so a term or an entity that a third of the
-documents have is a single key of counts. No pairs of documents arise.
+Only the passages of entities with enough of them are cut into terms, so rows grow with the mentions, not with the
+texts; terms are counted over the whole corpus. All counts are combined before the shuffle, so a term or an entity
+that a third of the documents have is a single key of counts. No pairs of documents arise.
 
 Cases: null text is empty (no findings); repeated rows have equal results and count as documents each; rows that share a doc_id but not
 their text are separate; null doc_id is kept; overlapping findings of different kinds all stay; equal ratios are treated alike; very long texts and runs are
@@ -25,8 +26,8 @@ from .shared import written
 from .spans import let, redacted, shown, spans, tagged, where_any
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-#: Disclosure ratios; least different contexts; least letters of a term; characters of a context on either side.
-GENERALISE, REMOVE, CONTEXTS, TERM_LETTERS, CONTEXT_CHARS = 0.8, 0.95, 3, 4, 24
+#: Disclosure ratios; least different passages; least letters of a term; characters of a passage on either side; bytes of one in UTF-32.
+GENERALISE, REMOVE, CONTEXTS, TERM_LETTERS, REACH, WIDE = 0.8, 0.95, 3, 4, 200, 4
 #: Stands for a separator between two digits or two labels in a copy that is only searched: runs are then one class, matched without recursion.
 MARK = "\ue000"
 # The patterns. A match begins at the beginning of a run, or where the last one ended, which is the leftmost place.
@@ -76,21 +77,36 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, ratio): terms that disclose an entity beyond the lower threshold. ``found``: the documents with findings."""
     c = F.col
 
-    def entities(k: str) -> Column:
-        before = lambda x: F.substr(c("text"), F.greatest(F.lit(1), x["start"] + 1 - CONTEXT_CHARS).cast("int"), F.least(F.lit(CONTEXT_CHARS), x["start"]).cast("int"))
-        after = lambda x: F.substr(c("text"), (x["stop"] + 1).cast("int"), F.lit(CONTEXT_CHARS))
-        return F.transform(c(k), lambda x: F.struct(F.xxhash64(F.lit(k), F.lower(x["found"])).alias("entity"), F.xxhash64(before(x), after(x)).alias("context")))
+    def mentions(text: Column) -> Column:
+        """Entity and passage of each finding; characters are taken from a copy of equal widths, so each is found at once."""
 
-    held = found.withColumn("row", F.monotonically_increasing_id()).select("row", "text", F.concat(*map(entities, KINDS[:4])).alias("held"))
-    each = held.select("row", F.explode("held").alias("e")).select("row", "e.entity", "e.context")
-    known = each.groupBy("entity").agg(F.count_distinct("row").alias("n_e"), F.count_distinct("context").alias("contexts")).where(c("contexts") >= CONTEXTS)
+        def piece(wide: Column, start: Column, n: Column) -> Column:
+            return F.decode(F.substr(wide, (start * WIDE + 1).cast("int"), (n * WIDE).cast("int")), "UTF-32")
+
+        def around(wide: Column, x: Column) -> Column:
+            before = piece(wide, F.greatest(F.lit(0), x["start"] - REACH), F.least(F.lit(REACH), x["start"]))
+            after = piece(wide, x["stop"], F.lit(REACH))
+            # A word that the reach cuts is none.
+            before = F.when(x["start"] > REACH, F.regexp_replace(before, r"^[\p{L}\p{N}'_-]+", "")).otherwise(before)
+            after = F.when((x["stop"] + REACH) * WIDE < F.length(wide), F.regexp_replace(after, r"[\p{L}\p{N}'_-]+$", "")).otherwise(after)
+            return F.concat(before, F.lit("\n"), after)
+
+        def of(wide: Column) -> Column:
+            one = lambda k: F.transform(c(k), lambda x: F.struct(F.xxhash64(F.lit(k), F.lower(x["found"])).alias("entity"), around(wide, x).alias("passage")))
+            return F.concat(*map(one, KINDS[:4]))
+
+        return let(F.encode(text, "UTF-32"), of)
+
+    held = found.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("same"), F.explode(mentions(c("text"))).alias("e"))
+    held = written(held.select("row", "same", "e.entity", "e.passage", F.xxhash64("e.passage").alias("context")), "mentions")
+    known = held.groupBy("entity").agg(F.count_distinct("row").alias("n_e"), F.count_distinct("context").alias("contexts")).where(c("contexts") >= CONTEXTS)
     known = written(known, "entities")
-    some = held.select("text", F.explode("held").alias("e")).select("text", "e.entity", "e.context").join(known.select("entity"), "entity")
-    some = some.groupBy("entity", F.xxhash64("text").alias("same"), "text").agg(F.min("context").alias("context"), F.count("*").alias("hits"))
-    pairs = some.select("entity", "context", "same", F.explode(terms(c("text"))).alias("term"))
+    pairs = held.join(known.select("entity"), "entity").select("entity", "same", "context", F.explode(terms(c("passage"))).alias("term"))
+    pairs = pairs.groupBy("entity", "term", "same").agg(F.min("context").alias("context"))
     # A text that k rows have is k documents; its row here stands for all of them.
-    copies = held.select(F.xxhash64("text").alias("same"), "row").groupBy("same").agg(F.count("*").alias("copies"))
-    joint = pairs.join(copies, "same").groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count_distinct("context").alias("contexts")).where(c("contexts") >= CONTEXTS)
+    copies = held.groupBy("same").agg(F.count_distinct("row").alias("copies"))
+    counts = [F.sum("copies").alias("n_et"), F.count_distinct("context").alias("contexts")]
+    joint = pairs.join(copies, "same").groupBy("entity", "term").agg(*counts).where(c("contexts") >= CONTEXTS)
     joint = written(joint.join(known.select("entity", "n_e"), "entity"), "joint")
     wanted = joint.select("term").distinct()
     text = F.coalesce(c("text").cast("string"), F.lit(""))
@@ -98,7 +114,7 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     n_t = docs.select(F.explode(terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
     total = docs.agg(F.count("*").alias("n"))
     ratio = F.log2(c("n") * c("n_et") / (c("n_e") * c("n_t"))) / F.log2(c("n") / c("n_e"))
-    rated = joint.join(n_t, "term").join(F.broadcast(total)).where("n > n_e").select("entity", "term", ratio.alias("ratio"))  # one row of total
+    rated = joint.join(n_t, "term").join(F.broadcast(total)).where("n > n_e").select("entity", "term", ratio.alias("ratio"))  # total is one row
     return rated.where(c("ratio") >= GENERALISE)
 
 

@@ -2,11 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
 ``documents``; the last returns a row of token digests per document.
+
+Cases, besides those that the operators state: null text, or text without a letter, goes in the first stage; a document
+that is empty once its repeated lines are cut goes in the second, one that was blank before stays until the language
+stage has dropped it; rows that repeat both doc_id and text are one document and one of them stays after the third
+stage, also if the doc_id is null; rows that share a doc_id, or have none, but not the text are documents of their own;
+of a group the row with the smallest doc_id stays (null last), of equal ones that with the smallest key of doc_id and
+text; the decontamination knows documents by doc_id, so all rows of a contaminated doc_id go and rows without one stay;
+very long texts are processed whole; other columns are carried along, whatever their names; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import bpe, decontaminate, jaccard, langid, lines
@@ -27,14 +35,19 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those that resemble no learned language at all."""
-    predicted = docs.withColumn("_language", langid.predictor(docs)(F.col("text").cast("string")))
-    return predicted.where((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= LEAST_SCORE)).select(*docs.columns)
+    language = langid.predictor(docs)(F.col("text").cast("string"))
+    predicted = docs.select(whole(docs), language.alias("language"))
+    return predicted.where((F.col("language.lang_pred") != "und") & (F.col("language.score") >= LEAST_SCORE)).select("row.*")
+
+
+def whole(docs: DataFrame) -> Column:
+    """A row as one column, so that no name of its columns clashes with one that a stage adds."""
+    return F.struct(*[docs[n] for n in docs.columns]).alias("row")
 
 
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated lines; documents that lose every line go. ``n_chars`` follows the text."""
-    out = lines.deduplicated(docs).where(~F.col("_emptied")).select(*docs.columns)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    return lines.first_lines(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +69,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "_key", how)
 
-    kept = among(docs.withColumn("_key", key), dropped, "left_anti")
-    once = among(kept, repeated, "left_anti").unionByName(among(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return once.select(*docs.columns)
+    kept = among(docs.select(whole(docs), key.alias("_key")), dropped, "left_anti")
+    once = among(kept, repeated, "left_semi").groupBy("_key").agg(F.min_by("row", F.hash("row")).alias("row"))
+    return among(kept, repeated, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline against plain Python over the same documents."""
 
 import hashlib
+import random
 import sys
 from pathlib import Path
 
@@ -62,3 +63,21 @@ def test_rows_without_an_id_of_their_own(spark):
     got = [(r.doc_id, r.text) for r in out.collect()]
     assert len(got) == len(want) and set(want[:-1]) < set(got) and sum(i is None and t.startswith(text["e"]) for i, t in got) == 1
     assert len(corpus_pipeline.one_of_each_group(spark, docs.where("doc_id is null"), "").collect()) == 3
+
+
+def test_odd_tables(spark, sf_dir):
+    """Repeated rows, null ids, nulls in all columns, a very long text, names that the stages use, and no rows at all."""
+    r = random.Random(3)
+    prose = [" ".join("".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(80)) for _ in range(5)]
+    long = " ".join("".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(60_000))
+    rows = [(1, prose[0]), (1, prose[0]), (2, prose[1]), (None, prose[2]), (None, None), (3, ""), (4, "12 34"), (5, long), (6, prose[3] + "\n" + prose[1]), (7, prose[1]), (2, prose[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = docs.selectExpr("doc_id", "text", "'en' as lang", "1 as _key", "2 as _language", "3 as _emptied", "4 as _hash", "5 as removed", "cast(null as string) as component_id", "6 as key", "7 as n")
+    for source in (clash, clash.where("false")):
+        kept = source
+        for name, stage in corpus_pipeline.STAGES:
+            kept = corpus_pipeline.written(stage(spark, kept, sf_dir))
+            if name != "bpe":
+                assert kept.columns == clash.columns
+        got = sorted(((x.doc_id or 0), x.n_tokens > 0) for x in kept.collect())
+        assert got == ([(0, True), (1, True), (2, True), (2, True), (5, True), (6, True)] if source is clash else [])

@@ -19,7 +19,7 @@ c = F.col
 
 def stored(t: Tables, rows, name: str) -> StoredTable:
     """An empty table for such rows in the shared folder."""
-    return StoredTable(t.spark, f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}", rows.schema.simpleString()[7:-1])
+    return StoredTable(t.spark, f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}", rows.schema)
 
 
 def appended(t: Tables, rows, name: str):

@@ -116,7 +116,7 @@ def p24(t: Tables):
     return found.select("frame_num", "box", F.round("ux", 3).alias("x"), F.round("uy", 3).alias("y"))
 
 
-@op("v5_homography", "SELECT id AS camera_id, CASE id % 4 WHEN 3 THEN 0 WHEN 2 THEN 9 ELSE 4 END AS inliers, id % 4 = 3 AS failed, CASE WHEN id % 4 < 3 THEN id + 10.0 END AS shift FROM cameras")
+@op("v5_homography", "SELECT id AS camera_id, CASE id % 4 WHEN 3 THEN 0 WHEN 2 THEN 9 ELSE 4 END AS inliers, id % 4 = 3 AS failed, CASE WHEN id % 4 < 3 THEN (id + 10)::DOUBLE END AS shift FROM cameras")
 def v5(t: Tables):
     """Four exact pairs, or nine and two that are far off (every fourth camera), or three, with which a camera fails."""
     n = F.element_at(F.array(F.lit(4), F.lit(4), F.lit(11), F.lit(3)), (c("id") % 4 + 1).cast("int"))

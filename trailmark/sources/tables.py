@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trailmark.operators.sequences import latest_per_key
 
@@ -16,7 +17,7 @@ class StoredTable:
     state before. There is one writer at a time; ``foreachBatch`` of a stream is one.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def _current(self) -> int:

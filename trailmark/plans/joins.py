@@ -59,7 +59,12 @@ def reid_candidates(rows, least: float = 0.7):
     return near.where(dot(c("embedding"), c("g")) >= least).select("id", "other")
 
 
-@op("j5_added_and_removed", "SELECT id, 'added' AS change FROM users u WHERE id % 3 <> 0 AND id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM face_embeddings f WHERE f.user_id = u.id::VARCHAR) UNION ALL SELECT f.id, 'removed' FROM face_embeddings f WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id::VARCHAR = f.user_id AND u.id % 3 <> 0)")
+@op(
+    "j5_added_and_removed",
+    "SELECT id, 'added' AS change FROM users u WHERE id % 3 <> 0 AND id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM face_embeddings f WHERE f.user_id "
+    "= u.id::VARCHAR) UNION ALL SELECT f.id, 'removed' FROM face_embeddings f WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id::VARCHAR = "
+    "f.user_id AND u.id % 3 <> 0)",
+)
 def j5(t: Tables):
     """Users with images (here: not divisible by 5) that the gallery lacks; gallery rows whose user is gone, repeats included."""
     known = t.users.where("id % 3 <> 0").select("id", c("id").cast("string").alias("user_id"))
@@ -71,7 +76,12 @@ def j5(t: Tables):
 _want = "SELECT CAST(id % 211 AS VARCHAR) AS user_id, 'https://store/img' || (id * 7 % 53) || '.jpg' AS image_url_norm FROM users WHERE id % 2 = 0"
 
 
-@op("j6_gallery_sync", f"WITH want AS (SELECT DISTINCT * FROM ({_want})), have AS (SELECT DISTINCT user_id, image_url_norm FROM face_embeddings) SELECT user_id, image_url_norm, 'missing' AS what FROM (FROM want EXCEPT FROM have) UNION ALL SELECT user_id, image_url_norm, CASE WHEN user_id IN (SELECT user_id FROM want) THEN 'stale image' ELSE 'stale user' END FROM (FROM have EXCEPT FROM want)")
+@op(
+    "j6_gallery_sync",
+    f"WITH want AS (SELECT DISTINCT * FROM ({_want})), have AS (SELECT DISTINCT user_id, image_url_norm FROM face_embeddings) SELECT user_id, "
+    "image_url_norm, 'missing' AS what FROM (FROM want EXCEPT FROM have) UNION ALL SELECT user_id, image_url_norm, CASE WHEN user_id IN (SELECT "
+    "user_id FROM want) THEN 'stale image' ELSE 'stale user' END FROM (FROM have EXCEPT FROM want)",
+)
 def j6(t: Tables):
     keys = ["user_id", "image_url_norm"]
     image = F.concat(F.lit("https://store/img"), (c("id") * 7 % 53).cast("string"), F.lit(".jpg"))
@@ -89,7 +99,11 @@ def j7(t: Tables):
     return t.boxes.join(maps, "camera_id", "left").select("frame_num", "box", "map_id")
 
 
-@op("j8_positional_zip", "SELECT camera_id, count(*) AS n, sum(id * (us % 1000))::BIGINT AS checksum FROM observations WHERE camera_id % 3 <> 0 AND event_type = 'signup' GROUP BY camera_id")
+@op(
+    "j8_positional_zip",
+    "SELECT camera_id, count(*) AS n, sum(id * (us % 1000))::BIGINT AS checksum FROM observations WHERE camera_id % 3 <> 0 AND event_type = "
+    "'signup' GROUP BY camera_id",
+)
 def j8(t: Tables):
     """Results and regions by index; cameras whose lists differ in length (here: divisible by 3) lose all of them."""
     place = F.row_number().over(Window.partitionBy("camera_id").orderBy("id"))
@@ -101,14 +115,22 @@ def j8(t: Tables):
     return sums.where("whole").drop("whole")
 
 
-@op("j9_duplicate_tracks", f"SELECT q.id AS keep, g.id AS merge FROM face_embeddings q JOIN face_embeddings g ON q.image_url_norm = g.image_url_norm AND q.id < g.id WHERE 1 - {_dot} <= 0.6")
+@op(
+    "j9_duplicate_tracks",
+    "SELECT q.id AS keep, g.id AS merge FROM face_embeddings q JOIN face_embeddings g ON q.image_url_norm = g.image_url_norm AND q.id < g.id "
+    f"WHERE 1 - {_dot} <= 0.6",
+)
 def j9(t: Tables):
     e = t.face_embeddings
     a, b = e.select(c("id").alias("keep"), "image_url_norm", c("embedding").alias("x")), e.select(c("id").alias("merge"), "image_url_norm", c("embedding").alias("y"))
     return a.join(b, "image_url_norm").where((c("keep") < c("merge")) & (1 - dot(c("x"), c("y")) <= 0.6)).select("keep", "merge")
 
 
-@op("j10_current_labels", "SELECT p.crop_id, p.pred, CASE WHEN l.quality = 1 THEN 'working' ELSE 'other' END AS truth FROM predictions p JOIN labels l ON l.doc_id = p.crop_id")
+@op(
+    "j10_current_labels",
+    "SELECT p.crop_id, p.pred, CASE WHEN l.quality = 1 THEN 'working' ELSE 'other' END AS truth FROM predictions p JOIN labels l ON l.doc_id = "
+    "p.crop_id",
+)
 def j10(t: Tables):
     now = t.labels.select(c("doc_id").alias("crop_id"), F.when(c("quality") == 1, "working").otherwise("other").alias("truth"))
     return t.predictions.drop("truth").join(now, "crop_id").select("crop_id", "pred", "truth")
@@ -124,7 +146,11 @@ def j11(t: Tables):
     return n("purchase", "purchases").join(n("error", "errors"), "user_id", "outer")
 
 
-@op("j12_locked_elsewhere", "SELECT id FROM face_embeddings a WHERE EXISTS (SELECT 1 FROM face_embeddings b WHERE b.user_id = a.user_id AND b.id <> a.id AND b.label = a.label)")
+@op(
+    "j12_locked_elsewhere",
+    "SELECT id FROM face_embeddings a WHERE EXISTS (SELECT 1 FROM face_embeddings b WHERE b.user_id = a.user_id AND b.id <> a.id AND b.label = "
+    "a.label)",
+)
 def j12(t: Tables):
     e = t.face_embeddings.select("id", "user_id", "label")
     n = e.groupBy("user_id", "label").agg(F.count_distinct("id").alias("n")).where("n > 1")
@@ -151,7 +177,11 @@ def t4(t: Tables):
     return t.users.select("id", "full_name").unionByName(t.cameras.select("id", "name"), allowMissingColumns=True)
 
 
-@op("t5_cameras_per_application", "SELECT id, app, count(*) OVER (PARTITION BY id) > 1 AS duplicate FROM (SELECT id, unnest(CASE WHEN application LIKE '[%' THEN from_json(application, '[\"VARCHAR\"]') ELSE [application] END) AS app FROM cameras WHERE application IS NOT NULL)")
+@op(
+    "t5_cameras_per_application",
+    "SELECT id, app, count(*) OVER (PARTITION BY id) > 1 AS duplicate FROM (SELECT id, unnest(CASE WHEN application LIKE '[%' THEN "
+    "from_json(application, '[\"VARCHAR\"]') ELSE [application] END) AS app FROM cameras WHERE application IS NOT NULL)",
+)
 def t5(t: Tables):
     rows = t.cameras.where("application is not null").select("id", F.explode(apps(c("application"))).alias("app"))
     return rows.withColumn("duplicate", F.count("*").over(Window.partitionBy("id")) > 1)
@@ -167,7 +197,12 @@ def t6(t: Tables):
     return a.subtract(b).withColumn("change", F.lit("gone")).union(a.intersect(b).withColumn("change", F.lit("stays")))
 
 
-@op("t7_alerts", "SELECT id, 'LOW_FPS' AS type, printf('Camera %s FPS=%.2f is below threshold (3.5)', name, fps_raw / 1000) AS message FROM cameras WHERE fps_raw / 1000 > 0 AND fps_raw / 1000 < 3.5 UNION ALL SELECT id, 'GPU_MEMORY_HIGH', printf('GPU VRAM at %d%%', id % 100) FROM cameras WHERE id % 100 > 90 UNION ALL SELECT id, 'RAM_HIGH', printf('System RAM at %d%%', id * 7 % 100) FROM cameras WHERE id * 7 % 100 > 90")
+@op(
+    "t7_alerts",
+    "SELECT id, 'LOW_FPS' AS type, printf('Camera %s FPS=%.2f is below threshold (3.5)', name, fps_raw / 1000) AS message FROM cameras WHERE "
+    "fps_raw / 1000 > 0 AND fps_raw / 1000 < 3.5 UNION ALL SELECT id, 'GPU_MEMORY_HIGH', printf('GPU VRAM at %d%%', id % 100) FROM cameras WHERE "
+    "id % 100 > 90 UNION ALL SELECT id, 'RAM_HIGH', printf('System RAM at %d%%', id * 7 % 100) FROM cameras WHERE id * 7 % 100 > 90",
+)
 def t7(t: Tables):
     """Strictly beyond each bound; a rate of 0 means a camera that has only begun."""
     k = t.cameras.withColumn("fps", c("fps_raw") / 1000)
@@ -176,7 +211,11 @@ def t7(t: Tables):
     return low.union(gpu).union(k.where("id * 7 % 100 > 90").select("id", F.lit("RAM_HIGH"), F.format_string("System RAM at %d%%", c("id") * 7 % 100)))
 
 
-@op("t8_banding", "SELECT id, CASE WHEN id % 100 >= 90 THEN 'bad' WHEN id % 100 >= 70 THEN 'warn' ELSE 'ok' END AS cpu, CASE WHEN id % 100 >= 90 THEN 'bad' WHEN id % 100 >= 75 THEN 'warn' ELSE 'ok' END AS ram FROM cameras")
+@op(
+    "t8_banding",
+    "SELECT id, CASE WHEN id % 100 >= 90 THEN 'bad' WHEN id % 100 >= 70 THEN 'warn' ELSE 'ok' END AS cpu, CASE WHEN id % 100 >= 90 THEN 'bad' "
+    "WHEN id % 100 >= 75 THEN 'warn' ELSE 'ok' END AS ram FROM cameras",
+)
 def t8(t: Tables):
     x = c("id") % 100
     return t.cameras.select("id", band(x, 70, 90).alias("cpu"), band(x, 75, 90).alias("ram"))
@@ -192,7 +231,11 @@ def variant_scores(predictions):
 _scores = "SELECT variant, sum(hits) / sum(n) AS accuracy, avg(recall) AS balanced, sum(latency) / sum(n) AS latency, sum(parse) AS parse_failures FROM (SELECT variant, truth, avg(CASE WHEN pred = truth THEN 1.0::DOUBLE ELSE 0 END) AS recall, sum(CASE WHEN pred = truth THEN 1.0::DOUBLE ELSE 0 END) AS hits, count(*) AS n, sum(latency_s) AS latency, sum(parse_failure::INT) AS parse FROM predictions GROUP BY ALL) GROUP BY variant"
 
 
-@op("t9_regression_gate", f"WITH s AS ({_scores}) SELECT s.variant, s.accuracy > b.accuracy AND s.balanced > b.balanced AND s.latency <= 1.1 * b.latency AND s.parse_failures <= b.parse_failures AS ship FROM s, s b WHERE b.variant = 0")
+@op(
+    "t9_regression_gate",
+    f"WITH s AS ({_scores}) SELECT s.variant, s.accuracy > b.accuracy AND s.balanced > b.balanced AND s.latency <= 1.1 * b.latency AND "
+    "s.parse_failures <= b.parse_failures AS ship FROM s, s b WHERE b.variant = 0",
+)
 def t9(t: Tables):
     s = variant_scores(t.predictions)
     base = F.broadcast(s.where("variant = 0").select(*[c(x).alias(f"b_{x}") for x in ("accuracy", "balanced", "latency", "parse_failures")]))  # one row
@@ -200,7 +243,12 @@ def t9(t: Tables):
     return s.join(base).select("variant", ship.alias("ship"))
 
 
-@op("w10_top_boxes", "SELECT frame_num, box, area FROM (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY frame_num, box, area DESC, x1, y1) AS m FROM (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY frame_num ORDER BY (x2 - x1) * (y2 - y1) DESC, box, x1, y1) AS n FROM boxes) WHERE n <= 8) WHERE m <= 60")
+@op(
+    "w10_top_boxes",
+    "SELECT frame_num, box, area FROM (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY frame_num, box, area DESC, x1, y1) AS m FROM "
+    "(SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY frame_num ORDER BY (x2 - x1) * (y2 - y1) DESC, box, x1, y1) AS n "
+    "FROM boxes) WHERE n <= 8) WHERE m <= 60",
+)
 def w10(t: Tables):
     rows = t.boxes.withColumn("area", (c("x2") - c("x1")) * (c("y2") - c("y1")))
     largest = top_per_key(rows, ["frame_num"], [F.desc("area"), c("box"), c("x1"), c("y1")], 8)

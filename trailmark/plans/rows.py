@@ -13,7 +13,11 @@ from .views import Tables, op
 c = F.col
 
 
-@op("p1_detections", "SELECT frame_num, box, row_number() OVER (PARTITION BY frame_num ORDER BY box, l_partkey, x1, y1, x2, confidence) - 1 AS ordinal, confidence FROM boxes WHERE class_id = 0")
+@op(
+    "p1_detections",
+    "SELECT frame_num, box, row_number() OVER (PARTITION BY frame_num ORDER BY box, l_partkey, x1, y1, x2, confidence) - 1 AS ordinal, "
+    "confidence FROM boxes WHERE class_id = 0",
+)
 def p1(t: Tables):
     order = F.row_number().over(Window.partitionBy("frame_num").orderBy("box", "l_partkey", "x1", "y1", "x2", "confidence")) - 1
     return t.boxes.where("class_id = 0").select("frame_num", "box", order.cast("long").alias("ordinal"), "confidence")
@@ -47,21 +51,33 @@ def p4(t: Tables):
 _w = "(0.001 * x1 - 0.0005 * y1 + camera_id)"
 
 
-@op("p5_project", f"SELECT frame_num, box, CASE WHEN {_w} = 0 THEN 0 ELSE round((2 * x1 + 0.1 * y1 + 10) / {_w}, 6) END AS px, CASE WHEN {_w} = 0 THEN 0 ELSE round((0.2 * x1 + 3 * y1 - 5) / {_w}, 6) END AS py FROM boxes")
+@op(
+    "p5_project",
+    f"SELECT frame_num, box, CASE WHEN {_w} = 0 THEN 0 ELSE round((2 * x1 + 0.1 * y1 + 10) / {_w}, 6) END AS px, CASE WHEN {_w} = 0 THEN 0 ELSE "
+    f"round((0.2 * x1 + 3 * y1 - 5) / {_w}, 6) END AS py FROM boxes",
+)
 def p5(t: Tables):
     h = F.array(F.array(F.lit(2.0), F.lit(0.1), F.lit(10.0)), F.array(F.lit(0.2), F.lit(3.0), F.lit(-5.0)), F.array(F.lit(0.001), F.lit(-0.0005), c("camera_id").cast("double")))
     x, y = K.project(h, c("x1"), c("y1"))
     return t.boxes.select("frame_num", "box", F.round(x, 6).alias("px"), F.round(y, 6).alias("py"))
 
 
-@op("p6_camera_config", "SELECT id, upper(camera_type) AS type, coalesce(nullif(matching_threshold, 0), 0.3) AS threshold, CASE WHEN id % 2 = 0 THEN [id, id + 1, id + 2, id + 3] END::VARCHAR AS roi FROM cameras")
+@op(
+    "p6_camera_config",
+    "SELECT id, upper(camera_type) AS type, coalesce(nullif(matching_threshold, 0), 0.3) AS threshold, CASE WHEN id % 2 = 0 THEN [id, id + 1, id "
+    "+ 2, id + 3] END::VARCHAR AS roi FROM cameras",
+)
 def p6(t: Tables):
     points = F.when(c("id") % 2 == 0, F.array(F.array(c("id"), c("id") + 1), F.array(c("id") + 2, c("id") + 3))).otherwise(F.array(F.array(c("id"))))
     roi = F.when(F.size(points) >= 2, F.concat(F.get(points, 0), F.get(points, 1)))
     return t.cameras.select("id", F.upper("camera_type").alias("type"), F.coalesce(F.nullif("matching_threshold", F.lit(0.0)), F.lit(0.3)).alias("threshold"), roi.cast("string").alias("roi"))
 
 
-@op("p7_stream_url", "SELECT id, CASE WHEN regexp_replace(lower(name), '[^a-z0-9]', '', 'g') <> '' THEN 'rtsp://edge:8554/' || regexp_replace(lower(name), '[^a-z0-9]', '', 'g') END AS by_slug, 'rtsp://edge:8554/' || id AS by_id FROM cameras")
+@op(
+    "p7_stream_url",
+    "SELECT id, CASE WHEN regexp_replace(lower(name), '[^a-z0-9]', '', 'g') <> '' THEN 'rtsp://edge:8554/' || regexp_replace(lower(name), "
+    "'[^a-z0-9]', '', 'g') END AS by_slug, 'rtsp://edge:8554/' || id AS by_id FROM cameras",
+)
 def p7(t: Tables):
     base = F.lit("rtsp://edge:8554/")
     return t.cameras.select("id", F.when(K.slug(c("name")) != "", F.concat(base, K.slug(c("name")))).alias("by_slug"), F.concat(base, c("id").cast("string")).alias("by_id"))
@@ -77,7 +93,11 @@ def p9(t: Tables):
     return t.observations.select("id", F.concat(F.lit("cam."), c("camera_id").cast("string")).alias("queue"))
 
 
-@op("p10_branch", "SELECT o.id, coalesce(k.branch_id, u.branch_id) AS branch_id FROM observations o LEFT JOIN cameras k ON k.id = o.camera_id LEFT JOIN users u ON u.id = o.user_id")
+@op(
+    "p10_branch",
+    "SELECT o.id, coalesce(k.branch_id, u.branch_id) AS branch_id FROM observations o LEFT JOIN cameras k ON k.id = o.camera_id LEFT JOIN users "
+    "u ON u.id = o.user_id",
+)
 def p10(t: Tables):
     return with_branch(t.observations, t).select("id", "branch_id")
 
@@ -96,7 +116,11 @@ def p11(t: Tables):
 _iso = "CASE id % 3 WHEN 0 THEN '2024-01-02T03:04:05Z' WHEN 1 THEN '2024-05-06T07:08:09+00:00' ELSE 'yesterday' END"
 
 
-@op("p12_iso_parse", f"SELECT id, coalesce(epoch_us(CASE id % 3 WHEN 0 THEN TIMESTAMP '2024-01-02 03:04:05' WHEN 1 THEN TIMESTAMP '2024-05-06 07:08:09' END), us) AS us FROM observations")
+@op(
+    "p12_iso_parse",
+    "SELECT id, coalesce(epoch_us(CASE id % 3 WHEN 0 THEN TIMESTAMP '2024-01-02 03:04:05' WHEN 1 THEN TIMESTAMP '2024-05-06 07:08:09' END), us) "
+    "AS us FROM observations",
+)
 def p12(t: Tables):
     parsed = F.try_to_timestamp(F.replace(F.expr(_iso), F.lit("Z"), F.lit("+00:00")))
     return t.observations.select("id", F.coalesce(F.unix_micros(parsed), c("us")).alias("us"))
@@ -118,7 +142,10 @@ def p15(t: Tables):
     return t.pages.select("page_id", K.storage_uri(url).alias("uri"))
 
 
-@op("p16_image_urls", "SELECT id, CASE WHEN id % 4 < 2 THEN 'u' || id END AS original, CASE WHEN id % 4 = 1 THEN 't' || id END AS thumb FROM users WHERE id % 4 < 2")
+@op(
+    "p16_image_urls",
+    "SELECT id, CASE WHEN id % 4 < 2 THEN 'u' || id END AS original, CASE WHEN id % 4 = 1 THEN 't' || id END AS thumb FROM users WHERE id % 4 < 2",
+)
 def p16(t: Tables):
     """Strings, objects and empty entries become array<struct<original, thumb>>."""
     blob = F.when(c("id") % 4 == 0, F.format_string('["u%d", "", null]', "id")).when(c("id") % 4 == 1, F.format_string('[{"original": "u%d", "thumb": "t%d"}, {}]', "id", "id")).when(c("id") % 4 == 2, "[]")
@@ -142,7 +169,11 @@ def p18(t: Tables):
     return t.users.select("id", K.redact_credentials(url).alias("url"))
 
 
-@op("p19_envelope", "SELECT id, '{\"event_type\":\"' || event_type || '\",\"version\":\"1.0\",\"data\":{\"user_id\":' || user_id || '}}' AS event FROM observations")
+@op(
+    "p19_envelope",
+    "SELECT id, '{\"event_type\":\"' || event_type || '\",\"version\":\"1.0\",\"data\":{\"user_id\":' || user_id || '}}' AS event FROM "
+    "observations",
+)
 def p19(t: Tables):
     """Without the random id and the time of sending."""
     return t.observations.select("id", F.to_json(F.struct("event_type", F.lit("1.0").alias("version"), F.struct("user_id").alias("data"))).alias("event"))
@@ -152,7 +183,11 @@ def p19(t: Tables):
 BACKEND_TYPE = {"sleeping": "sleeping", "using phone": "phone_usage", "working with computer": "working", "talking with someone": "talking", "idle": "unknown"}
 
 
-@op("p20_backend_type", "SELECT crop_id, variant, CASE pred WHEN 'working' THEN 'working' WHEN 'phone' THEN 'phone_usage' WHEN 'idle' THEN 'unknown' END AS backend_type FROM predictions")
+@op(
+    "p20_backend_type",
+    "SELECT crop_id, variant, CASE pred WHEN 'working' THEN 'working' WHEN 'phone' THEN 'phone_usage' WHEN 'idle' THEN 'unknown' END AS "
+    "backend_type FROM predictions",
+)
 def p20(t: Tables):
     full = F.when(c("pred") == "working", "working with computer").when(c("pred") == "phone", "using phone").otherwise(c("pred"))
     kinds = F.create_map(*[F.lit(x) for pair in BACKEND_TYPE.items() for x in pair])
@@ -175,7 +210,12 @@ def p23(t: Tables):
     return t.documents.select("doc_id", F.substr(F.sha1(c("text").cast("binary")), F.lit(1), F.lit(12)).alias("h"))
 
 
-@op("p25_label", "SELECT id, CASE WHEN id % 2 = 0 THEN 'L:' || user_id || ' G:' || (1000 + id) ELSE 'ID:' || user_id END || CASE WHEN id % 3 = 0 THEN ' | ' || event_type || CASE WHEN id % 5 <> 0 THEN ' | ' || (id % 5) || '/5v' ELSE '' END ELSE '' END || CASE WHEN status = 'out' THEN ' | [out]' ELSE '' END AS label FROM observations")
+@op(
+    "p25_label",
+    "SELECT id, CASE WHEN id % 2 = 0 THEN 'L:' || user_id || ' G:' || (1000 + id) ELSE 'ID:' || user_id END || CASE WHEN id % 3 = 0 THEN ' | ' "
+    "|| event_type || CASE WHEN id % 5 <> 0 THEN ' | ' || (id % 5) || '/5v' ELSE '' END ELSE '' END || CASE WHEN status = 'out' THEN ' | [out]' "
+    "ELSE '' END AS label FROM observations",
+)
 def p25(t: Tables):
     text = lambda x: x.cast("string")
     ids = F.when(c("id") % 2 == 0, F.concat(F.lit("L:"), text(c("user_id")), F.lit(" G:"), text(c("id") + 1000))).otherwise(F.concat(F.lit("ID:"), text(c("user_id"))))
@@ -184,7 +224,11 @@ def p25(t: Tables):
     return t.observations.select("id", F.concat_ws(" | ", ids, F.when(known, c("event_type")), votes, F.when(c("status") == "out", "[out]")).alias("label"))
 
 
-@op("p27_summary_line", "SELECT camera_id, string_agg(event_type || '=' || n, ' ' ORDER BY event_type) AS line FROM (SELECT camera_id, event_type, count(*) AS n FROM observations GROUP BY 1, 2) GROUP BY 1")
+@op(
+    "p27_summary_line",
+    "SELECT camera_id, string_agg(event_type || '=' || n, ' ' ORDER BY event_type) AS line FROM (SELECT camera_id, event_type, count(*) AS n "
+    "FROM observations GROUP BY 1, 2) GROUP BY 1",
+)
 def p27(t: Tables):
     counts = t.observations.groupBy("camera_id", "event_type").agg(F.count("*").alias("n"))
     parts = F.array_sort(F.collect_list(F.concat_ws("=", "event_type", c("n").cast("string"))))
@@ -217,7 +261,11 @@ def f5(t: Tables):
     return t.crops.where("frontality >= 0.5").select("frame_num")
 
 
-@op("f6_face_gate", "SELECT frame_num, CASE WHEN frontality IS NULL OR frontality < 0.6 THEN 'frontality' WHEN pitch < 0.4 THEN 'pitch' END AS drop_reason FROM crops")
+@op(
+    "f6_face_gate",
+    "SELECT frame_num, CASE WHEN frontality IS NULL OR frontality < 0.6 THEN 'frontality' WHEN pitch < 0.4 THEN 'pitch' END AS drop_reason FROM "
+    "crops",
+)
 def f6(t: Tables):
     reason = F.when(F.coalesce(c("frontality"), F.lit(0.0)) < 0.6, "frontality").when(c("pitch") < 0.4, "pitch")
     return t.crops.select("frame_num", reason.alias("drop_reason"))
@@ -241,7 +289,11 @@ def f8(t: Tables):
     return t.crops.where("height >= 160 and sharpness >= 100").select("frame_num")
 
 
-@op("f9_reid_quality", "SELECT frame_num FROM crops WHERE height >= 80 AND width >= 40 AND height * width >= 3200 AND height::DOUBLE / width BETWEEN 1.5 AND 4.0 AND pitch >= 0.5")
+@op(
+    "f9_reid_quality",
+    "SELECT frame_num FROM crops WHERE height >= 80 AND width >= 40 AND height * width >= 3200 AND height::DOUBLE / width BETWEEN 1.5 AND 4.0 "
+    "AND pitch >= 0.5",
+)
 def f9(t: Tables):
     return size_gate(t.crops, 80, 40, 3200).where((c("height") / c("width")).between(1.5, 4.0) & (c("pitch") >= 0.5)).select("frame_num")
 
@@ -251,7 +303,11 @@ def f10(t: Tables):
     return t.crops.where("frame_num % 3 = 0").select("frame_num")
 
 
-@op("f11_nth_detection", "SELECT frame_num FROM (SELECT frame_num, row_number() OVER (PARTITION BY camera_id ORDER BY frame_num) AS n FROM crops WHERE frame_num % 3 = 0) WHERE n % 5 = 0")
+@op(
+    "f11_nth_detection",
+    "SELECT frame_num FROM (SELECT frame_num, row_number() OVER (PARTITION BY camera_id ORDER BY frame_num) AS n FROM crops WHERE frame_num % 3 "
+    "= 0) WHERE n % 5 = 0",
+)
 def f11(t: Tables):
     """Every fifth of a camera's detection frames, by count."""
     n = F.row_number().over(Window.partitionBy("camera_id").orderBy("frame_num"))
@@ -280,7 +336,11 @@ def f14(t: Tables):
     return t.observations.where(slug.isNull() | (slug == "acme")).select("id")
 
 
-@op("f15_duplicate_frames", "SELECT id FROM (SELECT id, id // 20 AS seq, lag(id // 20) OVER (PARTITION BY camera_id ORDER BY id) AS before FROM observations) WHERE before IS NULL OR before <> seq")
+@op(
+    "f15_duplicate_frames",
+    "SELECT id FROM (SELECT id, id // 20 AS seq, lag(id // 20) OVER (PARTITION BY camera_id ORDER BY id) AS before FROM observations) WHERE "
+    "before IS NULL OR before <> seq",
+)
 def f15(t: Tables):
     rows = t.observations.select("id", "camera_id", F.floor(c("id") / 20).alias("seq"))
     return rows.withColumn("before", F.lag("seq").over(Window.partitionBy("camera_id").orderBy("id"))).where("before is null or before <> seq").select("id")
@@ -291,7 +351,11 @@ def f16(t: Tables):
     return t.observations.where(c("id") % 7 - 3 >= 0).select("id")
 
 
-@op("f17_routes", "SELECT id, coalesce(application LIKE '%activity%', false) AS activity, coalesce(application LIKE '%unrecognized%', false) AS unrecognized FROM cameras")
+@op(
+    "f17_routes",
+    "SELECT id, coalesce(application LIKE '%activity%', false) AS activity, coalesce(application LIKE '%unrecognized%', false) AS unrecognized "
+    "FROM cameras",
+)
 def f17(t: Tables):
     has = lambda a: F.coalesce(F.array_contains(apps(c("application")), a), F.lit(False))
     return t.cameras.select("id", has("activity").alias("activity"), has("unrecognized").alias("unrecognized"))
@@ -308,13 +372,21 @@ def f19(t: Tables):
     return t.observations.join(now, c("now") - c("us") <= F.lit(15_000_000_000)).select("id")
 
 
-@op("f20_required_fields", "SELECT id, CASE WHEN user_id % 9 = 0 THEN 'missing user_id' WHEN camera_id = 0 THEN 'missing camera_id' END AS error, CASE WHEN user_id % 9 = 0 OR camera_id = 0 THEN false END AS retryable FROM observations")
+@op(
+    "f20_required_fields",
+    "SELECT id, CASE WHEN user_id % 9 = 0 THEN 'missing user_id' WHEN camera_id = 0 THEN 'missing camera_id' END AS error, CASE WHEN user_id % 9 "
+    "= 0 OR camera_id = 0 THEN false END AS retryable FROM observations",
+)
 def f20(t: Tables):
     error = F.when(F.nullif(c("user_id") % 9, F.lit(0)).isNull(), "missing user_id").when(F.nullif("camera_id", F.lit(0)).isNull(), "missing camera_id")
     return t.observations.select("id", error.alias("error"), F.when(error.isNotNull(), F.lit(False)).alias("retryable"))
 
 
-@op("v1_normalise", "SELECT id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS l1_of_unit FROM face_embeddings")
+@op(
+    "v1_normalise",
+    "SELECT id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: "
+    "x::DOUBLE * x::DOUBLE))), 6) AS l1_of_unit FROM face_embeddings",
+)
 def v1(t: Tables):
     return t.face_embeddings.select("id", F.round(F.aggregate(K.normalised(c("embedding")), F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("l1_of_unit"))
 
@@ -328,7 +400,11 @@ def v2(t: Tables):
     return t.face_embeddings.join(b, "id").select("id", F.round(K.dot(c("embedding"), c("other")), 6).alias("dot"))
 
 
-@op("v3_similarity_matrix", f"SELECT a.id AS a, b.id AS b, round({_dot}, 6) AS dot FROM face_embeddings a JOIN face_embeddings b ON a.label = b.label AND a.id < b.id WHERE a.image_url_norm = b.image_url_norm")
+@op(
+    "v3_similarity_matrix",
+    f"SELECT a.id AS a, b.id AS b, round({_dot}, 6) AS dot FROM face_embeddings a JOIN face_embeddings b ON a.label = b.label AND a.id < b.id "
+    "WHERE a.image_url_norm = b.image_url_norm",
+)
 def v3(t: Tables):
     """The matrix within a group (same label and image)."""
     e = t.face_embeddings

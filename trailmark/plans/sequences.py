@@ -16,7 +16,13 @@ from .views import Tables, op
 c = F.col
 
 
-@op("st1_daily_presence", "SELECT branch_id, CAST(make_timestamp(us) AS DATE)::VARCHAR AS day, lower(status) AS status, count(*) AS n FROM (SELECT o.*, coalesce(k.branch_id, u.branch_id) AS branch_id, lag(lower(status)) OVER (PARTITION BY user_id ORDER BY o.id) AS before FROM observations o LEFT JOIN cameras k ON k.id = o.camera_id LEFT JOIN users u ON u.id = o.user_id) WHERE before IS NULL OR before <> lower(status) GROUP BY ALL")
+@op(
+    "st1_daily_presence",
+    "SELECT branch_id, CAST(make_timestamp(us) AS DATE)::VARCHAR AS day, lower(status) AS status, count(*) AS n FROM (SELECT o.*, "
+    "coalesce(k.branch_id, u.branch_id) AS branch_id, lag(lower(status)) OVER (PARTITION BY user_id ORDER BY o.id) AS before FROM observations o "
+    "LEFT JOIN cameras k ON k.id = o.camera_id LEFT JOIN users u ON u.id = o.user_id) WHERE before IS NULL OR before <> lower(status) GROUP BY "
+    "ALL",
+)
 def st1_daily(t: Tables):
     """The flagship: guarded transitions, the branch of each, daily counts."""
     rows = with_branch(transition_guard(t.observations), t)
@@ -28,7 +34,13 @@ def w1(t: Tables):
     return t.observations.select("id", F.lag("status").over(Window.partitionBy("user_id").orderBy("id")).alias("prior"))
 
 
-@op("w2_rolling_rate", "SELECT id, CASE WHEN n < 2 OR us = first THEN 0 ELSE round((n - 1) / ((us - first) / 1e6), 9) END AS fps FROM (SELECT id, us, least(n, 120) AS n, greatest(first, coalesce(capped, first)) AS first FROM (SELECT id, us, count(*) OVER w AS n, min(us) OVER w AS first, lag(us, 119) OVER (PARTITION BY camera_id ORDER BY us) AS capped FROM observations WINDOW w AS (PARTITION BY camera_id ORDER BY us RANGE BETWEEN 36000000000 PRECEDING AND CURRENT ROW)))")
+@op(
+    "w2_rolling_rate",
+    "SELECT id, CASE WHEN n < 2 OR us = first THEN 0 ELSE round((n - 1) / ((us - first) / 1e6), 9) END AS fps FROM (SELECT id, us, least(n, 120) "
+    "AS n, greatest(first, coalesce(capped, first)) AS first FROM (SELECT id, us, count(*) OVER w AS n, min(us) OVER w AS first, lag(us, 119) "
+    "OVER (PARTITION BY camera_id ORDER BY us) AS capped FROM observations WINDOW w AS (PARTITION BY camera_id ORDER BY us RANGE BETWEEN "
+    "36000000000 PRECEDING AND CURRENT ROW)))",
+)
 def w2(t: Tables):
     """Events per second among those of the last ten hours (the testbed is slow), the last 120 at most."""
     by = Window.partitionBy("camera_id").orderBy("us")
@@ -38,7 +50,11 @@ def w2(t: Tables):
     return rows.select("id", fps.alias("fps"))
 
 
-@op("w3_rolling_mean", "SELECT id, round(avg(value) OVER (PARTITION BY camera_id ORDER BY id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 9) AS mean FROM observations")
+@op(
+    "w3_rolling_mean",
+    "SELECT id, round(avg(value) OVER (PARTITION BY camera_id ORDER BY id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 9) AS mean FROM "
+    "observations",
+)
 def w3(t: Tables):
     return t.observations.select("id", F.round(F.avg("value").over(Window.partitionBy("camera_id").orderBy("id").rowsBetween(-49, 0)), 9).alias("mean"))
 
@@ -46,7 +62,11 @@ def w3(t: Tables):
 _ticks = "SELECT stage, tick, v * CASE WHEN tick % 7 = 0 THEN 0.1 ELSE tick END AS ms, k * tick AS n FROM (SELECT event_type AS stage, us // 86400000000 AS tick, sum(value) AS v, count(*) AS k FROM observations GROUP BY ALL)"
 
 
-@op("w4_counter_rate", f"SELECT stage, tick, round(dms / dn, 4) AS rate FROM (SELECT stage, tick, ms - lag(ms) OVER w AS dms, n - lag(n) OVER w AS dn FROM ({_ticks}) WINDOW w AS (PARTITION BY stage ORDER BY tick)) WHERE dms >= 0 AND dn > 0")
+@op(
+    "w4_counter_rate",
+    "SELECT stage, tick, round(dms / dn, 4) AS rate FROM (SELECT stage, tick, ms - lag(ms) OVER w AS dms, n - lag(n) OVER w AS dn FROM "
+    f"({_ticks}) WINDOW w AS (PARTITION BY stage ORDER BY tick)) WHERE dms >= 0 AND dn > 0",
+)
 def w4(t: Tables):
     """The fleet's sum per tick, then differences; none for the first tick, after a reset, or without new counts."""
     day = F.floor(c("us") / 86_400_000_000)
@@ -57,7 +77,11 @@ def w4(t: Tables):
     return d.select("stage", "tick", F.round(c("dms") / c("dn"), 4).alias("rate"))
 
 
-@op("w5_counter_fps", "SELECT id, CASE WHEN dn >= 0 AND du > 0 THEN round(dn / (du / 1e6), 9) END AS fps FROM (SELECT id, seq - lag(seq) OVER w AS dn, us - lag(us) OVER w AS du FROM (SELECT id, camera_id, us, id % 2000 AS seq FROM observations) WINDOW w AS (PARTITION BY camera_id ORDER BY id))")
+@op(
+    "w5_counter_fps",
+    "SELECT id, CASE WHEN dn >= 0 AND du > 0 THEN round(dn / (du / 1e6), 9) END AS fps FROM (SELECT id, seq - lag(seq) OVER w AS dn, us - "
+    "lag(us) OVER w AS du FROM (SELECT id, camera_id, us, id % 2000 AS seq FROM observations) WINDOW w AS (PARTITION BY camera_id ORDER BY id))",
+)
 def w5(t: Tables):
     """Null at first, after a reset or without elapsed time; a true 0 stays."""
     w = Window.partitionBy("camera_id").orderBy("id")
@@ -65,35 +89,59 @@ def w5(t: Tables):
     return rows.select("id", F.when((c("dn") >= 0) & (c("du") > 0), F.round(c("dn") / F.nullif(c("du") / 1e6, F.lit(0.0)), 9)).alias("fps"))
 
 
-@op("w6_best_frame", "SELECT track_id, frame_num, frontality, pitch, frontality >= 0.6 AND pitch >= 0.4 AS passes FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frontality >= 0.6 AND pitch >= 0.4 DESC, frontality * pitch DESC, frame_num) AS n FROM crops WHERE frontality IS NOT NULL) WHERE n = 1")
+@op(
+    "w6_best_frame",
+    "SELECT track_id, frame_num, frontality, pitch, frontality >= 0.6 AND pitch >= 0.4 AS passes FROM (SELECT *, row_number() OVER (PARTITION BY "
+    "track_id ORDER BY frontality >= 0.6 AND pitch >= 0.4 DESC, frontality * pitch DESC, frame_num) AS n FROM crops WHERE frontality IS NOT "
+    "NULL) WHERE n = 1",
+)
 def w6(t: Tables):
     return best_frame(t.crops).select("track_id", "frame_num", "frontality", "pitch", "passes")
 
 
-@op("w7_proof_image", "SELECT track_id, coalesce(arg_max(frame_num, (0.6 * height + 0.4 * sharpness, -frame_num)) FILTER (height >= 160 AND sharpness >= 100), max(frame_num)) AS frame_num FROM crops GROUP BY track_id")
+@op(
+    "w7_proof_image",
+    "SELECT track_id, coalesce(arg_max(frame_num, (0.6 * height + 0.4 * sharpness, -frame_num)) FILTER (height >= 160 AND sharpness >= 100), "
+    "max(frame_num)) AS frame_num FROM crops GROUP BY track_id",
+)
 def w7(t: Tables):
     good = F.when((c("height") >= 160) & (c("sharpness") >= 100), F.struct((0.6 * c("height") + 0.4 * c("sharpness")).alias("s"), -c("frame_num")))
     return t.crops.groupBy("track_id").agg(F.coalesce(F.max_by("frame_num", good), F.max("frame_num")).alias("frame_num"))
 
 
-@op("w8_last_crops", "SELECT frame_num FROM (SELECT frame_num, row_number() OVER (PARTITION BY track_id ORDER BY frame_num DESC) AS n FROM crops) WHERE n <= 30")
+@op(
+    "w8_last_crops",
+    "SELECT frame_num FROM (SELECT frame_num, row_number() OVER (PARTITION BY track_id ORDER BY frame_num DESC) AS n FROM crops) WHERE n <= 30",
+)
 def w8(t: Tables):
     return top_per_key(t.crops, ["track_id"], [F.desc("frame_num")], 30).select("frame_num")
 
 
-@op("w18_trajectory", "SELECT camera_id, frame_num, box FROM (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY camera_id) AS total FROM boxes WINDOW w AS (PARTITION BY camera_id ORDER BY frame_num DESC, box, x1, y1, x2, y2)) WHERE n <= 30 AND total >= 2")
+@op(
+    "w18_trajectory",
+    "SELECT camera_id, frame_num, box FROM (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY camera_id) AS total FROM boxes "
+    "WINDOW w AS (PARTITION BY camera_id ORDER BY frame_num DESC, box, x1, y1, x2, y2)) WHERE n <= 30 AND total >= 2",
+)
 def w18(t: Tables):
     rows = t.boxes.withColumn("total", F.count("*").over(Window.partitionBy("camera_id"))).where("total >= 2")
     return top_per_key(rows, ["camera_id"], [F.desc("frame_num"), c("box"), c("x1"), c("y1"), c("x2"), c("y2")], 30).select("camera_id", "frame_num", "box")
 
 
-@op("w9_recent", "SELECT user_id, id, n FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS n FROM observations) WHERE n <= 3")
+@op(
+    "w9_recent",
+    "SELECT user_id, id, n FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS n FROM observations) WHERE n "
+    "<= 3",
+)
 def w9(t: Tables):
     w = Window.partitionBy("user_id").orderBy(F.desc("id"))
     return t.observations.select("user_id", "id", F.row_number().over(w).cast("long").alias("n")).where("n <= 3")
 
 
-@op("w11_downsample", "SELECT camera_id, id FROM (SELECT camera_id, id, row_number() OVER (PARTITION BY camera_id ORDER BY id) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY camera_id) // 300) AS step FROM observations) WHERE i % step = 0")
+@op(
+    "w11_downsample",
+    "SELECT camera_id, id FROM (SELECT camera_id, id, row_number() OVER (PARTITION BY camera_id ORDER BY id) - 1 AS i, greatest(1, count(*) OVER "
+    "(PARTITION BY camera_id) // 300) AS step FROM observations) WHERE i % step = 0",
+)
 def w11(t: Tables):
     p = Window.partitionBy("camera_id")
     rows = t.observations.withColumns({"i": F.row_number().over(p.orderBy("id")) - 1, "step": F.greatest(F.lit(1).cast("long"), F.floor(F.count("*").over(p) / 300))})
@@ -103,7 +151,11 @@ def w11(t: Tables):
 _age = "(SELECT max(us) FROM observations) - us"
 
 
-@op("w12_stream_state", f"SELECT camera_id, CASE WHEN camera_id = 0 THEN 'offline' WHEN age < 9000000000 THEN 'streaming' WHEN age <= 27000000000 AND camera_id % 2 = 0 THEN 'connecting' ELSE 'offline' END AS state FROM (SELECT camera_id, min({_age}) AS age FROM observations GROUP BY 1)")
+@op(
+    "w12_stream_state",
+    "SELECT camera_id, CASE WHEN camera_id = 0 THEN 'offline' WHEN age < 9000000000 THEN 'streaming' WHEN age <= 27000000000 AND camera_id % 2 = "
+    f"0 THEN 'connecting' ELSE 'offline' END AS state FROM (SELECT camera_id, min({_age}) AS age FROM observations GROUP BY 1)",
+)
 def w12(t: Tables):
     """By the age of the last frame: streaming, connecting while it reconnects (here: even ids) within the grace, else offline; stopped cameras (here: 0) first."""
     now = F.broadcast(t.observations.agg(F.max("us").alias("now")))  # one row
@@ -112,12 +164,20 @@ def w12(t: Tables):
     return age.select("camera_id", state.alias("state"))
 
 
-@op("w13_location_change", "SELECT id, camera_id FROM (SELECT id, camera_id, lag(camera_id) OVER (PARTITION BY user_id ORDER BY id) AS before FROM observations) WHERE before IS NULL OR before <> camera_id")
+@op(
+    "w13_location_change",
+    "SELECT id, camera_id FROM (SELECT id, camera_id, lag(camera_id) OVER (PARTITION BY user_id ORDER BY id) AS before FROM observations) WHERE "
+    "before IS NULL OR before <> camera_id",
+)
 def w13(t: Tables):
     return transition_guard(t.observations.withColumn("camera", c("camera_id").cast("string")), state="camera").select("id", "camera_id")
 
 
-@op("w14_stable_ids", "SELECT user_id, 999 + dense_rank() OVER (ORDER BY first) AS global_id, -row_number() OVER (ORDER BY first) AS fallback_id FROM (SELECT user_id, min(id) AS first FROM observations GROUP BY 1)")
+@op(
+    "w14_stable_ids",
+    "SELECT user_id, 999 + dense_rank() OVER (ORDER BY first) AS global_id, -row_number() OVER (ORDER BY first) AS fallback_id FROM (SELECT "
+    "user_id, min(id) AS first FROM observations GROUP BY 1)",
+)
 def w14(t: Tables):
     """Ids by first sight: ranks inside range partitions, plus the counts of the partitions before, so no single task sees all."""
     first = t.observations.groupBy("user_id").agg(F.min("id").alias("first"))
@@ -130,7 +190,13 @@ def w14(t: Tables):
     return rows.join(before, "bucket").select("user_id", (place + 999).alias("global_id"), (-place).alias("fallback_id"))
 
 
-@op("w15_identity_vote", "WITH r AS (SELECT track_id, frame_num, camera_id % 3 AS name, us, count(*) OVER (PARTITION BY track_id, camera_id % 3 ORDER BY frame_num) AS votes, count(*) OVER (PARTITION BY track_id ORDER BY frame_num) AS total, us - min(us) OVER (PARTITION BY track_id) AS span FROM crops) SELECT track_id, arg_min(name, frame_num) AS name, min(frame_num) AS frame_num FROM r WHERE total >= 5 AND span >= 333000 AND votes >= 0.6 * total GROUP BY track_id")
+@op(
+    "w15_identity_vote",
+    "WITH r AS (SELECT track_id, frame_num, camera_id % 3 AS name, us, count(*) OVER (PARTITION BY track_id, camera_id % 3 ORDER BY frame_num) "
+    "AS votes, count(*) OVER (PARTITION BY track_id ORDER BY frame_num) AS total, us - min(us) OVER (PARTITION BY track_id) AS span FROM crops) "
+    "SELECT track_id, arg_min(name, frame_num) AS name, min(frame_num) AS frame_num FROM r WHERE total >= 5 AND span >= 333000 AND votes >= 0.6 "
+    "* total GROUP BY track_id",
+)
 def w15(t: Tables):
     """Our definition: the first frame at which a name has 60 % of at least 5 votes over at least 333 ms locks it."""
     track = Window.partitionBy("track_id")
@@ -140,7 +206,11 @@ def w15(t: Tables):
     return lock.groupBy("track_id").agg(F.min_by("name", "frame_num").alias("name"), F.min("frame_num").alias("frame_num"))
 
 
-@op("w16_orphans", "SELECT camera_id, min(id) AS since FROM observations o WHERE event_type <> 'signup' AND id > (SELECT max(id) FROM observations p WHERE p.camera_id = o.camera_id AND event_type = 'signup') GROUP BY camera_id")
+@op(
+    "w16_orphans",
+    "SELECT camera_id, min(id) AS since FROM observations o WHERE event_type <> 'signup' AND id > (SELECT max(id) FROM observations p WHERE "
+    "p.camera_id = o.camera_id AND event_type = 'signup') GROUP BY camera_id",
+)
 def w16(t: Tables):
     """The first row since a camera was last owned (here: a signup)."""
     owned = t.observations.where("event_type = 'signup'").groupBy("camera_id").agg(F.max("id").alias("last"))
@@ -152,7 +222,11 @@ def w17(t: Tables):
     return latest_per_key(t.observations.select("camera_id", "value", "id"), ["camera_id"], "id").drop("id")
 
 
-@op("st2_send_once", "SELECT min(id) AS id FROM observations WHERE user_id % 10 <> 0 GROUP BY user_id, event_type UNION ALL SELECT id FROM observations WHERE user_id % 10 = 0")
+@op(
+    "st2_send_once",
+    "SELECT min(id) AS id FROM observations WHERE user_id % 10 <> 0 GROUP BY user_id, event_type UNION ALL SELECT id FROM observations WHERE "
+    "user_id % 10 = 0",
+)
 def st2(t: Tables):
     rows = t.observations.withColumn("track", F.when(c("user_id") % 10 != 0, c("user_id")))
     return send_once(rows, ["track", "event_type"], "id", "track").select("id")
@@ -187,14 +261,23 @@ def st5(t: Tables):
     return greedy_throttle(size_gate(t.crops, 200, 80, 0).join(known, "track_id", "left_semi"), "track_id", "us", 21_600_000_000)
 
 
-@op("st6_idempotent", "SELECT id FROM (SELECT id, us, k, lag(us) OVER (PARTITION BY k ORDER BY us) AS before FROM (SELECT id, us, user_id || event_type AS k FROM observations WHERE id % 4 <> 0)) WHERE before IS NULL UNION ALL SELECT id FROM observations WHERE id % 4 = 0")
+@op(
+    "st6_idempotent",
+    "SELECT id FROM (SELECT id, us, k, lag(us) OVER (PARTITION BY k ORDER BY us) AS before FROM (SELECT id, us, user_id || event_type AS k FROM "
+    "observations WHERE id % 4 <> 0)) WHERE before IS NULL UNION ALL SELECT id FROM observations WHERE id % 4 = 0",
+)
 def st6(t: Tables):
     """The first message of a key; messages without a key (here: every fourth) are never duplicates."""
     rows = t.observations.withColumn("key", F.when(c("id") % 4 != 0, F.concat(c("user_id").cast("string"), c("event_type"))))
     return send_once(rows, ["key"], "us", "key").select("id")
 
 
-@op("st7_consume", "WITH m AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'PARSE_ERROR' WHEN id % 13 = 0 THEN 'UNKNOWN_STREAM' WHEN id % 4 <> 0 AND row_number() OVER (PARTITION BY user_id, event_type, id % 4 = 0, id % 11 = 0 OR id % 13 = 0 ORDER BY id) > 1 THEN 'DUPLICATE' WHEN user_id % 5 = 0 THEN 'OTHER_TENANT' ELSE 'handled' END AS outcome FROM observations) SELECT * FROM m")
+@op(
+    "st7_consume",
+    "WITH m AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'PARSE_ERROR' WHEN id % 13 = 0 THEN 'UNKNOWN_STREAM' WHEN id % 4 <> 0 AND row_number() "
+    "OVER (PARTITION BY user_id, event_type, id % 4 = 0, id % 11 = 0 OR id % 13 = 0 ORDER BY id) > 1 THEN 'DUPLICATE' WHEN user_id % 5 = 0 THEN "
+    "'OTHER_TENANT' ELSE 'handled' END AS outcome FROM observations) SELECT * FROM m",
+)
 def st7(t: Tables):
     """Parse, route, duplicates, tenant, in this order; keyless messages (every fourth) are never duplicates."""
     bad = F.when(c("id") % 11 == 0, "PARSE_ERROR").when(c("id") % 13 == 0, "UNKNOWN_STREAM")
@@ -204,13 +287,22 @@ def st7(t: Tables):
     return rows.withColumn("n", n).select("id", out.alias("outcome"))
 
 
-@op("st10_lifecycle", "SELECT user_id, session::BIGINT AS session, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM (SELECT user_id, us, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS session FROM (SELECT user_id, us, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < 28800000000 THEN 0 ELSE 1 END AS new FROM observations)) GROUP BY ALL")
+@op(
+    "st10_lifecycle",
+    "SELECT user_id, session::BIGINT AS session, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM (SELECT user_id, us, sum(new) OVER "
+    "(PARTITION BY user_id ORDER BY us) AS session FROM (SELECT user_id, us, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < "
+    "28800000000 THEN 0 ELSE 1 END AS new FROM observations)) GROUP BY ALL",
+)
 def st10(t: Tables):
     """A track ends after eight idle hours."""
     return sessions(t.observations, "user_id", "us", 28_800_000_000)
 
 
-@op("st11_last_known", "SELECT id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY id) AS assigned FROM observations")
+@op(
+    "st11_last_known",
+    "SELECT id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY id) AS assigned FROM "
+    "observations",
+)
 def st11(t: Tables):
     w = Window.partitionBy("user_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     return t.observations.select("id", F.last(F.when(c("event_type") == "signup", c("value")), ignorenulls=True).over(w).alias("assigned"))
@@ -231,14 +323,22 @@ def st12(t: Tables):
 _merge = "SELECT DISTINCT id AS a, into_id AS b FROM users WHERE into_id IS NOT NULL"
 
 
-@op("st13_track_merge", f"WITH RECURSIVE e AS (SELECT a, b FROM ({_merge}) UNION SELECT b, a FROM ({_merge})), r AS (SELECT a AS id, a AS reach FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a) SELECT id, min(reach) AS root FROM r GROUP BY id")
+@op(
+    "st13_track_merge",
+    f"WITH RECURSIVE e AS (SELECT a, b FROM ({_merge}) UNION SELECT b, a FROM ({_merge})), r AS (SELECT a AS id, a AS reach FROM e UNION SELECT "
+    "r.id, e.b FROM r JOIN e ON r.reach = e.a) SELECT id, min(reach) AS root FROM r GROUP BY id",
+)
 def st13(t: Tables):
     """Merges are links; the smallest id of a component takes over."""
     edges = t.users.where("into_id is not null").select(c("id").alias("a"), c("into_id").alias("b"))
     return connected_components(edges).select(c("node").alias("id"), "root")
 
 
-@op("st15_prototypes", "SELECT label, dim, round(list_reduce(list(x ORDER BY id), lambda a, x: 0.8 * a + 0.2 * x), 6) AS value FROM (SELECT id, label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM face_embeddings) GROUP BY label, dim")
+@op(
+    "st15_prototypes",
+    "SELECT label, dim, round(list_reduce(list(x ORDER BY id), lambda a, x: 0.8 * a + 0.2 * x), 6) AS value FROM (SELECT id, label, "
+    "unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM face_embeddings) GROUP BY label, dim",
+)
 def st15(t: Tables):
     """Our definition: p <- 0.8 p + 0.2 x in order of ids, in every dimension. Unrolled, the weight of a row is a power of its place from the end, so it is a grouped sum."""
     w = Window.partitionBy("label")
@@ -249,7 +349,12 @@ def st15(t: Tables):
     return sums.select("label", c("dim").cast("long").alias("dim"), "value")
 
 
-@op("st15_closest", "SELECT label, id, n FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY round(s, 9) DESC, id) AS n FROM (SELECT f.label, f.id, list_sum(list_transform(list_zip(f.embedding, p.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS s FROM face_embeddings f JOIN (SELECT label, arg_max(embedding, id) AS embedding FROM face_embeddings GROUP BY label) p ON f.label = p.label)) WHERE n <= 5")
+@op(
+    "st15_closest",
+    "SELECT label, id, n FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY round(s, 9) DESC, id) AS n FROM (SELECT f.label, "
+    "f.id, list_sum(list_transform(list_zip(f.embedding, p.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS s FROM face_embeddings f JOIN "
+    "(SELECT label, arg_max(embedding, id) AS embedding FROM face_embeddings GROUP BY label) p ON f.label = p.label)) WHERE n <= 5",
+)
 def st15_closest(t: Tables):
     """The five embeddings of a track that are closest to its last one."""
     e = t.face_embeddings.select("label", "id", "embedding")
@@ -270,7 +375,12 @@ def st17(t: Tables):
     return t.observations.where(c("id") * 37 % 40_000 <= limit).select("id")
 
 
-@op("st19_conflicts", "WITH s AS (SELECT user_id, camera_id, us // 86400000000 AS day, min(us) AS a, max(us) AS b FROM observations GROUP BY ALL) SELECT x.user_id, x.camera_id AS one, y.camera_id AS other, x.day FROM s x JOIN s y ON x.user_id = y.user_id AND x.day = y.day AND x.camera_id < y.camera_id AND x.a <= y.b AND y.a <= x.b WHERE NOT (x.camera_id // 2 = y.camera_id // 2)")
+@op(
+    "st19_conflicts",
+    "WITH s AS (SELECT user_id, camera_id, us // 86400000000 AS day, min(us) AS a, max(us) AS b FROM observations GROUP BY ALL) SELECT "
+    "x.user_id, x.camera_id AS one, y.camera_id AS other, x.day FROM s x JOIN s y ON x.user_id = y.user_id AND x.day = y.day AND x.camera_id < "
+    "y.camera_id AND x.a <= y.b AND y.a <= x.b WHERE NOT (x.camera_id // 2 = y.camera_id // 2)",
+)
 def st19(t: Tables):
     """One identity on two cameras at once, unless they share an overlap group (here: pairs 0-1, 2-3 ...). A day has at most a row per user and camera."""
     s = t.observations.groupBy("user_id", "camera_id", F.floor(c("us") / 86_400_000_000).alias("day")).agg(F.min("us").alias("a"), F.max("us").alias("b"))
@@ -285,7 +395,11 @@ def st20(t: Tables):
     return t.observations.groupBy("user_id").agg(F.max("id").alias("used")).orderBy(F.desc("used")).limit(50).select("user_id")
 
 
-@op("st21_outcomes", "SELECT crop_id, CASE WHEN parse_failure THEN 'parse_fail' WHEN failed THEN 'error' WHEN latency_s > 1.2 THEN 'timeout' ELSE 'ok' END AS status, CASE WHEN NOT failed AND latency_s <= 1.2 THEN pred END AS recorded FROM predictions")
+@op(
+    "st21_outcomes",
+    "SELECT crop_id, CASE WHEN parse_failure THEN 'parse_fail' WHEN failed THEN 'error' WHEN latency_s > 1.2 THEN 'timeout' ELSE 'ok' END AS "
+    "status, CASE WHEN NOT failed AND latency_s <= 1.2 THEN pred END AS recorded FROM predictions",
+)
 def st21(t: Tables):
     status = F.when(c("parse_failure"), "parse_fail").when(c("failed"), "error").when(c("latency_s") > 1.2, "timeout").otherwise("ok")
     return t.predictions.select("crop_id", status.alias("status"), F.when(status == "ok", c("pred")).alias("recorded"))
@@ -294,7 +408,11 @@ def st21(t: Tables):
 _boxes = "(SELECT camera_id, frame_num * 1000000 + box AS us FROM boxes)"
 
 
-@op("st3_positions", f"SELECT camera_id, us, (x1 + x2) / 2 AS x, y2 AS y FROM (SELECT *, frame_num * 1000000 + box AS us FROM boxes) SEMI JOIN ({_fold(_boxes, 'camera_id', 60000000)}) USING (camera_id, us)")
+@op(
+    "st3_positions",
+    "SELECT camera_id, us, (x1 + x2) / 2 AS x, y2 AS y FROM (SELECT *, frame_num * 1000000 + box AS us FROM boxes) SEMI JOIN "
+    f"({_fold(_boxes, 'camera_id', 60000000)}) USING (camera_id, us)",
+)
 def positions(t: Tables):
     """Foot points of throttled tracks."""
     x, y = foot_point(c("x1"), c("x2"), c("y2"))

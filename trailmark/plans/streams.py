@@ -88,7 +88,11 @@ def st2_stream(t: Tables):
     return twins.run_to_table(once.select("user_id", "event_type"), folder(t, "st2"), folder(t, "st2-state"))
 
 
-@op("st7_stream", "SELECT 'handled' AS kind, count(*) AS n FROM observations WHERE id % 11 <> 0 AND id % 13 <> 0 UNION ALL SELECT CASE WHEN id % 11 = 0 THEN 'PARSE_ERROR' ELSE 'UNKNOWN_STREAM' END, count(*) FROM observations WHERE id % 11 = 0 OR id % 13 = 0 GROUP BY 1")
+@op(
+    "st7_stream",
+    "SELECT 'handled' AS kind, count(*) AS n FROM observations WHERE id % 11 <> 0 AND id % 13 <> 0 UNION ALL SELECT CASE WHEN id % 11 = 0 THEN "
+    "'PARSE_ERROR' ELSE 'UNKNOWN_STREAM' END, count(*) FROM observations WHERE id % 11 = 0 OR id % 13 = 0 GROUP BY 1",
+)
 def st7_stream(t: Tables):
     good, dead = folder(t, "handled"), folder(t, "dead")
     twins.consume(fed_messages(t), good, dead, folder(t, "st7-state")).awaitTermination()
@@ -116,7 +120,11 @@ def p24(t: Tables):
     return found.select("frame_num", "box", F.round("ux", 3).alias("x"), F.round("uy", 3).alias("y"))
 
 
-@op("v5_homography", "SELECT id AS camera_id, CASE id % 4 WHEN 3 THEN 0 WHEN 2 THEN 9 ELSE 4 END AS inliers, id % 4 = 3 AS failed, CASE WHEN id % 4 < 3 THEN (id + 10)::DOUBLE END AS shift FROM cameras")
+@op(
+    "v5_homography",
+    "SELECT id AS camera_id, CASE id % 4 WHEN 3 THEN 0 WHEN 2 THEN 9 ELSE 4 END AS inliers, id % 4 = 3 AS failed, CASE WHEN id % 4 < 3 THEN (id "
+    "+ 10)::DOUBLE END AS shift FROM cameras",
+)
 def v5(t: Tables):
     """Four exact pairs, or nine and two that are far off (every fourth camera), or three, with which a camera fails."""
     n = F.element_at(F.array(F.lit(4), F.lit(4), F.lit(11), F.lit(3)), (c("id") % 4 + 1).cast("int"))
@@ -156,7 +164,11 @@ def sc17(t: Tables):
     return messages.answers(t.spark, place, "now")
 
 
-@op("st8_micro_batches", "WITH m AS (SELECT max(id) + 1 AS top FROM observations) SELECT CASE WHEN id < top // 3 THEN 0 WHEN id < top * 2 // 3 THEN 1 ELSE 2 END::BIGINT AS batch_id, count(*) AS n FROM observations, m GROUP BY 1")
+@op(
+    "st8_micro_batches",
+    "WITH m AS (SELECT max(id) + 1 AS top FROM observations) SELECT CASE WHEN id < top // 3 THEN 0 WHEN id < top * 2 // 3 THEN 1 ELSE 2 "
+    "END::BIGINT AS batch_id, count(*) AS n FROM observations, m GROUP BY 1",
+)
 def st8(t: Tables):
     """A micro-batch is bounded by files per trigger; its rows are those that arrived together."""
     good, dead = folder(t, "st8"), folder(t, "st8-dead")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from trailmark.session import discard, written
 
+#: Links from which on a hub may have more rows than a task should.
+MANY = 200_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of ``edges``: the smallest node that its links reach.
@@ -14,23 +17,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternating large-star and small-star contractions (Kiveris et al. 2014): each round is two
     grouped minimums and joins on the node, so no component is ever gathered in one task, and the
     number of rounds grows with the logarithm of the longest chain. Every round is written to the
-    shared folder and replaces the one before. The minimums are tables of their own, so the joins
-    read two shuffles and the rows of a hub are split. Loops and repeated links are dropped; an
-    empty table gives an empty result.
+    shared folder and replaces the one before. From ``MANY`` links on the minimums are tables of
+    their own, so the joins read two shuffles and the rows of a hub are split. Loops and repeated
+    links are dropped; an empty table gives an empty result.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, many: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(low, "low") if many else low
         pairs = both.join(low, "u")
         if large:
             pairs = pairs.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             pairs = pairs.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         out = written(pairs.where("a <> b").distinct(), "links")
-        discard(low)
+        if many:
+            discard(low)
         return out
 
     now = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "links")
@@ -40,8 +45,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if state["n"] == 0 or (state["n"], state["h"]) == before:
             break
         before = (state["n"], state["h"])
-        large = star(now, True)
-        small = star(large, False)
+        large = star(now, True, state["n"] >= MANY)
+        small = star(large, False, state["n"] >= MANY)
         discard(now, large)
         now = small
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -332,11 +332,11 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
         of_x = stars.join(names.select(c("d1").alias("x"), c("label").alias("lx")), "x")
         return of_x.join(names.select(c("d1").alias("c"), c("label").alias("lc")), "c").where("lx <> lc").select("c", "x").distinct()
 
-    def mixed(labels: DataFrame) -> DataFrame:
-        """(key, x, label, c): rows of the keys that still hold different components, and the key's largest member."""
-        all_rows = shared.select("key", "x").distinct().join(named(labels).withColumnRenamed("d1", "x"), "x")
+    def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """(key, x, label, c): those rows (key, x) whose keys still hold different components, and the key's largest member, as a table."""
+        all_rows = rows.join(named(labels).withColumnRenamed("d1", "x"), "x")
         keys = all_rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("x").alias("c")).where("low < high").select("key", "c")
-        return all_rows.join(keys, "key")
+        return written(all_rows.join(keys, "key"), "rest")
 
     tried = None
 
@@ -349,6 +349,8 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
         pairs = written(pairs, "pairs")
         links = verified(pairs, docs, n, t)
         tried = pairs if tried is None else tried.unionByName(pairs)
+        if labels is not None and links.isEmpty():
+            return labels
         if labels is not None:
             links = links.unionByName(labels.select(c("node").alias("a"), c("root").alias("b")))
         return written(connected_components(links), "labels")
@@ -356,8 +358,9 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
     stars = shared.where("center <> x").select(c("center").alias("c"), "x")
     labels = grown(None, candidates(stars.groupBy("x").agg(F.min("c").alias("c"))))  # one center for each member links most near copies
     labels = grown(labels, candidates(apart(stars.distinct(), labels)))
-    labels = grown(labels, candidates(apart(mixed(labels).where("c <> x").select("c", "x").distinct(), labels)))
-    labels = grown(labels, crossing(written(mixed(labels).select("key", "x", "label"), "rest"), reps, t))
+    rest = mixed(shared.select("key", "x").distinct(), labels)
+    labels = grown(labels, candidates(apart(rest.where("c <> x").select("c", "x").distinct(), labels)))
+    labels = grown(labels, crossing(mixed(rest.select("key", "x"), labels).select("key", "x", "label"), reps, t))
 
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
     some = slim.where("n > 0").join(of_class, ["d1", "d2"], "left").select("doc_id", "n", "component_id")

@@ -62,6 +62,9 @@ def test_whole_weak_parts(spark):
         (f"{KEY} {long} end", "weak_secret", long),
         (f"user={name} {RANDOM}", "weak_id", name),
         (f"{KEY} token=abcdefgh1 {url}", "endpoint", url),
+        ("token=abcdefgh1 at a.b.c.d.e.f.example:5432 now", "endpoint", "a.b.c.d.e.f.example:5432"),
+        (f"token=abcdefgh1 at {'x' * 80}.example:80", "endpoint", "x" * 80 + ".example:80"),
+        (f"token=abcdefgh1 at {'a.' * 30000}b:8080", "endpoint", "a." * 30000 + "b:8080"),
     ]
     for r in secrets.digests(spark.createDataFrame([(i, x[0]) for i, x in enumerate(cases)], "doc_id long, text string")).collect():
         text, kind, part = cases[r.doc_id]
@@ -81,6 +84,12 @@ def test_scopes_across_buckets(spark):
         assert ("weak_secret" in r.spans) == near and ("weak_id" in r.spans) == near
 
 
+def test_ids_shared_by_different_texts(spark):
+    rows = [(1, f"{KEY} {RANDOM}"), (1, f"alone {RANDOM}"), (None, "token=abcdefgh1"), (None, None)]
+    got = secrets.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id or 0, x.n_assign, x.n_access, "weak_secret" in x.spans) for x in got) == [(0, 0, 0, False), (0, 1, 0, False), (1, 0, 0, False), (1, 0, 1, True)]
+
+
 def test_masked_and_empty(spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh1 b"), (2, "none")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.masked(df).collect()} == {1: "a <assign> b", 2: "none"}

@@ -32,7 +32,10 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 WEAK_ID = r"""(?<![A-Za-z0-9_])(?i:user|username|login|account|client_?id|access_?key_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"""(?:https?|ftp|ssh|jdbc:[a-z]{2,12}|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]{3,}|(?<![A-Za-z0-9.-])[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){1,4}:[0-9]{2,5}(?![0-9])"""
+ENDPOINT = (
+    r"""(?:https?|ftp|ssh|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]{3,}"""
+    r"|(?<![A-Za-z0-9.-])(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])[A-Za-z0-9][A-Za-z0-9.-]*+:[0-9]{2,5}(?![0-9])"
+)
 
 
 def looks_random(s: Column) -> Column:

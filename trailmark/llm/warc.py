@@ -32,7 +32,7 @@ from trailmark.session import shared_folder
 
 from .shared import written
 
-ARCHIVE_BYTES, READ_BYTES = 256 << 20, 256 << 10
+ARCHIVE_BYTES, READ_BYTES, HEADER_BYTES = 256 << 20, 256 << 10, 64 << 20
 #: Version line, and profile of revisits with an equal payload.
 VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "<urn:page:{}>"
@@ -153,7 +153,11 @@ class Members:
         return False
 
     def until(self, mark: bytes) -> bytes:
-        while (at := self.data.find(mark)) < 0:
+        seen = 0
+        while (at := self.data.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.data)
+            if seen > HEADER_BYTES:
+                raise ValueError("a header without an end")
             if not self.more():
                 raise EOFError("the member ends inside a header")
         out, self.data = self.data[:at], self.data[at + len(mark) :]
@@ -181,16 +185,19 @@ def read_records(stream: BinaryIO, payloads: bool = False) -> Iterator[dict]:
             head = {k.lower(): v for k, v in (x.decode("utf-8", "replace").split(": ", 1) for x in lines)}
             number = lambda k: int(x) if (x := head.get(k, "")[10:-1]) else None
             out |= {"page_id": number("warc-record-id"), "url": head.get("warc-target-uri"), "record_type": head["warc-type"], "refers_to": number("warc-refers-to")}
-            block, payload, size, held, body = hashlib.sha1(), hashlib.sha1(), 0, b"", False
+            block, payload, size, held, body = hashlib.sha1(), hashlib.sha1(), 0, bytearray(), False
             kept: list[bytes] = []
             http = b""
             for part in members.take(int(head["content-length"])):
                 block.update(part)
                 if not body:
+                    seen = max(0, len(held) - 4)
                     held += part
-                    if (at := held.find(b"\r\n\r\n")) < 0:
+                    if (at := held.find(b"\r\n\r\n", seen)) < 0:
+                        if len(held) > HEADER_BYTES:
+                            raise ValueError("a header without an end")
                         continue
-                    http, part, body = held[:at], held[at + 4 :], True
+                    http, part, body = bytes(held[:at]), bytes(held[at + 4 :]), True
                 payload.update(part)
                 size += len(part)
                 if payloads:

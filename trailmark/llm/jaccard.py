@@ -329,6 +329,7 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
     def apart(stars: DataFrame, labels: DataFrame) -> DataFrame:
         """The stars whose ends are not of one component yet."""
         names = written(named(labels), "names")
+        passing.append(names)
         of_x = stars.join(names.select(c("d1").alias("x"), c("label").alias("lx")), "x")
         return of_x.join(names.select(c("d1").alias("c"), c("label").alias("lc")), "c").where("lx <> lc").select("c", "x").distinct()
 
@@ -338,7 +339,7 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
         keys = all_rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("x").alias("c")).where("low < high").select("key", "c")
         return written(all_rows.join(keys, "key"), "rest")
 
-    tried = None
+    tried, passing = None, []  # pairs that were verified; tables that nothing reads once the next pairs are written
 
     def grown(labels: DataFrame | None, pairs: DataFrame) -> DataFrame:
         """The components with the links among ``pairs`` too; pairs tried before are left out."""
@@ -347,18 +348,22 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
             ends = [F.least("a", "b").alias("a1"), F.greatest("a", "b").alias("b1")]
             pairs = pairs.select("a", "b", *ends).join(tried.select(*ends), ["a1", "b1"], "left_anti").select("a", "b")
         pairs = written(pairs, "pairs")
+        discard(*passing)
+        passing.clear()
         links = verified(pairs, docs, n, t)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if labels is not None and links.isEmpty():
             return labels
-        if labels is not None:
-            links = links.unionByName(labels.select(c("node").alias("a"), c("root").alias("b")))
-        return written(connected_components(links), "labels")
+        every = links if labels is None else links.unionByName(labels.select(c("node").alias("a"), c("root").alias("b")))
+        out = written(connected_components(every), "labels")
+        discard(links, *([] if labels is None else [labels]))
+        return out
 
     stars = shared.where("center <> x").select(c("center").alias("c"), "x")
     labels = grown(None, candidates(stars.groupBy("x").agg(F.min("c").alias("c"))))  # one center for each member links most near copies
     labels = grown(labels, candidates(apart(stars.distinct(), labels)))
     rest = mixed(shared.select("key", "x").distinct(), labels)
+    discard(shared)
     labels = grown(labels, candidates(apart(rest.where("c <> x").select("c", "x").distinct(), labels)))
     labels = grown(labels, crossing(mixed(rest.select("key", "x"), labels).select("key", "x", "label"), reps, t))
 

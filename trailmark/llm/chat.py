@@ -78,7 +78,8 @@ def format_tree(conversations: DataFrame) -> Packed:
     learn = c("role") == "assistant"
     begin = F.concat(F.when(learn, F.lit("<s>")).otherwise(F.lit("[INST]")), head)
     rows = rows.withColumns({"begin": begin, "body": escaped(c("text")), "end": F.when(learn, F.lit("</s>")).otherwise(F.lit("[/INST]"))})
-    rows = rows.select("conv_id", "turn", "role", "text", F.concat("begin", "body", "end").alias("segment"), F.char_length("begin").alias("mask_start"), F.when(learn, F.char_length("body")).otherwise(F.lit(0)).alias("mask_chars"))
+    mask = [F.char_length("begin").alias("mask_start"), F.when(learn, F.char_length("body")).otherwise(F.lit(0)).alias("mask_chars")]
+    rows = rows.select("conv_id", "turn", "role", "text", F.concat("begin", "body", "end").alias("segment"), *mask)
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, depth, position, node = object(), 0, 0, b""

@@ -247,7 +247,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     judged = hits.join(alignment, ["doc_id", *of, "shift"], "left").where(F.coalesce("consistent", F.lit(True)))
     levels = F.explode(F.when(c("plain"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("level")
     n_windows = targets.select("template", "pattern", "at", levels).groupBy(*of).agg(F.count_distinct("at").alias("n_windows"))
-    covered = judged.groupBy("doc_id", *of).agg(F.min("item_id").alias("item_id"), F.bool_or("whole").alias("whole"), F.count_distinct("at").alias("covered"), F.bool_and(F.coalesce("same", F.lit(True))).alias("exact"))
+    exact = F.bool_and(F.coalesce("same", F.lit(True))).alias("exact")
+    covered = judged.groupBy("doc_id", *of).agg(F.min("item_id").alias("item_id"), F.bool_or("whole").alias("whole"), F.count_distinct("at").alias("covered"), exact)
     enough = covered.join(n_windows, of).where(c("covered") >= F.when(c("whole"), 1).otherwise(COVERAGE) * c("n_windows"))
     return enough.groupBy("doc_id", "template").agg(F.min("item_id").alias("item_id"), F.max(c("covered") / c("n_windows")).alias("coverage"), F.bool_or("exact").alias("exact")).drop("template")
 
@@ -256,4 +257,5 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, contaminated, items, n_reparameterised) per row of ``docs``; items: ids, sorted."""
     per_doc = matches(docs, items).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.count_if(~F.col("exact")).alias("n_reparameterised"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(per_doc, "doc_id", "left")
-    return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("n_reparameterised", F.lit(0)).alias("n_reparameterised"))
+    items = F.coalesce("items", F.array().cast("array<bigint>")).alias("items")
+    return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), items, F.coalesce("n_reparameterised", F.lit(0)).alias("n_reparameterised"))

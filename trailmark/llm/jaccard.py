@@ -196,8 +196,9 @@ def sketches(docs: DataFrame, n: int, t: int) -> DataFrame:
                 seen.add(pair)
             keys = keys_of([s if f else s[:0] for s, f in zip(sets, fresh, strict=True)], bands)
             p = np.array(parity).reshape(-1, PARITY_WORDS)
+            known = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(PARITY_WORDS)], pa.array([packed(k) for k in keys], pa.binary())],
+                [*known, *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(PARITY_WORDS)], pa.array([packed(k) for k in keys], pa.binary())],
                 ["doc_id", "n", "d1", "d2", *[f"p{i}" for i in range(PARITY_WORDS)], "keys"],
             )
 

@@ -124,8 +124,10 @@ def added_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     rates = written(disclosing(found, docs), "rates")
     entity = lambda k: F.transform(c(k), lambda x: F.xxhash64(F.lit(k), F.lower(x["found"])))
     each = found.select("doc_id", "mark", F.explode(F.array_distinct(F.concat(*map(entity, KINDS[:4])))).alias("entity"))
-    wanted = each.join(rates, "entity").groupBy("doc_id", "mark", "term").agg(F.max("ratio").alias("ratio")).groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("wanted"))
-    texts = found.select("doc_id", "mark", "text", *KINDS[:4]).dropDuplicates(["doc_id", "mark"]).alias("f").join(wanted.alias("w"), c("f.doc_id").eqNullSafe(c("w.doc_id")) & (c("f.mark") == c("w.mark")))
+    highest = each.join(rates, "entity").groupBy("doc_id", "mark", "term").agg(F.max("ratio").alias("ratio"))
+    wanted = highest.groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("wanted"))
+    same = c("f.doc_id").eqNullSafe(c("w.doc_id")) & (c("f.mark") == c("w.mark"))
+    texts = found.select("doc_id", "mark", "text", *KINDS[:4]).dropDuplicates(["doc_id", "mark"]).alias("f").join(wanted.alias("w"), same)
     base = F.concat(*[c(k) for k in KINDS[:4]])
     rated = F.transform(spans(c("text"), WORD), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.element_at(c("wanted"), F.lower(x["found"])).alias("ratio")))
     free = let(base, lambda b: F.filter(rated, lambda x: x["ratio"].isNotNull() & ~F.exists(b, lambda y: (y["start"] < x["stop"]) & (x["start"] < y["stop"]))))
@@ -142,11 +144,15 @@ def findings(docs: DataFrame) -> DataFrame:
     order = lambda k: F.transform(tagged(c(k), k, KINDS.index(k)), lambda x: F.struct(x["no"].alias("no"), x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop")))
     base = F.sort_array(F.concat(*map(order, KINDS[:4])))
     some = found.withColumn("base", base).alias("r").join(extra.alias("t"), c("r.doc_id").eqNullSafe(c("t.doc_id")) & (c("r.mark") == c("t.mark")), "left")
-    added = F.when(c("t.terms").isNull(), F.array().cast("array<struct<no:int,start:bigint,kind:string,stop:bigint>>")).otherwise(F.transform("t.terms", lambda x: F.struct(F.lit(4).alias("no"), x["start"].alias("start"), F.lit("term").alias("kind"), x["stop"].alias("stop"))))
-    removed = F.transform(F.filter("t.terms", lambda x: x["ratio"] >= REMOVE), lambda x: x["start"])
-    some = some.select("r.doc_id", "r.text", *[F.size(f"r.{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]], "r.base", F.concat("r.base", added).alias("all"), F.coalesce(removed, F.array().cast("array<bigint>")).alias("removed"))
     empty = F.array().cast("array<struct<no:int,start:bigint,kind:string,stop:bigint>>")
-    clean = rows.where(~with_any).select("doc_id", "text", *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS[:4]], empty.alias("base"), empty.alias("all"), F.array().cast("array<bigint>").alias("removed"))
+    term = lambda x: F.struct(F.lit(4).alias("no"), x["start"].alias("start"), F.lit("term").alias("kind"), x["stop"].alias("stop"))
+    added = F.when(c("t.terms").isNull(), empty).otherwise(F.transform("t.terms", term))
+    removed = F.transform(F.filter("t.terms", lambda x: x["ratio"] >= REMOVE), lambda x: x["start"])
+    none = F.array().cast("array<bigint>")
+    counts = [F.size(f"r.{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    some = some.select("r.doc_id", "r.text", *counts, "r.base", F.concat("r.base", added).alias("all"), F.coalesce(removed, none).alias("removed"))
+    zeros = [F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    clean = rows.where(~with_any).select("doc_id", "text", *zeros, empty.alias("base"), empty.alias("all"), none.alias("removed"))
     return clean.unionByName(some)
 
 
@@ -160,5 +166,9 @@ def sanitised(docs: DataFrame) -> DataFrame:
     c = F.col
     by_start = F.array_sort(F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["no"].alias("no"), x["kind"].alias("kind"), x["stop"].alias("stop"))))
     shape = lambda x: F.regexp_replace(F.regexp_replace(F.substr(c("text"), (x["start"] + 1).cast("int"), (x["stop"] - x["start"]).cast("int")), r"\p{Lu}", "X"), r"\p{L}", "x")
-    label = lambda x: F.when(x["kind"] != "term", F.concat(F.lit("<"), x["kind"], F.lit(">"))).when(F.array_contains(c("removed"), x["start"]), F.lit("")).otherwise(F.regexp_replace(shape(x), "x+", "x"))
+
+    def label(x: Column) -> Column:
+        gone = F.array_contains(c("removed"), x["start"])
+        return F.when(x["kind"] != "term", F.concat(F.lit("<"), x["kind"], F.lit(">"))).when(gone, F.lit("")).otherwise(F.regexp_replace(shape(x), "x+", "x"))
+
     return findings(docs).select("doc_id", F.when(F.size("all") > 0, redacted(c("text"), by_start, label)).otherwise(c("text")).alias("text"))

@@ -81,3 +81,24 @@ def test_bands_hold_all_partners(t):
         assert bands.band(b) - bands.band(a) in (0, 1)
         k = bands.band(a)
         assert bands.allocated(k) >= bands.need(a, k)
+
+
+def test_candidates_joined_by_shuffle(spark, monkeypatch):
+    """More candidates than are broadcast."""
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    r = random.Random(8)
+    rows = [(0, None)]
+    for _ in range(6):
+        base = ["x%d" % r.randrange(300) for _ in range(40)]
+        for k in range(4):
+            w = list(base)
+            w[r.randrange(40)] = f"new{k}"
+            rows.append((len(rows), " ".join(w[:k] + w)))
+    assert result(spark, rows) == brute(rows)
+
+
+def test_one_very_long_text(spark):
+    r = random.Random(9)
+    words = ["w%d" % r.randrange(50_000) for _ in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:1000] + ["other"] + words[1000:])), (3, " ".join(words[:150_000])), (4, "short text of no great length")]
+    assert {i: x[1] for i, x in result(spark, rows).items()} == {1: 1, 2: 1, 3: 3, 4: 4}

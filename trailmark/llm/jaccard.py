@@ -269,7 +269,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
     """
     partners = pairs.groupBy(F.col("b").alias("doc_id")).agg(F.collect_set("a").alias("partners"))
     centers = pairs.select(F.col("a").alias("doc_id")).distinct().withColumn("partners", F.array().cast("array<long>"))
-    few = pairs.count() <= BROADCAST_IDS
+    few = pairs.count() <= BROADCAST_IDS // 4  # a row is an id and its centers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, langid, lines, privacy, rules, secrets, warc
+from . import bpe, chat, decontaminate, jaccard, langid, lines, privacy, rules, secrets, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,6 +113,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digests(token_files.write_shards(read(spark, sf_dir, "documents"), vocabulary_path()))
+
+
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(read(spark, sf_dir, "documents"))

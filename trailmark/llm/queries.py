@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, langid, lines, privacy, rules, secrets, token_files, warc
+from . import alignment, bpe, chat, decontaminate, jaccard, langid, lines, privacy, rules, secrets, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,11 +21,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
-    """The place of the public byte-level vocabulary; an installed package gives it on driver and executors alike."""
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public vocabulary, by default the byte-level one; an installed package gives it on driver and executors alike."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -118,6 +118,11 @@ def op11_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.write_shards(read(spark, sf_dir, "documents"), vocabulary_path()))
 
 
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(read(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+
+
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(read(spark, sf_dir, "documents"))

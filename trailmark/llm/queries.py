@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, chat, decontaminate, jaccard, langid, lines, privacy, rules, secrets, token_files, warc
+from . import alignment, bpe, chat, decontaminate, jaccard, langid, lines, privacy, rules, secrets, token_files, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,6 +123,37 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digests(read(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 bit by bit, prefixes as joined digests, subtrees by all ancestors of each node: for small tables.
+ORACLES["op12_prefix_trie"] = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, md5(length(role) || ':' || role || text) AS m, strlen(text) AS bytes
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS donor, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], list_transform(range(8), lambda i: 0::BIGINT)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT i.conv_id, 0 AS part, t.pos, m, bytes FROM ids i JOIN t ON t.conv_id = i.donor WHERE pos <= h
+  UNION ALL SELECT i.conv_id, 1, t.pos, m, bytes FROM ids i JOIN t ON t.conv_id = i.conv_id WHERE pos > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(m, '') OVER w AS path, bytes FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+members AS (SELECT * FROM p UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+whole AS (SELECT conv_id, max(depth) AS depth FROM members GROUP BY 1),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM members GROUP BY 1, 2),
+k AS (SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.depth = n.depth + 1 AND x.path[1:32 * n.depth] = n.path) AS n_children
+  FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND u.path = n.path[1:32 * (n.depth - 1)]),
+up AS (SELECT unnest(range(depth + 1)) AS depth, path AS below, n_children, (n_convs - 1) * bytes AS saved FROM k),
+sums AS (SELECT depth, below[1:32 * depth] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM up GROUP BY 1, 2),
+e AS (SELECT depth, path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM members JOIN whole USING (conv_id, depth) GROUP BY 1, 2)
+SELECT k.conv_id, k.depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+  sha256(coalesce(ends, '')) AS ends_sha256
+FROM k JOIN sums USING (depth, path) LEFT JOIN e USING (depth, path)"""
+
+
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(read(spark, sf_dir, "documents"))

@@ -1,5 +1,5 @@
 """All query modules; importing this registers their queries."""
 
-from . import aggregates, joins, rows, scans_sinks, sequences, streams
+from . import aggregates, joins, rows, scans_sinks, sequences, stateful, streams
 
-__all__ = ["aggregates", "joins", "rows", "scans_sinks", "sequences", "streams"]
+__all__ = ["aggregates", "joins", "rows", "scans_sinks", "sequences", "stateful", "streams"]

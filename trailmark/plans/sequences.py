@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from trailmark.functions.columns import dot, foot_point
 from trailmark.operators.graph import connected_components
-from trailmark.operators.sequences import best_frame, latest_per_key, send_once, sessions, top_per_key, transition_guard
+from trailmark.operators.sequences import best_frame, latest_per_key, sessions, top_per_key, transition_guard
 from trailmark.operators.throttle import greedy_throttle
 
 from .rows import size_gate, with_branch
@@ -148,22 +148,6 @@ def w11(t: Tables):
     return rows.where("i % step = 0").select("camera_id", "id")
 
 
-_age = "(SELECT max(us) FROM observations) - us"
-
-
-@op(
-    "w12_stream_state",
-    "SELECT camera_id, CASE WHEN camera_id = 0 THEN 'offline' WHEN age < 9000000000 THEN 'streaming' WHEN age <= 27000000000 AND camera_id % 2 = "
-    f"0 THEN 'connecting' ELSE 'offline' END AS state FROM (SELECT camera_id, min({_age}) AS age FROM observations GROUP BY 1)",
-)
-def w12(t: Tables):
-    """By the age of the last frame: streaming, connecting while it reconnects (here: even ids) within the grace, else offline; stopped cameras (here: 0) first."""
-    now = F.broadcast(t.observations.agg(F.max("us").alias("now")))  # one row
-    age = t.observations.groupBy("camera_id").agg(F.max("us").alias("last")).join(now).withColumn("age", c("now") - c("last"))
-    state = F.when(c("camera_id") == 0, "offline").when(c("age") < F.lit(9_000_000_000), "streaming").when((c("age") <= F.lit(27_000_000_000)) & (c("camera_id") % 2 == 0), "connecting").otherwise("offline")
-    return age.select("camera_id", state.alias("state"))
-
-
 @op(
     "w13_location_change",
     "SELECT id, camera_id FROM (SELECT id, camera_id, lag(camera_id) OVER (PARTITION BY user_id ORDER BY id) AS before FROM observations) WHERE "
@@ -206,32 +190,11 @@ def w15(t: Tables):
     return lock.groupBy("track_id").agg(F.min_by("name", "frame_num").alias("name"), F.min("frame_num").alias("frame_num"))
 
 
-@op(
-    "w16_orphans",
-    "SELECT camera_id, min(id) AS since FROM observations o WHERE event_type <> 'signup' AND id > (SELECT max(id) FROM observations p WHERE "
-    "p.camera_id = o.camera_id AND event_type = 'signup') GROUP BY camera_id",
-)
-def w16(t: Tables):
-    """The first row since a camera was last owned (here: a signup)."""
-    owned = t.observations.where("event_type = 'signup'").groupBy("camera_id").agg(F.max("id").alias("last"))
-    return t.observations.where("event_type <> 'signup'").join(owned, "camera_id").where("id > last").groupBy("camera_id").agg(F.min("id").alias("since"))
-
-
 @op("w17_latest", "SELECT camera_id, arg_max(value, id) AS value FROM observations GROUP BY camera_id")
 def w17(t: Tables):
     return latest_per_key(t.observations.select("camera_id", "value", "id"), ["camera_id"], "id").drop("id")
 
 
-@op(
-    "st2_send_once",
-    "SELECT min(id) AS id FROM observations WHERE user_id % 10 <> 0 GROUP BY user_id, event_type UNION ALL SELECT id FROM observations WHERE "
-    "user_id % 10 = 0",
-)
-def st2(t: Tables):
-    rows = t.observations.withColumn("track", F.when(c("user_id") % 10 != 0, c("user_id")))
-    return send_once(rows, ["track", "event_type"], "id", "track").select("id")
-
-
 def _fold(source: str, key: str, cooldown: int) -> str:
     return f"WITH RECURSIVE o AS (SELECT {key} AS k, us FROM {source}), r AS (SELECT k, min(us) AS us FROM o GROUP BY k UNION ALL SELECT r.k, (SELECT min(o.us) FROM o WHERE o.k = r.k AND o.us >= r.us + {cooldown}) AS us FROM r WHERE r.us IS NOT NULL) SELECT k AS {key}, us FROM r WHERE us IS NOT NULL"
 
@@ -261,32 +224,6 @@ def st5(t: Tables):
     return greedy_throttle(size_gate(t.crops, 200, 80, 0).join(known, "track_id", "left_semi"), "track_id", "us", 21_600_000_000)
 
 
-@op(
-    "st6_idempotent",
-    "SELECT id FROM (SELECT id, us, k, lag(us) OVER (PARTITION BY k ORDER BY us) AS before FROM (SELECT id, us, user_id || event_type AS k FROM "
-    "observations WHERE id % 4 <> 0)) WHERE before IS NULL UNION ALL SELECT id FROM observations WHERE id % 4 = 0",
-)
-def st6(t: Tables):
-    """The first message of a key; messages without a key (here: every fourth) are never duplicates."""
-    rows = t.observations.withColumn("key", F.when(c("id") % 4 != 0, F.concat(c("user_id").cast("string"), c("event_type"))))
-    return send_once(rows, ["key"], "us", "key").select("id")
-
-
-@op(
-    "st7_consume",
-    "WITH m AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'PARSE_ERROR' WHEN id % 13 = 0 THEN 'UNKNOWN_STREAM' WHEN id % 4 <> 0 AND row_number() "
-    "OVER (PARTITION BY user_id, event_type, id % 4 = 0, id % 11 = 0 OR id % 13 = 0 ORDER BY id) > 1 THEN 'DUPLICATE' WHEN user_id % 5 = 0 THEN "
-    "'OTHER_TENANT' ELSE 'handled' END AS outcome FROM observations) SELECT * FROM m",
-)
-def st7(t: Tables):
-    """Parse, route, duplicates, tenant, in this order; keyless messages (every fourth) are never duplicates."""
-    bad = F.when(c("id") % 11 == 0, "PARSE_ERROR").when(c("id") % 13 == 0, "UNKNOWN_STREAM")
-    rows = t.observations.select("id", "user_id", "event_type", bad.alias("bad"), (c("id") % 4 == 0).alias("keyless"))
-    n = F.row_number().over(Window.partitionBy("user_id", "event_type", "keyless", c("bad").isNotNull()).orderBy("id"))
-    out = F.when(c("bad").isNotNull(), c("bad")).when(~c("keyless") & (c("n") > 1), "DUPLICATE").when(c("user_id") % 5 == 0, "OTHER_TENANT").otherwise("handled")
-    return rows.withColumn("n", n).select("id", out.alias("outcome"))
-
-
 @op(
     "st10_lifecycle",
     "SELECT user_id, session::BIGINT AS session, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM (SELECT user_id, us, sum(new) OVER "
@@ -298,16 +235,6 @@ def st10(t: Tables):
     return sessions(t.observations, "user_id", "us", 28_800_000_000)
 
 
-@op(
-    "st11_last_known",
-    "SELECT id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY id) AS assigned FROM "
-    "observations",
-)
-def st11(t: Tables):
-    w = Window.partitionBy("user_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.observations.select("id", F.last(F.when(c("event_type") == "signup", c("value")), ignorenulls=True).over(w).alias("assigned"))
-
-
 @op("st12_fair_share", "SELECT id, (row_number() OVER (ORDER BY id) - 1) % 3 AS replica, least(4, ceil(count(*) OVER () / 3))::BIGINT AS share FROM cameras")
 def st12(t: Tables):
     """Cameras dealt to three replicas; a share is at most its capacity of four. Ranks inside buckets of ids, plus the counts of the buckets before."""
@@ -375,26 +302,6 @@ def st17(t: Tables):
     return t.observations.where(c("id") * 37 % 40_000 <= limit).select("id")
 
 
-@op(
-    "st19_conflicts",
-    "WITH s AS (SELECT user_id, camera_id, us // 86400000000 AS day, min(us) AS a, max(us) AS b FROM observations GROUP BY ALL) SELECT "
-    "x.user_id, x.camera_id AS one, y.camera_id AS other, x.day FROM s x JOIN s y ON x.user_id = y.user_id AND x.day = y.day AND x.camera_id < "
-    "y.camera_id AND x.a <= y.b AND y.a <= x.b WHERE NOT (x.camera_id // 2 = y.camera_id // 2)",
-)
-def st19(t: Tables):
-    """One identity on two cameras at once, unless they share an overlap group (here: pairs 0-1, 2-3 ...). A day has at most a row per user and camera."""
-    s = t.observations.groupBy("user_id", "camera_id", F.floor(c("us") / 86_400_000_000).alias("day")).agg(F.min("us").alias("a"), F.max("us").alias("b"))
-    other = s.select("user_id", "day", c("camera_id").alias("other"), c("a").alias("a2"), c("b").alias("b2"))
-    both = s.join(other, ["user_id", "day"]).where("camera_id < other and a <= b2 and a2 <= b")
-    return both.where(F.floor(c("camera_id") / 2) != F.floor(c("other") / 2)).select("user_id", c("camera_id").alias("one"), "other", "day")
-
-
-@op("st20_lru", "SELECT user_id FROM (SELECT user_id, max(id) AS used FROM observations GROUP BY 1) ORDER BY used DESC LIMIT 50")
-def st20(t: Tables):
-    """A top-k, so each task passes on 50 rows."""
-    return t.observations.groupBy("user_id").agg(F.max("id").alias("used")).orderBy(F.desc("used")).limit(50).select("user_id")
-
-
 @op(
     "st21_outcomes",
     "SELECT crop_id, CASE WHEN parse_failure THEN 'parse_fail' WHEN failed THEN 'error' WHEN latency_s > 1.2 THEN 'timeout' ELSE 'ok' END AS "

@@ -12,8 +12,10 @@ from trailmark.operators import registry
 from trailmark.operators.geometry import homographies, undistorted
 from trailmark.session import shared_folder
 from trailmark.sources import messages
-from trailmark.streaming import twins
+from trailmark.streaming import register, twins
+from trailmark.streaming.reload import Versions, join_reloaded
 
+from .stateful import FORCED, IDLE, _lives, reports
 from .views import Tables, op
 
 c = F.col
@@ -177,17 +179,40 @@ def st8(t: Tables):
     return rows.groupBy(c("batch_id").cast("long").alias("batch_id")).agg(F.count("*").alias("n"))
 
 
-@op("st14_reload", "SELECT o.id, u.full_name FROM observations o JOIN users u ON u.id = o.user_id WHERE u.id % 2 = 0")
+@op(
+    "st14_reload",
+    "WITH m AS (SELECT max(id) + 1 AS top FROM observations), o AS (SELECT id, user_id, CASE WHEN id < top * 2 // 3 THEN 1 ELSE 3 END AS version FROM observations, m) "
+    "SELECT o.id, CASE version WHEN 1 THEN full_name ELSE upper(full_name) END AS full_name, version FROM o JOIN users u ON u.id = o.user_id WHERE version = 1 OR u.id % 5 <> 0",
+)
 def st14(t: Tables):
-    """The static side is read anew for every micro-batch; an empty (invalid) one is refused, and the last good one stays."""
-    people, out = folder(t, "people"), folder(t, "st14")
-    t.users.where("id % 2 = 0").select(c("id").alias("user_id"), "full_name").write.parquet(people)
-    good: dict = {}
-
-    def join(batch, batch_id: int) -> None:
-        now = t.spark.read.parquet(people)
-        good["people"] = now if now.limit(1).count() else good["people"]
-        batch.join(good["people"], "user_id").select("id", "full_name").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    fed(t).writeStream.foreachBatch(join).option("checkpointLocation", folder(t, "st14-state")).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(out).select("id", "full_name")
+    """Three micro-batches, before each of which the static side is published anew: the second version is broken (rows without an id), so the first one stays
+    until the third, which has other names and lacks some users."""
+    people = t.users.select(c("id").alias("user_id"), "full_name")
+    broken = people.withColumn("user_id", F.when(c("user_id") % 2 == 0, c("user_id")))
+    renamed = people.where("user_id % 5 <> 0").withColumn("full_name", F.upper("full_name"))
+    side = Versions(t.spark, folder(t, "people"), "user_id long, full_name string", lambda x: bool(x.limit(1).count()) and not x.where("user_id is null").limit(1).count())
+    place, out, checkpoint = folder(t, "observations"), folder(t, "st14"), folder(t, "st14-state")
+    for rows, version in zip(thirds(t), [people, broken, renamed], strict=True):
+        side.publish(version)
+        rows.select("id", "user_id", "camera_id", "event_type", "status", "us").repartition(FILES).write.mode("append").parquet(place)
+        join_reloaded(twins.observation_stream(t.spark, place, FILES).select("id", "user_id"), side, "user_id", out, checkpoint)
+    return t.spark.read.parquet(out).select("id", "full_name", c("version").cast("int").alias("version"))
+
+
+#: Micro-batches of the register's stream, and its delay: a row in seven comes a micro-batch late, which is less.
+LATE_BATCHES, DELAY_MS = 5, 7 * 86_400_000
+
+
+@op("st10_register_stream", _lives.replace("UNTIL", f"(SELECT (max(us) // 1000 - {DELAY_MS}) * 1000 FROM observations)").replace("FROM observations UNION ALL", f"FROM observations WHERE us <= (SELECT (max(us) // 1000 - {DELAY_MS}) * 1000 FROM observations) UNION ALL").replace("count(*) + 1 FROM observations GROUP BY", f"count(*) + 1 FROM observations WHERE us <= (SELECT (max(us) // 1000 - {DELAY_MS}) * 1000 FROM observations) GROUP BY"))
+def st10_register(t: Tables):
+    """The stream of st10_lives, with rows that come late: what the watermark has archived. What is open then stays state."""
+    register.with_timers(t.spark)
+    place, rows = folder(t, "reports"), reports(t.observations)
+    low, high = rows.agg(F.min("us"), F.max("us")).first()
+    step = ((high or 0) - (low or 0)) // LATE_BATCHES + 1
+    arrives = F.floor((c("us") - (low or 0)) / step) + F.when(c("id") % 7 == 0, 1).otherwise(0)
+    for i in range(LATE_BATCHES + 1):
+        rows.where(arrives == i).repartition(FILES).write.mode("append").parquet(place)
+    stream = t.spark.readStream.schema("id long, user_id long, camera_id long, us long, kind string").option("maxFilesPerTrigger", FILES).parquet(place)
+    found = register.lives(stream.withColumn("ts", F.timestamp_micros("us")), "user_id", IDLE, FORCED, f"{DELAY_MS} milliseconds")
+    return twins.run_to_table(found, folder(t, "st10r"), folder(t, "st10r-state"))

@@ -3,6 +3,8 @@ import math
 import random
 import re
 
+import pytest
+
 from trailmark.llm import privacy
 
 
@@ -78,7 +80,7 @@ def test_disclosing_terms(spark):
 
 
 def test_signatures_of_different_texts(spark):
-    """A name in a fixed signature beside an address is evidence where the texts above differ; another far from it is none."""
+    """A name in a fixed signature beside an address is evidence where the texts above differ, and so is one far from it; copies of one text are none."""
     r = random.Random(6)
     word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
     texts = [" ".join(word() for _ in range(60)) for _ in range(40)]
@@ -89,7 +91,32 @@ def test_signatures_of_different_texts(spark):
     for x in privacy.digests(df).collect():
         text = texts[x.doc_id]
         found = {text[int(a) : int(b)] for k, a, b in (s.split(":") for s in x.spans.split(",") if s) if k == "term"}
-        assert ("Nightowl" in found) == ("Nightowl" in text) and not found & {"Farthing", "Copycat"}, text
+        assert all((w in found) == (w in text) for w in ("Nightowl", "Farthing")) and "Copycat" not in found, text
+
+
+@pytest.mark.parametrize("layout", ["beside", "far", "both"])
+def test_any_distance(spark, layout):
+    """A name that only documents with one address hold gives it away at any distance."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    texts = [" ".join(word() for _ in range(80)) for _ in range(40)]
+    for i in range(12):
+        middle = " ".join(word() for _ in range(70 if layout == "far" or (layout == "both" and i % 2) else 1))
+        texts.append(f"{' '.join(word() for _ in range(9))} Nightowl {middle} boss@corp.example {' '.join(word() for _ in range(40))}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = privacy.digests(df).collect()
+    n, has = len(texts), [set(re.findall(r"[a-z']{4,}", t.lower())) for t in texts if "boss@" in t]
+    for x in rows:
+        text = texts[x.doc_id]
+        found = {text[int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in x.spans.split(",") if s) if k == "term"}
+        # By brute force over documents: PMI against information content.
+        flagged = set()
+        for t in set().union(*has) if "boss@" in text else ():
+            both, alone = sum(t in w for w in has), sum(t in re.findall(r"[a-z']{4,}", d.lower()) for d in texts)
+            if both >= privacy.CONTEXTS and math.log2(n * both / (len(has) * alone)) / math.log2(n / len(has)) >= privacy.GENERALISE:
+                flagged.add(t)
+        assert found == (flagged - {"boss", "corp", "example"}) & set(re.findall(r"[a-z']{4,}", text.lower()))
+        assert ("nightowl" in found) == ("boss@" in text)
 
 
 def test_ids_shared_by_different_texts(spark):

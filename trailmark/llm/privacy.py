@@ -1,15 +1,15 @@
 """Personal data and information-theoretic sanitisation, in SQL functions only.
 
 Base findings are e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected entity.
-A term (a word at most ``REACH`` characters beside it) discloses an entity as far as it predicts it: with counts of documents
-over the whole corpus, PMI(e; t) = log2(N n(e,t) / (n(e) n(t))), against the entity's information IC(e) = log2(N / n(e)). A
-ratio of ``GENERALISE`` or more is too much: the term is generalised to its shape in all documents that hold the entity, from
+A term (a word of a document that holds it, wherever it stands) discloses an entity as far as it predicts it: with counts of documents
+over the whole corpus, PMI(e; t) = log2(N n(e,t) / (n(e) n(t))), against the entity's information IC(e) = log2(N / n(e)). All four
+are counts of the same event, a document that holds them anywhere. A ratio of ``GENERALISE`` or more is too much: the term is generalised to its shape in all documents that hold the entity, from
 ``REMOVE`` on it is removed. A ratio is evidence only where it rests on more than one passage, so copies of one text prove
-nothing: an entity counts from ``CONTEXTS`` different passages on (the characters within reach), and a pair from so many too.
-Texts that only share a short line with the entity, as a signature, are different passages.
+nothing: an entity counts from ``CONTEXTS`` different passages on (the ``REACH`` characters on either side of it), and a pair from so many too.
+Texts that only share a short line with the entity, as a signature, are different passages. Passages are evidence only; they bound no term.
 
-Only the passages of entities with enough of them are cut into terms, so rows grow with the mentions, not with the
-texts; terms are counted over the whole corpus. All counts are combined before the shuffle, so a term or an entity
+Each different text that holds an entity with enough passages is cut into its different terms once, a row for each term and such
+entity of it; terms are counted over the whole corpus. All counts are combined before the shuffle, so a term or an entity
 that a third of the documents have is a single key of counts. No pairs of documents arise.
 
 Cases: null text is empty (no findings); repeated rows have equal results and count as documents each; rows that share a doc_id but not
@@ -98,15 +98,18 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
         return let(F.encode(text, "UTF-32"), of)
 
     held = found.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("same"), F.explode(mentions(c("text"))).alias("e"))
-    held = written(held.select("row", "same", "e.entity", "e.passage", F.xxhash64("e.passage").alias("context")), "mentions")
+    held = written(held.select("row", "same", "e.entity", F.xxhash64("e.passage").alias("context")), "mentions")
     known = held.groupBy("entity").agg(F.count_distinct("row").alias("n_e"), F.count_distinct("context").alias("contexts")).where(c("contexts") >= CONTEXTS)
     known = written(known, "entities")
-    pairs = held.join(known.select("entity"), "entity").select("entity", "same", "context", F.explode(terms(c("passage"))).alias("term"))
-    pairs = pairs.groupBy("entity", "term", "same").agg(F.min("context").alias("context"))
-    # A text that k rows have is k documents; its row here stands for all of them.
+    # Each different text once, with its entities; a text that k rows have is k documents.
+    here = held.join(known.select("entity"), "entity").groupBy("same", "entity").agg(F.min("context").alias("context"))
+    here = here.groupBy("same").agg(F.collect_list(F.struct("entity", "context")).alias("entities"))
     copies = held.groupBy("same").agg(F.count_distinct("row").alias("copies"))
+    texts = found.select(F.xxhash64("text").alias("same"), "text").dropDuplicates(["same"]).join(here.join(copies, "same"), "same")
+    words = texts.select("entities", "copies", F.explode(terms(c("text"))).alias("term"))
+    pairs = words.select("term", "copies", F.explode("entities").alias("e")).select("e.entity", "e.context", "term", "copies")
     counts = [F.sum("copies").alias("n_et"), F.count_distinct("context").alias("contexts")]
-    joint = pairs.join(copies, "same").groupBy("entity", "term").agg(*counts).where(c("contexts") >= CONTEXTS)
+    joint = pairs.groupBy("entity", "term").agg(*counts).where(c("contexts") >= CONTEXTS)
     joint = written(joint.join(known.select("entity", "n_e"), "entity"), "joint")
     wanted = joint.select("term").distinct()
     text = F.coalesce(c("text").cast("string"), F.lit(""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -10,20 +11,33 @@ import numpy as np
 from .bpe import MEMO, SINGLE_SPACE, SPACES, byte_symbols
 
 
+#: Letters up to U+024F; any other character than these, printable ASCII and line breaks.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+OTHER = re.compile(f"[^\n\x20-\x7e{LETTERS}]")
+#: Runs of letters, runs of other characters, each with the space before, and line breaks; words with an apostrophe whole.
+RUNS = re.compile(rf" ?[{LETTERS}]+| ?[^{LETTERS}\s]+|\s")
+RUNS_WITH_APOSTROPHES = re.compile(rf" ?[^\s']*'\S*| ?[{LETTERS}]+| ?[^{LETTERS}\s]+|\s")
+#: Pieces that are remembered, and that the library gets at once.
+REMEMBERED, AT_ONCE = 2 * MEMO, 2000
+
+
 def pieces(text: str) -> list[str]:
-    """The text, cut before each single space between two other characters: no pre-token of byte-level BPE spans such a place."""
+    """The text, cut at places that no pre-token of byte-level BPE spans.
+
+    Where white space is single, these are the places before each space, around each line break, and between letters and what is no letter
+    (but for apostrophes). In texts with other characters or more white space only single spaces between two other characters count.
+    """
     if not text:
         return []
-    if "  " in text or SPACES.search(text):
+    if "  " in text or SPACES.search(text) or OTHER.search(text):
         return SINGLE_SPACE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + p for p in rest]]
+    return (RUNS_WITH_APOSTROPHES if "'" in text else RUNS).findall(text)
 
 
 class ByteLevel:
-    """Byte-level BPE by the tokenizers library, piece by piece; about ``MEMO`` pieces at most are remembered between calls.
+    """Byte-level BPE by the tokenizers library, piece by piece; about ``REMEMBERED`` pieces are remembered between calls.
 
-    ``plain``: the strings of special tokens are text as any other.
+    ``plain``: the strings of special tokens are text as any other; else a text that holds one is given to the library whole.
     """
 
     def __init__(self, path: str, plain: bool = False):
@@ -33,21 +47,32 @@ class ByteLevel:
         self.library.no_truncation()
         self.library.no_padding()
         self.library.encode_special_tokens = plain
+        special = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
 
+    def learn(self, new: list[str]) -> None:
+        memo, width = self.memo, self.kind.itemsize
+        for begin in range(0, len(new), AT_ONCE):
+            some = new[begin : begin + AT_ONCE]
+            e = self.library.encode(some, add_special_tokens=False, is_pretokenized=True)
+            data = np.array(e.ids, self.kind).tobytes()
+            ends = (np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))) * width).tolist()
+            low = 0
+            for p, high in zip(some, ends, strict=True):
+                memo[p] = data[low:high]
+                low = high
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, ``kind`` each."""
-        if len(self.memo) > MEMO:
+        if len(self.memo) > REMEMBERED:
             self.memo.clear()
-        memo, kind = self.memo, self.kind
-        cut = list(map(pieces, texts))
-        new = list(set().union(*cut) - memo.keys())
-        for low in range(0, len(new), 10_000):
-            some = new[low : low + 10_000]
-            for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, kind).tobytes()
-        return [b"".join(map(memo.__getitem__, p)) for p in cut]
+        whole = [bool(self.special.search(t)) for t in texts]
+        cut = [[] if w else pieces(t) for t, w in zip(texts, whole, strict=True)]
+        self.learn(list(set().union(*cut) - self.memo.keys()))
+        found = self.memo.__getitem__
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if w else b"".join(map(found, p)) for t, w, p in zip(texts, whole, cut, strict=True)]
 
 
 @lru_cache(maxsize=4)

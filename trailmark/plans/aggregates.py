@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from trailmark.operators.selection import nearest_rank, quantile
 
 from .joins import _scores, variant_scores
 from .views import Tables, op
@@ -98,7 +99,8 @@ def a9(t: Tables):
     "count(DISTINCT pred) AS predicted_classes FROM predictions GROUP BY 1) q ON s.variant = q.variant",
 )
 def a10(t: Tables):
-    more = t.predictions.groupBy("variant").agg(F.round(F.percentile("latency_s", 0.95), 9).alias("p95"), F.count_distinct("pred").alias("predicted_classes"))
+    kinds = t.predictions.groupBy("variant").agg(F.count_distinct("pred").alias("predicted_classes"))
+    more = quantile(t.predictions, ["variant"], "latency_s", 0.95, "p95").withColumn("p95", F.round("p95", 9)).join(kinds, "variant")
     r = lambda x: F.round(x, 9).alias(x)
     return variant_scores(t.predictions).join(more, "variant").select("variant", r("accuracy"), r("balanced"), r("latency"), "parse_failures", "p95", "predicted_classes")
 
@@ -183,10 +185,8 @@ def a15(t: Tables):
     "SELECT camera_id, list_sort(list(value))[least(count(*), floor(0.95 * count(*))::BIGINT + 1)] AS p95 FROM observations GROUP BY camera_id",
 )
 def a16(t: Tables):
-    """The value at place min(n - 1, int(q n)) of the sorted ones, found by ranking rather than by gathering a list."""
-    w = Window.partitionBy("camera_id")
-    rows = t.observations.select("camera_id", "value").withColumns({"n": F.count("*").over(w), "at": F.row_number().over(w.orderBy("value"))})
-    return rows.where(c("at") == F.least(c("n"), F.floor(c("n") * 0.95) + 1)).select("camera_id", c("value").alias("p95"))
+    """The value at place min(n - 1, int(q n)) of the sorted ones, found by counting in bins rather than by gathering or ranking a camera's rows."""
+    return nearest_rank(t.observations, ["camera_id"], "value", 0.95, "p95")
 
 
 @op("a17_histogram", "SELECT n, count(*) AS users FROM (SELECT user_id, count(*) AS n FROM observations GROUP BY 1) GROUP BY n")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from trailmark.functions.columns import band, dot
 from trailmark.operators.matching import best_match
+from trailmark.operators.ranges import deal, numbered
 from trailmark.operators.sequences import top_per_key
 
 from .scans_sinks import apps
@@ -106,8 +107,7 @@ def j7(t: Tables):
 )
 def j8(t: Tables):
     """Results and regions by index; cameras whose lists differ in length (here: divisible by 3) lose all of them."""
-    place = F.row_number().over(Window.partitionBy("camera_id").orderBy("id"))
-    rows = t.observations.where("event_type = 'signup'").select("camera_id", "id", "us", place.alias("n"))
+    rows = numbered(deal(t.observations.where("event_type = 'signup'").select("camera_id", "id", "us"), ["camera_id"], ["id"]), "n").select("camera_id", "id", "us", "n")
     shifted = F.when(c("camera_id") % 3 == 0, c("n") - 1).otherwise(c("n"))  # a list that lacks its first region
     zipped = rows.select("camera_id", "n", "id").join(rows.select("camera_id", shifted.alias("n"), "us").where("n > 0"), ["camera_id", "n"], "outer")
     whole = (F.count("id") == F.count("us")) & (F.count("id") == F.count("*"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailmark.functions import columns as K
+from trailmark.operators.ranges import deal, frame, numbered, with_halo
 
 from .scans_sinks import BRANCH, apps, in_branch_or_free
 from .views import Tables, op
@@ -310,8 +311,8 @@ def f10(t: Tables):
 )
 def f11(t: Tables):
     """Every fifth of a camera's detection frames, by count."""
-    n = F.row_number().over(Window.partitionBy("camera_id").orderBy("frame_num"))
-    return t.crops.where("frame_num % 3 = 0").withColumn("n", n).where("n % 5 = 0").select("frame_num")
+    frames = t.crops.where("frame_num % 3 = 0").select("camera_id", "frame_num")
+    return numbered(deal(frames, ["camera_id"], ["frame_num"]), "n").where("n % 5 = 0").select("frame_num")
 
 
 _urls = {0: ("https://storage.googleapis.com/b/o.jpg", "ok"), 1: ("ftp://storage.googleapis.com/x", "blocked scheme"), 2: ("http://LOCALHOST/x", "blocked host"), 3: ("http://10.1.2.3/x", "blocked range"), 4: ("http://8.8.8.8:80/x", "ok"), 5: ("https://evil.com/storage.googleapis.com", "domain not allowed"), 6: ("gs://bucket/x", "ok"), 7: ("gs://", "invalid bucket url"), 8: ("", "empty"), 9: ("http://u:p@172.31.0.1/", "blocked range"), 10: ("https://a.storage.cloud.google.com/x", "ok"), 11: ("http://[fe80::1]/", "blocked range")}
@@ -343,7 +344,8 @@ def f14(t: Tables):
 )
 def f15(t: Tables):
     rows = t.observations.select("id", "camera_id", F.floor(c("id") / 20).alias("seq"))
-    return rows.withColumn("before", F.lag("seq").over(Window.partitionBy("camera_id").orderBy("id"))).where("before is null or before <> seq").select("id")
+    dealt = deal(rows, ["camera_id"], ["id"])
+    return with_halo(dealt, 1).withColumn("before", F.lag("seq").over(frame(dealt))).where("not _halo").where("before is null or before <> seq").select("id")
 
 
 @op("f16_persist_guard", "SELECT id FROM observations WHERE id % 7 - 3 >= 0")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from trailmark.functions.columns import dot, foot_point
 from trailmark.operators.graph import connected_components
+from trailmark.operators.ranges import deal, frame, numbered, with_halo
 from trailmark.operators.sequences import best_frame, latest_per_key, sessions, top_per_key, transition_guard
 from trailmark.operators.throttle import greedy_throttle
 
@@ -43,9 +44,9 @@ def w1(t: Tables):
 )
 def w2(t: Tables):
     """Events per second among those of the last ten hours (the testbed is slow), the last 120 at most."""
-    by = Window.partitionBy("camera_id").orderBy("us")
-    w = by.rangeBetween(-36_000_000_000, 0)
-    rows = t.observations.withColumns({"n": F.least(F.count("*").over(w), F.lit(120)), "first": F.greatest(F.min("us").over(w), F.lag("us", 119).over(by))})
+    dealt = deal(t.observations.select("id", "camera_id", "us"), ["camera_id"], ["us"])
+    w = Window.partitionBy("camera_id", "_part").orderBy("us").rangeBetween(-36_000_000_000, 0)  # the 119 rows before a part are all that counts
+    rows = with_halo(dealt, 119).withColumns({"n": F.least(F.count("*").over(w), F.lit(120)), "first": F.greatest(F.min("us").over(w), F.lag("us", 119).over(frame(dealt)))}).where("not _halo")
     fps = F.when((c("n") < 2) | (c("us") == c("first")), 0.0).otherwise(F.round((c("n") - 1) / F.nullif((c("us") - c("first")) / 1e6, F.lit(0.0)), 9))
     return rows.select("id", fps.alias("fps"))
 
@@ -56,7 +57,9 @@ def w2(t: Tables):
     "observations",
 )
 def w3(t: Tables):
-    return t.observations.select("id", F.round(F.avg("value").over(Window.partitionBy("camera_id").orderBy("id").rowsBetween(-49, 0)), 9).alias("mean"))
+    dealt = deal(t.observations.select("id", "camera_id", "value"), ["camera_id"], ["id"])
+    rows = with_halo(dealt, 49).withColumn("mean", F.round(F.avg("value").over(frame(dealt).rowsBetween(-49, 0)), 9))
+    return rows.where("not _halo").select("id", "mean")
 
 
 _ticks = "SELECT stage, tick, v * CASE WHEN tick % 7 = 0 THEN 0.1 ELSE tick END AS ms, k * tick AS n FROM (SELECT event_type AS stage, us // 86400000000 AS tick, sum(value) AS v, count(*) AS k FROM observations GROUP BY ALL)"
@@ -84,8 +87,9 @@ def w4(t: Tables):
 )
 def w5(t: Tables):
     """Null at first, after a reset or without elapsed time; a true 0 stays."""
-    w = Window.partitionBy("camera_id").orderBy("id")
-    rows = t.observations.withColumn("seq", c("id") % 2000).withColumns({"dn": c("seq") - F.lag("seq").over(w), "du": c("us") - F.lag("us").over(w)})
+    dealt = deal(t.observations.select("id", "camera_id", "us", (c("id") % 2000).alias("seq")), ["camera_id"], ["id"])
+    w = frame(dealt)
+    rows = with_halo(dealt, 1).withColumns({"dn": c("seq") - F.lag("seq").over(w), "du": c("us") - F.lag("us").over(w)}).where("not _halo")
     return rows.select("id", F.when((c("dn") >= 0) & (c("du") > 0), F.round(c("dn") / F.nullif(c("du") / 1e6, F.lit(0.0)), 9)).alias("fps"))
 
 
@@ -123,8 +127,9 @@ def w8(t: Tables):
     "WINDOW w AS (PARTITION BY camera_id ORDER BY frame_num DESC, box, x1, y1, x2, y2)) WHERE n <= 30 AND total >= 2",
 )
 def w18(t: Tables):
-    rows = t.boxes.withColumn("total", F.count("*").over(Window.partitionBy("camera_id"))).where("total >= 2")
-    return top_per_key(rows, ["camera_id"], [F.desc("frame_num"), c("box"), c("x1"), c("y1"), c("x2"), c("y2")], 30).select("camera_id", "frame_num", "box")
+    """Among the last 30 it shows whether a camera has fewer than two."""
+    last = top_per_key(t.boxes, ["camera_id"], [F.desc("frame_num"), c("box"), c("x1"), c("y1"), c("x2"), c("y2")], 30)
+    return last.withColumn("total", F.count("*").over(Window.partitionBy("camera_id"))).where("total >= 2").select("camera_id", "frame_num", "box")
 
 
 @op(
@@ -143,9 +148,9 @@ def w9(t: Tables):
     "(PARTITION BY camera_id) // 300) AS step FROM observations) WHERE i % step = 0",
 )
 def w11(t: Tables):
-    p = Window.partitionBy("camera_id")
-    rows = t.observations.withColumns({"i": F.row_number().over(p.orderBy("id")) - 1, "step": F.greatest(F.lit(1).cast("long"), F.floor(F.count("*").over(p) / 300))})
-    return rows.where("i % step = 0").select("camera_id", "id")
+    rows = numbered(deal(t.observations.select("camera_id", "id"), ["camera_id"], ["id"]), "place")
+    steps = t.observations.groupBy("camera_id").agg(F.greatest(F.lit(1).cast("long"), F.floor(F.count("*") / 300)).alias("step"))
+    return rows.join(steps, "camera_id").where("(place - 1) % step = 0").select("camera_id", "id")
 
 
 @op(
@@ -268,8 +273,9 @@ def st13(t: Tables):
 )
 def st15(t: Tables):
     """Our definition: p <- 0.8 p + 0.2 x in order of ids, in every dimension. Unrolled, the weight of a row is a power of its place from the end, so it is a grouped sum."""
-    w = Window.partitionBy("label")
-    rows = t.face_embeddings.withColumns({"back": F.row_number().over(w.orderBy(F.desc("id"))) - 1, "n": F.count("*").over(w)})
+    turned = t.face_embeddings.select("label", "id", "embedding", (-c("id")).alias("turned"))
+    rows = numbered(deal(turned, ["label"], ["turned"]), "back").withColumn("back", c("back") - 1)
+    rows = rows.join(turned.groupBy("label").agg(F.count("*").alias("n")), "label")
     weight = F.pow(F.lit(0.8), c("back")) * F.when(c("back") == c("n") - 1, 1.0).otherwise(0.2)
     each = rows.select("label", weight.alias("weight"), F.posexplode("embedding").alias("dim", "x"))
     sums = each.groupBy("label", "dim").agg(F.round(F.sum(c("weight") * c("x").cast("double")), 6).alias("value"))

@@ -81,6 +81,30 @@ def test_stored_table(spark, tmp_path):
     assert values(table.read(), "k") == [(2,), (4,), (5,)]
 
 
+def test_only_changed_buckets_are_written(spark, tmp_path):
+    table = tables.StoredTable(spark, f"file://{tmp_path}/t", "k long, v string, at long", ["k"], 8)
+    rows = lambda *x: spark.createDataFrame(list(x), table.schema)
+    table.append(rows(*[(i, "a", 1) for i in range(200)], (None, "n", 1)))
+    before = table.files()
+    assert len({b for b, _ in before}) == 8
+    table.upsert(rows((7, "new", 2), (7, "newer", 3)), ["k"], "at")
+    after = table.files()
+    kept = [x for x in before if x in after]
+    assert len({b for b, _ in before} - {b for b, _ in kept}) == 1 and len(after) == len(kept) + 1
+    assert values(table.read().where("k = 7"), "v") == [("newer",)] and table.read().count() == 201
+    table.insert_ignore(rows((7, "no", 9), (1000, "yes", 9)), ["k"], "at")
+    assert set(after) < set(table.files()) and len(table.files()) == len(after) + 1
+    now = table.files()
+    assert table.delete(rows((8, "", 0), (9999, "", 0)).select("k")) == 1
+    assert len({b for b, f in set(now) - set(table.files())}) == 1
+    # By other columns than the keys: any bucket may hold the rows, but only those that do are written.
+    now = table.files()
+    assert table.delete(rows((0, "yes", 0)).select("v")) == 1 and len({b for b, f in set(now) - set(table.files())}) == 1
+    assert table.read().count() == 200
+    with pytest.raises(ValueError, match="other buckets"):
+        tables.StoredTable(spark, f"file://{tmp_path}/t", table.schema, ["k"], 4).read()
+
+
 def test_commands(spark):
     raw = [('{"id": 1, "user_id": 2, "event_type": "a", "stream": "s"}',), ('{"id": 1, "user_id": 2, "event',), ('{"id": 3, "stream": "t"}',), ('{"id": 4}',), ("[]",), ("x" * 6000,), (None,)]
     got = messages.commands(spark.createDataFrame(raw, "value string"), ["s"]).collect()

@@ -17,9 +17,9 @@ from .views import Tables, op
 c = F.col
 
 
-def stored(t: Tables, rows, name: str) -> StoredTable:
+def stored(t: Tables, rows, name: str, key: str | None = None) -> StoredTable:
     """An empty table for such rows in the shared folder."""
-    return StoredTable(t.spark, f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}", rows.schema)
+    return StoredTable(t.spark, f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}", rows.schema, [key] if key else None, 16)
 
 
 def appended(t: Tables, rows, name: str):
@@ -198,7 +198,7 @@ def sk4(t: Tables):
 
 def upserted(t: Tables, rows, key: str, name: str):
     """Two batches in order of ids, read back."""
-    table = stored(t, rows, name)
+    table = stored(t, rows, name, key)
     middle = rows.agg(F.max("id")).first()[0] // 2
     table.upsert(rows.where(c("id") <= middle), [key], "id")
     table.upsert(rows.where(c("id") > middle), [key], "id")
@@ -219,7 +219,7 @@ def sk5(t: Tables):
 def sk6(t: Tables):
     """What a second batch adds to the first."""
     rows, keys = t.face_embeddings.select("id", "user_id", "image_url_norm"), ["user_id", "image_url_norm"]
-    table = stored(t, rows, "faces")
+    table = stored(t, rows, "faces", "user_id")
     table.append(rows.where("id % 3 = 0"))
     table.insert_ignore(rows.where("id % 3 <> 0"), keys, "id")
     return table.read().where("id % 3 <> 0")
@@ -228,7 +228,7 @@ def sk6(t: Tables):
 @op("sk7_delete_user", "SELECT count(*) FILTER (user_id = '7') AS deleted, count(*) FILTER (user_id <> '7') AS kept FROM face_embeddings")
 def sk7(t: Tables):
     rows = t.face_embeddings.select("id", "user_id")
-    table = stored(t, rows, "faces")
+    table = stored(t, rows, "faces", "user_id")
     table.append(rows)
     deleted = table.delete(t.spark.createDataFrame([("7",)], "user_id string"))
     return table.read().agg(F.lit(deleted).cast("long").alias("deleted"), F.count("*").alias("kept"))
@@ -241,7 +241,7 @@ def sk7(t: Tables):
 )
 def sk8(t: Tables):
     rows = t.face_embeddings.select("id", "user_id", "image_url_norm")
-    table = stored(t, rows, "faces")
+    table = stored(t, rows, "faces", "user_id")
     table.append(rows)
     table.delete(rows.where("id % 50 = 0").select("user_id", "image_url_norm").distinct())
     return table.read().select("id")

@@ -1,3 +1,5 @@
+import random
+
 from trailmark.llm import decontaminate
 
 ITEMS = [
@@ -32,7 +34,7 @@ def test_items_and_reparameterised_items(spark):
     got = result(spark, rows)
     assert len(got) == len(rows)
     found = {r.doc_id: (r.items, r.n_reparameterised) for r in got}
-    assert found == {0: ([], 0), 1: ([], 0), 2: ([2], 0), 3: ([1], 1), 4: ([], 0), 5: ([], 0), 6: ([3], 0), 7: ([], 0), 8: ([1, 2], 0), 9: ([], 0), None: ([], 0)}
+    assert found == {0: ([], 0), 1: ([], 0), 2: ([2], 0), 3: ([1], 1), 4: ([], 0), 5: ([], 0), 6: ([3], 0), 7: ([5], 0), 8: ([1, 2], 0), 9: ([], 0), None: ([], 0)}
 
 
 def test_each_pattern_of_a_template(spark):
@@ -56,6 +58,49 @@ def test_names_that_begin_and_items_of_slots(spark):
     assert got == {1: ([1], 1), 2: ([], 0), 3: ([2], 0), 4: ([3], 0), 5: ([], 0), 6: ([4], 0), 7: ([], 0), 8: ([1], 0), 9: ([1], 0)}
 
 
+def test_a_common_instruction(spark, monkeypatch):
+    """Documents and items that share only an instruction meet nowhere: what is written grows with documents plus items."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    common = " ".join(word() for _ in range(16))
+    items = [(i, f"{common} {' '.join(word() for _ in range(24))}") for i in range(120)]
+    docs = [(i, f"{' '.join(word() for _ in range(20))} {common} {' '.join(word() for _ in range(20))}") for i in range(200)]
+    docs += [(1000 + i, f"{word()} {t} {word()}") for i, t in items[:5]]
+    rows = {}
+    keep = decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda df, name="cut": rows.setdefault(name, keep(df, name)))
+    got = {x.doc_id: x["items"] for x in result(spark, docs, items)}
+    assert got == {i: [] for i in range(200)} | {1000 + i: [i] for i in range(5)}
+    assert rows["likely"].count() == 5 and rows["hits"].count() < 5 * 2 * 40 and rows["found"].count() < 205 * 20
+
+
+def test_measured_recall_of_new_parameters(spark):
+    """Items whose numbers, names and units are replaced alike are all found; where a value stands for two, none is."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    names = ["Anna", "Boris", "Carla", "Denis", "Emil", "Gerda", "Hans", "Ida", "Jens", "Karl", "Olga", "Paul"]
+    forms, items, docs = {}, [], []
+    for i in range(80):
+        parts = [word() if r.random() < r.choice([0.6, 0.85]) else r.choice(["{a}", "{b}", "{n} {u}", "{m}"]) for _ in range(r.randint(18, 40))]
+        forms[i] = f"{word()} {word()} {word()} {{n}} {word()} {{n}} " + " ".join(parts) + f" {word()} {word()}"
+        values = lambda: dict(zip("ab", r.sample(names, 2), strict=True)) | {"n": r.randint(2, 99), "m": r.randint(100, 999), "u": r.choice(["kg", "miles", "hours"])}
+        items.append((i, forms[i].format(**values())))
+        docs.append((i, f"{word()} {word()} {forms[i].format(**values())} {word()}"))
+        broken = forms[i].format(**(values() | {"n": "7"})).split(" ")
+        at = [k for k, w in enumerate(broken) if w == "7"]
+        broken = [str(20 + at.index(k)) if k in at else w for k, w in enumerate(broken)]  # each place another number
+        docs.append((1000 + i, " ".join(broken)))
+    found = {x.doc_id: set(x["items"]) for x in result(spark, docs, items)}
+    assert sum(found[i] == {i} for i in range(80)) >= 0.97 * 80
+    assert sum(i in found[1000 + i] for i in range(80)) == 0
+
+
+def test_units_measure(spark):
+    items = [(1, "put the key in the box and the box in the car before you leave the house")]
+    docs = [(1, "so put the key m the box and the box m the car before you leave the house"), (2, items[0][1])]
+    assert {x.doc_id: x["items"] for x in result(spark, docs, items)} == {1: [], 2: [1]}
+
+
 def test_empty_tables(spark):
     assert result(spark, []) == []
     assert [r.contaminated for r in result(spark, [(1, "some text of a document")], [])] == [False]

@@ -11,12 +11,15 @@ alignments cover ``COVERAGE`` of the template's windows.
 
 A capitalised word may be a name or not where a sentence (first reading: no name) or a line (first reading: a name) begins. Windows that
 hold such words stand in every combination of their readings. An alignment is judged by first readings alone, and by all; either may do.
-An item without a window that is half literal, but with a literal word, matches only as a whole, with its own values.
+An item without a window that is half literal matches only as a whole, with its own values, if it has a literal word or ``WINDOW`` words.
 
-Before the join a bitmap of fixed size (``BITMAP_BITS``, built from the templates' windows, no false negatives) lets tasks drop windows
+Before the join a bitmap (built from the templates' windows and sized by their number, no false negatives) lets tasks drop windows
 that no template has, so only windows that probably match are ever shuffled; they carry their slot values, and the text is read once.
+A document is held against an item only if it has one of the item's probes, the windows that the fewest templates share, of
+which coverage asks for one at least; only then are the item's other windows looked up among the document's. So windows that very many
+items share, as a common instruction, never meet all items.
 
-Cases: null or empty text has no windows (not contaminated); items of fewer words than a window count as one window; items without a
+Cases: null or empty text has no windows (not contaminated); items of fewer words than a window count as one window; items of fewer words without a
 literal word match nothing; repeated rows have equal results; rows that share a doc_id share the result; null doc_id is never
 contaminated; very long texts are scanned whole; other columns are ignored; without documents the result is empty, without items nothing is contaminated.
 """
@@ -31,13 +34,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .jaccard import id_and_text, rows_of
 from .shared import written
 from .words import mix, windows
 
-#: Template words of a window; share of a template's windows to be covered; bits of the bitmap; characters and words that a task holds at once.
-WINDOW, COVERAGE, BITMAP_BITS, CHUNK_CHARS, MEMO = 8, 0.6, 1 << 22, 8_000_000, 300_000
+#: Template words of a window; share of a template's windows to be covered; bits of the bitmap for each window, and least and most in all; characters and words that a task holds at once.
+WINDOW, COVERAGE, BITS_EACH, BITMAP_BITS, CHUNK_CHARS, MEMO = 8, 0.6, 32, (1 << 16, 1 << 25), 8_000_000, 300_000
 # Words that stand for numbers and units.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 UNITS = "mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg lb lbs oz ml l litre litres liter liters gallon gallons s sec seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros pound pounds cent cents mph kmh kwh watt watts volt volts degree degrees"
@@ -102,6 +106,8 @@ class TemplateWords(dict):
             fresh = np.diff(np.cumsum(fresh[:-1] | begins)[kept], prepend=0) > 0
             other = (kind == NAME)[kept] & fresh
             kind = np.where((kind == NAME) & begins, LITERAL, kind)[kept]
+            measures = np.r_[False, kind[:-1] == NUMBER] if len(kind) else np.empty(0, bool)
+            kind = np.where((kind == UNIT) & ~measures, LITERAL, kind)  # "in" and "m" are units after a number only
             value = values[at[kept]]
             slot = kind != LITERAL
             yield np.where(slot, HOLDER[kind], value), value, slot, other
@@ -175,7 +181,7 @@ def row_hashes(words: np.ndarray) -> np.ndarray:
 def in_bitmap(h: np.ndarray, bitmap: np.ndarray | None) -> np.ndarray:
     if bitmap is None:
         return np.ones(len(h), bool)
-    bit = h & _U(BITMAP_BITS - 1)
+    bit = h & _U(64 * len(bitmap) - 1)
     return (bitmap[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) != 0
 
 
@@ -202,7 +208,7 @@ def item_windows(items: DataFrame) -> DataFrame:
                 if n:
                     key, pattern = int(windows(template, len(template))[0].view(np.int64)), pattern_of(value, slot, other)
                     _, at, h, seen, plain = window_rows([one], n)
-                    as_is = not plain.any() and not slot.all()
+                    as_is = not plain.any() and (not slot.all() or len(template) >= WINDOW)
                     if as_is:
                         _, at, h, seen, plain = exact_rows([one], n)
                         key = int(windows(value, len(value))[0].view(np.int64))
@@ -216,16 +222,42 @@ def item_windows(items: DataFrame) -> DataFrame:
     return written(first, "templates")
 
 
+def bitmap_of(targets: DataFrame) -> np.ndarray:
+    """A bit for each window's hash, in 64-bit words; its size follows the number of windows, within bounds."""
+    n = targets.count() * BITS_EACH
+    bits = min(max(1 << n.bit_length(), BITMAP_BITS[0]), BITMAP_BITS[1])
+    bit = F.col("h").bitwiseAND(F.lit(bits - 1))
+    words = targets.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast((h & 63) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    bitmap = np.zeros(bits // 64, np.int64)
+    for r in words.collect():  # a row for each word at most
+        bitmap[r.w] = r.b
+    return bitmap
+
+
+def probed(targets: DataFrame) -> DataFrame:
+    """(template, pattern, h): windows of which a document that is contaminated has one at least.
+
+    Of N places it must cover ``COVERAGE`` * N, so it has one of any N - ceil(COVERAGE * N) + 1; those whose windows the fewest templates
+    share are taken. So an instruction that all items begin with is no probe, as long as it alone does not cover enough.
+    """
+    c = F.col
+    one = ["template", "pattern"]
+    shared = targets.groupBy("h").agg(F.count("*").alias("_shared"))
+    levels = F.explode(F.when(c("plain"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("level")
+    rows = targets.join(shared, "h").select(*one, "at", "h", "whole", "_shared", levels)
+    places = rows.groupBy(*one, "level", "at").agg(F.max("_shared").alias("_shared"), F.bool_or("whole").alias("whole"))
+    by = Window.partitionBy(*one, "level")  # a row for each window of an item
+    need = F.when(c("whole"), c("n")).otherwise(F.ceil(c("n") * COVERAGE - 1e-9))
+    places = places.withColumns({"n": F.count("*").over(by), "k": F.row_number().over(by.orderBy("_shared", "at"))}).where(c("k") <= c("n") - need + 1)
+    return rows.join(places.select(*one, "level", "at"), [*one, "level", "at"]).select(*one, "h").distinct()
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, exact): the items that contaminate a document; exact if every slot has the item's own value."""
     c = F.col
     targets = item_windows(items)
     sizes = [(r.n, r.whole) for r in targets.select("n", "whole").distinct().collect()]  # 2 * WINDOW rows at most
-    bit = c("h").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    bits = targets.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast((h & 63) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
-    for r in bits.collect():  # BITMAP_BITS / 64 rows at most
-        bitmap[r.w] = r.b
+    bitmap = bitmap_of(targets)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +270,14 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(place), pa.array(h.view(np.int64)), values, pa.array(plain)], ["doc_id", "place", "h", "seen", "first"])
 
     found = id_and_text(docs.where("doc_id is not null")).mapInArrow(run, "doc_id long, place long, h long, seen array<long>, first boolean")
-    of = ["template", "pattern", "level"]
+    found = written(found, "found")
+    one = ["template", "pattern"]
+    probes = written(probed(targets), "probes")
+    likely = written(found.select("doc_id", "h").distinct().join(probes, "h").select("doc_id", *one).distinct(), "likely")
+    of = [*one, "level"]
     level = F.explode(F.when(c("plain") & c("first"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("level")
-    hits = written(found.join(targets, "h").select("doc_id", "template", "pattern", level, "whole", "item_id", "at", (c("place") - c("at")).alias("shift"), "wanted", "seen"), "hits")
+    wanted = likely.join(targets, one)
+    hits = written(found.join(wanted, ["doc_id", "h"]).select("doc_id", *one, level, "whole", "item_id", "at", (c("place") - c("at")).alias("shift"), "wanted", "seen"), "hits")
     slots = hits.select("doc_id", *of, "shift", F.explode(F.arrays_zip("wanted", "seen")).alias("s")).where("s.wanted <> 0 or s.seen <> 0")
     per_value = slots.select("doc_id", *of, "shift", "s.wanted", "s.seen").groupBy("doc_id", *of, "shift", "wanted").agg(F.min("seen").alias("low"), F.max("seen").alias("high"))
     alignment = per_value.groupBy("doc_id", *of, "shift").agg(F.bool_and(c("low") == c("high")).alias("consistent"), F.bool_and((c("low") == c("high")) & (c("low") == c("wanted"))).alias("same"))

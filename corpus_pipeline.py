@@ -53,25 +53,31 @@ def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document (by doc_id, null last, then key) of each component; of rows that repeat both doc_id and text, one.
 
-    Rows are known by a key of doc_id and text, so rows that share a doc_id, or have none, are documents of their own.
+    Rows are known by a key of doc_id and text, so rows that share a doc_id, or have none, are documents of their own; rows are equal
+    if a second key agrees as well.
     """
     c = F.col
-    key = F.xxhash64(c("doc_id").cast("long"), c("text").cast("string"))
+    both = ["_key", "_other"]
+    key, other = F.xxhash64(c("doc_id").cast("long"), c("text").cast("string")), F.xxhash64(F.lit(1), c("text").cast("string"), c("doc_id").cast("long"))
+    known = written(docs.select(key.alias("_key"), other.alias("_other")).groupBy(*both).agg(F.count("*").alias("n")), "known")
+    repeated = written(known.where("n > 1").select(*both), "repeated")
+    # Different rows with one key, if there are any, stay as they are.
+    clashing = written(known.groupBy("_key").count().where("count > 1").select("_key"), "clashing")
     found = written(jaccard.components(docs.select(key.alias("doc_id"), "text")).select(c("doc_id").alias("_key"), "component_id"), "components")
+
+    def among(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+        return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, on, how)
+
     linked = found.where("_key <> component_id").distinct()
-    members = linked.union(linked.select(c("component_id").alias("_key"), "component_id").distinct())
+    members = among(linked.union(linked.select(c("component_id").alias("_key"), "component_id").distinct()), clashing, ["_key"], "left_anti")
     order = F.struct(c("doc_id").isNull().alias("none"), c("doc_id").alias("id"), c("_key").alias("key"))
     ordered = written(docs.select("doc_id", key.alias("_key")).distinct().join(members, "_key").select("component_id", "_key", order.alias("order")), "members")
     first = ordered.groupBy("component_id").agg(F.min("order").alias("first")).select(c("first.key").alias("_key"))
     dropped = written(ordered.select("_key").join(first, "_key", "left_anti"), "dropped")
-    repeated = written(found.groupBy("_key").count().where("count > 1").select("_key"), "repeated")
-
-    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "_key", how)
 
-    kept = among(docs.select(whole(docs), key.alias("_key")), dropped, "left_anti")
-    once = among(kept, repeated, "left_semi").groupBy("_key").agg(F.min_by("row", F.hash("row")).alias("row"))
-    return among(kept, repeated, "left_anti").select("row.*").unionByName(once.select("row.*"))
+    kept = among(docs.select(whole(docs), key.alias("_key"), other.alias("_other")), dropped, ["_key"], "left_anti")
+    once = among(kept, repeated, both, "left_semi").groupBy(*both).agg(F.min_by("row", F.hash("row")).alias("row"))
+    return among(kept, repeated, both, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

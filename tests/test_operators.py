@@ -105,6 +105,22 @@ def test_only_changed_buckets_are_written(spark, tmp_path):
         tables.StoredTable(spark, f"file://{tmp_path}/t", table.schema, ["k"], 4).read()
 
 
+def test_cameras_once(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id long, name string")
+    assert sorted(map(str, sequences.required_unique(rows, ["id"], "camera").collect())) == sorted(map(str, rows.collect()))
+    twice = rows.union(rows.where("id = 2"))
+    with pytest.raises(Exception, match=r"camera is there more than once: \{.*id.*2"):
+        sequences.required_unique(twice, ["id"], "camera").count()
+    assert sequences.required_unique(twice, ["id", "name"], "camera").where("false").count() == 0
+
+
+def test_contracted_components(spark):
+    chain = spark.range(1, 900).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(5000, 5001), (5001, 5002)], "a long, b long"))
+    want = {i: 1 for i in range(1, 901)} | {5000: 5000, 5001: 5000, 5002: 5000}
+    for contract in (False, True):
+        assert {r["node"]: r.root for r in graph.connected_components(chain, contract=contract).collect()} == want
+
+
 def test_commands(spark):
     raw = [('{"id": 1, "user_id": 2, "event_type": "a", "stream": "s"}',), ('{"id": 1, "user_id": 2, "event',), ('{"id": 3, "stream": "t"}',), ('{"id": 4}',), ("[]",), ("x" * 6000,), (None,)]
     got = messages.commands(spark.createDataFrame(raw, "value string"), ["s"]).collect()

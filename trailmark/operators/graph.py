@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +14,30 @@ from trailmark.session import discard, written
 MANY = 200_000
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as stars: each node with the smallest one that the task's links lead to."""
+    root: dict = {}
+
+    def find(x):
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y] if y in root else y
+            x = root[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    if kind is not None:
+        nodes = [x for x in root if find(x) != x]
+        for low in range(0, len(nodes), 100_000):
+            some = nodes[low : low + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, kind.field(0).type), pa.array(map(find, some), kind.field(1).type)], schema=kind)
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", contract: bool = False) -> DataFrame:
     """(node, root) for every node of ``edges``: the smallest node that its links reach.
 
     Alternating large-star and small-star contractions (Kiveris et al. 2014): each round is two
@@ -19,7 +45,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     number of rounds grows with the logarithm of the longest chain. Every round is written to the
     shared folder and replaces the one before. From ``MANY`` links on the minimums are tables of
     their own, so the joins read two shuffles and the rows of a hub are split. Loops and repeated
-    links are dropped; an empty table gives an empty result.
+    links are dropped; an empty table gives an empty result. With ``contract`` the links of each task are
+    contracted in it first (Python in the tasks, a task's nodes in memory), which saves rounds where linked nodes are near each other.
     """
 
     def star(e: DataFrame, large: bool, many: bool) -> DataFrame:
@@ -38,7 +65,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             discard(low)
         return out
 
-    now = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "links")
+    pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b")
+    if contract:
+        pairs = pairs.mapInArrow(contracted, pairs.schema)
+    now = written(pairs.distinct(), "links")
     before = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()

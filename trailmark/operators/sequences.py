@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-
 def transition_guard(rows: DataFrame, key: str = "user_id", state: str = "status", order: str = "id") -> DataFrame:
     """Drops rows whose state (case folded) equals the key's one before by ``order``; since only repeats go, last seen is last recorded."""
     before = F.lag(F.lower(state)).over(Window.partitionBy(key).orderBy(order))
@@ -32,6 +31,18 @@ def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], n: int) -
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def required_unique(rows: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """The rows, of which no two may share a key: the job that reads them fails on the first repeated one, as a set with two cameras of one id must not be used.
+
+    Each key is counted in one grouped sum, and its row is given out from there, so the check cannot be pruned away.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(F.lit(0).alias("_"), *rest)).alias("_row"))
+    shown = F.concat(F.lit(f"{what} is there more than once: "), F.to_json(F.struct(*keys)))
+    checked = F.when(F.col("_n") > 1, F.raise_error(shown)).otherwise(F.col("_row"))
+    return one.withColumn("_row", checked).where(F.col("_row").isNotNull()).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*rows.columns)
+
+
 def best_frame(crops: DataFrame, frontality: float = 0.6, pitch: float = 0.4) -> DataFrame:
     """Per track the largest frontality * pitch among frames that pass both gates, else among all; the first frame wins ties, null signals never count."""
     c = F.col

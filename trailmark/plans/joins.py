@@ -62,19 +62,19 @@ def reid_candidates(rows, least: float = 0.7):
 
 @op(
     "j5_added_and_removed",
-    "SELECT id, 'added' AS change FROM users u WHERE id % 3 <> 0 AND id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM face_embeddings f WHERE f.user_id "
+    "SELECT id, 'added' AS change FROM users u WHERE employment_status = 'active' AND branch_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM face_embeddings f WHERE f.user_id "
     "= u.id::VARCHAR) UNION ALL SELECT f.id, 'removed' FROM face_embeddings f WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id::VARCHAR = "
-    "f.user_id AND u.id % 3 <> 0)",
+    "f.user_id AND employment_status = 'active')",
 )
 def j5(t: Tables):
-    """Users with images (here: not divisible by 5) that the gallery lacks; gallery rows whose user is gone, repeats included."""
-    known = t.users.where("id % 3 <> 0").select("id", c("id").cast("string").alias("user_id"))
+    """Active users with images (here: those with a branch) that the gallery lacks; gallery rows whose user is gone, repeats included."""
+    known = t.users.where("employment_status = 'active'").select("id", c("id").cast("string").alias("user_id"), "branch_id")
     faces = t.face_embeddings.select("id", "user_id")
-    added = known.where("id % 5 <> 0").join(faces.select("user_id"), "user_id", "left_anti").select("id", F.lit("added").alias("change"))
+    added = known.where("branch_id is not null").join(faces.select("user_id"), "user_id", "left_anti").select("id", F.lit("added").alias("change"))
     return added.union(faces.join(known.select("user_id"), "user_id", "left_anti").select("id", F.lit("removed")))
 
 
-_want = "SELECT CAST(id % 211 AS VARCHAR) AS user_id, 'https://store/img' || (id * 7 % 53) || '.jpg' AS image_url_norm FROM users WHERE id % 2 = 0"
+_want = "SELECT CAST(id % 211 AS VARCHAR) AS user_id, 'https://store/img' || (id * 7 % 53) || '.jpg' AS image_url_norm FROM users WHERE employment_status = 'active'"
 
 
 @op(
@@ -86,7 +86,7 @@ _want = "SELECT CAST(id % 211 AS VARCHAR) AS user_id, 'https://store/img' || (id
 def j6(t: Tables):
     keys = ["user_id", "image_url_norm"]
     image = F.concat(F.lit("https://store/img"), (c("id") * 7 % 53).cast("string"), F.lit(".jpg"))
-    want = t.users.where("id % 2 = 0").select((c("id") % 211).cast("string").alias("user_id"), image.alias("image_url_norm")).distinct()
+    want = t.users.where("employment_status = 'active'").select((c("id") % 211).cast("string").alias("user_id"), image.alias("image_url_norm")).distinct()
     have = t.face_embeddings.select(*keys).distinct()
     missing = want.join(have, keys, "left_anti").withColumn("what", F.lit("missing"))
     people = want.select("user_id").distinct().withColumn("_known", F.lit(True))
@@ -138,12 +138,15 @@ def j10(t: Tables):
 
 @op(
     "j11_full_outer",
-    "SELECT coalesce(a.user_id, b.user_id) AS user_id, a.n AS purchases, b.n AS errors FROM (SELECT user_id, count(*) AS n FROM observations WHERE event_type = 'purchase' AND value > 1 GROUP BY 1) a "
-    "FULL JOIN (SELECT user_id, count(*) AS n FROM observations WHERE event_type = 'error' AND value > 1 GROUP BY 1) b ON a.user_id = b.user_id",
+    "SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.day, b.day) AS day, a.n AS purchases, b.n AS errors FROM (SELECT user_id, us // 86400000000 AS day, count(*) AS n FROM "
+    "observations WHERE event_type = 'purchase' GROUP BY ALL) a FULL JOIN (SELECT user_id, us // 86400000000 AS day, count(*) AS n FROM observations WHERE event_type = 'error' GROUP BY ALL) b "
+    "ON a.user_id = b.user_id AND a.day = b.day",
 )
 def j11(t: Tables):
-    n = lambda kind, name: t.observations.where((c("event_type") == kind) & (c("value") > 1)).groupBy("user_id").agg(F.count("*").alias(name))
-    return n("purchase", "purchases").join(n("error", "errors"), "user_id", "outer")
+    """Purchases and errors of users by day; some days have only one of them."""
+    day = F.floor(c("us") / 86_400_000_000).alias("day")
+    n = lambda kind, name: t.observations.where(c("event_type") == kind).groupBy("user_id", day).agg(F.count("*").alias(name))
+    return n("purchase", "purchases").join(n("error", "errors"), ["user_id", "day"], "outer")
 
 
 @op(

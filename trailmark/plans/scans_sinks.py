@@ -249,11 +249,10 @@ def sk8(t: Tables):
 
 @op(
     "sk9_calibration_insert",
-    "SELECT frame_num, box, b.camera_id, coalesce(c.name, '') AS organization FROM boxes b LEFT JOIN cameras c ON b.camera_id = c.id AND c.id % "
-    "2 = 0",
+    "SELECT frame_num, box, b.camera_id, coalesce(c.name, '') AS organization FROM boxes b LEFT JOIN cameras c ON b.camera_id = c.id",
 )
 def sk9(t: Tables):
-    known = t.cameras.where("id % 2 = 0").select(c("id").alias("camera_id"), "name")
+    known = t.cameras.select(c("id").alias("camera_id"), "name")
     return appended(t, t.boxes.join(known, "camera_id", "left").select("frame_num", "box", "camera_id", F.coalesce("name", F.lit("")).alias("organization")), "calibration")
 
 
@@ -298,12 +297,11 @@ def sk13(t: Tables):
 
 @op(
     "sk14_message_dead_letters",
-    "SELECT doc_id, substr(text, 1, 5000) AS raw, CASE WHEN doc_id % 5 = 0 THEN 'PARSE_ERROR' ELSE 'HANDLER_ERROR' END AS error_type FROM "
-    "documents WHERE doc_id % 5 < 2",
+    "SELECT doc_id, substr(text, 1, 5000) AS raw, CASE WHEN doc_id % 5 = 0 THEN 'PARSE_ERROR' ELSE 'HANDLER_ERROR' END AS error_type FROM documents",
 )
 def sk14(t: Tables):
     kind = F.when(c("doc_id") % 5 == 0, "PARSE_ERROR").otherwise("HANDLER_ERROR")
-    return appended(t, t.documents.where("doc_id % 5 < 2").select("doc_id", F.substr("text", F.lit(1), F.lit(5000)).alias("raw"), kind.alias("error_type")), "dead_messages")
+    return appended(t, t.documents.select("doc_id", F.substr("text", F.lit(1), F.lit(5000)).alias("raw"), kind.alias("error_type")), "dead_messages")
 
 
 _task = "CASE id % 6 WHEN 0 THEN 'Embedding.sync' WHEN 1 THEN 'camera.process_embedding' WHEN 2 THEN 'camera.face' WHEN 3 THEN 'yolo.batch' WHEN 4 THEN 'face.embed_detection' ELSE 'other' END"

@@ -263,7 +263,7 @@ _merge = "SELECT DISTINCT id AS a, into_id AS b FROM users WHERE into_id IS NOT
 def st13(t: Tables):
     """Merges are links; the smallest id of a component takes over."""
     edges = t.users.where("into_id is not null").select(c("id").alias("a"), c("into_id").alias("b"))
-    return connected_components(edges).select(c("node").alias("id"), "root")
+    return connected_components(edges, contract=True).select(c("node").alias("id"), "root")
 
 
 @op(

@@ -236,7 +236,7 @@ def st11(t: Tables):
 def st13_moved(t: Tables):
     """The rows of merged tracks, moved to the track that takes over; a hot track's rows are split by the adaptive join."""
     edges = t.users.where("into_id is not null").select(c("id").alias("a"), c("into_id").alias("b"))
-    roots = connected_components(edges).select(c("node").alias("user_id"), "root")
+    roots = connected_components(edges, contract=True).select(c("node").alias("user_id"), "root")
     return t.observations.select("id", "user_id").join(roots, "user_id", "left").select("id", F.coalesce("root", "user_id").alias("user_id"))
 
 

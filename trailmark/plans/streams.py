@@ -15,7 +15,7 @@ from trailmark.sources import messages
 from trailmark.streaming import register, twins
 from trailmark.streaming.reload import Versions, join_reloaded
 
-from .stateful import FORCED, IDLE, _lives, reports
+from .stateful import _DAY, FORCED, IDLE, _lives, reports
 from .views import Tables, op
 
 c = F.col
@@ -90,6 +90,16 @@ def st2_stream(t: Tables):
     return twins.run_to_table(once.select("user_id", "event_type"), folder(t, "st2"), folder(t, "st2-state"))
 
 
+@op("st6_stream")
+def st6_stream(t: Tables):
+    key = F.when(c("id") % 4 != 0, F.concat_ws("|", c("user_id").cast("string"), "event_type"))
+    once = twins.first_within(fed(t).withColumn("key", key), "key", _DAY)
+    return twins.run_to_table(once, folder(t, "st6"), folder(t, "st6-state")).select("id")
+
+
+registry.ORACLES["st6_stream"] = registry.ORACLES["st6_idempotent"]
+
+
 @op(
     "st7_stream",
     "SELECT 'handled' AS kind, count(*) AS n FROM observations WHERE id % 11 <> 0 AND id % 13 <> 0 UNION ALL SELECT CASE WHEN id % 11 = 0 THEN "

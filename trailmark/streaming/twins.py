@@ -57,6 +57,31 @@ def send_once(rows: DataFrame, keys: list[str], unless_null: str, within: str =
     return keyed.unionByName(rows.where(F.col(unless_null).isNull()))
 
 
+def first_within(rows: DataFrame, key: str, ttl_us: int) -> DataFrame:
+    """ST6 with its rule: (id, key, us) of rows whose key passed none in the ``ttl_us`` before; a repeat does not renew the key, and a row without a key always passes.
+
+    The time of the key's last row that passed is state, and is dropped when the watermark says that it has expired.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        out = []
+        for us, i in sorted(x for b in batches for x in zip(b["us"].tolist(), b["id"].tolist(), strict=True)):
+            if last is None or us - last >= ttl_us:
+                out.append((i, k[0], us))
+                last = us
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["id", key, "us"])
+
+    keyed = rows.where(F.col(key).isNotNull()).withWatermark("ts", "1 second").select("id", key, "us", "ts").groupBy(key)
+    kept = keyed.applyInPandasWithState(step, f"id long, {key} string, us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.unionByName(rows.where(F.col(key).isNull()).select("id", key, "us"))
+
+
 def lifecycles(rows: DataFrame, gap: str = "10 minutes") -> DataFrame:
     """ST10: a session window per track; it is emitted when the watermark passes its end."""
     g = rows.withWatermark("ts", "1 second").groupBy("user_id", F.session_window("ts", gap).alias("w"))

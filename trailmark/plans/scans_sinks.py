@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import dead_letter_queue, normalised
-from trailmark.operators.sequences import latest_per_key, top_per_key, transition_guard
+from trailmark.operators.sequences import top_per_key, transition_guard
 from trailmark.session import shared_folder
 from trailmark.sources import messages
 from trailmark.sources.tables import StoredTable

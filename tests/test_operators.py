@@ -215,3 +215,10 @@ def test_library_stands_without_text_operators():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert "llm" not in path.read_text()
+
+
+def test_hundredths_as_printf_gives_them(spark):
+    """Ties (0.125 has an exact binary value) and decimal texts that only look like ties (0.015, 1.005)."""
+    xs = [0.0, 0.00001, 0.005, 0.015, 0.045, 0.125, 0.375, 1.005, 1.115, 1.125, 2.675, 3.495, 3.4999, 3.999]
+    got = [r.t for r in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(K.hundredths(F.col("x")).alias("t")).collect()]
+    assert got == [f"{x:.2f}" for x in xs]

@@ -63,6 +63,28 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def hundredths(x: Column) -> Column:
+    """A double from 0 to below 4 with two decimals, as C's printf gives it: its exact binary value is rounded, ties go to the even digit.
+
+    ``format_string`` rounds the shortest decimal text instead, and ties up. All that is not rounded to 0.00 anyway is whole in units of
+    2**-60; the part below 1 is multiplied by 100 in two halves.
+    """
+    half = (1 << 30) - 1
+
+    def cut(v: Column) -> Column:
+        low = v.bitwiseAND(F.lit(half)) * 100
+        high = F.shiftright(v, 30).bitwiseAND(F.lit(half)) * 100 + F.shiftright(low, 30)
+        rest = F.shiftleft(high.bitwiseAND(F.lit(half)), 30).bitwiseOR(low.bitwiseAND(F.lit(half)))
+        return F.struct((F.shiftright(v, 60) * 100 + F.shiftright(high, 30)).alias("n"), rest.alias("rest"))
+
+    def text(v: Column) -> Column:
+        n, rest = v["n"], v["rest"]
+        n = n + F.when((rest > 2**59) | ((rest == 2**59) & (n % 2 == 1)), 1).otherwise(0)
+        return F.format_string("%d.%02d", F.floor(n / 100), n % 100)
+
+    return let((x * float(2**60)).cast("long"), lambda v: let(cut(v), text))
+
+
 def l2_norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 

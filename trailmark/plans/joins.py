@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trailmark.functions.columns import band, dot
+from trailmark.functions.columns import band, dot, hundredths
 from trailmark.operators.pruned import best_match
 from trailmark.operators.ranges import deal, numbered
 from trailmark.operators.sequences import top_per_key
@@ -209,7 +209,7 @@ def t6(t: Tables):
 def t7(t: Tables):
     """Strictly beyond each bound; a rate of 0 means a camera that has only begun."""
     k = t.cameras.withColumn("fps", c("fps_raw") / 1000)
-    low = k.where("fps > 0 and fps < 3.5").select("id", F.lit("LOW_FPS").alias("type"), F.format_string("Camera %s FPS=%.2f is below threshold (3.5)", "name", "fps").alias("message"))
+    low = k.where("fps > 0 and fps < 3.5").select("id", F.lit("LOW_FPS").alias("type"), F.concat(F.lit("Camera "), F.coalesce("name", F.lit("null")), F.lit(" FPS="), hundredths(c("fps")), F.lit(" is below threshold (3.5)")).alias("message"))
     gpu = k.where("id % 100 > 90").select("id", F.lit("GPU_MEMORY_HIGH"), F.format_string("GPU VRAM at %d%%", c("id") % 100))
     return low.union(gpu).union(k.where("id * 7 % 100 > 90").select("id", F.lit("RAM_HIGH"), F.format_string("System RAM at %d%%", c("id") * 7 % 100)))
 

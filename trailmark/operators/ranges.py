@@ -28,13 +28,14 @@ class Dealt(NamedTuple):
     keys: list[str]
 
 
-def deal(rows: DataFrame, keys: list[str], order: list[str | Column], keep: list[Column | str] | None = None) -> Dealt:
+def deal(rows: DataFrame, keys: list[str], order: list[str | Column], keep: list[Column | str] | None = None, ties: list[str | Column] | None = None) -> Dealt:
     """``rows`` in ranges of keys and order, as a table; ``keep`` are the columns that stay, computed after the sort.
 
-    Nulls come first, as a key or in the order. Equal rows of a key are numbered in any order, so ``order`` should tell all different rows apart.
+    Nulls come first, as a key or in the order. Equal rows of a key are numbered in any order, so ``order`` should tell all different rows apart,
+    or ``ties`` the rows of equal order, which then stay in one part.
     """
     c = F.col
-    ordered = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    ordered = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order, *(ties or []))
     ordered = ordered.select(*(keep or rows.columns), F.monotonically_increasing_id().alias("_at"))
     table = written(ordered.withColumn("_part", F.shiftright("_at", INDEX_BITS)), "dealt")
     sizes = table.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))

@@ -44,9 +44,19 @@ def w1(t: Tables):
 )
 def w2(t: Tables):
     """Events per second among those of the last ten hours (the testbed is slow), the last 120 at most."""
-    dealt = deal(t.observations.select("id", "camera_id", "us"), ["camera_id"], ["us"])
-    w = Window.partitionBy("camera_id", "_part").orderBy("us").rangeBetween(-36_000_000_000, 0)  # the 119 rows before a part are all that counts
-    rows = with_halo(dealt, 119).withColumns({"n": F.least(F.count("*").over(w), F.lit(120)), "first": F.greatest(F.min("us").over(w), F.lag("us", 119).over(frame(dealt)))}).where("not _halo")
+    return rolling_rate(t.observations.select("id", "camera_id", "us"), 36_000_000_000, 120)
+
+
+def rolling_rate(rows, reach: int, most: int):
+    """(id, fps). A row looks at ``most`` rows at most, however many its time holds; rows of equal time, later ones by id included, are counted without being looked at."""
+    dealt = deal(rows, ["camera_id"], ["us"], ties=["id"])
+    upto = F.count("*").over(Window.partitionBy("camera_id", "_part").orderBy("us").rangeBetween(Window.unboundedPreceding, 0))
+    w = frame(dealt)
+    rows = with_halo(dealt, most - 1).withColumn("upto", upto)
+    rows = rows.withColumns({"at": F.row_number().over(w), "seen": F.collect_list("us").over(w.rowsBetween(1 - most, 0))}).where("not _halo")
+    rows = rows.withColumn("inside", F.when(F.get("seen", F.lit(0)) >= c("us") - reach, F.size("seen")).otherwise(F.size(F.filter("seen", lambda x: x >= c("us") - reach))))
+    n = F.least(F.when(c("us").isNull(), c("upto")).otherwise(c("inside") + c("upto") - c("at")), F.lit(most))
+    rows = rows.select("id", "us", n.alias("n"), F.get("seen", F.size("seen") - c("inside")).alias("first"))
     fps = F.when((c("n") < 2) | (c("us") == c("first")), 0.0).otherwise(F.round((c("n") - 1) / F.nullif((c("us") - c("first")) / 1e6, F.lit(0.0)), 9))
     return rows.select("id", fps.alias("fps"))
 

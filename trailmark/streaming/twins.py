@@ -19,36 +19,57 @@ def observation_stream(spark: SparkSession, folder: str, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder).withColumn("ts", F.timestamp_micros("us"))
 
 
+#: Groups of keys whose states are kept together: calls and states are as many, not as many as keys.
+BUCKETS = 2048
+
+
+def by_bucket(rows: DataFrame, key: str):
+    """``rows`` grouped by buckets of the key, those without a key in bucket -1. A call then takes many keys at once; a bucket holds about keys / ``BUCKETS``."""
+    return rows.withColumn("_bucket", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("long")).groupBy("_bucket")
+
+
+def known(state: GroupState) -> dict:
+    """The state of a bucket: key -> value, from two arrays."""
+    return dict(zip(*state.get, strict=True)) if state.exists else {}
+
+
+def keys_in(bucket: tuple, part: pd.DataFrame, key: str) -> list:
+    return [None] * len(part) if bucket[0] < 0 else part[key].tolist()
+
+
 def transition_guard(rows: DataFrame) -> DataFrame:
     """ST1: the last recorded status of a user is state; repeats are dropped."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+    def step(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, keep = known(state), []
         part = pd.concat(batches).sort_values("id")
-        low = part["status"].str.lower()
-        keep = low != low.shift(fill_value=last if last is not None else "")
-        if last is None and len(keep):
-            keep.iloc[0] = True
-        state.update((low.iloc[-1],))
+        for user, status in zip(keys_in(bucket, part, "user_id"), part["status"].str.lower().tolist(), strict=True):
+            before = last.get(user)
+            keep.append(before is None or before != status)
+            last[user] = status
+        state.update((list(last), list(last.values())))
         yield part.loc[keep, ["id", "user_id", "status"]]
 
-    return rows.groupBy("user_id").applyInPandasWithState(step, "id long, user_id long, status string", "last string", "append", GroupStateTimeout.NoTimeout)
+    kept = by_bucket(rows.select("id", "user_id", "status"), "user_id")
+    return kept.applyInPandasWithState(step, "id long, user_id long, status string", "users array<long>, statuses array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def greedy_throttle(rows: DataFrame, key: str, cooldown_us: int) -> DataFrame:
     """ST3, ST4: the time of the last emitted row is state."""
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for us in sorted(x for b in batches for x in b["us"].tolist()):
-            if last is None or us - last >= cooldown_us:
-                out.append(us)
-                last = us
-        state.update((last,))
-        yield pd.DataFrame({key: [k[0]] * len(out), "us": out})
+    def step(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, out = known(state), []
+        part = pd.concat(batches).sort_values("us")
+        for k, us in zip(keys_in(bucket, part, key), part["us"].tolist(), strict=True):
+            before = last.get(k)
+            if before is None or us - before >= cooldown_us:
+                out.append((k, us))
+                last[k] = us
+        state.update((list(last), list(last.values())))
+        yield pd.DataFrame(out, columns=[key, "us"])
 
-    return rows.select(key, "us").groupBy(key).applyInPandasWithState(step, f"{key} long, us long", "last long", "append", GroupStateTimeout.NoTimeout)
+    kept = by_bucket(rows.select(key, "us"), key)
+    return kept.applyInPandasWithState(step, f"{key} long, us long", "keys array<long>, times array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def send_once(rows: DataFrame, keys: list[str], unless_null: str, within: str = "24 hours") -> DataFrame:
@@ -63,22 +84,25 @@ def first_within(rows: DataFrame, key: str, ttl_us: int) -> DataFrame:
     The time of the key's last row that passed is state, and is dropped when the watermark says that it has expired.
     """
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def step(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the last key of the bucket has expired
             state.remove()
             return
-        last = state.get[0] if state.exists else None
+        now = state.getCurrentWatermarkMs()
+        last = {k: us for k, us in known(state).items() if (us + ttl_us) // 1000 + 1 > now}
         out = []
-        for us, i in sorted(x for b in batches for x in zip(b["us"].tolist(), b["id"].tolist(), strict=True)):
-            if last is None or us - last >= ttl_us:
-                out.append((i, k[0], us))
-                last = us
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        part = pd.concat(batches).sort_values(["us", "id"])
+        for k, us, i in zip(part[key].tolist(), part["us"].tolist(), part["id"].tolist(), strict=True):
+            before = last.get(k)
+            if before is None or us - before >= ttl_us:
+                out.append((i, k, us))
+                last[k] = us
+        state.update((list(last), list(last.values())))
+        state.setTimeoutTimestamp(max((max(last.values()) + ttl_us) // 1000 + 1, now + 1))
         yield pd.DataFrame(out, columns=["id", key, "us"])
 
-    keyed = rows.where(F.col(key).isNotNull()).withWatermark("ts", "1 second").select("id", key, "us", "ts").groupBy(key)
-    kept = keyed.applyInPandasWithState(step, f"id long, {key} string, us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = by_bucket(rows.where(F.col(key).isNotNull()).withWatermark("ts", "1 second").select("id", key, "us", "ts"), key)
+    kept = keyed.applyInPandasWithState(step, f"id long, {key} string, us long", "keys array<string>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
     return kept.unionByName(rows.where(F.col(key).isNull()).select("id", key, "us"))
 
 

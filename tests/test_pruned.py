@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from trailmark.operators import pruned
+from trailmark.operators import matching, pruned
 
 
 def vectors(kind, n, rng, d=16):
@@ -44,3 +44,30 @@ def test_empty(spark):
     assert pruned.best_match(none, one).best.count() == pruned.best_match(one, none).best.count() == 0
     assert pruned.best_match(one, one, but_itself=True).best.count() == 0
     assert [r.similarity for r in pruned.best_match(one, one).best.collect()] == [5.0]
+
+
+def test_a_vector_leaves_the_task_once(spark, monkeypatch):
+    """The cells that a query still visits are a list beside its vector, not a row each with the vector in it."""
+    seen = []
+    keep = type(spark.range(1)).mapInPandas
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", lambda self, f, schema, *x, **y: (seen.append(schema), keep(self, f, schema, *x, **y))[1])
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(300, 8)))], "id long, embedding array<double>")
+    assert pruned.best_match(rows.where("id < 20"), rows, but_itself=True).best.count() == 20
+    assert any("cells array" in s for s in seen)
+
+
+@pytest.mark.parametrize("size", [7, 1000])
+def test_near_pairs_by_blocks(spark, monkeypatch, size):
+    """Against all pairs summed in order, with products on the bound itself, equal vectors and rows without a key."""
+    monkeypatch.setattr(matching, "PAIRS", size)
+    monkeypatch.setattr(matching, "PRODUCTS", 50)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 5))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:20] = x[0]
+    x[20:40] = np.array([1.0, 0, 0, 0, 0])
+    x[40:50] = np.array([0.4, 0.0, 0, 0, 0])  # 1 - 0.4 is the bound
+    rows = [(i, None if i % 30 == 29 else i % 2, v.tolist()) for i, v in enumerate(x)]
+    got = sorted(tuple(r) for r in matching.near_pairs(spark.createDataFrame(rows, "id long, k long, embedding array<double>"), "k", 0.6).collect())
+    assert got == [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] is not None and a[1] == b[1] and 1 - sum(p * q for p, q in zip(a[2], b[2], strict=True)) <= 0.6]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailmark.functions.columns import band, dot, hundredths
+from trailmark.operators.matching import near_pairs
 from trailmark.operators.pruned import best_match
 from trailmark.operators.ranges import deal, numbered
 from trailmark.operators.sequences import top_per_key
@@ -121,9 +122,7 @@ def j8(t: Tables):
     f"WHERE 1 - {_dot} <= 0.6",
 )
 def j9(t: Tables):
-    e = t.face_embeddings
-    a, b = e.select(c("id").alias("keep"), "image_url_norm", c("embedding").alias("x")), e.select(c("id").alias("merge"), "image_url_norm", c("embedding").alias("y"))
-    return a.join(b, "image_url_norm").where((c("keep") < c("merge")) & (1 - dot(c("x"), c("y")) <= 0.6)).select("keep", "merge")
+    return near_pairs(t.face_embeddings, "image_url_norm", 0.6).select(c("a").alias("keep"), c("b").alias("merge"))
 
 
 @op(

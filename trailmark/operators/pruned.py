@@ -25,6 +25,8 @@ from .matching import BLOCK, QUERIES
 
 #: Vectors that pivots are fitted on, pivots at most, gallery vectors for each pivot, refinements; what rounding of products may hide.
 SAMPLE, PIVOTS, EACH, ROUNDS, SLACK = 20_000, 1024, 200, 4, 2e-9
+#: Products that a task holds at once (8 bytes each).
+PRODUCTS = 2_000_000
 BEST = "query_id long, gallery_id long, similarity double"
 
 
@@ -87,7 +89,7 @@ def best_match(queries: DataFrame, gallery: DataFrame, but_itself: bool = False)
     low = written(matched(first, cells, size, kind, but_itself), "low")
 
     def others(batches):
-        """The cells that can still win, a row each, block by block; not the one that was visited."""
+        """The cells that can still win, block by block; not the one that was visited. A vector leaves the task once, not once for each cell."""
         for batch in batches:
             for begin in range(0, len(batch), 1000):
                 part = batch.iloc[begin : begin + 1000]
@@ -97,11 +99,11 @@ def best_match(queries: DataFrame, gallery: DataFrame, but_itself: bool = False)
                 open_ = bound * (1 + 1e-12 * np.sign(bound)) >= (least - SLACK)[:, None]
                 open_[:, size == 0] = False
                 open_[np.arange(len(part)), part["cell"].to_numpy()] = False
-                row, cell = np.nonzero(open_)
-                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "q": part["q"].to_numpy()[row], "cell": cell})
+                yield pd.DataFrame({"query_id": part["query_id"], "q": part["q"], "cells": [np.flatnonzero(x) for x in open_]})
 
     known = first.join(low.select("query_id", "similarity"), "query_id", "left")
-    rest = written(known.mapInPandas(others, f"query_id long, q {kind}, cell long"), "open")
+    rest = known.mapInPandas(others, f"query_id long, q {kind}, cells array<long>")
+    rest = written(rest.select("query_id", "q", F.explode("cells").alias("cell")), "open")
     visits = rest.groupBy("cell").count().unionByName(first.groupBy("cell").count()).toPandas()  # two rows for each pivot at most
     share = float((visits["count"] * size[visits["cell"]]).sum()) / (n * n_queries)
     every = low.unionByName(matched(rest, cells, size, kind, but_itself))
@@ -131,15 +133,16 @@ def matched(visits: DataFrame, cells: DataFrame, size: np.ndarray, kind: str, bu
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "gallery_id": [], "similarity": []})
         b = b.sort_values("gallery_id")
-        m = np.stack(b["g"].to_numpy()).astype(float)
-        out = []
-        for low in range(0, len(a), 1000):
-            some = a.iloc[low : low + 1000]
-            s = np.round(np.stack(some["q"].to_numpy()).astype(float) @ m.T, 9)
+        m, ids = np.stack(b["g"].to_numpy()).astype(float), b["gallery_id"].to_numpy()
+        out, n = [], max(1, PRODUCTS // len(b))
+        for low in range(0, len(a), n):
+            some = a.iloc[low : low + n]
+            s = np.stack(some["q"].to_numpy()).astype(float) @ m.T
+            np.round(s, 9, out=s)
             if but_itself:
-                s[some["query_id"].to_numpy()[:, None] == b["gallery_id"].to_numpy()[None, :]] = -np.inf
+                s[some["query_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
             at = s.argmax(1)
-            out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy(), "gallery_id": b["gallery_id"].to_numpy()[at], "similarity": s[np.arange(len(some)), at]}))
+            out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy(), "gallery_id": ids[at], "similarity": s[np.arange(len(some)), at]}))
         return pd.concat(out)
 
     by = ["cell", "block", "part"]

@@ -1,11 +1,14 @@
 """Operators on the cases that their semantics turn on."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trailmark.functions import columns as K
 from trailmark.operators import geometry, graph, matching, sequences, throttle
+from trailmark.session import written
 from trailmark.sources import messages, tables
 
 
@@ -222,3 +225,14 @@ def test_hundredths_as_printf_gives_them(spark):
     xs = [0.0, 0.00001, 0.005, 0.015, 0.045, 0.125, 0.375, 1.005, 1.115, 1.125, 2.675, 3.495, 3.4999, 3.999]
     got = [r.t for r in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(K.hundredths(F.col("x")).alias("t")).collect()]
     assert got == [f"{x:.2f}" for x in xs]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(disk.getAllFiles().mkString("|").split("|"))
+    before = files()
+    rows = written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    deadline = time.time() + 10
+    while (left := {f for f in files() - before if "shuffle_" in f}) and time.time() < deadline:
+        time.sleep(0.2)
+    assert rows.count() == 10 and not left

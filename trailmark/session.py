@@ -45,11 +45,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: While this is set Spark deletes the shuffle files of a query as soon as it ends; otherwise they stay until the driver's next garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, keeps column pruning."""
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, keeps column pruning; its shuffles are deleted."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -133,6 +133,28 @@ def test_recall_in_a_common_bucket(spark):
     assert all(x % 2 for x in got) and len(got) >= 0.97 * 400, len(got)
 
 
+def test_pairs_that_share_only_the_boilerplate(spark, monkeypatch):
+    """One bucket of all lines: two have the boilerplate and a few characters of their own, the others, its smallest and largest among them, a long tail."""
+    keep = lines.banded
+    monkeypatch.setattr(lines, "banded", lambda rows: keep(rows).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    r = random.Random(21)
+    common = words(r, 80)[:250]
+    rows = [(0, f"{common} one"), (1, f"{common} two"), *[(i, f"{common} {words(r, 60)[:120]}") for i in range(2, 60)]]
+    assert [i for i, x in brute(rows).items() if x] == [1]
+    got = [x.doc_id for x in lines.digests(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()]
+    assert got == [1]
+
+
+def test_chunks_of_a_bucket(spark, monkeypatch):
+    """A bucket of many chunks: each pair of its rows meets in one of the tasks."""
+    monkeypatch.setattr(lines, "CHUNK_ROWS", 7)
+    members = spark.createDataFrame([(1, i, 0, 99) for i in range(100)], "key long, id long, low long, high long")
+    labels = spark.createDataFrame([(3, 2)], "node long, root long")
+    signs = spark.createDataFrame([(i, 10, *[0] * lines.WORDS) for i in range(100)], "id long, n int, " + ", ".join(f"{w} long" for w in lines.BITMAP))
+    got = [(x.a, x.b) for x in lines.crossing(members, labels, signs).collect()]
+    assert len(got) == len(set(got)) == 98 * 97 // 2 - 1 and (2, 3) not in got and all(0 < a < b < 99 for a, b in got)
+
+
 SCRIPTS = {"latin": "abcdefghijklmnopqrstuvwxyz ", "digits": "0123456789-/QXZ", "cyrillic": "абвгдежзиклмнопрстуфхцчшщыюя ", "cjk": "的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会可主发年动同工也能下过子说产种面而方后多定行学法所民得经"}
 
 

@@ -5,14 +5,12 @@ the shingles' hashes into ``GROUPS`` parts; the ``DEPTH`` smallest and the ``DEP
 each, so two lines agree in a band with probability J ** DEPTH, which finds 99 % of the pairs at J = 0.8 in one of the
 12 bands, and more above. Lines of any length are signed by this one rule, from all their shingles.
 
-A line is known by its 64-bit hash, so equal lines are one item, whose keys are taken once whatever the number of its
+A line is known by its 64-bit hash, so equal lines are one item, which is signed once whatever the number of its
 places. Lines are equal if a second hash agrees as well; of different lines with one hash (if there are any) none is linked, but each is still
-equal to its own repeats. In each bucket the items are compared with its smallest and its largest one, never all with each other. Buckets whose
-other items then still belong to different components are opened, so that a common boilerplate does not hide two lines that also share
-the rest: from each line's shingles those of a center that it was compared with are taken away, ``SKETCH`` of what remains (those of the
-smallest hashes, in any script and at any length) are sought in other open lines, and the line goes on into the smaller buckets of
-the ``RAREST`` that the fewest share. Pairs that agree in two of these are compared in the same way. This is repeated with
-the smaller buckets until it adds less than a link to ``WORTH`` known ones. Links that reach the similarity are contracted to
+equal to its own repeats. In each bucket the items are first compared with its smallest and its largest one. Where the others then still
+belong to different components, as under a common boilerplate, all pairs of different components are compared, in chunks of the
+bucket, so every two lines that share a bucket and reach the similarity are in one component. Two exact bounds come before a pair's sets are cut: their
+sizes, and the places where bitmaps of the shingles differ. Links that reach the similarity are contracted to
 components, and of each component the first line (by doc_id, then place) stays.
 
 Cases: lines are compared without outer blanks; blank lines stay and are never duplicates; null text has no lines and
@@ -23,20 +21,23 @@ compared whole; other columns are kept as they are; an empty table gives an empt
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import connected_components, discard, written
 from .spans import let
 
-SHINGLE, SIMILARITY, GROUPS, DEPTH, SKETCH, RAREST, WORTH = 5, 80, 6, 5, 32, 16, 1000
+SHINGLE, SIMILARITY, GROUPS, DEPTH = 5, 80, 6, 5
 #: Where the parts begin among 64-bit numbers.
 BEGINS = [-(2**63) + g * (2**64 // GROUPS) for g in range(GROUPS)]
 #: Up to so many line ids (8 bytes each) are broadcast to select candidate lines; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 BLANKS = " \t\r\x0b\x0c"
-#: Bytes of a character in UTF-32.
-WIDE = 4
+#: Bytes of a character in UTF-32; numbers of 64 bits in a bitmap; rows of a bucket that a task compares with as many others.
+WIDE, WORDS, CHUNK_ROWS = 4, 16, 4000
+BITMAP = [f"w{i}" for i in range(WORDS)]
 
 
 def shingles(line: Column) -> Column:
@@ -50,7 +51,7 @@ def shingles(line: Column) -> Column:
 
 
 def banded(rows: DataFrame) -> DataFrame:
-    """Replaces ``line`` by ``keys``: two keys for each part of the universe that the line has shingles in.
+    """Replaces ``line`` by ``n``, the size of its set, and ``keys``: two for each part of the universe that the line has shingles in.
 
     The beginnings of the parts are sorted in among the hashes, so finding and cutting the parts needs no function per element.
     """
@@ -58,7 +59,7 @@ def banded(rows: DataFrame) -> DataFrame:
     begins = [F.array_position("_h", F.lit(b).cast("long")).cast("int").alias(f"_{g}") for g, b in enumerate(BEGINS)]
     places = F.struct(*begins, (F.size("_h") + 1).cast("int").alias(f"_{GROUPS}"))
     # Generated, not projected: else each mention of a place would search the array anew.
-    rows = rows.withColumn("_h", h).select("*", F.inline(F.array(places)))
+    rows = rows.withColumn("_h", h).select("*", F.inline(F.array(places))).withColumn("n", F.size("_h") - GROUPS)
     keys = []
     for g in range(GROUPS):
         low, n = F.col(f"_{g}") + 1, F.col(f"_{g + 1}") - F.col(f"_{g}") - 1
@@ -76,11 +77,35 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"id": F.xxhash64("line"), "other": F.xxhash64(F.lit(1), F.length("line"), "line")})
 
 
-def stars(members: DataFrame, twice: bool = False) -> DataFrame:
-    """(a, b): the pairs of each member (id) with the smallest and the largest one of its bucket (low, high); ``twice``: only those of two buckets or more."""
-    pairs = members.select("key", "id", F.explode(F.array_distinct(F.array("low", "high"))).alias("center")).where("id <> center")
-    pairs = pairs.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b"), "key")
-    return pairs.groupBy("a", "b").agg(F.min("key").alias("one"), F.max("key").alias("other")).where("one <> other" if twice else "true").select("a", "b")
+def stars(members: DataFrame) -> DataFrame:
+    """(a, b): the pairs of each member (id) with the smallest and the largest one of its bucket (low, high)."""
+    pairs = members.select("id", F.explode(F.array_distinct(F.array("low", "high"))).alias("center")).where("id <> center")
+    return pairs.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """(id, n, w0..w15): a bit for each hash of a shingle. Shingles are rows, which stay in their task but for one of each line."""
+    c = F.col
+    rows = texts.select("id", "n", F.encode("line", "UTF-32").alias("b"))
+    rows = rows.select("id", "n", "b", F.explode(F.sequence(F.lit(1), F.greatest(F.length("b") - WIDE * SHINGLE + 1, F.lit(1)), F.lit(WIDE))).alias("i"))
+    rows = rows.select("id", "n", F.xxhash64(F.substr("b", "i", F.lit(WIDE * SHINGLE))).alias("h"))
+    rows = rows.select("id", "n", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.pmod(F.shiftright("h", 6), F.lit(WORDS)).alias("word"))
+    return rows.groupBy("id", "n").agg(*[F.bit_or(F.when(c("word") == i, c("bit")).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(BITMAP)])
+
+
+def may_link(a: str, b: str) -> Column:
+    """The exact bounds: sizes, and the places where the bitmaps differ, as sets of one similarity differ in so many elements at most."""
+    c = F.col
+    differ = reduce(lambda x, y: x + y, [F.bit_count(c(f"{a}.{w}").bitwiseXOR(c(f"{b}.{w}"))) for w in BITMAP])
+    low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    return (low * 100 >= high * SIMILARITY) & (differ * (100 + SIMILARITY) <= (c(f"{a}.n") + c(f"{b}.n")) * (100 - SIMILARITY))
+
+
+def likely(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that pass the bounds."""
+    c = F.col
+    left = pairs.join(signs.alias("r"), c("a") == c("r.id")).select("b", F.struct("r.*").alias("r"))
+    return left.join(signs.alias("s"), (c("b") == c("s.id")) & may_link("r", "s")).select(c("r.id").alias("a"), "b")
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -90,59 +115,54 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sets = F.struct(F.array_distinct(shingles(c("x"))).alias("s"), F.array_distinct(shingles(c("y"))).alias("t"))
     both = both.select("a", "b", F.inline(F.array(sets)))
     enough = F.size(F.array_intersect("s", "t")) * (100 + SIMILARITY) >= (F.size("s") + F.size("t")) * SIMILARITY
-    near = (F.least(F.size("s"), F.size("t")) * 100 >= F.greatest(F.size("s"), F.size("t")) * SIMILARITY) & enough
-    return written(both.where(near).select("a", "b"), "links")
+    return written(both.where(enough).select("a", "b"), "links")
 
 
-def opened(members: DataFrame, labels: DataFrame, texts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Finer buckets of the lines whose buckets have inner items of different components, and the pairs to compare in them besides ``pairs``, as tables."""
+def crossing(members: DataFrame, labels: DataFrame, signs: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different components within a bucket that pass the bounds; those with its smallest and largest member were compared before.
+
+    The rows of a bucket are dealt into chunks of about ``CHUNK_ROWS`` and a task compares two chunks, so no task has more than so many of a bucket.
+    """
     c = F.col
-    inner = members.where("id <> low and id <> high").join(labels, c("id") == c("node"), "left").select("key", "id", "low", F.coalesce("root", "id").alias("label"))
-    mixed = inner.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    lines = written(inner.join(mixed, "key").groupBy("id").agg(F.min("label").alias("label"), F.min("low").alias("center")), "open")
-    base = texts.select(c("id").alias("center"), c("line").alias("base"))
-    own = F.slice(F.sort_array(F.array_except(shingles(c("line")), shingles(c("base")))), 1, SKETCH)
-    found = written(lines.join(texts, "id").join(base, "center").select("id", "label", F.explode(own).alias("shingle")), "own")
-    seen = found.groupBy("shingle").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
-    rows = found.join(seen.where("least < most").select("shingle", "n"), "shingle").select("id", F.struct("n", "shingle").alias("s"))
-    rows = rows.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("s")), 1, RAREST).alias("s")).select("id", F.explode("s.shingle").alias("key"))
-    rows = written(rows, "finer")
-    finer = written(rows.join(rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"), "key"), "members")
-    one, two = [lines.select(c("id").alias(x), c("label").alias(f"{x}_label")) for x in "ab"]
-    more = stars(finer, twice=True).join(one, "a").join(two, "b").where("a_label <> b_label").select("a", "b")
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    discard(lines, found, rows)
-    return finer, more
-
-
-def similar_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """(node, root): components of lines that are linked to another. ``table``: id, other and keys of the lines."""
+    inner = members.where("id <> low and id <> high").join(labels, c("id") == c("node"), "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+    of_key = inner.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
+    mixed = written(inner.join(of_key.where("least < most").select("key", "chunks"), "key"), "open")
+    full = mixed.join(signs, "id").withColumn("own", F.pmod(F.xxhash64("id"), c("chunks")).cast("int"))
+    left = full.withColumn("i", c("own")).withColumn("j", F.explode(F.sequence("own", c("chunks") - 1))).alias("r")
+    right = full.withColumn("j", c("own")).withColumn("i", F.explode(F.sequence(F.lit(0), c("own")))).alias("s")
+    same = reduce(lambda x, y: x & y, [c(f"r.{k}") == c(f"s.{k}") for k in ("key", "i", "j")])
+    once = (c("r.i") < c("r.j")) | (c("r.id") < c("s.id"))
+    pairs = left.join(right, same & once & (c("r.label") != c("s.label")) & may_link("r", "s"))
+    pairs = written(pairs.select(F.least("r.id", "s.id").alias("a"), F.greatest("r.id", "s.id").alias("b")).distinct(), "pairs")
+    discard(mixed)
+    return pairs
+
+
+def similar_lines(docs: DataFrame) -> DataFrame:
+    """(node, root): components of lines that are linked to another."""
     c = F.col
     # A line that very many documents have is one row from here on; lines of different text with one hash are left out.
-    unique = table.groupBy("id").agg(F.first("keys").alias("keys"), F.min("other").alias("one"), F.max("other").alias("two")).where("one = two")
-    keys = unique.select("id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    members = written(keys.join(shared, "key").distinct(), "members")
-    pairs = written(stars(members), "pairs")
-    ids = pairs.select(c("a").alias("id")).union(pairs.select("b")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = lines_of(docs).select("id", "line").join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+    once = lines_of(docs).groupBy("id").agg(F.first("line").alias("line"), F.min("other").alias("one"), F.max("other").alias("two")).where("one = two")
+    table = written(banded(once.select("id", "line")), "lines")
+    keys = table.select("id", "n", F.explode("keys").alias("key"))
+    shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"), "shared")  # its shuffle goes before the next
+    few = shared.count() <= BROADCAST_IDS // 3  # a row is three numbers
+    members = written(keys.join(F.broadcast(shared) if few else shared, "key"), "members")
+    ids = written(members.select("id", "n").distinct(), "ids")
+    discard(table, shared)
+    few = ids.count() <= BROADCAST_IDS // 2
+    texts = lines_of(docs).select("id", "line").join(F.broadcast(ids) if few else ids, "id").dropDuplicates(["id"])
     texts = written(texts, "texts")
+    signs = written(bitmaps(texts), "signs")
+    pairs = written(likely(stars(members), signs), "pairs")
     links = linked(pairs, texts)
     labels = written(connected_components(links), "labels")
-    compared, known = pairs, links.count()
-    while True:
-        finer, new = opened(members, labels, texts, compared)
-        more = linked(new, texts)
-        discard(members)
-        members, found = finer, more.count()
-        known += found
-        if found:
-            labels = written(connected_components(labels.select(c("node").alias("a"), c("root").alias("b")).union(more)), "labels")
-        if found * WORTH < known or not found:
-            break
-        compared = compared.union(new)
-    discard(members, texts)
+    discard(ids, pairs, links)
+    pairs = crossing(members, labels, signs)
+    links = linked(pairs, texts)
+    if not links.isEmpty():
+        labels = written(connected_components(labels.select(c("node").alias("a"), c("root").alias("b")).union(links)), "labels")
+    discard(members, signs, texts, pairs, links)
     return labels
 
 
@@ -152,10 +172,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     Only lines that are repeated or linked are joined with the first of their component; all others stay where they are.
     """
     c = F.col
-    table = written(banded(lines_of(docs)), "lines")
-    roots = similar_lines(docs, table)
-    rows = written(table.select(F.struct("doc_id", "mark", "place").alias("at"), "id", "other"), "places")
-    discard(table)
+    roots = similar_lines(docs)
+    rows = written(lines_of(docs).select(F.struct("doc_id", "mark", "place").alias("at"), "id", "other"), "places")
     each = rows.groupBy("id", "other").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     each = each.join(roots, c("id") == c("node"), "left").where("n > 1 or root is not null")
     line = F.struct(c("id").alias("id"), c("other").alias("other"))

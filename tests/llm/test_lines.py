@@ -155,6 +155,28 @@ def test_chunks_of_a_bucket(spark, monkeypatch):
     assert len(got) == len(set(got)) == 98 * 97 // 2 - 1 and (2, 3) not in got and all(0 < a < b < 99 for a, b in got)
 
 
+def test_bounds_of_near_copies(spark):
+    """Long lines of one family, with repeats: all links pass the bounds, and few of the pairs that are close to a link but none."""
+    r = random.Random(5)
+    base = words(r, 110)[:500] + " and so on and so on and so on"
+    family = []
+    for i in range(60):
+        line = base
+        for _ in range(i % 10):
+            k = r.randrange(0, 500)
+            line = line[:k] + words(r, 2)[:8] + line[k + 8 :]
+        family.append(line)
+    family = list(dict.fromkeys(family))
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} for x in family]
+    texts = spark.createDataFrame([(i, len(sets[i]), x) for i, x in enumerate(family)], "id long, n int, line string")
+    signs = lines.bitmaps(texts).persist()
+    passed = {(x.a, x.b) for x in signs.alias("r").join(signs.alias("s"), (F.col("r.id") < F.col("s.id")) & lines.may_link("r", "s")).select(F.col("r.id").alias("a"), F.col("s.id").alias("b")).collect()}
+    alike = {(i, j): len(s & sets[j]) / len(s | sets[j]) for i, s in enumerate(sets) for j in range(i + 1, len(sets))}
+    near = [x for x, y in alike.items() if 0.65 <= y < 0.77]
+    assert {x for x, y in alike.items() if y >= 0.8} <= passed
+    assert len(near) > 200 and len(passed.intersection(near)) < 0.2 * len(near), (len(near), len(passed.intersection(near)))
+
+
 SCRIPTS = {"latin": "abcdefghijklmnopqrstuvwxyz ", "digits": "0123456789-/QXZ", "cyrillic": "абвгдежзиклмнопрстуфхцчшщыюя ", "cjk": "的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会可主发年动同工也能下过子说产种面而方后多定行学法所民得经"}
 
 

@@ -10,7 +10,7 @@ places. Lines are equal if a second hash agrees as well; of different lines with
 equal to its own repeats. In each bucket the items are first compared with its smallest and its largest one. Where the others then still
 belong to different components, as under a common boilerplate, all pairs of different components are compared, in chunks of the
 bucket, so every two lines that share a bucket and reach the similarity are in one component. Two exact bounds come before a pair's sets are cut: their
-sizes, and the places where bitmaps of the shingles differ. Links that reach the similarity are contracted to
+sizes, and the places where the parities of the shingles' hash buckets differ. Links that reach the similarity are contracted to
 components, and of each component the first line (by doc_id, then place) stays.
 
 Cases: lines are compared without outer blanks; blank lines stay and are never duplicates; null text has no lines and
@@ -84,17 +84,19 @@ def stars(members: DataFrame) -> DataFrame:
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
-    """(id, n, w0..w15): a bit for each hash of a shingle. Shingles are rows, which stay in their task but for one of each line."""
+    """(id, n, w0..w15): in each place whether an odd number of the set's hashes falls there. Shingles are rows, which stay in their task but for one of each line.
+
+    An element that only one of two sets has turns one place, so they differ in no more places than elements; and where several
+    elements of a long line share a place, one that is turned still shows, which a bit that is merely set would hide.
+    """
     c = F.col
-    rows = texts.select("id", "n", F.encode("line", "UTF-32").alias("b"))
-    rows = rows.select("id", "n", "b", F.explode(F.sequence(F.lit(1), F.greatest(F.length("b") - WIDE * SHINGLE + 1, F.lit(1)), F.lit(WIDE))).alias("i"))
-    rows = rows.select("id", "n", F.xxhash64(F.substr("b", "i", F.lit(WIDE * SHINGLE))).alias("h"))
+    rows = texts.select("id", "n", F.explode(F.array_distinct(shingles(c("line")))).alias("h"))  # repeats would turn a place back
     rows = rows.select("id", "n", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.pmod(F.shiftright("h", 6), F.lit(WORDS)).alias("word"))
-    return rows.groupBy("id", "n").agg(*[F.bit_or(F.when(c("word") == i, c("bit")).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(BITMAP)])
+    return rows.groupBy("id", "n").agg(*[F.bit_xor(F.when(c("word") == i, c("bit")).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(BITMAP)])
 
 
 def may_link(a: str, b: str) -> Column:
-    """The exact bounds: sizes, and the places where the bitmaps differ, as sets of one similarity differ in so many elements at most."""
+    """The exact bounds: sizes, and the places where the parities differ, as sets of one similarity differ in so many elements at most."""
     c = F.col
     differ = reduce(lambda x, y: x + y, [F.bit_count(c(f"{a}.{w}").bitwiseXOR(c(f"{b}.{w}"))) for w in BITMAP])
     low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")

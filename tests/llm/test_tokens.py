@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from trailmark.llm.queries import vocabulary_path
-from trailmark.llm.tokens import ByteLevel, byte_level_contents
+from trailmark.llm.tokens import ByteLevel, byte_level_contents, pieces
 
 LIBRARY, PIECES, PLAIN = Tokenizer.from_file(vocabulary_path()), ByteLevel(vocabulary_path()), ByteLevel(vocabulary_path(), plain=True)
 WORD = st.sampled_from(["a", "don't", "'s", "'tis", "x'", "('s", "5's", "12.5kg", "é", "ß'l", "ж", "aж", "#!", "_a_", "<|endoftext|>", "<|endo", "²", "Ⅷ", "\x1c", "\xa0", " ", "́", "'", "''re", "l'ête", "9", "-", "中文", "🙂"])
@@ -29,3 +29,21 @@ def test_contents(encode):
     data = encode([text])[0]
     contents = byte_level_contents(vocabulary_path())
     assert b"".join(contents[int.from_bytes(data[i : i + 2], "little")] for i in range(0, len(data), 2)).decode() == text
+
+
+def test_a_single_space_at_an_end_is_no_exception():
+    """op13's texts begin with a space; they are cut as finely as others, so fewer different pieces go to the library."""
+    assert pieces(" One, two. ") == [" One", ",", " two", ".", " "]
+    assert pieces("\nOne, two\n") == ["\n", "One", ",", " two", "\n"]
+
+
+def test_pieces_of_many_ids_without_the_slow_call():
+    """Ids go to their pieces by the bytes that they stand for; where these do not add up, the library is asked for the piece of each id."""
+    words = ["counterproductive", "naïveté", "中文", "x", "antidisestablishmentarianism", "🙂🙂"]
+    LIBRARY.encode_special_tokens = False
+    want = [b"".join(i.to_bytes(2, "little") for i in LIBRARY.encode(w, add_special_tokens=False).ids) for w in words]
+    fast, odd = ByteLevel(vocabulary_path()), ByteLevel(vocabulary_path())
+    odd.length = odd.length + 1
+    for encode in (fast, odd):
+        encode.learn(words)
+        assert [encode.memo[w] for w in words] == want

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .bpe import MEMO, SINGLE_SPACE, SPACES, byte_symbols
+from .bpe import MEMO, SINGLE_SPACE, byte_symbols
 
 
 #: Letters up to U+024F; any other character than these, printable ASCII and line breaks.
@@ -25,11 +25,12 @@ def pieces(text: str) -> list[str]:
     """The text, cut at places that no pre-token of byte-level BPE spans.
 
     Where white space is single, these are the places before each space, around each line break, and between letters and what is no letter
-    (but for apostrophes). In texts with other characters or more white space only single spaces between two other characters count.
+    (but for apostrophes); a single one at an end of the text is no exception. In texts with other characters or more white space only
+    single spaces between two other characters count.
     """
     if not text:
         return []
-    if "  " in text or SPACES.search(text) or OTHER.search(text):
+    if "  " in text or " \n" in text or "\n\n" in text or "\n " in text or OTHER.search(text):
         return SINGLE_SPACE.split(text)
     return (RUNS_WITH_APOSTROPHES if "'" in text else RUNS).findall(text)
 
@@ -47,8 +48,8 @@ class ByteLevel:
         self.library.no_truncation()
         self.library.no_padding()
         self.library.encode_special_tokens = plain
-        special = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.special = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.length = np.array(list(map(len, byte_level_contents(path))), np.int64)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
 
@@ -56,9 +57,16 @@ class ByteLevel:
         memo, width = self.memo, self.kind.itemsize
         for begin in range(0, len(new), AT_ONCE):
             some = new[begin : begin + AT_ONCE]
-            e = self.library.encode(some, add_special_tokens=False, is_pretokenized=True)
-            data = np.array(e.ids, self.kind).tobytes()
-            ends = (np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))) * width).tolist()
+            ids = np.array(self.library.encode_batch_fast([some], add_special_tokens=False, is_pretokenized=True)[0].ids, np.int64)
+            data = ids.astype(self.kind).tobytes()
+            # The fast call does not tell the piece of an id; its bytes do.
+            want, got = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in some]), np.cumsum(self.length[ids])
+            last = np.minimum(np.searchsorted(got, want), len(got) - 1)
+            if np.array_equal(got[last], want) and got[-1] == want[-1]:
+                ends = ((last + 1) * width).tolist()
+            else:  # a vocabulary that does not give back all bytes
+                words = self.library.encode(some, add_special_tokens=False, is_pretokenized=True).word_ids
+                ends = (np.cumsum(np.bincount(np.array(words, np.int64), minlength=len(some))) * width).tolist()
             low = 0
             for p, high in zip(some, ends, strict=True):
                 memo[p] = data[low:high]
@@ -68,9 +76,9 @@ class ByteLevel:
         """The ids of each text, ``kind`` each."""
         if len(self.memo) > REMEMBERED:
             self.memo.clear()
-        whole = [bool(self.special.search(t)) for t in texts]
+        whole = [any(s in t for s in self.special) for t in texts]
         cut = [[] if w else pieces(t) for t, w in zip(texts, whole, strict=True)]
-        self.learn(list(set().union(*cut) - self.memo.keys()))
+        self.learn(list(set().union(*cut).difference(self.memo)))
         found = self.memo.__getitem__
         return [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if w else b"".join(map(found, p)) for t, w, p in zip(texts, whole, cut, strict=True)]
 

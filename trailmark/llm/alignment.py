@@ -59,7 +59,8 @@ def entries(a: Csr, b: Csr) -> np.ndarray:
 
 def product(a: Csr, b: Csr, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, column, value) of the entries of a·b, in order, in blocks of rows of about ``block`` multiplications."""
-    for low, high in chunks(entries(a, b).tolist(), block):
+    work = entries(a, b)
+    for low, high in chunks(work.tolist(), block) if work.sum() > block else [(0, len(work))] if len(work) else []:
         columns = a.columns[a.starts[low] : a.starts[high]]
         row = np.repeat(np.arange(low, high), a.starts[low + 1 : high + 1] - a.starts[low:high])
         n = b.starts[columns + 1] - b.starts[columns]

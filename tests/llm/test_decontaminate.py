@@ -1,6 +1,9 @@
 import random
 
-from trailmark.llm import decontaminate
+import numpy as np
+import pytest
+
+from trailmark.llm import decontaminate, words
 
 ITEMS = [
     (1, "A farmer named Boris has 12 sheep and sells 5 kg of wool to his neighbour Anna before Boris walks home with 12 coins in his pocket."),
@@ -114,3 +117,20 @@ def test_all_planted_passages(spark, sf_dir):
     for r in docs.collect():
         text = " ".join((r.text or "").lower().split())
         assert got[r.doc_id] == {i for i, t in bench.items() if t in text}
+
+
+def test_words_learned_together():
+    """New words are learned in one pass, numbers and sentence ends among them, as one by one; hashes of windows do not depend on the blocks they are made in."""
+    new = ["plain", "Name", "USA", "5kg", "$12.5", "(3rd)", "...", "km", "seven", "end.", "'quoted.'", "a1", "²", "٣", "12:30,", "Naïve!", "x_y"]
+    together, alone = decontaminate.TemplateWords(), decontaminate.TemplateWords()
+    together.learn(new)
+    assert [alone[w] for w in new] == [together[w] for w in new]
+    assert (together.kind, together.value, together.ends) == (alone.kind, alone.value, alone.ends)
+    kinds = dict(zip(new, together.kind, strict=True))
+    assert [kinds[w] for w in ("plain", "Name", "USA", "5kg", "$12.5", "(3rd)", "...", "km", "٣", "a1", "²")] == [0, 3, 0, 1, 1, 1, 4, 2, 1, 0, 0]
+    h = np.arange(100, dtype=np.uint64)
+    want = words.windows(h, 8)
+    for block in (1, 7, 93):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(words, "BLOCK", block)
+            assert np.array_equal(words.windows(h, 8), want)

@@ -27,7 +27,7 @@ contaminated; very long texts are scanned whole; other columns are ignored; with
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ LITERAL, NUMBER, UNIT, NAME, DROPPED = range(5)
 NUMERIC = re.compile(r"[$€£¥]?[+-]?\d[\d.,:/]*\s?%?(?:st|nd|rd|th)?")
 MEASURED = re.compile(r"([$€£¥]?[+-]?\d[\d.,/]*)([A-Za-z]+)")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: Numbers have one.
+DIGIT = re.compile(r"\d")
 KIND_OF = {w: NUMBER for w in NUMBERS.split()} | {w: UNIT for w in UNITS.split()}
 _U = np.uint64
 HOLDER, EXACT, READ_AT_ONCE = mix(np.arange(1, 6, dtype=_U)), _U(0x5DEECE66D), 100_000
@@ -61,24 +63,38 @@ class TemplateWords(dict):
         self.kind, self.value, self.ends = [], [], []
 
     def __missing__(self, word: str) -> int:
-        core = EDGE.sub("", word)
-        low = core.lower()
-        kind = KIND_OF.get(low)
-        if not core:
-            kind = DROPPED
-        elif kind is None:
-            edge = word.lstrip("(\"'[")
-            if NUMERIC.fullmatch(core) or NUMERIC.fullmatch(edge.rstrip(".,;:!?)\"']")):
-                kind = NUMBER
-            elif (m := MEASURED.fullmatch(core)) and KIND_OF.get(m[2].lower()) == UNIT:
-                kind = NUMBER
+        self.learn([word])
+        return self[word]
+
+    def learn(self, new: Iterable[str]) -> None:
+        """Adds words that are not there yet."""
+        at, kinds, values, ends, kind_of, digest = len(self.kind), self.kind, self.value, self.ends, KIND_OF.get, xxhash.xxh3_64_intdigest
+        for word in new:
+            self[word] = at
+            at += 1
+            plain = word.isalpha()  # no edge, no digit, no end of a sentence
+            if plain:
+                core, end = word, False
             else:
-                kind = NAME if core[0].isupper() and not (len(core) > 1 and core.isupper()) else LITERAL
-        self[word] = out = len(self.kind)
-        self.kind.append(kind)
-        self.value.append(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")))
-        self.ends.append(word.rstrip("\"')]*#$%&|<>")[-1:] in (".", "!", "?", ":"))
-        return out
+                core, end = EDGE.sub("", word), word.rstrip("\"')]*#$%&|<>")[-1:] in (".", "!", "?", ":")
+            low = core.lower()
+            kind = kind_of(low)
+            if not core:
+                kind = DROPPED
+            elif kind is None:
+                if not plain and DIGIT.search(word) and self.numeric(word, core):
+                    kind = NUMBER
+                else:
+                    kind = NAME if core[0].isupper() and not (len(core) > 1 and core.isupper()) else LITERAL
+            kinds.append(kind)
+            values.append(digest(low.encode("utf-8", "surrogatepass")))
+            ends.append(end)
+
+    @staticmethod
+    def numeric(word: str, core: str) -> bool:
+        if NUMERIC.fullmatch(core) or NUMERIC.fullmatch(word.lstrip("(\"'[").rstrip(".,;:!?)\"']")):
+            return True
+        return bool(m := MEASURED.fullmatch(core)) and KIND_OF.get(m[2].lower()) == UNIT
 
     def templates(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Of each text: template hashes, values, which words are slots, and which have another reading."""
@@ -94,6 +110,7 @@ class TemplateWords(dict):
                 row += line.split()
             words.append(row)
             firsts.append(first)
+        self.learn(set().union(*words).difference(self))
         rows = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in words]
         kinds, values, ends = np.array(self.kind, np.int8), np.array(self.value, _U), np.array(self.ends, bool)
         for at, first in zip(rows, firsts, strict=True):

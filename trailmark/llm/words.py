@@ -8,6 +8,8 @@ import xxhash
 #: A-Z in lower case; other bytes stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LIMIT = 300_000
+#: Windows that are hashed at once, so that what is in between stays in the cache.
+BLOCK = 1 << 14
 
 
 class WordHashes(dict):
@@ -22,9 +24,12 @@ class WordHashes(dict):
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))  # a new array, which the rest changes in place
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
@@ -43,6 +48,11 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     if not k:
         return h
     out = np.full(len(h) - k + 1, np.uint64(k))
-    for i in range(k):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
+    for low in range(0, len(out), BLOCK):
+        x = out[low : low + BLOCK]
+        for i in range(k):
+            x = x * np.uint64(0x9E3779B97F4A7C15)
+            x += h[low + i : low + i + len(x)]
+            x = mix(x)
+        out[low : low + BLOCK] = x
     return out

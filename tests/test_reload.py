@@ -1,9 +1,14 @@
 """A static side that is replaced while a stream runs; a register with late and lost reports."""
 
+import random
+from types import SimpleNamespace
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.operators.lifecycle import lives, overlaps, visits
+from trailmark.operators.lifecycle import Lives, lives, overlaps, visits
+from trailmark.streaming.register import Register
 from trailmark.streaming.reload import Versions
 
 SCHEMA = "id long, name string"
@@ -42,6 +47,57 @@ def test_lives(spark):
     assert len(lives(table, "k", 43, 10, 30).collect()) == 1
 
 
+class Store:
+    """The state of one track and its timers; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def called(self, result=None):
+        self.calls += 1
+        return result
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.called(self.value), update=lambda v: self.called(setattr(self, "value", v)), clear=lambda: self.called(setattr(self, "value", None)))
+
+    def registerTimer(self, at):
+        self.called(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self.called(self.timers.remove(at))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_register_reads_and_writes_a_track_once(seed):
+    """Rows that come late, in batches, give the lives of the rows in order; each batch is four calls to the state at most."""
+    r = random.Random(seed)
+    rows = sorted((r.randrange(400) * 1000, i, r.randrange(3), r.choice(["seen", "seen", "left"])) for i in range(60))
+    batches = [[] for _ in range(9)]
+    for x in rows:
+        batches[min(8, x[0] // 50_000 + r.randrange(2))].append(x)
+    store, got, watermark = Store(), [], 0
+    register = Register("k", 6_000, 15_000)
+    register.init(store)
+
+    def run(frames, calls):
+        before = store.calls
+        got.extend(tuple(x) for f in frames for x in f.itertuples(index=False))
+        assert store.calls - before <= calls
+
+    for batch in [*batches, []]:
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda at=watermark: at)
+        if batch:
+            run(register.handleInputRows((7,), iter([pd.DataFrame(batch, columns=["us", "id", "camera_id", "kind"])]), now), 4)
+        for at in sorted(t for t in store.timers if t <= watermark):
+            run(register.handleExpiredTimer((7,), now, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at)), 4)
+            store.timers.discard(at)
+        watermark = max([watermark, *[x[0] // 1000 - 100 for x in batch]])
+    end = watermark * 1000
+    ready = [x for x in rows if x[0] <= end] + [(end, 0, None, "tick")]
+    want, _ = Lives(6_000, 15_000).replay({"us": [x[0] for x in ready], "camera_id": [x[2] for x in ready], "kind": [x[3] for x in ready]}, None)
+    assert got == [(7, *x) for x in zip(*want.values(), strict=True)] and len(got) > 2
+
+
 def test_overlaps_are_of_intervals(spark):
     # Two disjoint visits to camera 2 around one to camera 1: no conflict; a third one touches it.
     rows = [(1, 1, 100), (1, 1, 110), (1, 2, 50), (1, 2, 60), (1, 2, 150), (1, 2, 160), (1, 3, 105), (1, 3, 111), (None, 1, 5), (None, 2, 5)]

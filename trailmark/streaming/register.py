@@ -15,59 +15,57 @@ NAMES = ["first_us", "last_us", "n", "why", "archived_us"]
 
 
 class Register(StatefulProcessor):
-    """Per track: the open record, which cameras are active, and the rows that the watermark has not passed yet.
+    """Per track: the open record, which cameras are active, the rows that the watermark has not passed yet, and the timer.
 
     Rows wait in state until the watermark passes them and are then taken in order of time and id, so rows that come late within the
     watermark's delay count as if they had come in order. A timer is set for the next waiting row and for the time at which the
-    record is to be archived.
+    record is to be archived. All is one value, as each look at the state is a call to the JVM: a track is read once and written once.
     """
 
+    STATE = "first long, last long, n long, cameras array<long>, timer long, us array<long>, id array<long>, camera array<long>, kind array<string>"
+
     def __init__(self, key: str, idle: int, forced: int):
         self.key, self.rule = key, Lives(idle, forced)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.record = handle.getValueState("record", "first long, last long, n long")
-        self.cameras = handle.getMapState("cameras", "camera long", "active boolean")
-        self.waiting = handle.getListState("waiting", "us long, id long, camera long, kind string")
+        self.track = handle.getValueState("track", self.STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            self.waiting.appendList([(int(r.us), int(r.id), int(r.camera_id), r.kind) for r in part.itertuples()])
-        return self.advance(key, timerValues)
+        new = [r for part in rows for r in zip(part["us"].tolist(), part["id"].tolist(), part["camera_id"].tolist(), part["kind"].tolist(), strict=True)]
+        return self.advance(key, timerValues, new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return self.advance(key, timerValues)
+        return self.advance(key, timerValues, [], expiredTimerInfo.getExpiryTimeInMs())
 
-    def advance(self, key, timerValues) -> Iterator[pd.DataFrame]:
+    def advance(self, key, timerValues, new: list[tuple], expired: int | None = None) -> Iterator[pd.DataFrame]:
         """Takes what the watermark has passed."""
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        state, out = None, []
-        if self.record.exists():
-            active = sorted(k[0] for k in self.cameras.keys()) if self.cameras.exists() else []
-            state = (*self.record.get(), active)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        now, out = watermark * 1000, []
+        first, last, n, cameras, timer, *waiting = self.track.get() or (None, None, None, None, None, [], [], [], [])
+        state = None if first is None else (first, last, n, list(cameras))
+        rows = sorted([*zip(*waiting, strict=True), *new])
         ready = [r for r in rows if r[0] <= now]
         for us, _, camera, kind in [*ready, (now, 0, None, "tick")]:
             state, over = self.rule.step(state, us, camera, kind)
             if over:
                 out.append((key[0], *over))
         rest = rows[len(ready) :]
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        self.cameras.clear()
-        if state is None:
-            self.record.clear()
-        else:
-            self.record.update(state[:3])
-            for camera in state[3]:
-                self.cameras.updateValue((camera,), (True,))
         wanted = [r[0] for r in rest[:1]] + ([self.rule.due(state)[0]] if state else [])
-        for timer in list(self.handle.listTimers()):
+        at = max(-(-min(wanted) // 1000), watermark + 1) if wanted else None
+        if timer == expired:  # that one is spent, and deleted by Spark
+            timer = None
+        if timer is not None and timer != at:
             self.handle.deleteTimer(timer)
+        if at is not None and timer != at:
+            self.handle.registerTimer(at)
         if wanted:
-            self.handle.registerTimer(max(-(-min(wanted) // 1000), timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame(out, columns=[self.key, *NAMES])
+            waiting = [list(x) for x in zip(*rest, strict=True)] or [[], [], [], []]
+            self.track.update((*(state or (None, None, None, None)), at, *waiting))
+        else:
+            self.track.clear()
+        if out:
+            yield pd.DataFrame(out, columns=[self.key, *NAMES])
 
     def close(self) -> None:
         pass

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from trailmark.llm.queries import vocabulary_path
-from trailmark.llm.tokens import ByteLevel, byte_level_contents, pieces
+from trailmark.llm.tokens import ByteLevel, Remembered, byte_level_contents, pieces
 
 LIBRARY, PIECES, PLAIN = Tokenizer.from_file(vocabulary_path()), ByteLevel(vocabulary_path()), ByteLevel(vocabulary_path(), plain=True)
 WORD = st.sampled_from(["a", "don't", "'s", "'tis", "x'", "('s", "5's", "12.5kg", "é", "ß'l", "ж", "aж", "#!", "_a_", "<|endoftext|>", "<|endo", "²", "Ⅷ", "\x1c", "\xa0", " ", "́", "'", "''re", "l'ête", "9", "-", "中文", "🙂"])
@@ -47,3 +47,15 @@ def test_pieces_of_many_ids_without_the_slow_call():
     for encode in (fast, odd):
         encode.learn(words)
         assert [encode.memo[w] for w in words] == want
+
+
+def test_frequent_pieces_are_learned_once():
+    """A full memory does not forget what is asked for again and again."""
+    asked: list[str] = []
+    known = Remembered(lambda new: asked.extend(new) or [p.upper() for p in new], 10)
+    for i in range(20):
+        rare = [f"r{i}-{j}" for j in range(8)]
+        found = known([["a", "b"], ["a", *rare]])
+        assert [found[p] for p in ["a", "b", *rare]] == ["A", "B", *map(str.upper, rare)]
+        assert len(known.now) <= 20 and len(known.before) <= 20
+    assert asked.count("a") == asked.count("b") == 1

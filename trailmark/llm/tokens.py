@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -17,8 +18,8 @@ OTHER = re.compile(f"[^\n\x20-\x7e{LETTERS}]")
 #: Runs of letters, runs of other characters, each with the space before, and line breaks; words with an apostrophe whole.
 RUNS = re.compile(rf" ?[{LETTERS}]+| ?[^{LETTERS}\s]+|\s")
 RUNS_WITH_APOSTROPHES = re.compile(rf" ?[^\s']*'\S*| ?[{LETTERS}]+| ?[^{LETTERS}\s]+|\s")
-#: Pieces that are remembered, and that the library gets at once.
-REMEMBERED, AT_ONCE = 2 * MEMO, 2000
+#: Pieces of a generation that is remembered, and that the library gets at once.
+REMEMBERED, AT_ONCE = MEMO * 3 // 2, 2000
 
 
 def pieces(text: str) -> list[str]:
@@ -35,8 +36,30 @@ def pieces(text: str) -> list[str]:
     return (RUNS_WITH_APOSTROPHES if "'" in text else RUNS).findall(text)
 
 
+class Remembered:
+    """What ``learn`` gives for pieces, in two generations of about ``most`` pieces each.
+
+    A full generation becomes the one before, which the next replaces; what is asked for again moves on, so frequent pieces are learned once.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], Iterable], most: int):
+        self.learn, self.most, self.now, self.before = learn, most, {}, {}
+
+    def __call__(self, cut: list[list[str]]) -> dict:
+        """A dictionary that has all these pieces."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        new = set().union(*cut).difference(self.now)
+        fresh = new.difference(self.before)
+        again = new.difference(fresh)
+        self.now.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        fresh = list(fresh)
+        self.now.update(zip(fresh, self.learn(fresh), strict=True))
+        return self.now
+
+
 class ByteLevel:
-    """Byte-level BPE by the tokenizers library, piece by piece; about ``REMEMBERED`` pieces are remembered between calls.
+    """Byte-level BPE by the tokenizers library, piece by piece; pieces are remembered between calls.
 
     ``plain``: the strings of special tokens are text as any other; else a text that holds one is given to the library whole.
     """
@@ -51,10 +74,18 @@ class ByteLevel:
         self.special = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.length = np.array(list(map(len, byte_level_contents(path))), np.int64)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
+        self.known = Remembered(self.ids_of, REMEMBERED)
+
+    @property
+    def memo(self) -> dict[str, bytes]:
+        return self.known.now
 
     def learn(self, new: list[str]) -> None:
-        memo, width = self.memo, self.kind.itemsize
+        self.memo.update(zip(new, self.ids_of(new), strict=True))
+
+    def ids_of(self, new: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        out, width = [], self.kind.itemsize
         for begin in range(0, len(new), AT_ONCE):
             some = new[begin : begin + AT_ONCE]
             ids = np.array(self.library.encode_batch_fast([some], add_special_tokens=False, is_pretokenized=True)[0].ids, np.int64)
@@ -67,19 +98,14 @@ class ByteLevel:
             else:  # a vocabulary that does not give back all bytes
                 words = self.library.encode(some, add_special_tokens=False, is_pretokenized=True).word_ids
                 ends = (np.cumsum(np.bincount(np.array(words, np.int64), minlength=len(some))) * width).tolist()
-            low = 0
-            for p, high in zip(some, ends, strict=True):
-                memo[p] = data[low:high]
-                low = high
+            out += [data[low:high] for low, high in zip([0, *ends], ends, strict=False)]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, ``kind`` each."""
-        if len(self.memo) > REMEMBERED:
-            self.memo.clear()
         whole = [any(s in t for s in self.special) for t in texts]
         cut = [[] if w else pieces(t) for t, w in zip(texts, whole, strict=True)]
-        self.learn(list(set().union(*cut).difference(self.memo)))
-        found = self.memo.__getitem__
+        found = self.known(cut).__getitem__
         return [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if w else b"".join(map(found, p)) for t, w, p in zip(texts, whole, cut, strict=True)]
 
 

@@ -133,3 +133,25 @@ def test_query(spark, sf_dir):
     assert sorted(got) == sorted(brute(short))
     by_id, alone = {r.doc_id: r for r in whole}, {g[0]: g for g in got}
     assert all((by_id[i].n_links, by_id[i].groups_sha256) == (alone[i][4], alone[i][7]) and by_id[i].count_sum >= alone[i][6] for i in alone)
+
+
+def test_pieces_are_encoded_once_by_both_and_as_in_whole_texts():
+    """Neither library gets a known piece again; cuts, odd characters and texts that are not given back make no difference to whole texts."""
+    both = alignment.Tokenizers(A, B)
+    asked: list[str] = []
+
+    class Spy:
+        def encode(self, texts, **options):
+            asked.extend(texts)
+            return tokens.b.encode(texts, **options)
+
+    known, whole = both.b_of_pieces, both.b
+    assert known is not None  # no token of this vocabulary spans a cut
+    texts = ["One, two; don't stop.", " two  spaces\n and\nlines ", "naïve 中文 é  x", "a▁b", "<s> </s> [INST]", "3.14 (x)\t\x00", "'s", "", None]
+    a, b = both(texts)
+    for text, x, y in zip(texts, a, b, strict=True):
+        ids_a, ids_b = both.a.library.encode(" " + (text or ""), add_special_tokens=False).ids, whole.encode(text or "")
+        assert (x.tolist(), y.tolist()) == ((ids_a, ids_b) if text and both.given_back(" " + text, ids_a, ids_b) else ([], []))
+    both.b = both.b_of_pieces = Spy()
+    again = both(texts[:3])
+    assert asked == [] and all(np.array_equal(p, q) for p, q in zip(again[1], b[:3], strict=True))

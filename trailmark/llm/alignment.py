@@ -22,6 +22,7 @@ the highest count of an A id are all best; other columns are ignored; very long
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,10 +33,12 @@ from pyspark.sql import functions as F
 
 from .bpe import chunks, without_collector
 from .shared import written
-from .tokens import byte_level, byte_level_contents, sentence_piece_contents, sentence_pieces
+from .tokens import Remembered, byte_level, byte_level_contents, pieces, sentence_piece_contents, sentence_pieces, unprefixed_sentence_pieces
 
 #: Characters aligned together; multiplications of a block of a product; pairs that are broadcast at most (16 bytes each).
 CHUNK_CHARS, BLOCK, COMMON = 1_000_000, 4_000_000, 1 << 18
+#: Pieces of text whose ids by both tokenizers a generation of the memory holds.
+REMEMBERED = 200_000
 
 
 class Csr(NamedTuple):
@@ -112,25 +115,58 @@ def align(a: list[np.ndarray], b: list[np.ndarray], length_a: np.ndarray, length
 
 
 class Tokenizers:
-    """Both tokenizers. Ids of each text: empty ones where the text is empty or one of them does not give back its bytes."""
+    """Both tokenizers. Ids of each text: empty ones where the text is empty or one of them does not give back its bytes.
+
+    Texts are cut into pieces that no token of either spans, and the ids of a piece by both are remembered. A text with a piece whose
+    bytes are not given back goes to both libraries whole, and so do all if the second vocabulary has tokens that span such places.
+    """
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = byte_level(path_a, plain=True), sentence_pieces(path_b)
+        self.a, self.b, self.b_of_pieces = byte_level(path_a, plain=True), sentence_pieces(path_b), unprefixed_sentence_pieces(path_b)
         self.bytes_a, self.bytes_b = byte_level_contents(path_a), sentence_piece_contents(path_b)
         self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.shown = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.shown = [s + mark for mark in ",|;" for s in self.shown]
+        self.known = Remembered(self.learn, REMEMBERED)
+
+    def given_back(self, text: str, a: list[int], b: list[int]) -> bool:
+        want = text.encode()
+        return b"".join(map(self.bytes_b.__getitem__, b)) == want and b"".join(map(self.bytes_a.__getitem__, a)) == want
+
+    def all_given_back(self, new: list[str], a: list[bytes], b: list[bytes]) -> bool:
+        """Whether the bytes of every piece are given back by both: as one text, and each ends where it should."""
+        data = list(map(str.encode, new))
+        want, ends = b"".join(data), np.cumsum(list(map(len, data)))
+        for ids, kind, contents, length in ((a, self.a.kind, self.bytes_a, self.length_a), (b, np.dtype(np.uintc), self.bytes_b, self.length_b)):
+            flat = np.frombuffer(b"".join(ids), kind)
+            got = np.r_[0, np.cumsum(length[flat])][np.cumsum(list(map(len, ids))) // kind.itemsize]
+            if not np.array_equal(got, ends) or b"".join(map(contents.__getitem__, flat.tolist())) != want:
+                return False
+        return True
+
+    def learn(self, new: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of each piece by both; None where its bytes are not given back."""
+        if not new:
+            return []
+        found = self.b_of_pieces.encode(new, num_threads=1)
+        a, b = self.a.ids_of(new), [array("I", ids).tobytes() for ids in found]
+        if self.all_given_back(new, a, b):
+            return list(zip(a, b, strict=True))
+        return [(x, y) if self.given_back(p, np.frombuffer(x, self.a.kind).tolist(), ids) else None for p, x, y, ids in zip(new, a, b, found, strict=True)]
+
+    def whole(self, text: str) -> tuple[bytes, bytes]:
+        a, b = self.a([" " + text])[0], self.b.encode([text], num_threads=1)[0]
+        return (a, array("I", b).tobytes()) if text and self.given_back(" " + text, np.frombuffer(a, self.a.kind).tolist(), b) else (b"", b"")
 
     def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         out: tuple[list, list] = ([], [])
-        none = np.zeros(0, np.int64)
-        known = [t or "" for t in texts]
-        for text, data, b in zip(known, self.a([" " + t for t in known]), self.b.encode(known, num_threads=1), strict=True):
-            a = np.frombuffer(data, self.a.kind)
-            want = b" " + text.encode()
-            good = bool(text) and b"".join(map(self.bytes_b.__getitem__, b)) == want and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == want
-            out[0].append(a.astype(np.int64) if good else none)
-            out[1].append(np.array(b, np.int64) if good else none)
+        cut = [pieces(" " + t) if t and self.b_of_pieces else [] for t in texts]
+        found = self.known(cut).__getitem__
+        for text, some in zip(texts, cut, strict=True):
+            ids = list(map(found, some))
+            a, b = map(b"".join, zip(*ids, strict=True)) if ids and None not in ids else self.whole(text or "")
+            out[0].append(np.frombuffer(a, self.a.kind).astype(np.int64))
+            out[1].append(np.frombuffer(b, np.uintc).astype(np.int64))
         return out
 
     def groups_shown(self, x: Aligned) -> list[str]:

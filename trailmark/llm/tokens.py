@@ -132,6 +132,27 @@ def sentence_pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+@lru_cache(maxsize=4)
+def unprefixed_sentence_pieces(path: str):
+    """The model without the space that it puts before a text; None if one of its pieces spans a place where ``pieces`` may cut."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentence_pieces(path)
+    shown = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+    if any(map(cut_inside, shown)):
+        return None
+    spec = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+    spec.normalizer_spec.add_dummy_prefix = False
+    return sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
+
+
+def cut_inside(piece: str) -> bool:
+    """Whether ``pieces`` may cut a text inside this piece of a sentencepiece model: spaces only begin it, line breaks stand alone, letters and others do not mix."""
+    rest = piece.replace("▁", " ").lstrip(" ")
+    return " " in rest or "\n" in piece and len(piece) > 1 or len(pieces(rest)) > 1
+
+
 @lru_cache(maxsize=4)
 def sentence_piece_contents(path: str) -> list[bytes]:
     """The bytes of each id of a sentencepiece model: a byte piece is its byte, in others U+2581 is a space."""

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from trailmark.llm import jaccard
@@ -102,3 +104,23 @@ def test_one_very_long_text(spark):
     words = ["w%d" % r.randrange(50_000) for _ in range(200_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:1000] + ["other"] + words[1000:])), (3, " ".join(words[:150_000])), (4, "short text of no great length")]
     assert {i: x[1] for i, x in result(spark, rows).items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_keys_are_dealt_among_turns_and_none_is_lost():
+    """A turn makes only its part of the keys, all turns make each key once with the same rows, and rows with a center pass the shuffle as they are."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 5000, 400).astype(np.uint64)) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1, 61), pa.int64()), pa.array([jaccard.packed(s) for s in sets], pa.binary())], ["d1", "keys"])
+
+    def rows(*turn):
+        return [tuple(r.values()) for b in jaccard.pre_aggregated(iter([batch]), *turn) for r in b.to_pylist()]
+
+    whole, parts = rows(), [rows(i, jaccard.PASSES) for i in range(jaccard.PASSES)]
+    assert sorted(map(str, whole)) == sorted(map(str, sum(parts, [])))
+    assert all(len(p) < len(whole) / 2 for p in parts)
+    got = {tuple(r.values()) for p in range(jaccard.PASSES) for b in jaccard.shared_keys(jaccard.pre_aggregated(iter([batch]), p, jaccard.PASSES)) for r in b.to_pylist()}
+    want = {}
+    for d, s in enumerate(sets, 1):
+        for key in s.tolist():
+            want.setdefault(key, []).append(d)
+    assert got == {(k, d, ds[0]) for k, ds in want.items() if len(ds) > 1 for d in ds}

@@ -10,8 +10,8 @@ have too few meet at that next level, where subsets are keyed together with thei
 neighbourhoods: a segment of two or more elements then fails only by two differences. The rare sets for
 which this is still too little are keyed by each element, which always suffices.
 
-Keys are pre-aggregated in the task that makes them, so a key has at most one row per chunk in the
-shuffle, however many near copies share it. Candidates are stars around a member of each key,
+Keys are pre-aggregated in chunks, so a task of the shuffle holds at most one row of a key per chunk, however
+many near copies share it; they are shuffled in ``PASSES`` parts, so the disk holds one part at a time. Candidates are stars around a member of each key,
 filtered by an exact bound (the parities of 512 hash buckets differ in at most H places) and
 verified on whole sets: first one center for each member, then the centers that this has not put
 into its component yet, then another center of the keys that still hold different components; after
@@ -51,6 +51,8 @@ PARITY_WORDS = 8
 CHUNK_ROWS = 1000
 #: Keys are cut to so many bytes, which only makes a few more candidates; digests to so many bits, the next one being a flag in the shuffle.
 KEY_BYTES, DIGEST_BITS = 6, 56
+#: Shuffles among which the keys are dealt, a power of two; each is deleted before the next begins.
+PASSES = 4
 _U = np.uint64
 
 
@@ -206,8 +208,8 @@ def sketches(docs: DataFrame, n: int, t: int) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, schema)
 
 
-def pre_aggregated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, d, center): of the rows of a key in a chunk the first (center null, flagged if there are more) stands for it; the others name it as center."""
+def pre_aggregated(batches: Iterator[pa.RecordBatch], turn: int = 0, passes: int = 1) -> Iterator[pa.RecordBatch]:
+    """(key, d, center) of the keys of this turn: of the rows of a key in a chunk the first (center null, flagged if there are more) stands for it; the others name it as center."""
 
     def grouped(key: np.ndarray, d1: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((d1, key))
@@ -224,6 +226,7 @@ def pre_aggregated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for d1, data in zip(batch.column("d1").to_pylist(), batch.column("keys"), strict=True):
             keys = unpacked(data.as_buffer())
+            keys = keys[keys & (passes - 1) == turn]
             held.append((keys, np.full(len(keys), d1, np.int64)))
             total += len(keys)
             if total >= CHUNK_KEYS:
@@ -234,8 +237,15 @@ def pre_aggregated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, x, center) for the rows of keys that several sets have; a partition holds all heads of its keys, about a million."""
-    parts = [(b.column("key").to_numpy(), b.column("d").to_numpy()) for b in batches if len(b)]
+    """(key, x, center) for the rows of keys that several sets have; a partition holds all heads of its keys, about a million. Rows with a center stay as they are."""
+    parts = []
+    for batch in batches:
+        head = pc.is_null(batch.column("center"))
+        others, heads = batch.filter(pc.invert(head)), batch.filter(head)
+        if len(others):
+            yield pa.RecordBatch.from_arrays(others.columns, ["key", "x", "center"])
+        if len(heads):
+            parts.append((heads.column("key").to_numpy(), heads.column("d").to_numpy()))
     if not parts:
         return
     key, d = map(np.concatenate, zip(*parts, strict=True))
@@ -311,10 +321,16 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
     reps = classes.where("rep is not null").drop("d2")
 
     n_keys = (table.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // KEY_BYTES
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_keys / KEYS_A_PARTITION))
-    rows = table.select("d1", "keys").where(F.octet_length("keys") > 0).mapInArrow(pre_aggregated, "key long, d long, center long")
-    heads = rows.where("center is null").select("key", "d").repartition(partitions, "key").mapInArrow(shared_keys, "key long, x long, center long")
-    shared = written(heads.unionByName(rows.where("center is not null").select("key", c("d").alias("x"), "center")), "keys")
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_keys / PASSES / KEYS_A_PARTITION))
+
+    def keys_shared(turn: int) -> DataFrame:
+        """The rows of the keys of a turn that several sets have, as a table; a key's heads meet in a task, all other rows are spread."""
+        rows = table.select("d1", "keys").where(F.octet_length("keys") > 0).mapInArrow(lambda batches: pre_aggregated(batches, turn, PASSES), "key long, d long, center long")
+        place = F.when(c("center").isNull(), c("key")).otherwise(F.xxhash64("key", "d"))
+        return written(rows.repartition(partitions, place).mapInArrow(shared_keys, "key long, x long, center long"), "keys")
+
+    turns = [keys_shared(i) for i in range(PASSES)]
+    shared = reduce(DataFrame.unionByName, turns)
     slim = written(table.select("doc_id", "n", "d1", "d2"), "sizes")
     discard(table)
 
@@ -364,7 +380,7 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
     labels = grown(None, candidates(stars.groupBy("x").agg(F.min("c").alias("c"))))  # one center for each member links most near copies
     labels = grown(labels, candidates(apart(stars.distinct(), labels)))
     rest = mixed(shared.select("key", "x").distinct(), labels)
-    discard(shared)
+    discard(*turns)
     labels = grown(labels, candidates(apart(rest.where("c <> x").select("c", "x").distinct(), labels)))
     labels = grown(labels, crossing(mixed(rest.select("key", "x"), labels).select("key", "x", "label"), reps, t))
 

@@ -124,3 +124,56 @@ def test_keys_are_dealt_among_turns_and_none_is_lost():
         for key in s.tolist():
             want.setdefault(key, []).append(d)
     assert got == {(k, d, ds[0]) for k, ds in want.items() if len(ds) > 1 for d in ds}
+
+
+def test_wide_parities_bound_the_difference():
+    """Places that differ are at most the elements that do, for sets of other sizes too; halves fold into parities in half as many places."""
+    rng = np.random.default_rng(4)
+    for n, m in [(513, 600), (1000, 1100), (1024, 1025), (3000, 5000), (2000, 2000)]:
+        pool = np.unique(rng.integers(0, 1 << 62, n + m).astype(np.uint64))
+        a, b = np.sort(rng.permutation(pool)[:n]), np.sort(rng.permutation(pool)[:m])
+        x, y = (np.frombuffer(jaccard.wide_parities(s), np.uint8) for s in (a, b))
+        assert 8 * len(x) >= n and 8 * len(y) >= m
+        apart, least = jaccard.places_apart(x, y), 8 * min(len(x), len(y))
+        assert apart == jaccard.places_apart(y, x) == np.bitwise_count(jaccard.parities(a, least) ^ jaccard.parities(b, least)).sum() <= len(np.setxor1d(a, b))
+    assert jaccard.wide_parities(pool[:512]) is None
+
+
+def long_texts(r, count=24, words=3000):
+    """Long texts with a third in common, one with a near copy, and a short text that shares a doc_id with a long one."""
+    passage = ["p%d" % r.randrange(10**6) for _ in range(words)]
+    own = [["w%d" % r.randrange(10**6) for _ in range(words // 2)] for _ in range(count)]
+    rows = [(i, " ".join(passage + w)) for i, w in enumerate(own, 1)]
+    return [*rows, (90, " ".join(passage + own[4] + ["end"])), (91, "a short text of some words"), (7, "a short text of some words")]
+
+
+def test_long_texts_that_only_share_a_passage_are_not_verified(spark, monkeypatch):
+    """The parities in 512 places let all pairs of long sets through, which grew as the square of the long texts that share a key."""
+    seen, old = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: (seen.append(pairs.count()), old(pairs, *a))[1])
+    got = result(spark, long_texts(random.Random(8)))
+    assert {i: x[1] for i, x in got.items() if x[1] != i} == {90: 5, 91: 7}
+    assert sum(seen) < 24
+
+
+def test_pairs_are_verified_in_parts_and_compared_in_turns(spark, monkeypatch):
+    """No part takes more than its share of the pairs, and no link is lost between the parts, or between chunks of a key in different turns."""
+    r = random.Random(9)
+    rows = []
+    passage = ["p%d" % r.randrange(1000) for _ in range(60)]
+    for _ in range(12):
+        base = passage + ["w%d" % r.randrange(200) for _ in range(r.choice([5, 10, 15, 20]))]
+        for _ in range(6):
+            w = list(base)
+            w[r.randrange(len(w))] = "x%d" % r.randrange(50)
+            rows.append((len(rows), " ".join(w)))
+    parts, turns, part, crossing = [], [], jaccard.verified_part, jaccard.crossing
+    for name, value in [("BROADCAST_IDS", 40), ("PARTNERS", 2), ("CHUNK_ROWS", 4)]:
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard, "crossing_turns", lambda *a: 3)
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, docs, n, t, most, old=jaccard.verified: old(pairs, docs, n, t, 2000))
+    monkeypatch.setattr(jaccard, "verified_part", lambda pairs, *a: (parts.append(pairs.count()), part(pairs, *a))[1])
+    monkeypatch.setattr(jaccard, "crossing", lambda *a: (turns.append(a[3:]), crossing(*a))[1])
+    assert result(spark, rows) == brute(rows)
+    assert turns == [(0, 3), (1, 3), (2, 3)]
+    assert len(parts) > 4 and max(parts) <= 40

@@ -12,12 +12,14 @@ which this is still too little are keyed by each element, which always suffices.
 
 Keys are pre-aggregated in chunks, so a task of the shuffle holds at most one row of a key per chunk, however
 many near copies share it; they are shuffled in ``PASSES`` parts, so the disk holds one part at a time. Candidates are stars around a member of each key,
-filtered by an exact bound (the parities of 512 hash buckets differ in at most H places) and
+filtered by an exact bound (the parities of 512 hash buckets differ in at most H places; where both sets
+are larger than that, those of at least as many buckets as elements as well, since 512 all pass there) and
 verified on whole sets: first one center for each member, then the centers that this has not put
 into its component yet, then another center of the keys that still hold different components; after
 each step connected components follow. Keys that still hold different components are compared
 across components in chunks, the bound being part of the join. So no link between different texts
-is lost, and no large group of linked texts is expanded into its pairs.
+is lost, and no large group of linked texts is expanded into its pairs. Pairs are verified, and keys
+compared, in as many parts as keep the sets and rows that move at once below about the size of all sets.
 
 Cases: null or empty text is the empty set (n_shingles 0, its own component); fewer words than n make
 one shingle; equal sets share a class and are verified once; rows that repeat a doc_id are one node; rows
@@ -35,7 +37,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import connected_components, discard, written
@@ -53,6 +55,8 @@ CHUNK_ROWS = 1000
 KEY_BYTES, DIGEST_BITS = 6, 56
 #: Shuffles among which the keys are dealt, a power of two; each is deleted before the next begins.
 PASSES = 4
+#: Elements that a part of the verification or comparison may move in any case, and besides the share of all elements; partners of a member in a part.
+LEAST_ELEMENTS, PARTNERS = 16_000_000, 1000
 _U = np.uint64
 
 
@@ -180,8 +184,27 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.int64)
 
 
+def parities(s: np.ndarray, places: int) -> np.ndarray:
+    """The parities of a set's hashes in so many places (a power of two, eight to a byte); those of half as many are one half xor the other."""
+    return np.packbits((np.bincount((mix(s ^ _U(77)) & _U(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8))
+
+
+def wide_parities(s: np.ndarray) -> bytes | None:
+    """The parities in at least as many places as the set has elements, if these are more than ``PARITY_WORDS`` hold."""
+    return parities(s, 1 << (len(s) - 1).bit_length()).tobytes() if len(s) > PARITY_WORDS * 64 else None
+
+
+def places_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """The places where parities differ, in as many places as the shorter has."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def sketches(docs: DataFrame, n: int, t: int) -> DataFrame:
-    """(doc_id, n, d1, d2, p0..p7, keys): size, digest and parities of each text's set; keys at the first of equal sets in a task."""
+    """(doc_id, n, d1, d2, p0..p7, wide, keys): size, digest and parities of each text's set; wide ones and keys at the first of equal sets in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, bands, seen = WordHashes(), Bands(t), set()
@@ -189,7 +212,7 @@ def sketches(docs: DataFrame, n: int, t: int) -> DataFrame:
             sets = [shingles(x, n, memo) for x in texts]
             d1 = np.array([np.add.reduce(mix(s + _U(11))) for s in sets], _U) & _U((1 << DIGEST_BITS) - 1)
             d2 = np.array([np.bitwise_xor.reduce(mix(s ^ _U(0x5851F42D4C957F2D))) + _U(len(s)) for s in sets], _U)
-            parity = [np.packbits((np.bincount((mix(s ^ _U(77)) & _U(PARITY_WORDS * 64 - 1)).astype(np.int64), minlength=PARITY_WORDS * 64) & 1).astype(np.uint8)).view(np.int64) for s in sets]
+            parity = [parities(s, PARITY_WORDS * 64).view(np.int64) for s in sets]
             if len(seen) > 1_000_000:
                 seen.clear()
             fresh = []
@@ -197,14 +220,15 @@ def sketches(docs: DataFrame, n: int, t: int) -> DataFrame:
                 fresh.append(pair not in seen)
                 seen.add(pair)
             keys = keys_of([s if f else s[:0] for s, f in zip(sets, fresh, strict=True)], bands)
+            wide = [wide_parities(s) if f else None for s, f in zip(sets, fresh, strict=True)]
             p = np.array(parity).reshape(-1, PARITY_WORDS)
             known = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))]
             yield pa.RecordBatch.from_arrays(
-                [*known, *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(PARITY_WORDS)], pa.array([packed(k) for k in keys], pa.binary())],
-                ["doc_id", "n", "d1", "d2", *[f"p{i}" for i in range(PARITY_WORDS)], "keys"],
+                [*known, *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(PARITY_WORDS)], pa.array(wide, pa.binary()), pa.array([packed(k) for k in keys], pa.binary())],
+                ["doc_id", "n", "d1", "d2", *[f"p{i}" for i in range(PARITY_WORDS)], "wide", "keys"],
             )
 
-    schema = "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)) + ", keys binary"
+    schema = "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)) + ", wide binary, keys binary"
     return id_and_text(docs).mapInArrow(run, schema)
 
 
@@ -271,15 +295,49 @@ def may_link(a: str, b: str, t: int):
     return (low * 100 >= high * t) & (differ * (100 + t) <= (c(f"{a}.n") + c(f"{b}.n")) * (100 - t))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
-    """Those of the pairs (a: a bucket's center, b: a member; both representatives) whose sets reach the similarity, as a table.
+def nearer(pairs: DataFrame, wides: DataFrame, t: int) -> DataFrame:
+    """Those of the pairs (a, b, na, nb) whose wide parities differ in few enough places, if both have them. ``wides``: rep, n, wide."""
+    c = F.col
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*[batch.column(k).to_pylist() for k in ("na", "nb", "wa", "wb")], strict=True):
+                keep.append(x is None or y is None or places_apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) * (100 + t) <= (na + nb) * (100 - t))
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("a", "b", "na", "nb")], ["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    for x in "ab":  # by size as well, as texts of other sizes may share the doc_id
+        pairs = pairs.join(wides.select(c("rep").alias(x), c("n").alias(f"n{x}"), c("wide").alias(f"w{x}")), [x, f"n{x}"], "left")
+    return pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long, na long, nb long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int, t: int, most: int) -> list[DataFrame]:
+    """Those of the pairs (a: a bucket's center, b: a member; both representatives; na, nb: sizes) whose sets reach the similarity, as tables.
+
+    The pairs go in parts whose sets have about ``most`` elements, one part on the disk at a time; a member's pairs are of one part,
+    or of several if it has many.
+    """
+    count, load = pairs.agg(F.count("*"), F.coalesce(F.sum(F.col("na") + F.col("nb")), F.lit(0))).first()
+    parts = max(1, math.ceil(load / most), math.ceil(count / max(BROADCAST_IDS // 4, PARTNERS)))
+    if parts == 1:
+        return [verified_part(pairs, docs, n, t)]
+    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("shares"))
+    place = F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("shares"))), F.lit(parts)).cast("int")
+    dealt = written(pairs.join(shares, "b").select("a", "b", place.alias("part")), "parts")
+    links = [verified_part(dealt.where(F.col("part") == i), docs, n, t) for i in range(parts)]
+    discard(dealt)
+    return links
+
+
+def verified_part(pairs: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
+    """The links among a part of the pairs, as a table.
 
     Texts are read anew, with the centers of each member beside them, so a member's set is made once, moves to its centers and
     is never stored; only the sets of the centers move besides.
     """
     partners = pairs.groupBy(F.col("b").alias("doc_id")).agg(F.collect_set("a").alias("partners"))
     centers = pairs.select(F.col("a").alias("doc_id")).distinct().withColumn("partners", F.array().cast("array<long>"))
-    few = pairs.count() <= BROADCAST_IDS // 4  # a row is an id and its centers
+    few = pairs.count() <= BROADCAST_IDS // 2  # a row is an id and its centers; parts have about half as many
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -296,20 +354,40 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
     return written(both.where(common * (100 + t) >= (F.size("x") + F.size("y")) * t).select("a", "b").distinct(), "links")
 
 
-def crossing(rest: DataFrame, reps: DataFrame, t: int) -> DataFrame:
-    """(a, b): the pairs of different labels within a key that pass the bounds. ``rest``: key, x, label.
+PAIR = ["a", "b", "na", "nb"]
+
+
+def pair_of(r: str, s: str) -> list[Column]:
+    """Representatives and sizes of two classes."""
+    return [F.col(f"{x}.{k}").alias(name) for name, x, k in zip(PAIR, (r, s, r, s), ("rep", "rep", "n", "n"), strict=True)]
+
+
+def crossing_turns(rest: DataFrame, most: int) -> int:
+    """Turns of ``crossing`` in which it moves about ``most`` elements (8 bytes) at once: 30 for a row of a chunk on both sides, 1 for 8 pairs, of which the bounds keep few."""
+    of_key = rest.groupBy("key").agg(F.count("*").alias("n"))
+    dealt, pairs = of_key.agg(F.sum(F.col("n") * F.ceil(F.col("n") / CHUNK_ROWS)), F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()
+    return max(1, math.ceil((30 * (dealt or 0) + (pairs or 0) / 8) / most))
+
+
+def crossing(rest: DataFrame, reps: DataFrame, t: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(a, b, na, nb): the pairs of different labels within a key that pass the bounds; the chunks of this turn. ``rest``: key, x, label.
 
     The rows of a key are dealt into chunks of about ``CHUNK_ROWS`` and a task compares two chunks, so no task has more than so many of a key.
     """
     c = F.col
+
+    def mine(*chunks: Column | str) -> Column:
+        return F.pmod(F.xxhash64("key", *chunks), F.lit(turns)) == turn
+
     sized = rest.join(rest.groupBy("key").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")), "key")
+    sized = sized.where((c("chunks") > 1) | mine(F.lit(0), F.lit(0)))
     full = sized.join(reps.withColumnRenamed("d1", "x"), "x").withColumn("own", F.pmod(F.xxhash64("x"), c("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), c("chunks") - 1))
-    left = full.withColumn("i", c("own")).withColumn("j", other).alias("r")
-    right = full.withColumn("j", c("own")).withColumn("i", other).alias("s")
+    left = full.withColumn("i", c("own")).withColumn("j", other).where(mine("i", "j")).alias("r")
+    right = full.withColumn("j", c("own")).withColumn("i", other).where(mine("i", "j")).alias("s")
     same = reduce(lambda x, y: x & y, [c(f"r.{k}") == c(f"s.{k}") for k in ("key", "i", "j")])
     pairs = left.join(right, same & (c("r.rep") < c("s.rep")) & (c("r.label") != c("s.label")) & may_link("r", "s", t))
-    return pairs.select(c("r.rep").alias("a"), c("s.rep").alias("b")).distinct()
+    return pairs.select(*pair_of("r", "s")).distinct()
 
 
 def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFrame:
@@ -332,13 +410,16 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
     turns = [keys_shared(i) for i in range(PASSES)]
     shared = reduce(DataFrame.unionByName, turns)
     slim = written(table.select("doc_id", "n", "d1", "d2"), "sizes")
+    wide = table.where("wide is not null").groupBy("d1", "d2").agg(F.first("wide").alias("wide"))
+    wides = written(wide.join(classes.where("rep is not null"), ["d1", "d2"]).select("rep", "n", "wide"), "wides")
+    most = LEAST_ELEMENTS + (classes.agg(F.sum("n")).first()[0] or 0) // 2
     discard(table)
 
     def candidates(stars: DataFrame) -> DataFrame:
-        """(a, b): the representatives of the pairs of digests (c, x) that pass the bounds."""
+        """(a, b, na, nb): representatives and sizes of the pairs of digests (c, x) that pass the bounds."""
         one, two = reps.alias("r"), reps.alias("s")
         left = stars.join(one, c("c") == c("r.d1")).select("x", F.struct("r.*").alias("r"))
-        return left.join(two, (c("x") == c("s.d1")) & may_link("r", "s", t)).select(c("r.rep").alias("a"), c("s.rep").alias("b")).where("a <> b").distinct()
+        return left.join(two, (c("x") == c("s.d1")) & may_link("r", "s", t)).select(*pair_of("r", "s")).where("a <> b").distinct()
 
     def named(labels: DataFrame) -> DataFrame:
         return reps.select("d1", "rep").join(labels, c("rep") == c("node"), "left").select("d1", F.coalesce("root", "rep").alias("label"))
@@ -363,17 +444,19 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
         nonlocal tried
         if tried is not None:
             ends = [F.least("a", "b").alias("a1"), F.greatest("a", "b").alias("b1")]
-            pairs = pairs.select("a", "b", *ends).join(tried.select(*ends), ["a1", "b1"], "left_anti").select("a", "b")
-        pairs = written(pairs, "pairs")
+            pairs = pairs.select(*PAIR, *ends).join(tried.select(*ends), ["a1", "b1"], "left_anti").select(*PAIR)
+        pairs = written(nearer(pairs, wides, t), "pairs")
         discard(*passing)
         passing.clear()
-        links = verified(pairs, docs, n, t)
+        found = verified(pairs, docs, n, t, most)
+        links = reduce(DataFrame.unionByName, found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if labels is not None and links.isEmpty():
+            discard(*found)
             return labels
         every = links if labels is None else links.unionByName(labels.select(c("node").alias("a"), c("root").alias("b")))
         out = written(connected_components(every), "labels")
-        discard(links, *([] if labels is None else [labels]))
+        discard(*found, *([] if labels is None else [labels]))
         return out
 
     stars = shared.where("center <> x").select(c("center").alias("c"), "x")
@@ -382,7 +465,16 @@ def components(docs: DataFrame, n: int = SHINGLE, t: int = SIMILARITY) -> DataFr
     rest = mixed(shared.select("key", "x").distinct(), labels)
     discard(*turns)
     labels = grown(labels, candidates(apart(rest.where("c <> x").select("c", "x").distinct(), labels)))
-    labels = grown(labels, crossing(mixed(rest.select("key", "x"), labels).select("key", "x", "label"), reps, t))
+    mixed_rest = mixed(rest.select("key", "x"), labels)
+    discard(rest)
+    rest = mixed_rest.select("key", "x", "label")
+    n_turns = crossing_turns(rest, most)
+    if n_turns > 1:
+        passing += [written(crossing(rest, reps, t, i, n_turns), "crossing") for i in range(n_turns)]
+        labels = grown(labels, reduce(DataFrame.unionByName, passing).distinct())
+    else:
+        labels = grown(labels, crossing(rest, reps, t))
+    discard(mixed_rest, wides)
 
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
     some = slim.where("n > 0").join(of_class, ["d1", "d2"], "left").select("doc_id", "n", "component_id")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm import bpe, decontaminate, jaccard, langid, lines
 from trailmark.llm.queries import vocabulary_path
-from trailmark.llm.shared import written
+from trailmark.llm.shared import discard, written
 
 #: Least cosine with a language; up to so many ids (8 bytes each) are broadcast to drop documents, more are joined by shuffle.
 LEAST_SCORE, BROADCAST_IDS = 0.05, 2_000_000
@@ -100,9 +100,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; a stage's table is deleted once the next one is written."""
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = written(docs, name)
+            discard(*tables)
+            tables = [docs]
     return docs

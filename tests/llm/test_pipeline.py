@@ -1,6 +1,7 @@
 """The pipeline against plain Python over the same documents."""
 
 import hashlib
+import os
 import random
 import sys
 from pathlib import Path
@@ -81,3 +82,19 @@ def test_odd_tables(spark, sf_dir):
                 assert kept.columns == clash.columns
         got = sorted(((x.doc_id or 0), x.n_tokens > 0) for x in kept.collect())
         assert got == ([(0, True), (1, True), (2, True), (2, True), (5, True), (6, True)] if source is clash else [])
+
+
+def test_a_stage_is_deleted_once_the_next_is_written(spark, tmp_path, monkeypatch):
+    """The tables of all stages stayed on the disk until the session ended; now there are two at most, and the one the last stage reads stays."""
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made, old = [], corpus_pipeline.written
+
+    def written(df, name):
+        out = old(df, name)
+        made.append(out)
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "written", written)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, lambda s, docs, d: docs.select("*")) for name in ("one", "two", "three", "four")])
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [1, 2]
+    assert [os.path.exists(df.written_to.removeprefix("file:")) for df in made] == [False, False, True]
